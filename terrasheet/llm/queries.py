@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, token_counts
+from . import bpe, decontaminate, language_id, media, near_dedup, token_counts
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -31,10 +31,28 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_audio(stored, "doc_id", pcm=False, keep=["n_bytes"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = language_id.train(docs, "text", "lang", ~held_out)
+    return language_id.predict(docs, "doc_id", "text", *model, keep={"held_out": held_out})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op5_bpe": op5_bpe,
     "op7_media": op7_media,
+    "op3_decontamination": op3_decontamination,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
