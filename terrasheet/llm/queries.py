@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, media, near_dedup, token_counts
+from . import bpe, decontaminate, language_id, license_scan, media, near_dedup, secret_scan, token_counts
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -31,6 +31,18 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_audio(stored, "doc_id", pcm=False, keep=["n_bytes"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ratios = secret_scan.train(secret_scan.generated_samples(docs, "text"))
+    found = secret_scan.secrets(docs, "doc_id", "text", ratios)
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == secret_scan.KINDS.index(k))).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[count(k) for k in secret_scan.PATTERNS], F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
+
+
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licences(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +60,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_secrets": op2_secrets,
+    "op4_licences": op4_licences,
     "op5_bpe": op5_bpe,
     "op7_media": op7_media,
     "op3_decontamination": op3_decontamination,
