@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, license_scan, media, near_dedup, secret_scan, token_counts
-from .common import table
+from . import bpe, decontaminate, language_id, license_scan, media, near_dedup, secret_scan, token_counts, toxicity, warc
+from .common import new_path, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -58,6 +58,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, "doc_id", "text", *model, keep={"held_out": held_out})
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.toxicity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    at = new_path(spark, "warc")
+    warc.write_archives(warc.with_revisits(pages, "page_id", "url", "html"), at)
+    found = warc.read_archives(spark, at).where("gap is null")
+    number = lambda c: F.expr(f"try_cast(substring({c}, {len(warc.ID_PREFIX) + 1}) as long)")
+    return found.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_secrets": op2_secrets,
@@ -67,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op9_near_dedup": op9_near_dedup,
     "op10_language": op10_language,
+    "op6_toxicity": op6_toxicity,
+    "op8_warc": op8_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {}
