@@ -231,8 +231,8 @@ def encode_texts(df: DataFrame, id_column: str, text_column: str, ranks: str, pa
     return df.select(id_column, text_column).mapInArrow(encode, f"`{id_column}` {id_type}, ids binary")
 
 
-def decode_ids(df: DataFrame, id_column: str, ids_column: str, ranks: str, pattern: str) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded): the bytes that the ids stand for."""
+def decode_ids(df: DataFrame, id_column: str, ids_column: str, ranks: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded): the bytes that the ids stand for. keep_ids: the ids column as well, at the end."""
     id_type = df.schema[id_column].dataType.simpleString()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,6 +240,8 @@ def decode_ids(df: DataFrame, id_column: str, ids_column: str, ranks: str, patte
         for batch in text_slices(batches, ids_column):
             ids = [x or b"" for x in batch.column(ids_column).to_pylist()]
             columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([own.decode(x) for x in ids], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(id_column), *columns], [id_column, "n_tokens", "ids_sha256", "decoded"])
+            kept = [batch.column(ids_column)] * keep_ids
+            yield pa.RecordBatch.from_arrays([batch.column(id_column), *columns, *kept], [id_column, "n_tokens", "ids_sha256", "decoded", *[ids_column] * keep_ids])
 
-    return df.select(id_column, ids_column).mapInArrow(decode, f"`{id_column}` {id_type}, n_tokens long, ids_sha256 string, decoded binary")
+    schema = f"`{id_column}` {id_type}, n_tokens long, ids_sha256 string, decoded binary" + f", `{ids_column}` binary" * keep_ids
+    return df.select(id_column, ids_column).mapInArrow(decode, schema)
