@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import geometry_queries, raster_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = geometry_queries.QUERIES | raster_queries.QUERIES
+ORACLES: dict[str, str] = geometry_queries.ORACLES | raster_queries.ORACLES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
