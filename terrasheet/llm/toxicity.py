@@ -1,9 +1,10 @@
 """Toxicity by compression distance: a zstandard dictionary of toxic text and one of ordinary text.
 
-A window is a word (letters, digits and underscores, lower-cased; longer ones in pieces of LONGEST characters), between
-spaces and before a fixed carrier, without which so short a block could not be compressed at all. Its distance is the
-number of bytes that it takes less with the toxic dictionary than with the ordinary one. The toxic dictionary is the
-ordinary one's content followed by toxic content, so that ordinary words take the same bytes with both.
+A window is a word (A-Z lower-cased; digits, a-z and everything beyond ASCII), between spaces and before a fixed carrier,
+without which so short a block could not be compressed at all. Its distance is the number of bytes that it takes less with
+the toxic dictionary than with the ordinary one. The toxic dictionary is the ordinary one's content followed by toxic
+content, so that ordinary words take the same bytes with both; a window that shares no SHARED bytes in a row with the
+toxic content can gain nothing worth counting, and is taken as plain without being compressed.
 
 Training, on a bounded sample of labelled rows (LABELLED of each label, about), of which two thirds make the
 dictionaries and the rest, which those have not seen, calibrates:
@@ -17,7 +18,7 @@ dictionaries and the rest, which those have not seen, calibrates:
    the score.
 
 Labels are joined to rows; language, source and id aren't looked at. Null and empty texts have no window; they get the
-score of a text whose windows are all ordinary. Without labels of both kinds every score is 0. Rows are scored one by
+score of a text with nothing toxic. Without labels of both kinds every score is 0. Rows are scored one by
 one in one pass without a shuffle; equal texts have equal scores.
 """
 
@@ -36,11 +37,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_fraction, stored, text_slices
+from .words import ALPHANUMERIC, LOWER, find_words
 
 #: Labelled rows of each label that the classifier is fitted on, at most about.
 LABELLED = 6000
-#: Bytes of the dictionaries, and of a window's longest word in characters.
-ORDINARY_BYTES, TOXIC_BYTES, LONGEST = 8192, 4096, 32
+#: Bytes of the dictionaries, and in a row that a window must share with the toxic content.
+ORDINARY_BYTES, TOXIC_BYTES, SHARED = 8192, 4096, 6
 #: A mark of toxic words: least likelihood ratio statistic, least ratio of the document frequencies, least rows.
 LEAST_G2, LEAST_RATIO, LEAST_ROWS = 24.0, 8.0, 3
 #: Most marks, and most different words of a dictionary's training.
@@ -51,7 +53,7 @@ REMEMBERED = 400_000
 TOXIC_ODDS, FAR, FEATURES = 2.0, (4, 5), 7
 
 CARRIER = b"\n#window#\n"
-WORD = re.compile(r"\w+")
+WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 _LENGTHS, _DISTANCES = 48, 32
 
 
@@ -63,10 +65,7 @@ class Model(NamedTuple):
 
 
 def words(text: str | None) -> list[str]:
-    found = WORD.findall((text or "").lower())
-    if found and max(map(len, found)) > LONGEST:
-        return [w[k : k + LONGEST] for w in found for k in range(0, len(w), LONGEST)]
-    return found
+    return WORD.findall((text or "").encode().lower().decode())
 
 
 def beginnings(word: str) -> set[str]:
@@ -86,18 +85,55 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=own, compression_params=params)
 
 
-class Distances:
-    """The cell (length with the toxic dictionary, distance) of windows, as one number."""
+class Windows:
+    """Finds the windows of texts that share bytes with the toxic content, and their cells."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.ordinary, self.both = compressor(ordinary).compress, compressor(ordinary + toxic).compress
-
-    def cell(self, word: str) -> int:
-        data = window(word) + CARRIER
+        parts = {toxic[k : k + SHARED] for k in range(len(toxic) - SHARED + 1)}
+        self.shared = np.array(sorted(int.from_bytes(p, "big") for p in parts if b" " not in p[1:-1]), np.uint64)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.slot(self.shared)] = True
+        self.known: dict[bytes, int] = {}
+
+    @staticmethod
+    def slot(codes: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+
+    def cell(self, word: bytes) -> int:
+        """(length with the toxic dictionary, distance) as one number."""
+        data = b" " + word + b" " + CARRIER
         length = len(self.both(data))
         distance = len(self.ordinary(data)) - length
         return min(length, _LENGTHS - 1) * _DISTANCES + min(max(distance, 0), _DISTANCES - 1)
 
+    def scan(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many windows each text has; then for the windows that share bytes their text and their cell, in order."""
+        raw = [(t or "").encode() for t in texts]
+        data = LOWER[np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)]
+        at = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)))
+        first, last, of = find_words(data, at, ALPHANUMERIC)
+        data[~ALPHANUMERIC[data]] = 32
+        counts = np.bincount(of, minlength=len(texts))
+        if len(data) < SHARED or not len(self.shared) or not len(first):
+            return counts, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        codes = np.zeros(len(data) - SHARED + 1, np.uint64)
+        for k in range(SHARED):
+            codes = codes << np.uint64(8) | data[k : len(codes) + k]
+        hits = np.flatnonzero(self.maybe[self.slot(codes)])
+        hits = hits[self.shared[np.minimum(np.searchsorted(self.shared, codes[hits]), len(self.shared) - 1)] == codes[hits]]
+        which = np.unique(np.searchsorted(first, hits + 1, "right") - 1)  # a string begins in a word, or with the space before
+        whole, cells = data.tobytes(), []
+        for a, b in zip(first[which].tolist(), last[which].tolist(), strict=True):
+            word = whole[a:b]
+            if word not in self.known:
+                self.known[word] = self.cell(word)
+            cells.append(self.known[word])
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        return counts, of[which], np.array(cells, np.int64)
+
 
 def frequencies(rows: DataFrame) -> DataFrame:
     """(unit, toxic, ordinary): documents of each label that hold a word or a beginning. Counted in tasks, then by key."""
@@ -165,35 +201,27 @@ def dictionaries(rows: DataFrame, toxic_rows: int, ordinary_rows: int) -> tuple[
 
 
 def cells_of(rows: DataFrame, ordinary: bytes, toxic: bytes) -> DataFrame:
-    """(label, cells): the different cells of each row's windows and how many windows each has."""
+    """(label, windows, cells): the number of each row's windows, and the cells of those that share bytes with the toxic ones."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = Distances(ordinary, toxic), {}
+        own = Windows(ordinary, toxic)
         for batch in text_slices(batches, "text"):
-            out = []
-            for text in batch.column("text").to_pylist():
-                cells = Counter()
-                for w, n in Counter(words(text)).items():
-                    if w not in known:
-                        known[w] = own.cell(w)
-                    cells[known[w]] += n
-                out.append([{"cell": c, "n": n} for c, n in cells.items()])
-            if len(known) > REMEMBERED:
-                known.clear()
-            kind = pa.list_(pa.struct([("cell", pa.int32()), ("n", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(out, kind)], ["label", "cells"])
-
-    return rows.mapInArrow(measure, "label int, cells array<struct<cell: int, n: int>>")
-
-
-def features(cells: np.ndarray, often: np.ndarray, odds: np.ndarray) -> np.ndarray:
+            counts, of, cells = own.scan(batch.column("text").to_pylist())
+            edges = np.searchsorted(of, np.arange(batch.num_rows + 1))
+            listed = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(cells, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(counts, pa.int64()), listed], ["label", "windows", "cells"])
+
+    return rows.mapInArrow(measure, "label int, windows long, cells array<int>")
+
+
+def features(windows: int, cells: np.ndarray, odds: np.ndarray) -> np.ndarray:
     """1, then of a row's windows: the highest log-odds, the greatest distance over FAR[0] - 1, and logarithms of 1 + a
     number: of windows over TOXIC_ODDS, of those at each distance of FAR or more, of all.
     """
     if not len(cells):
-        return np.zeros(FEATURES) + (np.arange(FEATURES) == 0)
+        return np.array([1.0] + [0.0] * (FEATURES - 2) + [np.log1p(windows)])
     own, far = odds[cells], cells % _DISTANCES
-    counts = [often[own >= TOXIC_ODDS].sum(), *(often[far >= d].sum() for d in FAR), often.sum()]
+    counts = [(own >= TOXIC_ODDS).sum(), *((far >= d).sum() for d in FAR), windows]
     return np.array([1.0, max(0.0, own.max()), max(0.0, far.max() - FAR[0] + 1), *np.log1p(counts)])
 
 
@@ -215,7 +243,7 @@ def calibrated(rows: DataFrame, ordinary: bytes, toxic: bytes) -> Model:
     measured = stored(cells_of(rows, ordinary, toxic), "toxicity-cells")
     sizes = {r.label: r["n"] for r in measured.groupBy("label").agg(F.count("*").alias("n")).collect()}
     counts = np.zeros((2, _LENGTHS * _DISTANCES))
-    for r in measured.select("label", F.explode("cells.cell").alias("cell")).groupBy("label", "cell").agg(F.count("*").alias("n")).collect():
+    for r in measured.select("label", F.explode(F.array_distinct("cells")).alias("cell")).groupBy("label", "cell").agg(F.count("*").alias("n")).collect():
         counts[r.label, r.cell] = r["n"]
     # a distance counts at least as much as a smaller one of windows that compress as far
     more = np.maximum.accumulate
@@ -223,10 +251,9 @@ def calibrated(rows: DataFrame, ordinary: bytes, toxic: bytes) -> Model:
     part = [(counts[y] + prior[y]) / (sizes.get(y, 0) + 1) for y in (0, 1)]
     odds = more(np.log(part[1] / part[0]).reshape(_LENGTHS, _DISTANCES), axis=1).ravel()
     found = measured.toArrow().combine_chunks()  # bounded, as the sample
-    y, lists = found.column("label").to_numpy(), found.column("cells").combine_chunks()
-    edges, cells = lists.offsets.to_numpy(), lists.values
-    at, often = cells.field("cell").to_numpy(), cells.field("n").to_numpy()
-    x = [features(at[a:b], often[a:b], odds) for a, b in zip(edges, edges[1:], strict=False)]
+    y, windows, lists = found.column("label").to_numpy(), found.column("windows").to_numpy(), found.column("cells").combine_chunks()
+    edges, cells = lists.offsets.to_numpy(), lists.values.to_numpy()
+    x = [features(w, cells[a:b], odds) for w, a, b in zip(windows, edges, edges[1:], strict=False)]
     weights = logistic(np.array(x), y.astype(float)) if x else np.where(np.arange(FEATURES) == 0, -30.0, 0.0)
     return Model(ordinary, toxic, odds, weights)
 
@@ -257,16 +284,13 @@ _loaded: dict[str, Scorer] = {}
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.own, self.known = model, Distances(model.ordinary, model.toxic), {}
+        self.model, self.windows = model, Windows(model.ordinary, model.toxic)
 
-    def score(self, text: str | None) -> float:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        found, known = Counter(words(text)), self.known
-        for w in found.keys() - known.keys():
-            known[w] = self.own.cell(w)
-        x = features(np.array([known[w] for w in found], np.int64), np.array(list(found.values()), np.int64), self.model.odds)
-        return float(1 / (1 + np.exp(-np.clip(x @ self.model.weights, -30, 30))))
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        counts, of, cells = self.windows.scan(texts)
+        edges = np.searchsorted(of, np.arange(len(texts) + 1)).tolist()
+        x = np.array([features(n, cells[a:b], self.model.odds) for n, a, b in zip(counts, edges, edges[1:], strict=False)])
+        return 1 / (1 + np.exp(-np.clip(x @ self.model.weights, -30, 30)))
 
 
 def toxicity(docs: DataFrame, model: Model | None, text_column: str = "text", output: str = "score") -> DataFrame:
@@ -280,7 +304,7 @@ def toxicity(docs: DataFrame, model: Model | None, text_column: str = "text", ou
             _loaded[key] = Scorer(shared.value)
         own = _loaded.get(key)
         for batch in text_slices(batches, text_column):
-            scores = [own.score(x) if own else 0.0 for x in batch.column(text_column).to_pylist()]
+            scores = own.scores(batch.column(text_column).to_pylist()) if own else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*kept, output])
 
     given = docs.select(*kept)
