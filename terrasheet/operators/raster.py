@@ -219,3 +219,16 @@ def patches(df: DataFrame, corners: DataFrame, side: int) -> DataFrame:
     cells = df.withColumn("_by", block("y")).withColumn("_bx", block("x"))
     inside = cells.join(reach, ["map_id", "_by", "_bx"]).withColumn("py", F.col("y") - F.col("_cy")).withColumn("px", F.col("x") - F.col("_cx"))
     return inside.where((F.col("py").between(0, side - 1)) & (F.col("px").between(0, side - 1))).drop("_by", "_bx", "_cy", "_cx")
+
+
+def augment(df: DataFrame, copies: int, height: int, width: int, most_shift: float = 0.4) -> DataFrame:
+    """df (by map_id) `copies` times over with `copy`: flipped and shifted around the borders, by digests of map and copy.
+
+    Shifts are up to most_shift of a side; what leaves at one side comes in at the other.
+    """
+    many = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    part = lambda k, n: F.conv(F.substring(F.md5(F.concat_ws("-", F.col("map_id").cast("string"), F.col("copy").cast("string")).cast("binary")), k, 4), 16, 10).cast("int") % n
+    reach_y, reach_x = int(height * most_shift), int(width * most_shift)
+    y = F.when(part(1, 2) == 1, height - 1 - F.col("y")).otherwise(F.col("y")) + part(5, 2 * reach_y + 1) - reach_y
+    x = F.when(part(9, 2) == 1, width - 1 - F.col("x")).otherwise(F.col("x")) + part(13, 2 * reach_x + 1) - reach_x
+    return many.withColumn("_y", F.pmod(y, F.lit(height))).withColumn("_x", F.pmod(x, F.lit(width))).withColumn("y", F.col("_y")).withColumn("x", F.col("_x")).drop("_y", "_x")

@@ -10,6 +10,7 @@ from ..operators import components as cc
 from ..operators import evaluation, features, geometry, kernels, learning, registration, sampling
 from ..sources import geojson
 from .proxies import BLOCKS, HULL, PTS, RING, blocks, labelled_sql, on_px, points, star_rings, table
+from . import vectorise
 from .proxies import raster as px
 
 R6 = lambda c: F.round(c, 6)
@@ -308,13 +309,24 @@ def classified_segments(spark, sf):
     return named.withColumn("feature", geojson.feature(box, F.struct(F.col("class").alias("type")))).drop("x0", "y0", "x1", "y1")
 
 
+SMALL_MAPS = vectorise.Settings(least_pixels=6, tolerance=1.0, reach=3, enlarge=1.0, tile=16, dark_most=60, sensitivity=0.02)
+
+
+def vectorised_maps(spark, sf):
+    return vectorise.vectorise(px(spark, sf), SMALL_MAPS).select("map_id", "label", "class", "gis", "simple")
+
+
+def vectorised_snapped(spark, sf):
+    return vectorise.vectorise(px(spark, sf), SMALL_MAPS._replace(method=2)).select("map_id", "label", "class", "gis", "simple")
+
+
 QUERIES = {f.__name__: f for f in (
     classified_segments, ring_area_perimeter, convex_hull, min_rotated_rect, shape_features, polygon_holes, largest_part, douglas_peucker,
     radius_pairs, midpoint_snaps, polygon_edges, snap_candidates, point_in_polygon, rasterise_polygons, outline_pixels, representative_points,
     homography_warp, buffer_mitre, polygon_snapping, geojson_features, geojson_collection, spectral_features, standardise, feature_vector,
     iou_pairs, iou_area_bounds, iou_one_to_one, iou_threshold_sweep, iou_histogram, mean_iou, class_raster, matched_points, confusion_matrix,
     classification_report, stratified_split, nested_split, weighted_sample, best_matches, kmeans_lloyd, gaussian_nb, hamming_match, rf_classify,
-    svm_classify, rf_importance, permutation_importance, pca_project, register_maps,
+    svm_classify, rf_importance, permutation_importance, pca_project, register_maps, vectorised_maps, vectorised_snapped,
 )}
 
 

@@ -177,7 +177,12 @@ def mask_png(spark, sf):
     return images.as_png(px(spark, sf).withColumn("v", F.when(F.col("m"), 255).otherwise(0)), ["map_id"], "v")
 
 
+def augmented(spark, sf):
+    return raster.augment(px(spark, sf).select(*at("r")), 4, 32, 32).select(*at("copy", "r"))
+
+
 QUERIES = {
+    "augmented": augmented,
     "gray_foreground_mask": gray_foreground,
     "minmax_normalise": minmax_normalise,
     "rgb_to_hsv": rgb_to_hsv,
@@ -218,7 +223,10 @@ QUERIES = {
 LARGE8 = labelled_sql("m", True) + ", big AS MATERIALIZED (SELECT * FROM labelled WHERE (map_id, label) IN (SELECT (map_id, label) FROM (SELECT map_id, label FROM labelled GROUP BY 1, 2 HAVING count(*) >= 4)))"
 SCALE = "max(greatest(r, g, b)) OVER (PARTITION BY map_id)", "min(least(r, g, b)) OVER (PARTITION BY map_id)"
 
+HEX = "CAST('0x' || substr(md5(CAST(map_id AS VARCHAR) || '-' || CAST(copy AS VARCHAR)), {0}, 4) AS INT)"
+
 ORACLES = {
+    "augmented": on_px(f"c AS (SELECT map_id, y, x, r, CAST(k.range AS INT) AS copy FROM px, range(4) k), d AS (SELECT *, {HEX.format(1)} % 2 AS fy, {HEX.format(5)} % 25 - 12 AS sy, {HEX.format(9)} % 2 AS fx, {HEX.format(13)} % 25 - 12 AS sx FROM c) SELECT map_id, CAST((CASE WHEN fy = 1 THEN 31 - y ELSE y END + sy + 64) % 32 AS INT) AS y, CAST((CASE WHEN fx = 1 THEN 31 - x ELSE x END + sx + 64) % 32 AS INT) AS x, copy, r FROM d"),
     "gray_foreground_mask": on_px(f"SELECT map_id, y, x, {GRAY} AS gray, {weights(0.299, 0.587, 0.114)} AS luma, round((r + g + b) / CAST(3 AS DOUBLE), 6) AS mean, {GRAY} <= 253 AS foreground, {GRAY} <= 128 AS dark FROM px"),
     "minmax_normalise": on_px(f"s AS (SELECT *, {SCALE[0]} AS t, {SCALE[1]} AS l FROM px) SELECT map_id, y, x, {', '.join(f'round(CAST({c} - l AS DOUBLE) / (t - l), 6) AS {c}' for c in 'rgb')} FROM s"),
     "rgb_to_hsv": on_px(HSV + " SELECT map_id, y, x, round(CASE WHEN h0 < 0 THEN h0 + 1 ELSE h0 END, 6) AS h, round(s, 6) AS s, round(v, 6) AS v FROM hsv WHERE round(v, 6) > 0.3"),

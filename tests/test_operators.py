@@ -266,3 +266,18 @@ def test_maps_that_arrive(spark, tmp_path):
     maps.process(stream, lambda b: components.components(b.where("v"), tile=8), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).select("map_id", "y", "x", "label")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, components.components(df.where("v"), tile=8).collect()))
+
+
+def test_vectorised_maps_cover_their_segments(spark):
+    from terrasheet.plans import proxies, vectorise
+
+    df = proxies.raster(spark, "/root/testdata/sf0.001").where("map_id < 2")
+    settings = vectorise.Settings(least_pixels=6, tolerance=0.0, reach=3, enlarge=1.0, tile=16, dark_most=60, sensitivity=0.02)
+    labelled = vectorise.segments(df, settings=settings)
+    assert labelled.groupBy("map_id", "y", "x").count().where("count > 1").count() == 0
+    assert labelled.groupBy("map_id", "label").count().where("count < 6").count() == 0
+    own = vectorise.vectorise(df, settings)
+    assert own.select("class").distinct().where("class not in ('contours', 'background', 'building', 'water')").count() == 0
+    grown = kernels.contours(labelled)
+    best = vectorise.evaluated(grown, labelled).groupBy("map_id", "truth").agg(F.max("iou").alias("iou"))
+    assert best.count() == labelled.select("map_id", "label").distinct().count() and best.agg(F.avg("iou")).first()[0] > 0.8
