@@ -74,17 +74,18 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
-def train(df: DataFrame, text_column: str, lang_column: str, usable: Column, rows_per_language: int = TRAINING_ROWS) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+def train(df: DataFrame, text_column: str, lang_column: str, usable: Column, rows_per_language: int = TRAINING_ROWS, key: Column | None = None) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
     """The languages in order and each one's n-grams and counts. Rows without text or language don't count.
 
-    Of a language with more usable rows, those whose text hashes lowest are taken, about rows_per_language.
+    Of a language with more usable rows, those whose key hashes lowest are taken, about rows_per_language. key: a row's
+    id, else its text, by which copies are taken all or none.
     """
-    rows = df.where(usable & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).alias("text"))
+    rows = df.where(usable & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).alias("text"), F.xxhash64(F.col(text_column) if key is None else key).alias("_key"))
     sizes = {r.lang: bounded_fraction(r["n"], rows_per_language) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return [], []
     share = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    sample = rows.where(F.pmod("_key", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
     found = count_grams(sample).where("n > 1").toArrow()
     langs = sorted(sizes)
     out = []

@@ -1,8 +1,8 @@
 """Secrets in texts, with DataFrame functions only: three patterns, and character Markov models for other random strings.
 
 Two first-order Markov models of characters are counted from labelled samples, one of random strings and one of ordinary
-identifiers. A run of identifier characters is a secret if the logarithm of its likelihood ratio reaches a threshold and
-it doesn't touch a pattern's span. The ratios of pairs of characters are whole thousandths of a nat (at most 66 * 66 of
+identifiers. A run of identifier characters is a secret if it has a letter, the logarithm of its likelihood ratio reaches
+a threshold and it doesn't touch a pattern's span. The ratios of pairs of characters are whole thousandths of a nat (at most 66 * 66 of
 them), so that sums don't depend on their order; they are a literal of the plan.
 
 One pass over the texts, without a shuffle. Null and empty texts have no spans. Positions are code points, ends exclusive.
@@ -70,17 +70,17 @@ def train(samples: DataFrame) -> dict[str, int]:
     return {a + b: round(1000 * math.log(part(1, a, b) / part(0, a, b))) for a in LETTERS for b in LETTERS}
 
 
-def generated_samples(df: DataFrame, text_column: str, random_samples: int = RANDOM_SAMPLES, training_docs: int = TRAINING_DOCS) -> DataFrame:
+def generated_samples(df: DataFrame, text_column: str, random_samples: int = RANDOM_SAMPLES, training_docs: int = TRAINING_DOCS, key: Column | None = None) -> DataFrame:
     """(label, sample): random strings in three alphabets, by hashing numbers, and the words of about training_docs texts.
 
-    The texts are those that hash lowest; words that touch a pattern's match, or hold digits, are no ordinary samples.
+    The texts are those whose key (a row's id; else the text itself, by which copies are taken all or none) hashes lowest; words that touch a pattern's match, or hold digits, are no ordinary samples.
     """
     spark = df.sparkSession
     digest = F.sha2(F.col("id").cast("string"), 256)
     forms = F.array(F.rtrim(F.translate(F.base64(F.unhex(digest)), "=", "")), F.substring(digest, 1, 40), F.substring(F.upper(F.translate(F.base64(F.unhex(digest)), "+/=", "")), 1, 30))
     random = spark.range(random_samples).select(F.lit(1).alias("label"), F.explode(forms).alias("sample"))
     share = min(1.0, training_docs / max(1, df.count()))
-    texts = df.where(F.pmod(F.xxhash64(text_column), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col(text_column).alias("t"))
+    texts = df.where(F.pmod(F.xxhash64(F.col(text_column) if key is None else key), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col(text_column).alias("t"))
     for pattern in SEARCH.values():
         texts = texts.select(F.regexp_replace("t", pattern, " ").alias("t"))
     words = texts.select(F.explode(F.regexp_extract_all("t", F.lit(r"[A-Za-z+/_=-]{4,}"), F.lit(0))).alias("sample"))
@@ -105,7 +105,7 @@ def secrets(df: DataFrame, id_column: str, text_column: str, ratios: dict[str, i
     base = F.array_sort(F.concat(*[occurrences(text, kind) for kind in PATTERNS]))
     found = df.select(F.col(id_column), text.alias("_text"), base.alias("base"))
     pattern, least = f"[A-Za-z0-9+/_=-]{{{LEAST_CHARS},}}", round(1000 * LEAST_NATS)
-    runs = placed(F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)), F.split("_text", pattern, -1), KINDS.index("markov"), lambda m: score(m, ratios) >= least, F.col("_text").rlike(pattern))
+    runs = placed(F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)), F.split("_text", pattern, -1), KINDS.index("markov"), lambda m: m.rlike("[A-Za-z]") & (score(m, ratios) >= least), F.col("_text").rlike(pattern))
     free = F.filter(runs, lambda x: ~F.exists("base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
     return found.select(id_column, "base", F.array_sort(F.concat("base", free)).alias("spans"))
 
