@@ -3,14 +3,15 @@
 A document is the set of its distinct shingles of words (A-Z lower-cased, words between white space). Documents with the
 same words are one class; only classes go on. SuperMinHash gives each shingle a random order of the SLOTS slots and takes
 them level by level, so that a level's values lie above the last one's: a text stops at the first level at which all its
-slots have values. Classes that agree on a band of ROWS slots are candidates, by bucket.
+slots have values. Classes that agree on a band of slots are candidates, by bucket.
 
 A bucket isn't paired with itself. First its members are compared with three pivots each (the least id and two by hash),
 and links are joined to components. Then, only in buckets that still hold several components, members outside the least
-component are compared with all others, in blocks of bounded size, by their signatures; a pair is taken in its first
-common band only. Candidates whose signatures agree in LEAST_EQUAL slots are confirmed on the full sets.
+component meet all others in blocks of bounded size, texts included: a task compares signatures, then full sets, and
+returns links only, one for a member and another component. A pair is looked at in its first common band only.
 
-A pair at the similarity of 0.85 is missed by all bands with a probability of 8e-7, and by LEAST_EQUAL with 1e-7.
+Candidates whose signatures agree in Scheme.least_equal slots go on to be confirmed. A pair at the similarity of 0.85 is
+missed by all bands of 5 slots with a probability of 8e-7, one at 0.8 by those of 4 with 1e-7; by least_equal with 1e-7.
 
 Texts without words, empty or null, have no shingles and are linked with nothing. Repeated rows are copies; rows that
 share an id are taken for one document. Ids are integers.
@@ -18,7 +19,8 @@ share an id are taken for one document. Ids are integers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +31,34 @@ from .common import stored, text_bytes, text_slices
 from .graph import components
 from .words import LOWER, NOT_SPACE, find_words, gram_hashes, mix, word_hashes
 
-SLOTS, ROWS = 120, 5
-BANDS = SLOTS // ROWS
-#: Of equal slots, fewer than this leave a similarity of 0.85 out of question: over 5 standard deviations below.
-LEAST_EQUAL = 80
-#: Members of a bucket that are compared in one block, and ids that may be broadcast (8 bytes each).
-BLOCK, BROADCAST_IDS = 4096, 1_000_000
+SLOTS = 120
+#: Members of a bucket that are compared in one block, shingles of theirs, and ids that may be broadcast (8 bytes each).
+BLOCK, BLOCK_SHINGLES, BROADCAST_IDS = 4096, 1 << 20, 1_000_000
 
 _U = np.uint64
 
 
+class Scheme(NamedTuple):
+    """What follows from a least similarity of `percent` hundredths of sets of `size`-word shingles."""
+
+    size: int
+    percent: int
+
+    @property
+    def rows(self) -> int:
+        return 5 if self.percent >= 85 else 4
+
+    @property
+    def bands(self) -> int:
+        return SLOTS // self.rows
+
+    @property
+    def least_equal(self) -> int:
+        """Fewer equal slots leave the similarity out of question: over 5 standard deviations below."""
+        p = self.percent / 100
+        return int(SLOTS * p - 5 * (SLOTS * p * (1 - p)) ** 0.5) - 2
+
+
 def superminhash(shingles: np.ndarray, of: np.ndarray, texts: int, slots: int = SLOTS) -> np.ndarray:
     """Signatures (texts x slots) of the shingle hashes, of which `of` (ascending) tells the text. No shingles: all ones."""
     out = np.full(texts * slots, np.iinfo(np.uint64).max, np.uint64)
@@ -94,20 +114,20 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, n
     return shingles[fresh], owner[fresh], keys, counts
 
 
-def signatures(df: DataFrame, id_column: str, text_column: str, size: int) -> DataFrame:
+def signatures(df: DataFrame, id_column: str, text_column: str, scheme: Scheme) -> DataFrame:
     """(id, n_shingles, k1, k2, bands array<long>, sig binary) per row; without words all but id and n_shingles are null."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", 1 << 20):
-            shingles, owner, keys, counts = shingle_sets(batch.column("text"), size)
+            shingles, owner, keys, counts = shingle_sets(batch.column("text"), scheme.size)
             n = len(counts)
             slots = superminhash(shingles, owner, n)
-            bands = np.zeros((n, BANDS), np.uint64)
-            for k in range(ROWS):
-                bands = mix(bands * _U(0x9E3779B97F4A7C15) + slots[:, k::ROWS])
+            bands = np.zeros((n, scheme.bands), np.uint64)
+            for k in range(scheme.rows):
+                bands = mix(bands * _U(0x9E3779B97F4A7C15) + slots[:, k :: scheme.rows])
             none = pa.array(counts == 0)
             low = slots.astype(np.uint8)
-            edges = pa.array(np.arange(n + 1) * BANDS, pa.int32())
+            edges = pa.array(np.arange(n + 1) * scheme.bands, pa.int32())
             columns = [
                 pa.array(np.bincount(owner, minlength=n)),
                 pa.array(keys[0].view(np.int64)),
@@ -124,13 +144,17 @@ def signatures(df: DataFrame, id_column: str, text_column: str, size: int) -> Da
     return rows.mapInArrow(sign, "id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary")
 
 
-def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def alike(least_equal: int):
     """Of pairs (a, b, sa, sb) those whose signatures agree enough."""
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SLOTS) for c in ("sa", "sb"))
-            good = pa.array((x == y).sum(1) >= LEAST_EQUAL)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SLOTS) for c in ("sa", "sb"))
+                good = pa.array((x == y).sum(1) >= least_equal)
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
+
+    return keep
 
 
 def linked(size: int, percent: int):
@@ -150,22 +174,28 @@ def linked(size: int, percent: int):
     return confirm
 
 
+def texts_of(ids: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, t): the texts of the ids (one column), read again and kept."""
+    ids = stored(ids.toDF("id").distinct(), "pair-ids")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("t")).where(F.col("id").isNotNull() & F.col("t").isNotNull())
+    return stored(texts.join(few, "id", "left_semi"), "pair-texts")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: str, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked on their full sets; the texts are read again, those of the pairs only."""
     pairs = stored(pairs, "pairs")
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("t")).where(F.col("id").isNotNull() & F.col("t").isNotNull()).join(few, "id", "left_semi")
-    texts = stored(texts, "pair-texts")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b"))), docs, id_column, text_column)
     both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
     return both.select("a", "b", "ta", "tb").mapInArrow(linked(size, percent), "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row: the least id that links reach, and whether that is its own."""
-    if percent < 85:
-        raise ValueError("the bands are made for a similarity of 0.85 or more")
-    rows = stored(signatures(docs, id_column, text_column, size), "signatures")
+    if percent < 80:
+        raise ValueError("the bands are made for a similarity of 0.8 or more")
+    scheme = Scheme(size, percent)
+    rows = stored(signatures(docs, id_column, text_column, scheme), "signatures")
     some = rows.where("k1 is not null and id is not null")
     same = some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = stored(same, "classes")
@@ -179,11 +209,11 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     sized = classes.select("rep", "n", "sig")
     stars = crowd.select("rep", F.explode("pivots").alias("p")).where("rep <> p").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
     stars = stars.join(sized.toDF("a", "na", "sa"), "a").join(sized.toDF("b", "nb", "sb"), "b")
-    stars = stars.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long")
+    stars = stars.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb").mapInArrow(alike(scheme.least_equal), "a long, b long")
     links = stored(confirmed(stars, docs, id_column, text_column, size, percent), "links")
     found = components(links)
 
-    rest = confirmed(apart(crowd, classes, found, percent), docs, id_column, text_column, size, percent)
+    rest = apart(crowd, classes, found, scheme, lambda ids: texts_of(ids, docs, id_column, text_column))
     found = components(links.union(rest))
 
     owner = classes.select("k1", "k2", F.col("rep").alias("node")).join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("c"))
@@ -192,64 +222,83 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return out.select(F.col("id").alias(id_column), "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def apart(crowd: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket but of different components that their signatures don't rule out, each once.
+def apart(crowd: DataFrame, classes: DataFrame, found: DataFrame, scheme: Scheme, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) of members of one bucket but of different components, one at least for a member and a component.
 
     In a bucket with several components, members outside its least component (`few`) meet all members. Both are dealt by
-    hash into blocks of BLOCK or so; each pair of blocks is compared in one task's memory.
+    hash into blocks of BLOCK members and BLOCK_SHINGLES shingles or so; each pair of blocks is one task's work.
     """
     placed = crowd.select("band", "key", "rep").join(found.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("all")).where("least < most").select("band", "key", "least", "all")
-    mixed = stored(mixed, "mixed")
-    inside = placed.join(mixed, ["band", "key"]).join(classes.select("rep", "n", "sig", "bands"), "rep")
-    cells = F.ceil(F.col("all") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int")
-    inside = inside.withColumn("cells", cells).withColumn("block", block)
+    placed = placed.join(classes.select("rep", "n"), "rep")
+    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES).alias("blocks")).where("least < most")
+    mixed = stored(mixed.select("band", "key", "least", F.ceil("blocks").cast("int").alias("cells")), "mixed")
+    inside = stored(placed.join(mixed, ["band", "key"]), "inside")
+    member = stored(texts(inside.select("rep")).toDF("rep", "text").join(classes.select("rep", "sig", "bands"), "rep"), "members")
     every = F.sequence(F.lit(0), F.col("cells") - 1)
-    rows = ["band", "key", "rep", "component", "n", "sig", "bands"]
+    inside = inside.join(member, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
+    rows = ["band", "key", "rep", "component", "n", "sig", "bands", "text"]
     left = inside.where("component <> least").select(*rows, F.lit(True).alias("few"), F.col("block").alias("i"), F.explode(every).alias("j"))
     right = inside.select(*rows, F.lit(False).alias("few"), F.explode(every).alias("i"), F.col("block").alias("j"))
     dealt = left.union(right).repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-    return dealt.mapInArrow(compare(percent), "a long, b long").distinct()
+    return dealt.mapInArrow(compare(scheme), "a long, b long").distinct()
+
+
+def common_sizes(own: np.ndarray, sets: np.ndarray, begin: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """How many elements of `own` (ascending) each of the sets numbered `which` holds; set k lies from begin[k] on."""
+    if not len(own) or not len(which):
+        return np.zeros(len(which), np.int64)
+    sizes = begin[which + 1] - begin[which]
+    at = np.repeat(begin[which] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+    values = sets[at]
+    hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+    return np.bincount(np.repeat(np.arange(len(which)), sizes), hit, len(which)).astype(np.int64)
 
 
-def compare(percent: int):
-    """Pairs from rows that are sorted by cell: a cell's `few` against all of it."""
+def compare(scheme: Scheme):
+    """Links from rows that are sorted by cell: a cell's `few` against all of it."""
 
-    def pairs(cell: pa.Table, band: int) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(cell: pa.Table, band: int) -> tuple[list[int], list[int]]:
         few = cell.column("few").to_numpy()
         rep, comp, n = (cell.column(c).to_numpy() for c in ("rep", "component", "n"))
         sig = np.frombuffer(b"".join(cell.column("sig").to_pylist()), np.uint8).reshape(-1, SLOTS)
-        bands = np.array(cell.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)[:, :band]
-        left, right = np.flatnonzero(few), np.flatnonzero(~few)
-        out = []
-        for x in left.tolist():
-            y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
-            y = y[(sig[y] == sig[x]).sum(1) >= LEAST_EQUAL]
+        bands = np.array(cell.column("bands").combine_chunks().flatten()).reshape(-1, scheme.bands)[:, :band]
+        sets, of, _, _ = shingle_sets(cell.column("text").combine_chunks(), scheme.size)
+        begin = np.searchsorted(of, np.arange(len(rep) + 1))
+        right, a, b = np.flatnonzero(~few), [], []
+        for x in np.flatnonzero(few).tolist():
+            y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= scheme.percent * np.maximum(n[right], n[x]))]
+            y = y[(sig[y] == sig[x]).sum(1) >= scheme.least_equal]
             y = y[~(bands[y] == bands[x]).any(1)]  # taken in an earlier band
-            out.append((np.full(len(y), rep[x]), rep[y]))
-        a, b = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-        return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            common = common_sizes(sets[begin[x] : begin[x + 1]], sets, begin, y)
+            y = y[(100 * common >= scheme.percent * (n[y] + n[x] - common)) & (common > 0)]
+            y = y[np.unique(comp[y], return_index=True)[1]]  # one link joins the components
+            a += np.minimum(rep[y], rep[x]).tolist()
+            b += np.maximum(rep[y], rep[x]).tolist()
+        return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            cell = np.stack([rows.column(c).to_numpy() for c in ("band", "key", "i", "j")])
-            cuts = (np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1).tolist()
-            for lo, hi in zip([0, *cuts[:-1]], cuts, strict=False):
-                yield from emitted(rows.slice(lo, hi - lo))
-            held = rows.slice(cuts[-1] if cuts else 0)
-        if held is not None:
-            yield from emitted(held)
+            cell = np.stack([batch.column(c).to_numpy() for c in ("band", "key", "i", "j")])
+            cuts = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                key = tuple(cell[:, lo].tolist())
+                if key != last and held:
+                    yield from emitted(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last = key
+        if held:
+            yield from emitted(pa.Table.from_batches(held))
 
     def emitted(cell: pa.Table) -> Iterator[pa.RecordBatch]:
         few = cell.column("few").to_numpy()
         if few.any() and not few.all():
             a, b = pairs(cell, cell.column("band")[0].as_py())
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
