@@ -268,7 +268,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "
     if len(sizes) < 2:
         return None
     share = F.when(F.col("label") == 1, bounded_fraction(sizes[1], most)).otherwise(bounded_fraction(sizes[0], most))
-    known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < share * (1 << 20))
+    known = stored(known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < share * (1 << 20)), "toxicity-labels")
+    known = F.broadcast(known) if known.count() <= 8 * most else known  # ids and labels of the sample only
     rows = docs.where(usable).select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).join(known, "_id")
     sample = stored(rows.select("text", "label", F.xxhash64("text").alias("part")).dropDuplicates(["part", "label"]), "toxicity-sample")
     seen = F.pmod("part", F.lit(3)) > 0
