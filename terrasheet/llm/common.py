@@ -31,10 +31,10 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, and lost executors don't matter."""
     at = new_path(df.sparkSession, what)
-    df.write.parquet(at)
+    df.write.parquet(at, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, language_id, license_scan, media, near_dedup, secret_scan, token_counts, toxicity, twins, warc
-from .common import new_path, table
+from .common import new_path, stored, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -25,10 +25,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    size = docs.select("doc_id", "text")
-    stored = media.store_audio(size, "doc_id", media.as_payload(F.col("text")), keep={"n_bytes": F.octet_length(F.coalesce("text", F.lit(""))).cast("long")})
-    return media.read_audio(stored, "doc_id", pcm=False, keep=["n_bytes"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    files = stored(media.store_audio(docs, "doc_id", media.as_payload(F.col("text")), keep={"n_bytes": n_bytes}), "media", "zstd")
+    return media.read_audio(files, "doc_id", pcm=False, keep=["n_bytes"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
