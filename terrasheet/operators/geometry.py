@@ -182,8 +182,8 @@ def snap_to_lines(vertices: DataFrame, lines: DataFrame, reach: float, cell: flo
 def box_neighbours(labelled: DataFrame, reach: int, retained: DataFrame | None = None, cell: int = 64) -> DataFrame:
     """(map_id, label, neighbour): labels with a pixel in the box of another, widened by reach to the right and downwards only.
 
-    So the relation isn't symmetric. Boxes are dealt to cells, pixels are reduced to the distinct labels of small blocks
-    only where whole blocks lie inside; others are compared exactly.
+    So the relation isn't symmetric. Boxes are dealt to the cells that they touch, and pixels meet those of their own cell.
+    retained: labels (map_id, label) beside which others don't count.
     """
     box = labelled.groupBy("map_id", "label").agg(F.min("y").alias("y0"), F.min("x").alias("x0"), F.max("y").alias("y1"), F.max("x").alias("x1"))
     if retained is not None:

@@ -28,8 +28,8 @@ def split(df: DataFrame, id_column: str, class_column: str, shares: dict[str, fl
 def weighted_draws(df: DataFrame, by: str, order: str, weight: str, draws: Column) -> DataFrame:
     """(by, draw, order): for each u of `draws` (array<double> in 0..1), the row whose part of the summed weights holds it.
 
-    Rows lie one after another in order; u belongs to the row with cdf before <= u < cdf. Equal draws give equal rows. A
-    group is packed into one row of (cdf, order), which must fit in a task's memory: sample per map.
+    Rows lie one after another in order; u belongs to the row with cdf before <= u < cdf. Equal draws give equal rows. The
+    sums run along a group's sorted rows, so each group is one task's work.
     """
     window = Window.partitionBy(by).orderBy(order)
     whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
