@@ -6,10 +6,10 @@ column, so that no ring is shuffled; searches between polygons are equi-joins on
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,16 +25,20 @@ def rings_of(points: DataFrame, by: list[str], order: list[Column], x: str = "x"
 
 
 def mapped(function: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
-    """A column function that applies `function` (n x 2 points to m x 2 points) to rings; null stays null."""
-
-    @F.pandas_udf(RING)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out = []
-            for ring in batch:
-                own = None if ring is None else function(np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2))
-                out.append(None if own is None else [{"x": float(a), "y": float(b)} for a, b in own])
-            yield pd.Series(out)
+    """A column function that applies `function` (n x 2 points to m x 2 points) to rings; null stays null.
+
+    Rings come and go as the flat coordinates of an Arrow batch; no vertex becomes a Python object.
+    """
+
+    @F.arrow_udf(RING)
+    def run(column: pa.Array) -> pa.Array:
+        at, flat = column.offsets.to_numpy(), column.values
+        points = np.stack([flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)], 1) if len(flat) else np.zeros((0, 2))
+        some = column.is_valid().to_numpy(zero_copy_only=False)
+        out = [function(points[a:b]) if ok else points[:0] for a, b, ok in zip(at, at[1:], some, strict=False)]
+        whole = np.concatenate(out) if out else np.zeros((0, 2))
+        edges = pa.array(np.cumsum([0] + [len(r) for r in out]), pa.int32())
+        return pa.ListArray.from_arrays(edges, pa.StructArray.from_arrays([pa.array(whole[:, k], pa.float64()) for k in (0, 1)], ["x", "y"]), mask=pa.array(~some))
 
     return run
 

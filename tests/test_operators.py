@@ -281,3 +281,9 @@ def test_vectorised_maps_cover_their_segments(spark):
     grown = kernels.contours(labelled)
     best = vectorise.evaluated(grown, labelled).groupBy("map_id", "truth").agg(F.max("iou").alias("iou"))
     assert best.count() == labelled.select("map_id", "label").distinct().count() and best.agg(F.avg("iou")).first()[0] > 0.8
+
+
+def test_rings_through_arrow_keep_nulls_and_empty_ones(spark):
+    df = spark.createDataFrame([(1, ring((0, 0), (4, 0), (2, 1), (4, 3), (0, 3))), (2, None), (3, []), (4, ring((1, 1)))], "id int, a array<struct<x: double, y: double>>")
+    got = {r.id: r.h for r in df.select("id", geometry.convex_hull(F.col("a")).alias("h")).collect()}
+    assert [tuple(p) for p in got[1]] == [(0, 0), (4, 0), (4, 3), (0, 3)] and got[2] is None and got[3] == [] and len(got[4]) == 1
