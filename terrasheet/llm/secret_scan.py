@@ -117,14 +117,18 @@ def written(spans: Column) -> Column:
 
 
 def redact(df: DataFrame, text_column: str, spans: Column, mark: str = "<secret>") -> DataFrame:
-    """df with its spans (by start) replaced by a mark in the text; a null text stays null."""
+    """df with its spans (by start) replaced by a mark in the text, those that overlap by one; a null text stays null."""
     text = F.col(text_column)
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, x: F.when(x["start"] < acc["at"], F.struct(acc["out"].alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))).otherwise(
-            F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark)).alias("out"), x["end"].alias("at"))
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return df.withColumn(text_column, F.when(F.size(spans) > 0, done).otherwise(text))
+    pair = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
+
+    def join(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(pair(last["start"], F.greatest(last["end"], x["end"]))))
+        return F.when((F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(-1)) > x["start"]), joined).otherwise(F.array_append(acc, pair(x["start"], x["end"])))
+
+    merged = F.aggregate(spans, F.array().cast("array<struct<start: int, end: int>>"), join)
+    begins = F.concat(F.array(F.lit(0)), F.transform("_merged", lambda m: m["end"]))
+    ends = F.concat(F.transform("_merged", lambda m: m["start"]), F.array(F.length(text)))
+    pieces = F.zip_with(begins, ends, lambda a, b: F.substring(text, a + 1, b - a))
+    whole = F.when(F.size(spans) > 0, F.array_join(pieces, mark)).otherwise(text)
+    return df.withColumn("_merged", merged).withColumn(text_column, whole).drop("_merged")

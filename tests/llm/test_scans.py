@@ -45,9 +45,9 @@ def test_base_secrets_against_regex(spark, tmp_path):
 
 
 def test_markov_finds_random_runs_not_words(spark):
-    words = spark.createDataFrame([(0, w) for w in ["internationalisation", "configuration_manager", "some-hyphenated-identifier", "readTheDocumentation"] * 20], "label int, sample string")
-    random_ones = spark.createDataFrame([(1, hashlib.sha256(str(k).encode()).hexdigest()[:30].upper()) for k in range(50)] + [(1, "".join(random.Random(k).choices(secret_scan.LETTERS[:62], k=30))) for k in range(200)], "label int, sample string")
-    ratios = secret_scan.train(words.union(random_ones))
+    rng = random.Random(8)
+    ordinary = [" ".join(rng.choices(["internationalisation", "configuration_manager", "some-hyphenated-identifier", "readTheDocumentation", "QUERY", "Zebra", "xylophone", "WYSIWYG", "Kiosk", "jumpVector", "Lynx"], k=60)) for _ in range(40)]
+    ratios = secret_scan.train(secret_scan.generated_samples(frame(spark, ordinary), "text", 500, key=F.col("doc_id")))
     texts = ["see Zx8Qv3Lp0TyWb6Nm2RsK9d here", "the internationalisation_manager", None]
     rows = secret_scan.secrets(frame(spark, texts), "doc_id", "text", ratios).orderBy("doc_id").collect()
     assert [len(r.spans) for r in rows] == [1, 0, 0]
