@@ -11,7 +11,8 @@ executor costs no more than the stage that runs. The first four return the colum
 5. bpe: doc_id, the number of token ids, the ids (little-endian unsigned 32-bit integers) and digests of these and of
    the bytes that decoding gives back.
 
-Null and empty texts pass all stages; an empty table gives an empty one.
+Null and empty texts pass all stages; an empty table gives an empty one. Other columns of documents are kept by the first
+four, whatever their names.
 """
 
 from __future__ import annotations
@@ -54,9 +55,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ratios = secret_scan.train(secret_scan.generated_samples(docs, "text", key=F.col("doc_id")))
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = secret_scan.secrets(rows, "row", "text", ratios).select("row.*", "spans")
-    clean = secret_scan.redact(found, "text", F.col("spans"))
-    return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    found = secret_scan.secrets(rows, "row", "text", ratios).select("row.*", F.col("spans").alias("_secrets"))
+    clean = secret_scan.redact(found, "text", F.col("_secrets"))
+    return clean.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
