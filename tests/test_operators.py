@@ -287,3 +287,14 @@ def test_rings_through_arrow_keep_nulls_and_empty_ones(spark):
     df = spark.createDataFrame([(1, ring((0, 0), (4, 0), (2, 1), (4, 3), (0, 3))), (2, None), (3, []), (4, ring((1, 1)))], "id int, a array<struct<x: double, y: double>>")
     got = {r.id: r.h for r in df.select("id", geometry.convex_hull(F.col("a")).alias("h")).collect()}
     assert [tuple(p) for p in got[1]] == [(0, 0), (4, 0), (4, 3), (0, 3)] and got[2] is None and got[3] == [] and len(got[4]) == 1
+
+
+def test_repaired_rings(spark):
+    box = ring((0, 0), (4, 0), (4, 3), (0, 3))
+    bow = ring((0, 0), (20, 10), (20, 0), (0, 12))
+    df = spark.createDataFrame([(1, box), (2, bow), (3, ring((1, 1), (5, 4))), (4, []), (5, None)], "id int, a array<struct<x: double, y: double>>")
+    got = {r.id: r.v for r in df.select("id", geometry.valid_ring(F.col("a")).alias("v")).collect()}
+    assert [tuple(p) for p in got[1]] == [(0, 0), (4, 0), (4, 3), (0, 3)]
+    fixed = np.array([tuple(p) for p in got[2]])
+    assert geometry.crosses_itself(np.array([(p["x"], p["y"]) for p in bow])) and not geometry.crosses_itself(fixed) and fixed[:, 0].max() <= 12
+    assert [tuple(p) for p in got[3]] == [(1, 1), (5, 1), (5, 4), (1, 4)] and got[4] == [] and got[5] is None
