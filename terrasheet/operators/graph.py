@@ -5,25 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 60
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir and read again: its lineage ends there, lost executors don't matter.
+_folders: dict[str, str] = {}
 
-    Where the setting is missing, as in tests, a temporary folder is set.
-    """
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one for the application."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="terrasheet-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/settled-{uuid.uuid4().hex}"
+        app = spark.sparkContext.applicationId
+        at = _folders.get(app) or _folders.setdefault(app, tempfile.mkdtemp(prefix="terrasheet-"))
+    return at.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: its lineage ends there, lost executors don't matter."""
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected(links: DataFrame) -> DataFrame:
