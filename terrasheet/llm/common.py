@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,6 +44,15 @@ def bounded_fraction(rows: int, most: int) -> float:
     return 1.0 if rows <= most else most / rows
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on between tasks, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that `column` holds at most `most` bytes in each (or one row)."""
     for batch in batches:
@@ -56,6 +66,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLIC
             to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def byte_lengths(column: pa.Array) -> np.ndarray:

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes, text_slices
+from .common import give_back, stored, text_bytes, text_slices
 from .graph import components
 from .words import LOWER, NOT_SPACE, find_words, gram_hashes, mix, word_hashes
 
 SLOTS = 120
 #: Members of a bucket that are compared in one block, shingles of theirs, and ids that may be broadcast (8 bytes each).
-BLOCK, BLOCK_SHINGLES, BROADCAST_IDS = 4096, 1 << 20, 1_000_000
+BLOCK, BLOCK_SHINGLES, BROADCAST_IDS = 4096, 1 << 19, 1_000_000
 
 _U = np.uint64
 
@@ -293,6 +293,7 @@ def compare(scheme: Scheme):
                 last = key
         if held:
             yield from emitted(pa.Table.from_batches(held))
+        give_back()
 
     def emitted(cell: pa.Table) -> Iterator[pa.RecordBatch]:
         few = cell.column("few").to_numpy()

@@ -52,6 +52,9 @@ REMEMBERED = 400_000
 #: Log-odds and distances in bytes over which windows are counted; features of a row.
 TOXIC_ODDS, FAR, FEATURES = 2.0, (4, 5), 7
 
+#: Bytes of text whose windows are found together; numpy's arrays take some forty times as much.
+SLICE = 1 << 20
+
 CARRIER = b"\n#window#\n"
 WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 _LENGTHS, _DISTANCES = 48, 32
@@ -140,7 +143,7 @@ def frequencies(rows: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Counter(), Counter()
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 held[label].update(set().union(*map(beginnings, set(words(text)))))
             if sum(map(len, held)) > 200_000:
@@ -205,7 +208,7 @@ def cells_of(rows: DataFrame, ordinary: bytes, toxic: bytes) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Windows(ordinary, toxic)
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             counts, of, cells = own.scan(batch.column("text").to_pylist())
             edges = np.searchsorted(of, np.arange(batch.num_rows + 1))
             listed = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(cells, pa.int32()))
@@ -304,7 +307,7 @@ def toxicity(docs: DataFrame, model: Model | None, text_column: str = "text", ou
             _loaded.clear()
             _loaded[key] = Scorer(shared.value)
         own = _loaded.get(key)
-        for batch in text_slices(batches, text_column):
+        for batch in text_slices(batches, text_column, SLICE):
             scores = own.scores(batch.column(text_column).to_pylist()) if own else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*kept, output])
 
