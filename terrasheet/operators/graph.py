@@ -5,10 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 60
+#: Links of one map that may be joined in one task (16 bytes each); beyond it, rounds of stars are run.
+GROUP_LINKS = 2_000_000
 
 
 _folders: dict[str, str] = {}
@@ -30,13 +34,41 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def connected(links: DataFrame) -> DataFrame:
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links in order, and the least node that each reaches."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent = list(range(len(nodes)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for x, y in zip(ends[: len(a)].tolist(), ends[len(a) :].tolist(), strict=True):
+        x, y = root(x), root(y)
+        parent[max(x, y)] = min(x, y)
+    return nodes, nodes[[root(k) for k in range(len(nodes))]]
+
+
+def connected(links: DataFrame, group_links: int = GROUP_LINKS) -> DataFrame:
     """(map_id, node, label) for the nodes of links (map_id, a, b) that aren't the least of their component: the least node.
 
-    Rounds of large and small stars: a node's greater neighbours, then itself and its smaller ones, are linked to the
-    least of its neighbourhood. Their number grows with the logarithm of the longest path.
+    If no map has more than group_links links, each map's are joined in one task. Else rounds of large and small stars: a
+    node's greater neighbours, then itself and its smaller ones, are linked to the least of its neighbourhood. Their number
+    grows with the logarithm of the longest path.
     """
     edges = settled(links.select("map_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    most = edges.groupBy("map_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= group_links:
+        kind = edges.schema["map_id"].dataType.simpleString()
+
+        def one(own: pd.DataFrame) -> pd.DataFrame:
+            nodes, least = least_reachable(own.a.to_numpy(), own.b.to_numpy())
+            other = nodes != least
+            return pd.DataFrame({"map_id": own.map_id.iloc[0], "node": nodes[other], "label": least[other]})
+
+        return edges.groupBy("map_id").applyInPandas(one, f"map_id {kind}, node long, label long")
     before = None
     for _ in range(ROUNDS):
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("map_id", "a", "b").cast("decimal(38,0)"))).first()

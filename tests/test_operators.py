@@ -298,3 +298,14 @@ def test_repaired_rings(spark):
     fixed = np.array([tuple(p) for p in got[2]])
     assert geometry.crosses_itself(np.array([(p["x"], p["y"]) for p in bow])) and not geometry.crosses_itself(fixed) and fixed[:, 0].max() <= 12
     assert [tuple(p) for p in got[3]] == [(1, 1), (5, 1), (5, 4), (1, 4)] and got[4] == [] and got[5] is None
+
+
+def test_links_are_joined_alike_in_one_task_and_by_stars(spark):
+    from terrasheet.operators import graph
+
+    rng = random.Random(6)
+    rows = [(m, rng.randrange(60), rng.randrange(60)) for m in (1, 2) for _ in range(40)] + [(3, k, k + 1) for k in range(50)]
+    links = spark.createDataFrame(rows, "map_id int, a long, b long")
+    alone, stars = (sorted(map(tuple, graph.connected(links, n).collect())) for n in (1000, 0))
+    assert alone == stars and len(alone) > 80
+    assert graph.connected(links.limit(0)).count() == 0
