@@ -12,20 +12,23 @@ from pyspark.sql import functions as F
 from ..config import PALETTE, TREE_DEPTH, TREES
 from ..functions.color import nearest
 from .features import standardise
+from .graph import settled
 
 
 def lloyd(df: DataFrame, start: list[tuple[float, float, float]] | None = None, rounds: int = 10, digits: int = 6) -> DataFrame:
     """df (r, g, b) with `cluster`: the nearest centre before the last update, from given centres.
 
-    A round is one aggregation to as many rows as there are centres; a centre without pixels stays. Centres are rounded,
-    so that results don't depend on the order of sums.
+    Rounds run over the distinct colours and their numbers, counted once; each is one aggregation to as many rows as there
+    are centres. A centre without pixels stays. Centres are rounded, so that results don't depend on the order of sums.
     """
     centres = [tuple(map(float, c)) for c in (start or PALETTE)]
+    own = [F.col(c) for c in "rgb"]
+    colours = settled(df.groupBy("r", "g", "b").agg(F.count("*").alias("n")))
     for _ in range(rounds - 1):
-        own = df.select("r", "g", "b", nearest(F.col("r"), F.col("g"), F.col("b"), centres).alias("k"))
-        for row in own.groupBy("k").agg(*[F.round(F.avg(c), digits).alias(c) for c in "rgb"]).collect():  # one per centre
+        means = [F.round(F.sum(F.col(c) * F.col("n")) / F.sum("n"), digits).alias(c) for c in "rgb"]
+        for row in colours.groupBy(nearest(*own, centres).alias("k")).agg(*means).collect():  # one per centre
             centres[row.k] = (row.r, row.g, row.b)
-    return df.withColumn("cluster", nearest(F.col("r"), F.col("g"), F.col("b"), centres))
+    return df.withColumn("cluster", nearest(*own, centres))
 
 
 def gaussian_likelihoods(df: DataFrame, features: list[str], label: str, least_variance: float = 1e-9) -> DataFrame:
