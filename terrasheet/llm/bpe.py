@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import byte_lengths, text_slices
 
 #: Pieces that a task remembers with their ids, and bytes of text whose new pieces are replayed together.
-REMEMBERED, BLOCK_BYTES = 300_000, 24 << 20
+REMEMBERED, BLOCK_BYTES = 150_000, 8 << 20
 
 _loaded: dict[tuple[str, str], Codec] = {}
 
@@ -197,7 +197,12 @@ class Codec:
         return out
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return decoded(self.tokens, ids)
+
+
+def decoded(tokens: list[bytes], ids: bytes) -> bytes:
+    """The bytes of ids, which are little-endian unsigned 32-bit integers."""
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -236,10 +241,10 @@ def decode_ids(df: DataFrame, id_column: str, ids_column: str, ranks: str, patte
     id_type = df.schema[id_column].dataType.simpleString()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks, pattern)
+        tokens = read_ranks(ranks)  # decoding needs no merges
         for batch in text_slices(batches, ids_column):
             ids = [x or b"" for x in batch.column(ids_column).to_pylist()]
-            columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([own.decode(x) for x in ids], pa.binary())]
+            columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([decoded(tokens, x) for x in ids], pa.binary())]
             kept = [batch.column(ids_column)] * keep_ids
             yield pa.RecordBatch.from_arrays([batch.column(id_column), *columns, *kept], [id_column, "n_tokens", "ids_sha256", "decoded", *[ids_column] * keep_ids])
 

@@ -48,7 +48,7 @@ LEAST_G2, LEAST_RATIO, LEAST_ROWS = 24.0, 8.0, 3
 #: Most marks, and most different words of a dictionary's training.
 MARKS, TRAINING_WORDS = 5000, 60_000
 #: Windows whose log-odds a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Log-odds and distances in bytes over which windows are counted; features of a row.
 TOXIC_ODDS, FAR, FEATURES = 2.0, (4, 5), 7
 
