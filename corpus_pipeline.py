@@ -61,7 +61,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ids = bpe.encode_texts(docs, "doc_id", "text", RANKS, public_tokenizers.PATTERN)
+    # stored between, so that a task has one Python worker at a time
+    ids = stored(bpe.encode_texts(docs, "doc_id", "text", RANKS, public_tokenizers.PATTERN), "pipeline-ids", "zstd")
     back = bpe.decode_ids(ids, "doc_id", "ids", RANKS, public_tokenizers.PATTERN, keep_ids=True)
     return back.select("doc_id", "n_tokens", "ids", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
