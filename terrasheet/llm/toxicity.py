@@ -3,8 +3,9 @@
 A window is a word (A-Z lower-cased; digits, a-z and everything beyond ASCII), between spaces and before a fixed carrier,
 without which so short a block could not be compressed at all. Its distance is the number of bytes that it takes less with
 the toxic dictionary than with the ordinary one. The toxic dictionary is the ordinary one's content followed by toxic
-content, so that ordinary words take the same bytes with both; a window that shares no SHARED bytes in a row with the
-toxic content can gain nothing worth counting, and is taken as plain without being compressed.
+content, so that ordinary words take the same bytes with both. A window is compressed once while a task remembers it, if
+it shares SHARED bytes in a row, spaces counted, with the toxic content, is one of its words, or begins with one of its
+words of three bytes; others share less than a word's beginning and are taken as plain.
 
 Training, on a bounded sample of labelled rows (LABELLED of each label, about), of which two thirds make the
 dictionaries and the rest, which those have not seen, calibrates:
@@ -41,8 +42,10 @@ from .words import ALPHANUMERIC, LOWER, find_words
 
 #: Labelled rows of each label that the classifier is fitted on, at most about.
 LABELLED = 6000
-#: Bytes of the dictionaries, and in a row that a window must share with the toxic content.
-ORDINARY_BYTES, TOXIC_BYTES, SHARED = 8192, 4096, 6
+#: Least bytes of the dictionaries: the toxic one grows until it holds all marked words, the ordinary one in proportion.
+ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096
+#: Bytes in a row that a window must share with the toxic content, unless it begins with a short word of it.
+SHARED = 5
 #: A mark of toxic words: least likelihood ratio statistic, least ratio of the document frequencies, least rows.
 LEAST_G2, LEAST_RATIO, LEAST_ROWS = 24.0, 8.0, 3
 #: Most marks, and most different words of a dictionary's training.
@@ -56,6 +59,8 @@ TOXIC_ODDS, FAR, FEATURES = 2.0, (4, 5), 7
 SLICE = 1 << 20
 
 CARRIER = b"\n#window#\n"
+#: Keeps a window's end and the carrier from matching the dictionary's last word and its carrier as one.
+EDGE = b"\0"
 WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 _LENGTHS, _DISTANCES = 48, 32
 
@@ -82,8 +87,9 @@ def window(word: str) -> bytes:
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     # greedy: a cost-based search takes literals for cheap, which in so short a block they aren't
-    params = zstandard.ZstdCompressionParameters(window_log=15, hash_log=14, chain_log=14, search_log=6, min_match=4, strategy=zstandard.STRATEGY_GREEDY, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
-    own = zstandard.ZstdCompressionDict(content + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    log = max(14, (len(content) + len(EDGE + CARRIER) - 1).bit_length())
+    params = zstandard.ZstdCompressionParameters(window_log=log + 1, hash_log=log, chain_log=log, search_log=6, min_match=4, strategy=zstandard.STRATEGY_GREEDY, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+    own = zstandard.ZstdCompressionDict(content + EDGE + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     own.precompute_compress(compression_params=params)
     return zstandard.ZstdCompressor(dict_data=own, compression_params=params)
 
@@ -93,16 +99,16 @@ class Windows:
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.ordinary, self.both = compressor(ordinary).compress, compressor(ordinary + toxic).compress
+        own = [b" " + w + b" " for w in toxic.split()]
+        self.whole = {w for w in own if len(w) < SHARED}
+        self.begin = {w[:4] for w in own if len(w) == SHARED}
         parts = {toxic[k : k + SHARED] for k in range(len(toxic) - SHARED + 1)}
-        self.shared = np.array(sorted(int.from_bytes(p, "big") for p in parts if b" " not in p[1:-1]), np.uint64)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[self.slot(self.shared)] = True
+        self.parts = {p for p in parts if b" " not in p[1:-1]}
         self.known: dict[bytes, int] = {}
 
-    @staticmethod
-    def slot(codes: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+    def shares(self, word: bytes) -> bool:
+        data = b" " + word + b" "
+        return data in self.whole or data[:4] in self.begin or any(data[k : k + SHARED] in self.parts for k in range(len(data) - SHARED + 1))
 
     def cell(self, word: bytes) -> int:
         """(length with the toxic dictionary, distance) as one number."""
@@ -119,23 +125,17 @@ class Windows:
         first, last, of = find_words(data, at, ALPHANUMERIC)
         data[~ALPHANUMERIC[data]] = 32
         counts = np.bincount(of, minlength=len(texts))
-        if len(data) < SHARED or not len(self.shared) or not len(first):
-            return counts, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        codes = np.zeros(len(data) - SHARED + 1, np.uint64)
-        for k in range(SHARED):
-            codes = codes << np.uint64(8) | data[k : len(codes) + k]
-        hits = np.flatnonzero(self.maybe[self.slot(codes)])
-        hits = hits[self.shared[np.minimum(np.searchsorted(self.shared, codes[hits]), len(self.shared) - 1)] == codes[hits]]
-        which = np.unique(np.searchsorted(first, hits + 1, "right") - 1)  # a string begins in a word, or with the space before
-        whole, cells = data.tobytes(), []
-        for a, b in zip(first[which].tolist(), last[which].tolist(), strict=True):
+        whole, known, cells = data.tobytes(), self.known, np.zeros(len(first), np.int64)
+        for k, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
             word = whole[a:b]
-            if word not in self.known:
-                self.known[word] = self.cell(word)
-            cells.append(self.known[word])
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        return counts, of[which], np.array(cells, np.int64)
+            cell = known.get(word)
+            if cell is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                cell = known[word] = self.cell(word) if self.shares(word) else -1
+            cells[k] = cell
+        near = np.flatnonzero(cells >= 0)
+        return counts, of[near], cells[near]
 
 
 def frequencies(rows: DataFrame) -> DataFrame:
@@ -199,8 +199,10 @@ def dictionaries(rows: DataFrame, toxic_rows: int, ordinary_rows: int) -> tuple[
     whole = units.where(F.col("unit").endswith(" "))
     common = whole.where("ordinary > 0").orderBy(F.desc("ordinary"), "unit").limit(TRAINING_WORDS).collect()
     bad = whole.where("toxic > 0").select("unit", "toxic").mapInArrow(marked, "unit string, toxic long").orderBy(F.desc("toxic"), "unit").limit(TRAINING_WORDS).collect()
-    ordinary = trained(Counter({window(r.unit[:-1]): r.ordinary for r in common}), ORDINARY_BYTES)
-    return ordinary, trained(Counter({window(r.unit[:-1]): r.toxic for r in bad}), TOXIC_BYTES)
+    toxic = Counter({window(r.unit[:-1]): r.toxic for r in bad})
+    size = max(TOXIC_BYTES, sum(map(len, toxic)))
+    ordinary = trained(Counter({window(r.unit[:-1]): r.ordinary for r in common}), size * ORDINARY_BYTES // TOXIC_BYTES)
+    return ordinary, trained(toxic, size)
 
 
 def cells_of(rows: DataFrame, ordinary: bytes, toxic: bytes) -> DataFrame:

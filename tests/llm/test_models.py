@@ -56,6 +56,22 @@ def test_windows_that_share_no_bytes_are_plain():
     assert cells[0] == cells[2] and (cells % toxicity._DISTANCES > 0).all()
 
 
+def test_short_toxic_words_are_compressed():
+    own = toxicity.Windows(b" and  the  of ", b" zx  abc  vwyz  blackguard ")
+    _, of, cells = own.scan(["abc", "ABC,", "abcs", "zx", "vwyzs", "the of"])
+    assert of.tolist() == [0, 1, 2, 3, 4] and cells[0] == cells[1] and (cells[[0, 2, 3, 4]] % toxicity._DISTANCES > 0).all()
+
+
+def test_the_toxic_dictionary_holds_all_marked_words(spark):
+    rng = random.Random(5)
+    toxic = ["".join(rng.choices("fghjpqrstwxz", k=11)) for _ in range(400)]
+    rows = [(f"{prose(rng, 'xx', 20)} {' '.join(toxic[k % 20 * 20 : k % 20 * 20 + 20]) if k < 700 else ''}", int(k < 700)) for k in range(1400)]
+    ordinary, own = toxicity.dictionaries(spark.createDataFrame(rows, "text string, label int"), 700, 700)
+    assert len(own) > toxicity.TOXIC_BYTES and all(toxicity.window(w) in own for w in toxic)
+    cells = toxicity.Windows(ordinary, own).scan([" ".join(toxic)])[2]
+    assert len(cells) == len(toxic) and (cells % toxicity._DISTANCES > 0).all()
+
+
 def test_language_id(spark):
     rng = random.Random(2)
     rows = [(i, prose(rng, k, 40), k, "en") for i in range(120) for k in ("xx", "yy")]
