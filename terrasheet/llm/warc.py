@@ -4,8 +4,8 @@ Writing. A page whose payload (at least LEAST_REVISIT bytes) equals that of a pa
 record, which has no payload but names the response. Payloads are compared by their SHA-256; only digests and ids are
 grouped, and the groups are stored before the join, so that Spark can split a hot one. Each record is one row of Spark's
 text writer, whose commit protocol takes care of lost executors: a plain record ends with the writer's line separator,
-CRLF. A compressed record is a gzip member (or several, of at most MEMBER_BYTES each), whose last byte, the highest of its
-length, is always zero and is the separator.
+CRLF. A compressed record is a gzip member (or several, of at most MEMBER_BYTES each, in one row), whose last byte, the
+highest of its length, is always zero and is the separator.
 
 Reading. A file is walked from record to record. Each must have a version line, headers, a block of the length that they
 tell, two line ends, and the digests that they tell; a gzip member must end with its checksum. Where a check fails, the
@@ -34,8 +34,6 @@ from .common import stored, text_slices
 LEAST_REVISIT, FILE_RECORDS = 1000, 2000
 #: Bytes of a gzip member before compression: under 1 << 24, so that the last byte of its length is zero.
 MEMBER_BYTES = 15 << 20
-#: Most bytes of a record's headers.
-HEAD_BYTES = 1 << 16
 
 ID_PREFIX = "urn:x-page:"
 END = b"\r\n\r\n"
@@ -92,6 +90,11 @@ def members(data: bytes, level: int = 6) -> list[bytes]:
     return out
 
 
+def packed_record(data: bytes, level: int = 6) -> bytes:
+    """All members of a whole record as one row, so that no file ends inside a record; without the last zero."""
+    return b"\0".join(members(data, level))
+
+
 # ---- writing
 
 
@@ -113,7 +116,7 @@ def write_archives(rows: DataFrame, path: str, compress: bool = True, date: str
             out = []
             for number, url, payload, refers_to in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "payload", "refers_to")), strict=True):
                 own = record(str(number), url, date, payload, refers_to)
-                out += members(own + b"\r\n") if compress else [own]
+                out.append(packed_record(own + b"\r\n") if compress else own)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     given = rows.select(F.col("id").cast("string").alias("id"), "url", "payload", F.col("refers_to").cast("string").alias("refers_to"))
@@ -128,7 +131,7 @@ def checked(data: bytes, at: int, whole: bool) -> tuple[Record, int]:
     """The record at `at`, and its end. whole: data ends with the record."""
     if not _VERSION.match(data, at):
         raise Broken("no version line")
-    head_end = data.find(END, at, at + HEAD_BYTES)
+    head_end = data.find(END, at)
     if head_end < 0:
         raise Broken("headers without an end")
     headers = {}
@@ -178,7 +181,11 @@ def compressed(data: memoryview, at: int) -> tuple[Record, int]:
     held, end = member(data, at)
     if not _VERSION.match(held):
         raise Broken("a member without a version line")
-    head_end = held.find(END, 0, HEAD_BYTES)
+    head_end = held.find(END)
+    while head_end < 0 and bytes(data[end : end + 3]) == b"\x1f\x8b\x08":  # headers longer than a member
+        more, end = member(data, end)
+        searched, held = max(0, len(held) - len(END) + 1), held + more
+        head_end = held.find(END, searched)
     length = re.search(rb"(?im)^content-length:\s*(\d+)", held[: max(head_end, 0)])
     need = head_end + 8 + int(length[1]) if length else 0
     if len(held) < need:

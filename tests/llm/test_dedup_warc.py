@@ -149,6 +149,25 @@ def test_long_records_take_several_members(monkeypatch):
     assert [len(warc.payload_of(r.headers, r.block)) for r in found] == [3000, 5]
 
 
+def test_long_addresses_and_records_at_the_end_of_files(spark, tmp_path):
+    html = random.Random(3).randbytes(9 << 20).hex()  # over 15 MB: two members
+    rows = [(1, "data:," + "x" * 100_000, "a"), (2, " " * 40_000, "b"), (3, "u", html), (4, "v", "c")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for compress in (True, False):
+        at = f"{tmp_path}/{compress}"
+        warc.write_archives(warc.with_revisits(df, "page_id", "url", "html").coalesce(1), at, compress=compress, file_records=1)
+        read = warc.read_archives(spark, at).collect()
+        assert all(r.gap is None for r in read) and len({r.archive for r in read}) == len(rows)
+        got = {int(r.record_id.removeprefix(warc.ID_PREFIX)): (r.url, r.payload.decode()) for r in read}
+        assert got == {i: (u.replace(" ", "%20"), h) for i, u, h in rows}
+
+
+def test_headers_longer_than_a_member(monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 500)
+    found = list(warc.salvage(warc.packed_record(warc.record("1", "u" * 2000, "d", b"z" * 3000, None) + b"\r\n") + b"\0"))
+    assert len(found) == 1 and found[0].headers["warc-target-uri"] == "u" * 2000
+
+
 def test_empty_table(spark, tmp_path):
     warc.write_archives(warc.with_revisits(pages(spark).limit(0), "page_id", "url", "html"), f"{tmp_path}/none")
     assert warc.read_archives(spark, f"{tmp_path}/none").count() == 0
