@@ -128,12 +128,21 @@ def principal_axes(df: DataFrame, features: list[str], id_column: str, k: int =
     return model.transform(scaled).select(id_column, *[vector_to_array("_z")[i].alias(f"axis{i + 1}") for i in range(k)])
 
 
-def nearest_by_bits(queries: DataFrame, base: DataFrame, bits: str = "bits") -> DataFrame:
+#: Queries of a block of nearest_by_bits, and parts that a block's base rows are dealt to.
+QUERY_BLOCK, BLOCK_PARTS = 512, 16
+
+
+def nearest_by_bits(queries: DataFrame, base: DataFrame, bits: str = "bits", itself: bool = True) -> DataFrame:
     """(query, match, distance): for each query the descriptor with the fewest differing bits, the least id of equals.
 
-    queries must be a bounded set (an image's keypoints); they are packed into one array that each base row meets.
+    Queries are cut into blocks of about QUERY_BLOCK, each one array; base rows meet the blocks by block number. A base row
+    with the query's own id counts only if `itself`.
     """
-    table = queries.agg(F.collect_list(F.struct(F.col("id").alias("id"), F.col(bits).alias("bits"))).alias("q")).scalar()
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    own = queries.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_b"), F.struct(F.col("id").alias("id"), F.col(bits).alias("bits")).alias("q"))
+    tables = own.groupBy("_b").agg(F.collect_list("q").alias("_q")).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(BLOCK_PARTS - 1))))
+    dealt = base.withColumn("_p", F.pmod(F.xxhash64("id"), F.lit(BLOCK_PARTS)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     distance = lambda q: F.aggregate(F.zip_with(q["bits"], F.col(bits), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, v: acc + v)
-    met = base.withColumn("_q", table).select(F.col("id").alias("match"), F.explode(F.transform("_q", lambda q: F.struct(q["id"].alias("query"), distance(q).alias("distance")))).alias("m"))
+    others = F.col("_q") if itself else F.filter("_q", lambda q: q["id"] != F.col("id"))
+    met = dealt.join(tables, ["_b", "_p"]).withColumn("_q", others).select(F.col("id").alias("match"), F.explode(F.transform("_q", lambda q: F.struct(q["id"].alias("query"), distance(q).alias("distance")))).alias("m"))
     return met.groupBy("m.query").agg(F.min(F.struct(F.col("m.distance").alias("distance"), F.col("match"))).alias("best")).select("query", "best.match", "best.distance")

@@ -111,7 +111,7 @@ def buffer_mitre(spark, sf):
 
 
 def polygon_snapping(spark, sf):
-    pts = points(spark, sf).where("poly < 6").select((F.col("poly") % 2).cast("int").alias("map_id"), "poly", F.col("id").cast("int").alias("seq"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    pts = points(spark, sf).select((F.col("poly") % 2).cast("int").alias("map_id"), "poly", F.col("id").cast("int").alias("seq"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     polys = pts.select("map_id", "poly").distinct()
     near = polys.withColumnRenamed("poly", "label").join(polys.withColumnRenamed("poly", "neighbour"), "map_id").where("label <> neighbour")
     return kernels.snap_polygons(pts, near, 4.0)
@@ -200,6 +200,12 @@ def matched_points(spark, sf):
     return evaluation.at_points(pts, blocks(df, "gt", 1)).select("map_id", "pred", "truth")
 
 
+def matched_all_points(spark, sf):
+    df = px(spark, sf)
+    pts = df.where("m").select("map_id", (F.col("y") * 32 + F.col("x")).alias("pred"), (F.col("x") + 0.25).alias("px"), (F.col("y") + 0.75).alias("py"))
+    return evaluation.at_points(pts, blocks(df, "gt", 1)).select("map_id", "pred", "truth")
+
+
 def judged(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.when(F.col("n_chars") % 3 == 0, 0).otherwise(1).alias("pred"))
     return table(spark, sf, "labels").select("doc_id", F.col("quality").alias("truth")).join(docs, "doc_id")
@@ -247,12 +253,21 @@ def gaussian_nb(spark, sf):
     return learning.gaussian_predict(own, learning.gaussian_likelihoods(own, names, "label"), names, "label", "vec_id")
 
 
-def hamming_match(spark, sf):
+def bit_vectors(spark, sf):
     word = F.aggregate(F.transform(F.col("embedding"), lambda e, i: F.when(e > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    own = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.array(word).alias("bits"))
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.array(word).alias("bits"))
+
+
+def hamming_match(spark, sf):
+    own = bit_vectors(spark, sf)
     return learning.nearest_by_bits(own.where("id % 50 = 0"), own.where("id % 50 <> 0"))
 
 
+def hamming_match_all(spark, sf):
+    own = bit_vectors(spark, sf)
+    return learning.nearest_by_bits(own.where("id % 50 = 0"), own, itself=False)
+
+
 def vectors(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(6)])
 
@@ -325,7 +340,7 @@ QUERIES = {f.__name__: f for f in (
     radius_pairs, midpoint_snaps, polygon_edges, snap_candidates, point_in_polygon, rasterise_polygons, outline_pixels, representative_points,
     homography_warp, buffer_mitre, polygon_snapping, geojson_features, geojson_collection, spectral_features, standardise, feature_vector,
     iou_pairs, iou_area_bounds, iou_one_to_one, iou_threshold_sweep, iou_histogram, mean_iou, class_raster, matched_points, confusion_matrix,
-    classification_report, stratified_split, nested_split, weighted_sample, best_matches, kmeans_lloyd, gaussian_nb, hamming_match, rf_classify,
+    classification_report, stratified_split, nested_split, weighted_sample, best_matches, kmeans_lloyd, gaussian_nb, hamming_match, hamming_match_all, matched_all_points, rf_classify,
     svm_classify, rf_importance, permutation_importance, pca_project, register_maps, vectorised_maps, vectorised_snapped,
 )}
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from terrasheet.config import IOU_THRESHOLDS
 from terrasheet.functions import color, rings
-from terrasheet.operators import components, evaluation, features, geometry, kernels, raster, registration, sampling
+from terrasheet.operators import components, evaluation, features, geometry, kernels, learning, raster, registration, sampling
+from terrasheet.plans import geometry_queries
 from terrasheet.sources import geojson, images
 from terrasheet.streaming import maps
 
@@ -309,3 +310,22 @@ def test_links_are_joined_alike_in_one_task_and_by_stars(spark):
     alone, stars = (sorted(map(tuple, graph.connected(links, n).collect())) for n in (1000, 0))
     assert alone == stars and len(alone) > 80
     assert graph.connected(links.limit(0)).count() == 0
+
+
+def test_nearest_by_bits_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(learning, "QUERY_BLOCK", 3)
+    rng = random.Random(6)
+    bits = [rng.getrandbits(12) for _ in range(40)]
+    df = spark.createDataFrame([(i, [b]) for i, b in enumerate(bits)], "id long, bits array<long>")
+    got = {r.query: (r.distance, r.match) for r in learning.nearest_by_bits(df.where("id % 4 = 0"), df, itself=False).collect()}
+    assert got == {i: min(((bits[i] ^ b).bit_count(), k) for k, b in enumerate(bits) if k != i) for i in range(0, 40, 4)}
+
+
+def test_queries_take_all_polygons_and_points(spark):
+    sf = "/root/testdata/sf0.001"
+    own = geometry_queries.QUERIES
+    assert own["polygon_snapping"](spark, sf).select("poly").distinct().count() == geometry_queries.points(spark, sf).select("poly").distinct().count()
+    df = geometry_queries.px(spark, sf).select("map_id", "y", "x", "m", "gt").toPandas()
+    both = df[df["m"] & df["gt"]]
+    want = {(r.map_id, r.y * 32 + r.x, r.y // 5 * 100 + (r.x + 1) // 5 + 1) for r in both.itertuples()}
+    assert {tuple(r) for r in own["matched_all_points"](spark, sf).select("map_id", "pred", "truth").where("truth is not null").collect()} == want
