@@ -1,26 +1,25 @@
-"""Toxicity by compression distance: a zstandard dictionary of toxic text and one of ordinary text.
+"""Toxicity by compression distance: two zstandard dictionaries, one of toxic text and one of ordinary text.
 
-A window is a word (A-Z lower-cased; digits, a-z and everything beyond ASCII), between spaces and before a fixed carrier,
-without which so short a block could not be compressed at all. Its distance is the number of bytes that it takes less with
-the toxic dictionary than with the ordinary one. The toxic dictionary is the ordinary one's content followed by toxic
-content, so that ordinary words take the same bytes with both. A window is compressed once while a task remembers it, if
-it shares SHARED bytes in a row, spaces counted, with the toxic content, is one of its words, or begins with one of its
-words of three bytes; others share less than a word's beginning and are taken as plain.
+A text is words (A-Z lower-cased; digits, a-z and everything beyond ASCII). A window is WINDOW words, and the next one
+begins STRIDE words on. Every window is compressed with both dictionaries; its distance is the number of bytes that it
+takes less with the toxic one. Each dictionary has words of its own class, then a tail: content that zstandard's trainer
+picks from ordinary windows, the same in both. Ordinary text finds its matches in the tail, at the same cost in both, so
+what the distance shows is the class. (Without a common tail, the two dictionaries' luck with ordinary words hides the
+few toxic ones.) The last bytes of a block are never matched, so every window ends with PAD.
 
 Training, on a bounded sample of labelled rows (LABELLED of each label, about), of which two thirds make the
 dictionaries and the rest, which those have not seen, calibrates:
 
 1. Document frequencies of words and of their beginnings, by label. Those that the labels' likelihood ratio test finds
-   in toxic rows far more often mark toxic words; zstandard trains one dictionary on these and one on ordinary words,
-   each word as often as documents have it.
-2. For windows of each compressed length, each distance gets the log-odds of its document frequencies under both labels:
-   the thresholds of the distance, by what the toxic dictionary leaves of the window.
-3. A logistic regression of a row's highest log-odds and distance and of its numbers of windows over thresholds gives
-   the score.
-
-Labels are joined to rows; language, source and id aren't looked at. Null and empty texts have no window; they get the
-score of a text with nothing toxic. Without labels of both kinds every score is 0. Rows are scored one by
-one in one pass without a shuffle; equal texts have equal scores.
+   in toxic rows far more often mark toxic words. The toxic dictionary begins with all marked words, the frequent last;
+   the ordinary one begins with as many bytes of the most frequent other words.
+2. zstandard trains the tail on TAIL_WINDOWS windows, about, of ordinary rows that hold no marked word.
+3. A logistic regression of how many of a row's windows reach each threshold of distance gives the score.
+
+Labels are joined to rows; language, source and id aren't looked at. Null and empty texts, and texts without words, have
+no window; their score is the share of label 1 among the calibrating rows. Without labels of both kinds every score is 0.
+Rows are scored one by one in one pass without a shuffle; equal texts have equal scores. A very long text is read in
+pieces, so that memory doesn't grow with its number of windows.
 """
 
 from __future__ import annotations
@@ -29,6 +28,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import batched
 from typing import NamedTuple
 
 import numpy as np
@@ -38,38 +38,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_fraction, stored, text_slices
-from .words import ALPHANUMERIC, LOWER, find_words
+from .words import ALPHANUMERIC, LOWER
 
 #: Labelled rows of each label that the classifier is fitted on, at most about.
 LABELLED = 6000
-#: Least bytes of the dictionaries: the toxic one grows until it holds all marked words, the ordinary one in proportion.
-ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096
-#: Bytes in a row that a window must share with the toxic content, unless it begins with a short word of it.
-SHARED = 5
+#: Words of a window, and from one to the next (half of it).
+WINDOW, STRIDE = 6, 3
+#: Bytes of the tail, windows that it is trained on, about, and words of such a window.
+TAIL_BYTES, TAIL_WINDOWS, TAIL_WORDS = 65_536, 200_000, 3
 #: A mark of toxic words: least likelihood ratio statistic, least ratio of the document frequencies, least rows.
-LEAST_G2, LEAST_RATIO, LEAST_ROWS = 24.0, 8.0, 3
-#: Most marks, and most different words of a dictionary's training.
-MARKS, TRAINING_WORDS = 5000, 60_000
-#: Windows whose log-odds a task remembers.
-REMEMBERED = 200_000
-#: Log-odds and distances in bytes over which windows are counted; features of a row.
-TOXIC_ODDS, FAR, FEATURES = 2.0, (4, 5), 7
-
-#: Bytes of text whose windows are found together; numpy's arrays take some forty times as much.
-SLICE = 1 << 20
-
-CARRIER = b"\n#window#\n"
-#: Keeps a window's end and the carrier from matching the dictionary's last word and its carrier as one.
-EDGE = b"\0"
+LEAST_G2, LEAST_RATIO, LEAST_ROWS = 16.0, 8.0, 3
+#: Distances at which windows are counted; those beyond count as the last one.
+NEAREST, FARTHEST = -2, 5
+#: Bytes of text that a task holds at once, and in which a long text is read.
+SLICE, PIECE = 1 << 20, 1 << 20
+
+PAD = b"\n" * 8
 WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
-_LENGTHS, _DISTANCES = 48, 32
+_PLAIN = np.where(ALPHANUMERIC[LOWER], LOWER, 32).astype(np.uint8).tobytes()
 
 
 class Model(NamedTuple):
     ordinary: bytes
     toxic: bytes
-    odds: np.ndarray  # compressed length x distance
-    weights: np.ndarray  # of 1 and the features
+    weights: np.ndarray  # of the features
+    share: float  # of label 1, for texts without windows
 
 
 def words(text: str | None) -> list[str]:
@@ -81,61 +74,55 @@ def beginnings(word: str) -> set[str]:
     return {word[:k] for k in range(3, len(word))} | {f"{word} "}
 
 
-def window(word: str) -> bytes:
-    return f" {word} ".encode()
+def runs(text: str | None, size: int) -> Iterator[bytes]:
+    """The words of a text, `size` at a time, with single spaces between."""
+
+    def one_by_one() -> Iterator[bytes]:
+        data, at = (text or "").encode().translate(_PLAIN), 0
+        while at < len(data):
+            end = data.find(b" ", at + PIECE)
+            end = len(data) if end < 0 else end
+            yield from data[at:end].split()
+            at = end
+
+    return map(b" ".join, batched(one_by_one(), size))
+
+
+def windows(text: str | None) -> Iterator[bytes]:
+    """The windows of a text: two runs of STRIDE words each, or its only one."""
+    parts = runs(text, STRIDE)
+    last, many = next(parts, None), False
+    for part in parts:
+        yield b" " + last + b" " + part + b" " + PAD
+        last, many = part, True
+    if last is not None and not many:
+        yield b" " + last + b" " + PAD
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     # greedy: a cost-based search takes literals for cheap, which in so short a block they aren't
-    log = max(14, (len(content) + len(EDGE + CARRIER) - 1).bit_length())
-    params = zstandard.ZstdCompressionParameters(window_log=log + 1, hash_log=log, chain_log=log, search_log=6, min_match=4, strategy=zstandard.STRATEGY_GREEDY, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
-    own = zstandard.ZstdCompressionDict(content + EDGE + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    log = max(14, (len(content) - 1).bit_length())
+    params = zstandard.ZstdCompressionParameters(window_log=log + 1, hash_log=log, chain_log=log, search_log=6, min_match=5, strategy=zstandard.STRATEGY_GREEDY, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+    own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     own.precompute_compress(compression_params=params)
     return zstandard.ZstdCompressor(dict_data=own, compression_params=params)
 
 
-class Windows:
-    """Finds the windows of texts that share bytes with the toxic content, and their cells."""
+class Distances:
+    """Compresses the windows of texts with both dictionaries."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.ordinary, self.both = compressor(ordinary).compress, compressor(ordinary + toxic).compress
-        own = [b" " + w + b" " for w in toxic.split()]
-        self.whole = {w for w in own if len(w) < SHARED}
-        self.begin = {w[:4] for w in own if len(w) == SHARED}
-        parts = {toxic[k : k + SHARED] for k in range(len(toxic) - SHARED + 1)}
-        self.parts = {p for p in parts if b" " not in p[1:-1]}
-        self.known: dict[bytes, int] = {}
-
-    def shares(self, word: bytes) -> bool:
-        data = b" " + word + b" "
-        return data in self.whole or data[:4] in self.begin or any(data[k : k + SHARED] in self.parts for k in range(len(data) - SHARED + 1))
-
-    def cell(self, word: bytes) -> int:
-        """(length with the toxic dictionary, distance) as one number."""
-        data = b" " + word + b" " + CARRIER
-        length = len(self.both(data))
-        distance = len(self.ordinary(data)) - length
-        return min(length, _LENGTHS - 1) * _DISTANCES + min(max(distance, 0), _DISTANCES - 1)
-
-    def scan(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """How many windows each text has; then for the windows that share bytes their text and their cell, in order."""
-        raw = [(t or "").encode() for t in texts]
-        data = LOWER[np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)]
-        at = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)))
-        first, last, of = find_words(data, at, ALPHANUMERIC)
-        data[~ALPHANUMERIC[data]] = 32
-        counts = np.bincount(of, minlength=len(texts))
-        whole, known, cells = data.tobytes(), self.known, np.zeros(len(first), np.int64)
-        for k, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
-            word = whole[a:b]
-            cell = known.get(word)
-            if cell is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                cell = known[word] = self.cell(word) if self.shares(word) else -1
-            cells[k] = cell
-        near = np.flatnonzero(cells >= 0)
-        return counts, of[near], cells[near]
+        self.ordinary, self.toxic = compressor(ordinary).compress, compressor(toxic).compress
+
+    def of(self, text: str | None) -> list[int]:
+        return [len(self.ordinary(w)) - len(self.toxic(w)) for w in windows(text)]
+
+    def counts(self, text: str | None) -> np.ndarray:
+        """How many windows have each distance from NEAREST (or less) to FARTHEST (or more)."""
+        out = np.zeros(FARTHEST - NEAREST + 1, np.int64)
+        for part in batched((len(self.ordinary(w)) - len(self.toxic(w)) for w in windows(text)), 1 << 16):
+            out += np.bincount(np.clip(np.array(part), NEAREST, FARTHEST) - NEAREST, minlength=len(out))
+        return out
 
 
 def frequencies(rows: DataFrame) -> DataFrame:
@@ -172,62 +159,71 @@ def g2(hits: Column, rows: int, other_hits: Column, other_rows: int) -> Column:
     return 2 * (part(hits, rows, hits / rows) + part(other_hits, other_rows, other_hits / other_rows) - part(hits, rows, both) - part(other_hits, other_rows, both))
 
 
-def trained(samples: Counter, size: int) -> bytes:
-    """zstandard's dictionary of the samples, each as often as counted; if all fit into it, they are it, the frequent last."""
-    if sum(map(len, samples)) > size:
-        often = max(1.0, sum(samples.values()) / 200_000)
+def tail_of(samples: list[bytes], size: int = TAIL_BYTES) -> bytes:
+    """zstandard's dictionary of the samples, a quarter of them in bytes at most; their end if they are too few to train on."""
+    size = min(size, sum(map(len, samples)) // 4)
+    while size >= 256:
         try:
-            return zstandard.train_dictionary(size, [w for w, n in sorted(samples.items()) for _ in range(max(1, round(n / often)))]).as_bytes()
-        except zstandard.ZstdError:  # too few samples for its estimates
-            pass
-    return b"".join(w for w, _ in sorted(samples.items(), key=lambda x: (x[1], x[0])))[-size:]
+            return zstandard.train_dictionary(size, samples, k=50, d=6).as_bytes()
+        except zstandard.ZstdError:  # too few samples for this size
+            size //= 2
+    return b"".join(samples)[-TAIL_BYTES:]
 
 
 def dictionaries(rows: DataFrame, toxic_rows: int, ordinary_rows: int) -> tuple[bytes, bytes]:
-    """The content of the ordinary dictionary and of the toxic one, from rows (text, label)."""
+    """The content of the ordinary dictionary and of the toxic one, from rows (text, label): bounded, as the sample."""
     units = stored(frequencies(rows), "toxicity-units")
     ratio = F.col("toxic") / toxic_rows / ((F.col("ordinary") + 0.5) / ordinary_rows)
     test = g2(F.col("toxic"), toxic_rows, F.col("ordinary"), ordinary_rows)
-    found = units.where(F.col("toxic") >= LEAST_ROWS).where(ratio > LEAST_RATIO).withColumn("g2", test).where(F.col("g2") >= LEAST_G2)
-    marks = {r.unit for r in found.orderBy(F.desc("g2"), "unit").limit(MARKS).collect()}
+    found = units.where(F.col("toxic") >= LEAST_ROWS).where(ratio > LEAST_RATIO).where(test >= LEAST_G2)
+    marks = {r.unit for r in found.select("unit").collect()}
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [not marks.isdisjoint(beginnings(u[:-1])) for u in batch.column("unit").to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.append_column("marked", pa.array([not marks.isdisjoint(beginnings(u[:-1])) for u in batch.column("unit").to_pylist()], pa.bool_()))
+
+    whole = units.where(F.col("unit").endswith(" ")).mapInArrow(marked, "unit string, toxic long, ordinary long, marked boolean")
+    bad = [f" {r.unit}" for r in whole.where("marked and toxic > 0").orderBy("toxic", "unit").collect()]
+    toxic = "".join(bad).encode()
+    common = whole.where("not marked and ordinary > 0").orderBy(F.desc("ordinary"), "unit").limit(len(toxic) // 3).collect()  # a word takes three bytes or more
+    ordinary = "".join(f" {r.unit}" for r in reversed(common)).encode()
+    size = min(len(toxic), len(ordinary)) if ordinary else 0
 
-    whole = units.where(F.col("unit").endswith(" "))
-    common = whole.where("ordinary > 0").orderBy(F.desc("ordinary"), "unit").limit(TRAINING_WORDS).collect()
-    bad = whole.where("toxic > 0").select("unit", "toxic").mapInArrow(marked, "unit string, toxic long").orderBy(F.desc("toxic"), "unit").limit(TRAINING_WORDS).collect()
-    toxic = Counter({window(r.unit[:-1]): r.toxic for r in bad})
-    size = max(TOXIC_BYTES, sum(map(len, toxic)))
-    ordinary = trained(Counter({window(r.unit[:-1]): r.ordinary for r in common}), size * ORDINARY_BYTES // TOXIC_BYTES)
-    return ordinary, trained(toxic, size)
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text", SLICE):
+            for text in batch.column("text").to_pylist():
+                for part in batched(runs(text, TAIL_WORDS), 1 << 14):
+                    kept = [b" " + w + b" " for w in part if all(marks.isdisjoint(beginnings(x)) for x in w.decode().split())]
+                    yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary())], ["run"])
 
+    plain = stored(rows.where("label = 0").select("text").mapInArrow(clean, "run binary"), "toxicity-runs")
+    share = bounded_fraction(plain.count(), TAIL_WINDOWS)
+    samples = plain.where(F.pmod(F.xxhash64("run"), F.lit(1 << 20)) < int(share * (1 << 20))).toArrow().column("run").to_pylist()
+    tail = tail_of(sorted(samples))
+    return (ordinary[-size:] if size else b"") + tail, toxic[-size:] + tail
 
-def cells_of(rows: DataFrame, ordinary: bytes, toxic: bytes) -> DataFrame:
-    """(label, windows, cells): the number of each row's windows, and the cells of those that share bytes with the toxic ones."""
+
+def distances_of(rows: DataFrame, ordinary: bytes, toxic: bytes) -> DataFrame:
+    """(label, counts): how many of each row's windows have each distance."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Windows(ordinary, toxic)
+        own = Distances(ordinary, toxic)
         for batch in text_slices(batches, "text", SLICE):
-            counts, of, cells = own.scan(batch.column("text").to_pylist())
-            edges = np.searchsorted(of, np.arange(batch.num_rows + 1))
-            listed = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(cells, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(counts, pa.int64()), listed], ["label", "windows", "cells"])
+            counts = [own.counts(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(counts, pa.list_(pa.int64()))], ["label", "counts"])
+
+    return rows.mapInArrow(measure, "label int, counts array<long>")
 
-    return rows.mapInArrow(measure, "label int, windows long, cells array<int>")
 
+def features(counts: np.ndarray) -> np.ndarray:
+    """1, then logarithms of 1 + a number: of windows at each distance above 0 or farther, below 0 or nearer, of all.
 
-def features(windows: int, cells: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    """1, then of a row's windows: the highest log-odds, the greatest distance over FAR[0] - 1, and logarithms of 1 + a
-    number: of windows over TOXIC_ODDS, of those at each distance of FAR or more, of all.
+    counts: texts x distances.
     """
-    if not len(cells):
-        return np.array([1.0] + [0.0] * (FEATURES - 2) + [np.log1p(windows)])
-    own, far = odds[cells], cells % _DISTANCES
-    counts = [(own >= TOXIC_ODDS).sum(), *((far >= d).sum() for d in FAR), windows]
-    return np.array([1.0, max(0.0, own.max()), max(0.0, far.max() - FAR[0] + 1), *np.log1p(counts)])
+    zero = -NEAREST
+    far = np.cumsum(counts[:, :zero:-1], axis=1)
+    near = np.cumsum(counts[:, :zero], axis=1)
+    return np.hstack([np.ones((len(counts), 1)), np.log1p(np.hstack([far, near, counts.sum(1, keepdims=True)]))])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> np.ndarray:
@@ -244,23 +240,13 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> np.ndarray:
 
 
 def calibrated(rows: DataFrame, ordinary: bytes, toxic: bytes) -> Model:
-    """The log-odds of distances and the weights of the features, from rows (text, label)."""
-    measured = stored(cells_of(rows, ordinary, toxic), "toxicity-cells")
-    sizes = {r.label: r["n"] for r in measured.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    counts = np.zeros((2, _LENGTHS * _DISTANCES))
-    for r in measured.select("label", F.explode(F.array_distinct("cells")).alias("cell")).groupBy("label", "cell").agg(F.count("*").alias("n")).collect():
-        counts[r.label, r.cell] = r["n"]
-    # a distance counts at least as much as a smaller one of windows that compress as far
-    more = np.maximum.accumulate
-    prior = np.array([sizes.get(y, 0) + 1 for y in (0, 1)]) / (sum(sizes.values()) + 2)  # a cell without rows tells nothing
-    part = [(counts[y] + prior[y]) / (sizes.get(y, 0) + 1) for y in (0, 1)]
-    odds = more(np.log(part[1] / part[0]).reshape(_LENGTHS, _DISTANCES), axis=1).ravel()
-    found = measured.toArrow().combine_chunks()  # bounded, as the sample
-    y, windows, lists = found.column("label").to_numpy(), found.column("windows").to_numpy(), found.column("cells").combine_chunks()
-    edges, cells = lists.offsets.to_numpy(), lists.values.to_numpy()
-    x = [features(w, cells[a:b], odds) for w, a, b in zip(windows, edges, edges[1:], strict=False)]
-    weights = logistic(np.array(x), y.astype(float)) if x else np.where(np.arange(FEATURES) == 0, -30.0, 0.0)
-    return Model(ordinary, toxic, odds, weights)
+    """The weights of the features, from rows (text, label)."""
+    found = distances_of(rows, ordinary, toxic).toArrow().combine_chunks()  # bounded, as the sample
+    y = found.column("label").to_numpy().astype(float)
+    counts = np.array(found.column("counts").to_pylist(), np.int64).reshape(-1, FARTHEST - NEAREST + 1)
+    has = counts.sum(1) > 0
+    weights = logistic(features(counts[has]), y[has])
+    return Model(ordinary, toxic, weights, float(y.mean()) if len(y) else 0.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most: int = LABELLED) -> Model | None:
@@ -290,13 +276,12 @@ _loaded: dict[str, Scorer] = {}
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.windows = model, Windows(model.ordinary, model.toxic)
+        self.model, self.distances = model, Distances(model.ordinary, model.toxic)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        counts, of, cells = self.windows.scan(texts)
-        edges = np.searchsorted(of, np.arange(len(texts) + 1)).tolist()
-        x = np.array([features(n, cells[a:b], self.model.odds) for n, a, b in zip(counts, edges, edges[1:], strict=False)])
-        return 1 / (1 + np.exp(-np.clip(x @ self.model.weights, -30, 30)))
+        counts = np.array([self.distances.counts(t) for t in texts]).reshape(-1, FARTHEST - NEAREST + 1)
+        found = 1 / (1 + np.exp(-np.clip(features(counts) @ self.model.weights, -30, 30)))
+        return np.where(counts.sum(1) > 0, found, self.model.share)
 
 
 def toxicity(docs: DataFrame, model: Model | None, text_column: str = "text", output: str = "score") -> DataFrame:

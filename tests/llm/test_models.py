@@ -1,10 +1,13 @@
 """Toxicity and language identification on small made-up texts."""
 
+import math
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from terrasheet.llm import language_id, toxicity
+from terrasheet.llm import language_id, queries, toxicity
 
 SYLLABLES = {"xx": ["ba", "do", "ki", "lu", "me"], "yy": ["sch", "ung", "ein", "ach", "ver"]}
 
@@ -49,27 +52,76 @@ def test_toxicity_without_labels_or_rows(spark):
     assert toxicity.train(docs.limit(0), labels.limit(0), F.lit(True)) is None
 
 
-def test_windows_that_share_no_bytes_are_plain():
-    own = toxicity.Windows(b" and  the  of ", b" blackguard  knave ")
-    counts, of, cells = own.scan(["the knave, the blackguard", None, "The KNAVE", "kna ve"])
-    assert counts.tolist() == [4, 0, 2, 2] and of.tolist() == [0, 0, 2]
-    assert cells[0] == cells[2] and (cells % toxicity._DISTANCES > 0).all()
-
-
-def test_short_toxic_words_are_compressed():
-    own = toxicity.Windows(b" and  the  of ", b" zx  abc  vwyz  blackguard ")
-    _, of, cells = own.scan(["abc", "ABC,", "abcs", "zx", "vwyzs", "the of"])
-    assert of.tolist() == [0, 1, 2, 3, 4] and cells[0] == cells[1] and (cells[[0, 2, 3, 4]] % toxicity._DISTANCES > 0).all()
-
-
-def test_the_toxic_dictionary_holds_all_marked_words(spark):
+def test_windows_cover_all_words():
+    w = lambda *x: b" " + " ".join(x).encode() + b" " + toxicity.PAD
+    assert list(toxicity.windows("One, TWO\nthree")) == [w("one", "two", "three")]
+    assert list(toxicity.windows("a b c d e f g h")) == [w(*"abcdef"), w(*"defgh")]
+    assert list(toxicity.windows(None)) == list(toxicity.windows("")) == list(toxicity.windows("!?")) == []
+    long = " ".join(f"w{k}" for k in range(400_000))  # several pieces
+    words = long.split()
+    assert list(toxicity.windows(long)) == [w(*words[k : k + 6]) for k in range(0, 400_000 - 3, 3)]
+
+
+def test_distances_are_the_differences_of_two_compressed_lengths():
+    """Brute force: each window by a compressor of its own, made anew."""
+    rng = random.Random(4)
+    ordinary, tail = (prose(rng, "xx", n).encode() for n in (40, 400))
+    ordinary, toxic = ordinary + tail, b" knave  scoundrel  blackguard " + tail
+    text = prose(rng, "xx", 50) + " Scoundrel! " + prose(rng, "yy", 20)
+    own = toxicity.Distances(ordinary, toxic)
+    brute = [len(toxicity.compressor(ordinary).compress(w)) - len(toxicity.compressor(toxic).compress(w)) for w in toxicity.windows(text)]
+    assert own.of(text) == brute and max(brute) >= 3
+    near = [min(max(d, toxicity.NEAREST), toxicity.FARTHEST) for d in brute]
+    assert own.counts(text).tolist() == [near.count(d) for d in range(toxicity.NEAREST, toxicity.FARTHEST + 1)]
+    x = toxicity.features(own.counts(text)[None])[0]
+    want = [math.log1p(sum(d >= k for d in near)) for k in range(toxicity.FARTHEST, 0, -1)] + [math.log1p(sum(d <= k for d in near)) for k in range(toxicity.NEAREST, 0)]
+    assert x.tolist() == pytest.approx([1.0, *want, math.log1p(len(near))])
+
+
+def test_toxic_dictionary_holds_all_marked_words_and_both_share_a_tail(spark):
     rng = random.Random(5)
     toxic = ["".join(rng.choices("fghjpqrstwxz", k=11)) for _ in range(400)]
     rows = [(f"{prose(rng, 'xx', 20)} {' '.join(toxic[k % 20 * 20 : k % 20 * 20 + 20]) if k < 700 else ''}", int(k < 700)) for k in range(1400)]
     ordinary, own = toxicity.dictionaries(spark.createDataFrame(rows, "text string, label int"), 700, 700)
-    assert len(own) > toxicity.TOXIC_BYTES and all(toxicity.window(w) in own for w in toxic)
-    cells = toxicity.Windows(ordinary, own).scan([" ".join(toxic)])[2]
-    assert len(cells) == len(toxic) and (cells % toxicity._DISTANCES > 0).all()
+    assert all(f" {w} ".encode() in own and f" {w} ".encode() not in ordinary for w in toxic)
+    assert own[-200:] == ordinary[-200:]
+    assert min(toxicity.Distances(ordinary, own).of(" ".join(toxic))) > 3
+
+
+def test_prediction_is_more_than_a_word_list(spark):
+    """Words that training never saw as such, but whose beginnings are toxic, are found, where a list of words finds none."""
+    stems = ["zoundq", "blackguarx", "knavish", "scoundrw"]
+    rng = random.Random(7)
+
+    def rows(n, start):
+        out = []
+        for i in range(n):
+            words = prose(rng, "xx", 60).split()
+            if i % 4 == 0:
+                for _ in range(4):
+                    words[rng.randrange(60)] = rng.choice(stems) + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4))
+            out.append((start + i, " ".join(words), int(i % 4 == 0)))
+        return out
+
+    known, fresh = rows(600, 0), rows(200, 10_000)
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame([r[:2] for r in known], schema)
+    labels = spark.createDataFrame([(i, y) for i, _, y in known], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True))
+    got = {r.doc_id: r.score >= 0.7 for r in toxicity.toxicity(spark.createDataFrame([r[:2] for r in fresh], schema), model).collect()}
+    listed = {w for _, t, y in known if y for w in t.split()} - {w for _, t, y in known if not y for w in t.split()}
+    by_list = sum(y for _, t, y in fresh if any(w in listed for w in t.split() if w[:6] in {s[:6] for s in stems}))
+    caught = sum(got[i] for i, _, y in fresh if y)
+    assert caught >= 45 and caught > by_list and sum(got[i] for i, _, y in fresh if not y) <= 2
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/labels.parquet"), reason="no tables")
+def test_held_out_rows_of_the_tables(spark):
+    at = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    rows = [(r.predicted, truth[r.doc_id]) for r in queries.op6_toxicity(spark, at).collect() if r.held_out and truth.get(r.doc_id) is not None]
+    hits = sum(p and y for p, y in rows)
+    assert hits >= 0.75 * sum(y for _, y in rows) and hits >= 0.9 * sum(p for p, _ in rows)
 
 
 def test_language_id(spark):
