@@ -6,11 +6,14 @@ WINDOW words that a document shares with an item has the same fingerprint in bot
 A hit is extended: each WINDOW-word run around it is looked up among the items' runs, and its words are compared. Items
 of fewer words have no such run; all their words are one window, for which documents' grams of that length are looked up.
 
-While the items have few windows (BROADCAST_WINDOWS, counted first), these go to every task and documents are read in
-one pass without a shuffle. Beyond it, fingerprints are joined by a shuffle, and only documents with a common one are
-read again. Both ways give the same rows.
-
-Null and empty texts have no words and no hits; an item without words has no window. Rows are per document row.
+While the items' windows take few bytes (BROADCAST_BYTES, summed first), they go to every task and documents are read in
+one pass without a shuffle. Beyond it, fingerprints are joined by a shuffle, only documents with a common one are read
+again, and their windows meet the items' different windows; the items of a set of windows are looked up once for all
+documents that hold just these. Both ways give the same rows.
+
+Null and empty texts have no words and no hits; an item without words has no window. Rows are per document row. Item ids
+of any simple type are compared and listed as strings; rows of one item id are one item, and an item without an id makes
+hits but is neither counted nor listed. Columns' names can't clash: only the named ones are read.
 """
 
 from __future__ import annotations
@@ -25,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_bytes, text_slices
-from .words import ALPHANUMERIC, LOWER, find_words, gram_hashes, word_hashes
+from .words import ALPHANUMERIC, LOWER, find_words, gram_hashes, same_text, word_hashes
 
 WINDOW, GRAM = 10, 5
-#: Windows of items (a hundred bytes each, or so) that may be broadcast.
-BROADCAST_WINDOWS = 200_000
+#: Bytes of items' windows that may be broadcast, and what a window takes beside its words and its item's id.
+BROADCAST_BYTES, WINDOW_BYTES = 64 << 20, 200
 
 
 class Words(NamedTuple):
@@ -58,11 +61,6 @@ def words_of(column: pa.Array) -> Words:
     return Words(data, first, last, of, word_hashes(data, first, last), len(column))
 
 
-def together(of: np.ndarray, k: int) -> np.ndarray:
-    n = len(of) - k + 1
-    return of[:n] == of[k - 1 :] if n > 0 else np.zeros(0, bool)
-
-
 def winnow(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the fingerprints of all texts."""
     gram = gram_hashes(words.hashes, GRAM)
@@ -75,7 +73,7 @@ def winnow(words: Words) -> tuple[np.ndarray, np.ndarray]:
         lower = next_one <= least
         least[lower] = next_one[lower]
         where[lower] = (np.arange(windows) + k)[lower]
-    at = np.unique(where[together(words.of, WINDOW)])
+    at = np.unique(where[same_text(words.of, WINDOW)])
     return at, gram[at]
 
 
@@ -102,19 +100,19 @@ def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def digest(items: list) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+def digest(items: set[str]) -> str:
+    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
 def item_windows(items: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(item_id, m, h1, h2, body): each window of each item once; m is its number of words."""
+    """(item_id string, m, h1, h2, body): each window of each item once; m is its number of words."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, text_column):
-            w = words_of(batch.column(text_column))
+        for batch in text_slices(batches, "text"):
+            w = words_of(batch.column("text"))
             counts = np.bincount(w.of, minlength=w.texts)
             for m in [*range(1, WINDOW), WINDOW]:
-                good = together(w.of, m)
+                good = same_text(w.of, m)
                 if m < WINDOW:
                     good &= (counts == m)[w.of[: len(good)]]
                 starts = np.flatnonzero(good)
@@ -122,11 +120,11 @@ def item_windows(items: DataFrame, id_column: str, text_column: str) -> DataFram
                     continue
                 h1, h2 = window_hashes(w, starts, m)
                 bodies = w.bodies(starts, np.full(len(starts), m))
-                ids = batch.column(id_column).take(pa.array(w.of[starts]))
+                ids = batch.column("item_id").take(pa.array(w.of[starts]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(starts), m, np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(bodies, pa.binary())], ["item_id", "m", "h1", "h2", "body"])
 
-    kind = items.schema[id_column].dataType.simpleString()
-    return items.select(id_column, text_column).mapInArrow(cut, f"item_id {kind}, m int, h1 long, h2 long, body binary").distinct()
+    named = items.select(F.col(id_column).cast("string").alias("item_id"), F.col(text_column).alias("text"))
+    return named.mapInArrow(cut, "item_id string, m int, h1 long, h2 long, body binary").distinct()
 
 
 def item_prints(items: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -138,7 +136,7 @@ def item_prints(items: DataFrame, id_column: str, text_column: str) -> DataFrame
             parts = [winnow(w)[1]]
             counts = np.bincount(w.of, minlength=w.texts)
             for m in range(1, WINDOW):
-                starts = np.flatnonzero(together(w.of, m))
+                starts = np.flatnonzero(same_text(w.of, m))
                 parts.append(window_hashes(w, starts[counts[w.of[starts]] == m], m)[0])
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(parts)).view(np.int64))], ["h"])
 
@@ -167,7 +165,7 @@ class Windows:
         at, prints = winnow(words)
         out = [(around(words, at[self.has(prints, self.prints)]), WINDOW)]
         for m in self.short:
-            starts = np.flatnonzero(together(words.of, m))
+            starts = np.flatnonzero(same_text(words.of, m))
             out.append((starts[self.has(gram_hashes(words.hashes, m)[starts], self.prints)], m))
         return out
 
@@ -196,11 +194,11 @@ def report(words: Words, starts: np.ndarray, lengths: np.ndarray, items: list[li
     n_hit = np.bincount(words.of[hit], minlength=words.texts)
     found: list[set] = [set() for _ in range(words.texts)]
     for s, own in zip(starts.tolist(), items, strict=True):
-        found[words.of[s]].update(own)
+        found[words.of[s]].update(x for x in own if x is not None)
     return [pa.array(np.bincount(words.of, minlength=words.texts)), pa.array(n_hit), pa.array([len(x) for x in found], pa.int64()), pa.array([digest(x) for x in found]), pa.array(n_hit > 0)]
 
 
-def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each document.
 
     n_hit: words inside an occurrence of an item's window; n_items: items with such a window; items_sha256: their ids,
@@ -209,7 +207,8 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc
     windows = stored(item_windows(items, item_id, item_text), "item-windows")
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"`{doc_id}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    if windows.count() > broadcast_windows:
+    size = windows.agg(F.sum(F.octet_length("body") + F.coalesce(F.octet_length("item_id"), F.lit(0)) + WINDOW_BYTES)).first()[0] or 0
+    if size > broadcast_bytes:
         return _by_shuffle(docs, items, windows, doc_id, doc_text, item_id, item_text)
     prints = item_prints(items, item_id, item_text).toArrow().column("h").to_numpy()  # fewer than the windows
     known = docs.sparkSession.sparkContext.broadcast(Windows(windows.toArrow(), prints))
@@ -233,7 +232,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, windows: DataFrame, doc_id: s
             at, h = winnow(w)
             of, hashes = [w.of[at]], [h]
             for m in short:
-                starts = np.flatnonzero(together(w.of, m))
+                starts = np.flatnonzero(same_text(w.of, m))
                 of.append(w.of[starts])
                 hashes.append(gram_hashes(w.hashes, m)[starts])
             rows = np.unique(np.rec.fromarrays([np.concatenate(of), np.concatenate(hashes)]))
@@ -242,15 +241,17 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, windows: DataFrame, doc_id: s
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             w = words_of(batch.column("text"))
-            common = [np.array(x, np.int64).view(np.uint64) for x in batch.column("common").to_pylist()]
+            own = [np.sort(np.array(x, np.int64).view(np.uint64)) for x in batch.column("common").to_pylist()]
+
+            def common(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
+                cuts = np.searchsorted(of, np.arange(w.texts + 1))
+                return np.concatenate([np.isin(hashes[a:b], x) for x, a, b in zip(own, cuts, cuts[1:], strict=False)] + [np.zeros(0, bool)])
+
             at, h = winnow(w)
-            own_prints = [set(c.tolist()) for c in common]
-            held = np.array([x in own_prints[k] for x, k in zip(h.tolist(), w.of[at].tolist(), strict=True)], bool)
-            parts = [(around(w, at[held]), WINDOW)]
+            parts = [(around(w, at[common(h, w.of[at])]), WINDOW)]
             for m in short:
-                starts = np.flatnonzero(together(w.of, m))
-                own = gram_hashes(w.hashes, m)[starts]
-                parts.append((starts[np.array([x in own_prints[k] for x, k in zip(own.tolist(), w.of[starts].tolist(), strict=True)], bool)], m))
+                starts = np.flatnonzero(same_text(w.of, m))
+                parts.append((starts[common(gram_hashes(w.hashes, m)[starts], w.of[starts])], m))
             for starts, m in parts:
                 h1, h2 = window_hashes(w, starts, m)
                 begin = np.searchsorted(w.of, w.of[starts])
@@ -264,9 +265,19 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, windows: DataFrame, doc_id: s
     rows = stored(docs.select(F.col(doc_id).alias("id"), F.col(doc_text).alias("text")).withColumn("row", F.monotonically_increasing_id()), "decontamination-rows")
     common = rows.select("row", "text").mapInArrow(prints, "row long, h long").join(item_prints(items, item_id, item_text), "h", "left_semi")
     again = rows.select("row", "text").join(common.groupBy("row").agg(F.collect_set("h").alias("common")), "row")
-    hits = again.select("row", "text", "common").mapInArrow(candidates, "row long, at long, m int, h1 long, h2 long, body binary").join(windows, ["h1", "h2", "m", "body"])
-    inside = F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("m") - 1))))
-    found = hits.groupBy("row").agg(F.size(inside).cast("long").alias("n_hit"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    # different windows, each with a key for its set of items; a common window is one row here, whatever the items
+    as_key = lambda c: F.sha2(F.to_json(c), 256)
+    held = windows.groupBy("h1", "h2", "m", "body").agg(F.array_sort(F.collect_set("item_id")).alias("items")).withColumn("key", as_key(F.col("items")))
+    held = stored(held, "window-items")
+    hits = again.select("row", "text", "common").mapInArrow(candidates, "row long, at long, m int, h1 long, h2 long, body binary").join(held.select("h1", "h2", "m", "body", "key"), ["h1", "h2", "m", "body"])
+    spans = F.array_sort(F.collect_list(F.struct("at", (F.col("at") + F.col("m")).alias("to"))))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
+    cover = F.aggregate(spans, none, lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["to"] - F.greatest(acc["to"], x["at"]))).alias("n"), F.greatest(acc["to"], x["to"]).alias("to")), lambda acc: acc["n"])
+    found = stored(hits.groupBy("row").agg(cover.alias("n_hit"), F.array_sort(F.collect_set("key")).alias("keys")).withColumn("sets", as_key(F.col("keys"))), "decontamination-hits")
+    sets = found.select("sets", "keys").dropDuplicates(["sets"]).select("sets", F.explode("keys").alias("key"))
+    listed = sets.join(held.select("key", "items").dropDuplicates(["key"]), "key").groupBy("sets").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    listed = listed.select("sets", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    found = found.select("row", "n_hit", "sets").join(listed, "sets")
     out = rows.select("row", "id", "text").mapInArrow(sizes, f"row long, id {kind}, n_words long").join(found, "row", "left")
-    names = F.array_join(F.array_sort(F.coalesce("items", F.array().cast("array<string>"))), ",")
-    return out.select(F.col("id").alias(doc_id), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return out.select(F.col("id").alias(doc_id), "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))

@@ -1,9 +1,11 @@
 """Secrets, licences and decontamination against brute force."""
 
+import datetime
 import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from terrasheet.llm import decontaminate, license_scan, queries, secret_scan
@@ -121,8 +123,31 @@ def test_decontamination_against_brute_force(spark):
     docs = frame(spark, texts).withColumnRenamed("n", "n_words")
     own = spark.createDataFrame([(k, t, 1) for k, t in items], "item_id long, text string, n_words int")
     want = brute(texts, items)
-    for limit in (decontaminate.BROADCAST_WINDOWS, 0):  # in one pass, and by shuffles
-        rows = decontaminate.contamination(docs, own, broadcast_windows=limit).orderBy("doc_id").collect()
+    for limit in (decontaminate.BROADCAST_BYTES, 0):  # in one pass, and by shuffles
+        rows = decontaminate.contamination(docs, own, broadcast_bytes=limit).orderBy("doc_id").collect()
         assert [tuple(r)[1:] for r in rows] == want
     assert decontaminate.contamination(docs.limit(0), own).count() == 0
     assert not decontaminate.contamination(docs, own.limit(0)).where("contaminated").count()
+
+
+@pytest.mark.parametrize("kind, ids", [("long", [None, 1, 1, 20, 3]), ("boolean", [True, None, False, False, True]), ("double", [1e10, 0.1, None, 0.1, 2.0]), ("date", [datetime.date(2024, 5, k) if k else None for k in (1, 0, 2, 2, 9)]), ("string", ["b", "a,c", None, "a", ""])])
+def test_item_ids_of_any_type_give_the_same_rows_on_both_ways(spark, kind, ids):
+    texts = ["one two three", "four five", "six", "one two three four five six seven eight nine ten eleven", None]
+    items = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"item_id {kind}, text string")
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["x one two three y", "six six", "one two three four five six seven eight nine ten eleven six", None, "seven"])], "doc_id long, text string")
+    names = {r.text: r.i for r in items.selectExpr("text", "cast(item_id as string) as i").collect()}
+    ways = [sorted(map(tuple, decontaminate.contamination(docs, items, broadcast_bytes=n).collect())) for n in (decontaminate.BROADCAST_BYTES, 0)]
+    assert ways[0] == ways[1]
+    first = {names[texts[0]]} - {None}
+    assert ways[0][0][1:] == (5, 3, len(first), hashlib.sha256(",".join(sorted(first)).encode()).hexdigest(), True)
+
+
+def test_decontamination_of_texts_longer_than_a_slice(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(700_000)]
+    passage = words[600_000:600_012]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "z" * 600_000), (3, "short")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(passage)), (8, "z" * 600_000)], "item_id long, text string")
+    for limit in (decontaminate.BROADCAST_BYTES, 0):
+        rows = {r.doc_id: r for r in decontaminate.contamination(docs, items, broadcast_bytes=limit).collect()}
+        assert (rows[1].n_words, rows[1].n_hit, rows[1].n_items) == (700_000, 12, 1) and (rows[2].n_words, rows[2].n_hit, rows[2].n_items) == (1, 1, 1) and not rows[3].contaminated
