@@ -19,16 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_folders: dict[str, str] = {}
+_folders: dict[tuple[str, str | None], str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        app = spark.sparkContext.applicationId
-        at = _folders.get(app) or _folders.setdefault(app, tempfile.mkdtemp(prefix="terrasheet-"))
-    return at.rstrip("/")
+    """The application's folder in spark.checkpoint.dir, which driver and executors share; it is deleted when Spark ends.
+
+    Where that is unset, a local session, as in tests, gets a temporary folder; on a cluster it is an error, as each
+    machine would write to its own disk.
+    """
+    app, given = spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None)
+    if (app, given) not in _folders:
+        if not given and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = f"{(given or 'file://' + tempfile.gettempdir()).rstrip('/')}/terrasheet-{app}-{uuid.uuid4().hex[:8]}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _folders[app, given] = at
+    return _folders[app, given]
 
 
 def new_path(spark: SparkSession, what: str) -> str:

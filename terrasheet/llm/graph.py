@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+#: Rounds after which components must be settled: their number grows with the logarithm of the longest path. Else an error.
 ROUNDS = 60
 
 
@@ -45,10 +46,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = stored(links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(union_find, "a long, b long").distinct(), "links")
     before = None
-    for _ in range(ROUNDS):  # the number of rounds grows with the logarithm of the longest path
+    for _ in range(ROUNDS):
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
-            break
+            return edges.toDF("node", "component")
         before = state
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -56,4 +57,4 @@ def components(links: DataFrame) -> DataFrame:
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         edges = stored(small.select("e.u", "e.m").where("u <> m").distinct().toDF("a", "b"), "links")
-    return edges.toDF("node", "component")
+    raise RuntimeError(f"components still change after {ROUNDS} rounds")
