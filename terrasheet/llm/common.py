@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Bytes of text that one pass of numpy works on; bounds a Python worker's memory.
 SLICE_BYTES = 4 << 20
@@ -52,6 +53,12 @@ def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def schema_of(df: DataFrame, columns: list[str], more: str) -> T.StructType:
+    """The types of these columns of df, whatever their names, and of `more`, which are given as DDL."""
+    own = [T.StructField(c, df.schema[c].dataType) for c in columns]
+    return T.StructType(own + T.StructType.fromDDL(more).fields)
+
+
 def bounded_fraction(rows: int, most: int) -> float:
     """The fraction of rows to keep so that about `most` are left."""
     return 1.0 if rows <= most else most / rows

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes, text_slices
+from .common import schema_of, stored, text_bytes, text_slices
 from .words import ALPHANUMERIC, LOWER, find_words, gram_hashes, same_text, word_hashes
 
 WINDOW, GRAM = 10, 5
@@ -205,8 +205,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc
     sorted as strings and comma-joined, hashed.
     """
     windows = stored(item_windows(items, item_id, item_text), "item-windows")
-    kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"`{doc_id}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    schema = schema_of(docs, [doc_id], "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
     size = windows.agg(F.sum(F.octet_length("body") + F.coalesce(F.octet_length("item_id"), F.lit(0)) + WINDOW_BYTES)).first()[0] or 0
     if size > broadcast_bytes:
         return _by_shuffle(docs, items, windows, doc_id, doc_text, item_id, item_text)
@@ -224,7 +223,6 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc
 def _by_shuffle(docs: DataFrame, items: DataFrame, windows: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str) -> DataFrame:
     """The same through shuffles: fingerprints are joined, then the windows of documents with common ones."""
     short = sorted(r.m for r in windows.where(F.col("m") < WINDOW).select("m").distinct().collect())
-    kind = docs.schema[doc_id].dataType.simpleString()
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
@@ -278,6 +276,6 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, windows: DataFrame, doc_id: s
     listed = sets.join(held.select("key", "items").dropDuplicates(["key"]), "key").groupBy("sets").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     listed = listed.select("sets", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     found = found.select("row", "n_hit", "sets").join(listed, "sets")
-    out = rows.select("row", "id", "text").mapInArrow(sizes, f"row long, id {kind}, n_words long").join(found, "row", "left")
+    out = rows.select("row", "id", "text").mapInArrow(sizes, schema_of(rows, ["row", "id"], "n_words long")).join(found, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return out.select(F.col("id").alias(doc_id), "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))

@@ -33,8 +33,8 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    ratios = secret_scan.train(secret_scan.generated_samples(docs, "text", key=F.col("doc_id")))
-    found = secret_scan.secrets(docs, "doc_id", "text", ratios)
+    model = secret_scan.train(secret_scan.labelled_samples(docs, "text", key=F.col("doc_id")))
+    found = secret_scan.secrets(docs, "doc_id", "text", model)
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == secret_scan.KINDS.index(k))).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *[count(k) for k in secret_scan.PATTERNS], F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
 

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_fraction, stored, text_slices
+from .common import bounded_fraction, schema_of, stored, text_slices
 from .words import ALPHANUMERIC, LOWER
 
 #: Labelled rows of each label that the classifier is fitted on, at most about.
@@ -298,6 +298,4 @@ def toxicity(docs: DataFrame, model: Model | None, text_column: str = "text", ou
             scores = own.scores(batch.column(text_column).to_pylist()) if own else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*kept, output])
 
-    given = docs.select(*kept)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields)
-    return given.mapInArrow(run, f"{schema}, `{output}` double")
+    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema_of(docs, kept, f"`{output}` double"))

@@ -12,7 +12,7 @@ import corpus_pipeline
 from terrasheet.llm import bpe
 
 
-EXTRA = ["row", "spans", "base", "kept", "score", "id", "n_words"]
+EXTRA = ["row", "row_", "spans", "base", "kept", "score", "id", "n_words", "_toxicity", "_first", "_secrets", "_merged", "component_id", "with.dot"]
 
 
 def tables(spark, at, docs, labels, items):
@@ -58,13 +58,16 @@ def test_planted_cases(spark, tmp_path):
 
 
 def test_stages_keep_columns_and_odd_rows(spark, tmp_path):
-    docs = [(1, None, None, None, None), (1, "twice", "xx", "s", 5), (1, "twice", "xx", "s", 5), (None, "no id", "xx", "s", 5), (2, "", "xx", "s", 0)]
+    docs = [(1, None, None, None, None), (1, "twice", "xx", "s", 5), (1, "twice", "xx", "s", 5), (1, "another text of this id", "xx", "s", 5)]
+    docs += [(None, "no id", "xx", "s", 5), (None, "no id", "xx", "s", 5), (None, "twice", "xx", "s", 5), (2, "", "xx", "s", 0), (5, "TWICE", "xx", "s", 0), (5, "unrelated words", "xx", "s", 0)]
     at = tables(spark, tmp_path / "a", docs, [(1, 1, 0)], [(1, "some passage")])
     df = spark.read.parquet(f"{at}/documents.parquet")
-    df = df.withColumns({c: F.lit(c) for c in EXTRA})
+    df = df.select("*", *[F.lit(c).alias(c) for c in EXTRA])
     for name, stage in corpus_pipeline.STAGES[:-1]:
         df = stage(spark, df, at)
         assert df.columns == ["doc_id", "text", "lang", "source", "n_chars", *EXTRA], name
-    assert sorted(str(r.doc_id) for r in df.collect()) == ["1", "2", "None"]
+        assert [(r["with.dot"], r._toxicity) for r in df.select("`with.dot`", "_toxicity").distinct().collect()] == [("with.dot", "_toxicity")]
+    want = [("1", "None"), ("1", "another text of this id"), ("1", "twice"), ("2", ""), ("5", "unrelated words"), ("None", "no id")]
+    assert sorted((str(r.doc_id), str(r.text)) for r in df.collect()) == want
     none = tables(spark, tmp_path / "b", docs[:0], [], [])
     assert corpus_pipeline.run(spark, none).count() == 0

@@ -4,6 +4,8 @@ import datetime
 import hashlib
 import random
 import re
+import string
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,26 +48,86 @@ def test_base_secrets_against_regex(spark, tmp_path):
     assert rows[number].spans == ""
 
 
-def test_markov_finds_random_runs_not_words(spark):
+PROSE = ["internationalisation", "configuration_manager", "some-hyphenated-identifier", "readTheDocumentation", "QUERY", "Zebra", "xylophone", "WYSIWYG", "Kiosk", "jumpVector", "Lynx"]
+IDENTIFIERS = [
+    "getElementsByClassNameAll", "page12section34paragraph5", "models/resnet50/checkpoint100", "HTTPServerConnectionFactory", "test_decontamination_of_long_texts",
+    "JavaScriptSerializerFactoryBean", "quick-brown-fox-jumps-over-lazy-dog", "MAX_NUMBER_OF_OPEN_CONNECTIONS", "user_id_2_session_token_31", "src/main/java/com/example/Project7",
+]
+
+
+@pytest.fixture(scope="module")
+def model(spark):
     rng = random.Random(8)
-    ordinary = [" ".join(rng.choices(["internationalisation", "configuration_manager", "some-hyphenated-identifier", "readTheDocumentation", "QUERY", "Zebra", "xylophone", "WYSIWYG", "Kiosk", "jumpVector", "Lynx"], k=60)) for _ in range(40)]
-    ratios = secret_scan.train(secret_scan.generated_samples(frame(spark, ordinary), "text", 500, key=F.col("doc_id")))
+    ordinary = [" ".join(rng.choices(PROSE, k=60)) for _ in range(40)]
+    return secret_scan.train(secret_scan.labelled_samples(frame(spark, ordinary), "text", key=F.col("doc_id")))
+
+
+def test_markov_finds_random_runs_not_words(spark, model):
     texts = ["see Zx8Qv3Lp0TyWb6Nm2RsK9d here", "the internationalisation_manager", None]
-    rows = secret_scan.secrets(frame(spark, texts), "doc_id", "text", ratios).orderBy("doc_id").collect()
+    rows = secret_scan.secrets(frame(spark, texts), "doc_id", "text", model).orderBy("doc_id").collect()
     assert [len(r.spans) for r in rows] == [1, 0, 0]
-    clean = secret_scan.redact(secret_scan.secrets(frame(spark, texts), "doc_id", "text", ratios).join(frame(spark, texts).select("doc_id", "text"), "doc_id"), "text", F.col("spans"))
+    both = secret_scan.secrets(frame(spark, texts).select(F.struct("*").alias("row"), "text"), "row", "text", model)
+    clean = both.select("row.doc_id", secret_scan.redacted(F.col("row.text"), F.col("spans")).alias("text"))
     assert [r.text for r in clean.orderBy("doc_id").collect()] == ["see <secret> here", "the internationalisation_manager", None]
 
 
+def test_markov_on_a_labelled_set(spark, model):
+    """Keys of three alphabets and identifiers with digits, none of which training has seen."""
+    rng = random.Random(12)
+    letters = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits]
+    keys = ["".join(rng.choices(a, k=n)) for a in letters for n in (16, 20, 24, 40) for _ in range(25)]
+    rows = secret_scan.secrets(frame(spark, [f"a {x} b" for x in keys + IDENTIFIERS]), "doc_id", "text", model).orderBy("doc_id").collect()
+    found = [any(secret_scan.KINDS[x.kind] == "markov" for x in r.spans) for r in rows]
+    assert sum(found[: len(keys)]) >= 0.97 * len(keys) and not any(found[len(keys) :])
+
+
+def test_markov_spans_are_in_the_query(spark, tmp_path):
+    rng = random.Random(13)
+    keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=24)) for _ in range(10)]
+    texts = [f"🙂 {' '.join(PROSE)} {k} token=abcdefgh1234" for k in keys]
+    frame(spark, texts).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op2_secrets(spark, str(tmp_path)).collect():
+        at = texts[r.doc_id].index(keys[r.doc_id])
+        assert f"markov:{at}:{at + 24}" in r.spans.split(",") and r.n_assign == 1
+
+
+def test_runs_that_overlap_a_pattern_are_left_out(spark, model):
+    key = "Zx8Qv3Lp0TyWb6Nm2RsK9d"
+    texts = [f"token={key}", f"{key}/AKIA{'B' * 20}", f"{'0123456789abcdef' * 2} {key}", f"{key}=token=abcdefgh {key}", f"x {key} password=aaaaaaaa {key}"]
+    rows = secret_scan.secrets(frame(spark, texts), "doc_id", "text", model).orderBy("doc_id").collect()
+    for r, text in zip(rows, texts, strict=True):
+        base = spans(text)
+        runs = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text)]
+        want = [(a, b) for a, b in runs if not any(a < e and s < b for s, _, e in base) and key in text[a:b]]
+        assert [(x.start, x.end) for x in r.spans if x.kind == 3] == want
+
+
 def test_redaction_of_overlapping_spans(spark):
-    df = spark.createDataFrame([("0123456789", [(1, 0, 5), (3, 2, 7), (8, 1, 9)])], f"text string, spans array<{secret_scan.SPAN}>")
-    assert secret_scan.redact(df, "text", F.col("spans")).first().text == "0<secret>7<secret>9"
+    df = spark.createDataFrame([("éé23456789", [(1, 0, 5, 2, 7), (3, 2, 7, 5, 9), (8, 1, 9, 10, 11)])], f"text string, spans array<{secret_scan.SPAN}>")
+    assert df.select(secret_scan.redacted(F.col("text"), F.col("spans")).alias("t")).first().t == "é<secret>7<secret>9"
+
+
+@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 1500])
+def test_running_totals(spark, n):
+    values = [(k * 37) % 11 - 5 for k in range(n)]
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    got = df.select(secret_scan.running(F.col("v"), secret_scan.plus).alias("s"), secret_scan.running(F.col("v"), secret_scan.larger, -9).alias("m")).first()
+    assert got.s == [sum(values[:k]) for k in range(n + 1)] and got.m == [max([-9, *values[:k]]) for k in range(n + 1)]
+
+
+def test_a_text_of_many_secrets(spark, model):
+    rng = random.Random(3)
+    text = "é" + " ".join("token=" + "".join(rng.choices(string.ascii_letters, k=14)) for _ in range(64_000))
+    began = time.time()
+    row = secret_scan.secrets(frame(spark, [text]).select(F.struct("*").alias("row"), "text"), "row", "text", model).select("spans", secret_scan.redacted(F.col("row.text"), F.col("spans")).alias("t")).first()
+    assert row.t == "é" + " ".join(["<secret>"] * 64_000) and len(row.spans) == 64_000
+    assert time.time() - began < 60  # the square of the number takes many minutes
 
 
 def test_secrets_of_an_empty_table(spark):
     none = frame(spark, []).limit(0)
-    ratios = secret_scan.train(secret_scan.generated_samples(none, "text", 20))
-    assert secret_scan.secrets(none, "doc_id", "text", ratios).count() == 0
+    trained = secret_scan.train(secret_scan.labelled_samples(none, "text", 20, 40))
+    assert secret_scan.secrets(none, "doc_id", "text", trained).count() == 0
 
 
 def dice(a, b):
