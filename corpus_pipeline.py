@@ -4,8 +4,9 @@ Each stage works on all that its predecessor kept and its output is written befo
 executor costs no more than the stage that runs. The first four return the columns of documents:
 
 1. toxicity: documents with a score of TOXIC or more go. Labels are learned from rows whose crc32(doc_id) mod 3 isn't 1.
-2. near_dedup: of each group of near duplicates (five-word shingles, similarity of 0.8 or more) the least doc_id stays;
-   of rows that share a doc_id, the first by text. Rows without a doc_id all stay.
+2. near_dedup: of each group of near duplicates (five-word shingles, similarity of 0.8 or more) the row of the least doc_id
+   stays (one without a doc_id only if no other has one; of rows with equal ids any one). Rows are told apart by a number
+   of their own: different texts of one doc_id all stay, and so do rows without words.
 3. decontamination: documents that hold a window of a benchmark item go.
 4. secrets: secrets are replaced by a mark in the text, and n_chars is counted anew; no document goes.
 5. bpe: doc_id, the number of token ids, the ids (little-endian unsigned 32-bit integers) and digests of these and of
@@ -18,7 +19,7 @@ four, whatever their names.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasheet.llm import bpe, decontaminate, near_dedup, secret_scan, toxicity
@@ -29,35 +30,51 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, text): all columns as one, so that no operator's own columns can clash with them."""
+    return docs.select(F.struct(*columns(docs)).alias("row"), "text")
+
+
+def columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs hasn't, whatever the case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     usable = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), usable)
-    scored = toxicity.toxicity(docs, model, output="_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    scored = toxicity.toxicity(packed(docs), model, output="score")
+    return scored.where(F.col("score") < TOXIC).select("row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = near_dedup.near_groups(docs, size=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    copies = groups.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti")
-    shared = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "shared-ids")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    one = kept.join(shared, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1")
-    return kept.join(shared, "doc_id", "left_anti").select(*docs.columns).union(one.select(*docs.columns))
+    row = unused(docs, "row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    ids = numbered.select(F.col(row).alias("row"), "doc_id")
+    groups = near_dedup.near_groups(numbered, row, "text", size=SHINGLE_WORDS, percent=SIMILAR_PERCENT).select(F.col(row).alias("row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    kept = groups.join(ids, "row").groupBy("component_id").agg(first).select(F.col("first.row").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*columns(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), doc_id="row")
+    found = decontaminate.contamination(packed(docs), table(spark, sf_dir, "benchmark"), doc_id="row")
     return found.where(~F.col("contaminated")).select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ratios = secret_scan.train(secret_scan.generated_samples(docs, "text", key=F.col("doc_id")))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = secret_scan.secrets(rows, "row", "text", ratios).select("row.*", F.col("spans").alias("_secrets"))
-    clean = secret_scan.redact(found, "text", F.col("_secrets"))
-    return clean.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    model = secret_scan.train(secret_scan.labelled_samples(docs, "text", key=F.col("doc_id")))
+    found = secret_scan.secrets(packed(docs), "row", "text", model)
+    clean = secret_scan.redacted(F.col("row.text"), F.col("spans"))
+    size = F.when(F.size("spans") > 0, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return found.select(F.col("row").withField("text", clean).withField("n_chars", size).alias("row")).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
