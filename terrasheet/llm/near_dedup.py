@@ -5,16 +5,20 @@ same words are one class; only classes go on. SuperMinHash gives each shingle a
 them level by level, so that a level's values lie above the last one's: a text stops at the first level at which all its
 slots have values. Classes that agree on a band of slots are candidates, by bucket.
 
-A bucket isn't paired with itself. First its members are compared with three pivots each (the least id and two by hash),
-and links are joined to components. Then, only in buckets that still hold several components, members outside the least
-component meet all others in blocks of bounded size, texts included: a task compares signatures, then full sets, and
-returns links only, one for a member and another component. A pair is looked at in its first common band only.
+A bucket isn't paired with itself. First its members meet two pivots, its least and its greatest id, and links are joined
+to components. Then, only in buckets that still hold several components, members outside the least component meet all
+others. Both go by cells: the two sides are dealt by hash into blocks of bounded size, and each pair of blocks is one
+task's work. A first pass has signatures only and tells which members have a partner worth a look; a second one, of these
+alone, has their texts and compares full sets. It returns links only, one for a member and another component.
 
-Candidates whose signatures agree in Scheme.least_equal slots go on to be confirmed. A pair at the similarity of 0.85 is
-missed by all bands of 5 slots with a probability of 8e-7, one at 0.8 by those of 4 with 1e-7; by least_equal with 1e-7.
+Candidates agree in Scheme.least_equal slots of their signatures. A pair at the similarity of 0.85 is missed by all bands
+of 5 slots with a probability of 8e-7, one at 0.8 by those of 4 with 1e-7; by least_equal with 1e-7. Full sets are of
+64-bit shingle hashes (see words.word_hashes).
 
 Texts without words, empty or null, have no shingles and are linked with nothing. Repeated rows are copies; rows that
-share an id are taken for one document. Ids are integers.
+share an id are taken for one document. Ids are integers. A row without an id makes no links: if its words are those of a
+class, it belongs to that component and isn't kept; else its component is null and it is kept. Other columns don't matter.
+Very long texts are treated whole, in a task's memory (some 60 bytes of numpy for a byte of text).
 """
 
 from __future__ import annotations
@@ -32,8 +36,8 @@ from .graph import components
 from .words import LOWER, NOT_SPACE, find_words, gram_hashes, mix, word_hashes
 
 SLOTS = 120
-#: Members of a bucket that are compared in one block, shingles of theirs, and ids that may be broadcast (8 bytes each).
-BLOCK, BLOCK_SHINGLES, BROADCAST_IDS = 4096, 1 << 19, 1_000_000
+#: Members of a block, shingles of theirs, and ids that may be broadcast (8 bytes each, buckets 24).
+BLOCK, BLOCK_SHINGLES, BROADCAST_IDS = 512, 1 << 19, 1_000_000
 
 _U = np.uint64
 
@@ -125,6 +129,7 @@ def signatures(df: DataFrame, id_column: str, text_column: str, scheme: Scheme)
             bands = np.zeros((n, scheme.bands), np.uint64)
             for k in range(scheme.rows):
                 bands = mix(bands * _U(0x9E3779B97F4A7C15) + slots[:, k :: scheme.rows])
+            bands = mix(bands + np.arange(1, scheme.bands + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))  # of one band only
             none = pa.array(counts == 0)
             low = slots.astype(np.uint8)
             edges = pa.array(np.arange(n + 1) * scheme.bands, pa.int32())
@@ -144,36 +149,6 @@ def signatures(df: DataFrame, id_column: str, text_column: str, scheme: Scheme)
     return rows.mapInArrow(sign, "id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary")
 
 
-def alike(least_equal: int):
-    """Of pairs (a, b, sa, sb) those whose signatures agree enough."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SLOTS) for c in ("sa", "sb"))
-                good = pa.array((x == y).sum(1) >= least_equal)
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
-
-    return keep
-
-
-def linked(size: int, percent: int):
-    """Of pairs (a, b, ta, tb) those whose shingle sets have 100 * intersection >= percent * union."""
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "ta", 2 << 20):
-            x, of_x, _, _ = shingle_sets(batch.column("ta"), size)
-            y, of_y, _, _ = shingle_sets(batch.column("tb"), size)
-            _, at, _ = np.intersect1d(mix(x ^ mix(of_x.astype(np.uint64))), mix(y ^ mix(of_y.astype(np.uint64))), assume_unique=True, return_indices=True)
-            n = batch.num_rows
-            common = np.bincount(of_x[at], minlength=n)
-            union = np.bincount(of_x, minlength=n) + np.bincount(of_y, minlength=n) - common
-            good = pa.array((100 * common >= percent * union) & (common > 0))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
-
-    return confirm
-
-
 def texts_of(ids: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, t): the texts of the ids (one column), read again and kept."""
     ids = stored(ids.toDF("id").distinct(), "pair-ids")
@@ -182,14 +157,6 @@ def texts_of(ids: DataFrame, docs: DataFrame, id_column: str, text_column: str)
     return stored(texts.join(few, "id", "left_semi"), "pair-texts")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked on their full sets; the texts are read again, those of the pairs only."""
-    pairs = stored(pairs, "pairs")
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b"))), docs, id_column, text_column)
-    both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(linked(size, percent), "a long, b long").distinct()
-
-
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row: the least id that links reach, and whether that is its own."""
     if percent < 80:
@@ -199,48 +166,55 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     some = rows.where("k1 is not null and id is not null")
     same = some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = stored(same, "classes")
+    texts = lambda ids: texts_of(ids, docs, id_column, text_column)
 
-    members = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    by_hash = [F.min(F.struct(F.xxhash64(F.lit(k), "rep").alias("h"), "rep"))["rep"].alias(f"p{k}") for k in (1, 2)]
-    buckets = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("rep").alias("p0"), *by_hash).where("p0 < greatest(p1, p2) or n > 1")
-    buckets = stored(buckets.where("n > 1").select("band", "key", "n", F.array_distinct(F.array("p0", "p1", "p2")).alias("pivots")), "buckets")
-    crowd = stored(members.join(buckets, ["band", "key"]).select("band", "key", "n", "rep", "pivots"), "crowd")
-
-    sized = classes.select("rep", "n", "sig")
-    stars = crowd.select("rep", F.explode("pivots").alias("p")).where("rep <> p").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
-    stars = stars.join(sized.toDF("a", "na", "sa"), "a").join(sized.toDF("b", "nb", "sb"), "b")
-    stars = stars.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb").mapInArrow(alike(scheme.least_equal), "a long, b long")
-    links = stored(confirmed(stars, docs, id_column, text_column, size, percent), "links")
+    members = classes.select("rep", F.explode("bands").alias("key"))
+    buckets = stored(members.groupBy("key").agg(F.min("rep").alias("p0"), F.max("rep").alias("p1")).where("p0 < p1"), "buckets")
+    crowd = stored(members.join(F.broadcast(buckets) if buckets.count() <= BROADCAST_IDS // 3 else buckets, "key"), "crowd")
+
+    pairs = crowd.select("rep", F.explode(F.array("p0", "p1")).alias("key")).where("rep <> key").distinct()
+    pivots = pairs.select("key").distinct().select("key", F.col("key").alias("rep"), F.lit(True).alias("few"))
+    stars = stored(pivots.unionByName(pairs.withColumn("few", F.lit(False))).withColumn("component", F.col("rep")), "stars")
+    links = stored(links_in(stars, classes, scheme, texts, False), "links")
     found = components(links)
 
-    rest = apart(crowd, classes, found, scheme, lambda ids: texts_of(ids, docs, id_column, text_column))
+    placed = crowd.select("key", "rep").join(found.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key", "least")
+    inside = placed.join(mixed, "key").select("key", "rep", "component", (F.col("component") != F.col("least")).alias("few"))
+    every = inside.where("few").unionByName(inside.withColumn("few", F.lit(False)))
+    rest = links_in(stored(every, "inside"), classes, scheme, texts, True)
     found = components(links.union(rest))
 
     owner = classes.select("k1", "k2", F.col("rep").alias("node")).join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("c"))
     out = rows.select("id", "n_shingles", "k1", "k2").join(owner, ["k1", "k2"], "left")
     own = F.coalesce("c", "id")
-    return out.select(F.col("id").alias(id_column), "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_column), "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("id"), F.col("c").isNull()).alias("kept"))
+
 
+def links_in(groups: DataFrame, classes: DataFrame, scheme: Scheme, texts: Callable[[DataFrame], DataFrame], by_band: bool) -> DataFrame:
+    """Links (a, b) between members of a group that are of different components: its `few` against its others.
+
+    groups: (key, rep, component, few). by_band: keys are bands' hashes, and a pair is looked at in its first common band.
+    """
+    sized = groups.join(classes.select("rep", "n", "sig", *["bands"] * by_band), "rep")
+    near = in_cells(sized, ["sig", *["bands"] * by_band], 1 << 40).mapInArrow(cellwise(screened(scheme, by_band)), "key long, rep long, few boolean").distinct()
+    near = stored(near.join(groups, ["key", "rep", "few"]), "near")
+    whole = near.join(classes.select("rep", "n"), "rep").join(texts(near.select("rep")).toDF("rep", "text"), "rep")
+    return in_cells(whole, ["text"], BLOCK_SHINGLES).mapInArrow(cellwise(compared(scheme)), "a long, b long").distinct()
 
-def apart(crowd: DataFrame, classes: DataFrame, found: DataFrame, scheme: Scheme, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) of members of one bucket but of different components, one at least for a member and a component.
 
-    In a bucket with several components, members outside its least component (`few`) meet all members. Both are dealt by
-    hash into blocks of BLOCK members and BLOCK_SHINGLES shingles or so; each pair of blocks is one task's work.
+def in_cells(members: DataFrame, columns: list[str], shingles: int) -> DataFrame:
+    """Members (key, rep, component, few, n, columns) dealt to cells (key, i, j), sorted by cell: block i of a group's few
+    against block j of its others. A block has BLOCK members, or so, and `shingles` of their shingles.
     """
-    placed = crowd.select("band", "key", "rep").join(found.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = placed.join(classes.select("rep", "n"), "rep")
-    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES).alias("blocks")).where("least < most")
-    mixed = stored(mixed.select("band", "key", "least", F.ceil("blocks").cast("int").alias("cells")), "mixed")
-    inside = stored(placed.join(mixed, ["band", "key"]), "inside")
-    member = stored(texts(inside.select("rep")).toDF("rep", "text").join(classes.select("rep", "sig", "bands"), "rep"), "members")
-    every = F.sequence(F.lit(0), F.col("cells") - 1)
-    inside = inside.join(member, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
-    rows = ["band", "key", "rep", "component", "n", "sig", "bands", "text"]
-    left = inside.where("component <> least").select(*rows, F.lit(True).alias("few"), F.col("block").alias("i"), F.explode(every).alias("j"))
-    right = inside.select(*rows, F.lit(False).alias("few"), F.explode(every).alias("i"), F.col("block").alias("j"))
-    dealt = left.union(right).repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-    return dealt.mapInArrow(compare(scheme), "a long, b long").distinct()
+    blocks = lambda few: F.ceil(F.greatest(F.lit(1), F.count(F.when(few, 1)) / BLOCK, F.sum(F.when(few, F.col("n"))) / shingles)).cast("int")
+    sizes = stored(members.select("key", "few", "n").groupBy("key").agg(blocks(F.col("few")).alias("rows"), blocks(~F.col("few")).alias("cols")), "sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS // 3 else sizes
+    own = lambda side: F.array(F.pmod(F.xxhash64("rep"), F.col(side)).cast("int"))
+    every = lambda side: F.sequence(F.lit(0), F.col(side) - 1)
+    held = members.join(sizes, "key").withColumn("i", F.explode(F.when(F.col("few"), own("rows")).otherwise(every("rows"))))
+    held = held.withColumn("j", F.explode(F.when(F.col("few"), every("cols")).otherwise(own("cols"))))
+    return held.select("key", "i", "j", "few", "rep", "component", "n", *columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def common_sizes(own: np.ndarray, sets: np.ndarray, begin: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -254,52 +228,80 @@ def common_sizes(own: np.ndarray, sets: np.ndarray, begin: np.ndarray, which: np
     return np.bincount(np.repeat(np.arange(len(which)), sizes), hit, len(which)).astype(np.int64)
 
 
-def compare(scheme: Scheme):
-    """Links from rows that are sorted by cell: a cell's `few` against all of it."""
+def signature_matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SLOTS)
+
+
+def screened(scheme: Scheme, by_band: bool):
+    """Of a cell the members (key, rep, few) that have a partner by their signatures' and sets' sizes."""
 
-    def pairs(cell: pa.Table, band: int) -> tuple[list[int], list[int]]:
-        few = cell.column("few").to_numpy()
+    def run(cell: pa.Table, few: np.ndarray) -> pa.RecordBatch | None:
+        comp, n = (cell.column(c).to_numpy() for c in ("component", "n"))
+        sig, good, right = signature_matrix(cell.column("sig")), np.zeros(len(few), bool), np.flatnonzero(~few)
+        if by_band:
+            bands = np.array(cell.column("bands").combine_chunks().flatten()).reshape(-1, scheme.bands)
+            bands = bands[:, : int(np.argmax(bands[0] == cell.column("key")[0].as_py()))]
+        for x in np.flatnonzero(few).tolist():
+            y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= scheme.percent * np.maximum(n[right], n[x]))]
+            y = y[(sig[y] == sig[x]).sum(1) >= scheme.least_equal]
+            if by_band and len(y):
+                y = y[~(bands[y] == bands[x]).any(1)]  # taken in an earlier band
+            good[y] = True
+            good[x] |= len(y) > 0
+        kept = cell.select(["key", "rep", "few"]).filter(pa.array(good))
+        return kept.combine_chunks().to_batches()[0] if good.any() else None
+
+    return run
+
+
+def compared(scheme: Scheme):
+    """Of a cell the links (a, b) by full sets."""
+
+    def run(cell: pa.Table, few: np.ndarray) -> pa.RecordBatch | None:
         rep, comp, n = (cell.column(c).to_numpy() for c in ("rep", "component", "n"))
-        sig = np.frombuffer(b"".join(cell.column("sig").to_pylist()), np.uint8).reshape(-1, SLOTS)
-        bands = np.array(cell.column("bands").combine_chunks().flatten()).reshape(-1, scheme.bands)[:, :band]
         sets, of, _, _ = shingle_sets(cell.column("text").combine_chunks(), scheme.size)
         begin = np.searchsorted(of, np.arange(len(rep) + 1))
         right, a, b = np.flatnonzero(~few), [], []
         for x in np.flatnonzero(few).tolist():
             y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= scheme.percent * np.maximum(n[right], n[x]))]
-            y = y[(sig[y] == sig[x]).sum(1) >= scheme.least_equal]
-            y = y[~(bands[y] == bands[x]).any(1)]  # taken in an earlier band
             common = common_sizes(sets[begin[x] : begin[x + 1]], sets, begin, y)
             y = y[(100 * common >= scheme.percent * (n[y] + n[x] - common)) & (common > 0)]
             y = y[np.unique(comp[y], return_index=True)[1]]  # one link joins the components
             a += np.minimum(rep[y], rep[x]).tolist()
             b += np.maximum(rep[y], rep[x]).tolist()
-        return a, b
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return run
+
+
+def cellwise(function: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None]):
+    """Applies function(rows, few) to each cell with both sides, of rows that are sorted by cell."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell = np.stack([batch.column(c).to_numpy() for c in ("band", "key", "i", "j")])
+            cell = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
             cuts = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 key = tuple(cell[:, lo].tolist())
                 if key != last and held:
-                    yield from emitted(pa.Table.from_batches(held))
+                    yield pa.Table.from_batches(held)
                     held = []
                 held.append(batch.slice(lo, hi - lo))
                 last = key
         if held:
-            yield from emitted(pa.Table.from_batches(held))
-        give_back()
+            yield pa.Table.from_batches(held)
 
-    def emitted(cell: pa.Table) -> Iterator[pa.RecordBatch]:
-        few = cell.column("few").to_numpy()
-        if few.any() and not few.all():
-            a, b = pairs(cell, cell.column("band")[0].as_py())
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in cells(batches):
+            few = cell.column("few").to_numpy()
+            if few.any() and not few.all():
+                found = function(cell, few)
+                if found is not None:
+                    yield found
+        give_back()
 
     return run

@@ -5,10 +5,12 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
-_BASE, _BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-#: Bytes hashed in one go; the tables of powers are as long.
+#: Words are polynomials over two prime fields, so that no pattern of bytes makes them collide (modulo 2**64 some do,
+#: whatever the base). The primes and the bases.
+_FIELDS = ((2**31 - 1, 1_103_515_245), (2**31 - 19, 1_812_433_253))
+#: Bytes hashed in one go; the tables of powers are as long. 256 * 2**31 * _STEP must stay below 2**64.
 _STEP = 1 << 18
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
 
 def lower_table() -> np.ndarray:
@@ -50,44 +52,55 @@ def find_words(data: np.ndarray, at: np.ndarray, of: np.ndarray) -> tuple[np.nda
     edge = at[(at > 0) & (at < n)]
     begins[edge] |= inside[edge]
     ends = inside.copy()
-    ends[:-1] &= ~inside[1:] 
+    ends[:-1] &= ~inside[1:]
     ends[edge - 1] |= inside[edge - 1]
     first = np.flatnonzero(begins)
     return first, np.flatnonzero(ends) + 1, np.searchsorted(at, first, "right") - 1
 
 
 def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial modulo 2**64 over prefix sums, mixed."""
+    """A 64-bit hash of each word: two polynomials over prime fields from prefix sums, and the word's length, mixed.
+
+    Two given words of n bytes have equal hashes with a likelihood of about (n / 2**31)**2.
+    """
     out = np.empty(len(first), np.uint64)
     k = 0
     with np.errstate(over="ignore"):
         while k < len(first):
             lo = first[k]
             to = max(k + 1, int(np.searchsorted(last, lo + _STEP, "right")))
-            n = int(last[to - 1] - lo)
-            powers, inverse = _powers(n)
-            sums = np.empty(n + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum((data[lo : lo + n].astype(np.uint64) + _U(1)) * powers[:n], out=sums[1:])
-            s = first[k:to] - lo
-            out[k:to] = (sums[last[k:to] - lo] - sums[s]) * inverse[s]
+            parts = [_polynomial(data[lo : last[to - 1]], first[k:to] - lo, last[k:to] - lo, field) for field in range(2)]
+            out[k:to] = parts[0] << _U(32) | parts[1]
             k = to
-        return mix(out ^ (last - first).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(_STEP, 1 << (n - 1).bit_length())
-    if size not in _tables:
-        if size > _STEP:
-            return tuple(_power_table(x, size) for x in (_BASE, _BASE_INVERSE))
-        _tables[size] = tuple(_power_table(x, size) for x in (_BASE, _BASE_INVERSE))
-    return _tables[size]
-
-
-def _power_table(base: int, n: int) -> np.ndarray:
-    x = np.full(n, base, np.uint64)
-    x[0] = 1
-    return np.cumprod(x)
+        return mix(out ^ mix((last - first).astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
+
+
+def _polynomial(data: np.ndarray, first: np.ndarray, last: np.ndarray, field: int) -> np.ndarray:
+    """The sum of (byte + 1) * base**(n - 1 - place) of each word of n bytes, in the field."""
+    prime, base = _U(_FIELDS[field][0]), _FIELDS[field][1]
+    if len(data) > _STEP:  # one long word, in pieces: Horner's rule
+        total = _U(0)
+        for at in range(0, len(data), _STEP):
+            part = data[at : at + _STEP]
+            total = (total * _U(pow(base, len(part), int(prime))) + _polynomial(part, np.zeros(1, np.int64), np.array([len(part)]), field)[0]) % prime
+        return np.array([total], np.uint64)
+    if field not in _tables:
+        _tables[field] = [_powers(base, int(prime)), _powers(pow(base, -1, int(prime)), int(prime))]
+    down, up = _tables[field][1], _tables[field][0]
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum((data.astype(np.uint64) + _U(1)) * down[: len(data)], out=sums[1:])
+    return (sums[last] - sums[first]) % prime * up[last - 1] % prime
+
+
+def _powers(base: int, prime: int) -> np.ndarray:
+    """base**k modulo prime for k up to _STEP, by doubling."""
+    out = np.ones(_STEP, np.uint64)
+    n = 1
+    while n < _STEP:
+        out[n : 2 * n] = out[:n] * _U(pow(base, n, prime)) % _U(prime)
+        n *= 2
+    return out
 
 
 def gram_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -102,11 +115,6 @@ def gram_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
         return mix(total + _U(k))
 
 
-def per_text(of: np.ndarray, texts: int) -> np.ndarray:
-    """Where each text's words begin among all words (one more: the end)."""
-    return np.searchsorted(of, np.arange(texts + 1))
-
-
 def same_text(of: np.ndarray, k: int) -> np.ndarray:
     """True where k consecutive words lie in one text."""
     n = len(of) - k + 1

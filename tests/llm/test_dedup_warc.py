@@ -6,9 +6,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from terrasheet.llm import near_dedup, warc
+from terrasheet.llm import near_dedup, warc, words
 
 
 def groups(rows, size, percent):
@@ -71,12 +72,46 @@ def test_small_blocks_find_the_same(spark, monkeypatch):
 
 
 def test_groups_of_odd_tables(spark):
-    df = spark.createDataFrame([(None, "a b c"), (3, None), (5, "a b c"), (5, "a b c")], "doc_id long, text string")
-    rows = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_groups(df).collect()), key=str)
-    assert rows == sorted([(None, 5, True), (3, 3, True), (5, 5, True), (5, 5, True)], key=str) or rows[0][0] == 3
+    data = [(None, "a b c"), (None, "lonely"), (None, None), (3, None), (5, "a b c"), (5, "a b c"), (7, "A  B c"), (9, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    rows = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(df).collect()), key=str)
+    copies = [(None, 1, 5, False), (5, 1, 5, True), (5, 1, 5, True), (7, 1, 5, False)]
+    assert rows == sorted([*copies, (None, 1, None, True), (None, 0, None, True), (3, 0, 3, True), (9, 0, 9, True)], key=str)
     assert near_dedup.near_groups(df.limit(0)).count() == 0
 
 
+def test_words_without_collisions():
+    """Thue-Morse words collide under any polynomial modulo a power of two."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    long = "x" * 700_000  # longer than a table of powers
+    hashes = near_dedup.shingle_sets(pa.array([word, other, long, long + "x", long[:-1] + "y", long]), 1)[0]
+    assert len(set(hashes.tolist())) == 5
+    data = np.frombuffer(b"abc ab " + long.encode(), np.uint8)
+    for (prime, base), field in zip(words._FIELDS, (0, 1), strict=True):
+        want = [sum((c + 1) * pow(base, len(w) - 1 - k, prime) for k, c in enumerate(w)) % prime for w in (b"abc", b"ab")]
+        assert words._polynomial(data[:7], np.array([0, 4]), np.array([3, 6]), field).tolist() == want
+        total = 0
+        for c in long.encode():
+            total = (total * base + c + 1) % prime
+        assert words._polynomial(data[7:], np.zeros(1, np.int64), np.array([len(long)]), field).tolist() == [total]
+
+
+def test_long_texts_and_thue_morse_words_in_groups(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    rng = random.Random(1)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]  # longer than a slice
+    near = list(long)
+    near[1000:1010] = ["changed"] * 10
+    rows = [(1, f"{word} {word} {word}"), (3, word.translate(str.maketrans("ab", "ba")) + f" {word} {word}"), (4, " ".join(long)), (5, " ".join(near)), (6, " ".join(long[:150_000]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: c for i, (_, c) in got.items()} == {1: 1, 3: 3, 4: 4, 5: 4, 6: 6} and got[4][0] == len(set(zip(long, long[1:], long[2:])))
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 400).astype(np.uint64)
