@@ -2,18 +2,19 @@
 
 Writing. A page whose payload (at least LEAST_REVISIT bytes) equals that of a page with a larger id becomes a revisit
 record, which has no payload but names the response. Payloads are compared by their SHA-256; only digests and ids are
-grouped, and the groups are stored before the join, so that Spark can split a hot one. Each record is one row of Spark's
-text writer, whose commit protocol takes care of lost executors: a plain record ends with the writer's line separator,
-CRLF. A compressed record is a gzip member (or several, of at most MEMBER_BYTES each, in one row), whose last byte, the
-highest of its length, is always zero and is the separator.
+grouped and joined, and only revisits are joined with the pages, by id and digest, so that no key is hot. Whole records,
+ROW_BYTES of them or so, are one row of Spark's text writer, whose commit protocol takes care of lost executors, and
+FILE_ROWS rows are a file: that bounds files by bytes. A plain record ends with the writer's line separator, CRLF. A
+compressed record is a gzip member (or several, of at most MEMBER_BYTES each), whose last byte, the highest of its length,
+is always zero and is the separator.
 
 Reading. A file is walked from record to record. Each must have a version line, headers, a block of the length that they
 tell, two line ends, and the digests that they tell; a gzip member must end with its checksum. Where a check fails, the
 reader looks for the next member or version line at which a whole record begins, reads on from there, and reports the
-bytes between as a gap with the reason.
+bytes between as a gap with the reason. gaps are the log of what was quarantined; complete makes any of them an error.
 
 Null payloads are empty, null addresses `urn:none`; a null id is smaller than all others. Rows that share id and payload
-get records of one id. Archives are bounded by FILE_RECORDS records; a record must fit in a task's memory.
+get records of one id. Other columns don't matter. An archive that is read must fit in a task's memory, as must a record.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import stored, text_slices
 
-LEAST_REVISIT, FILE_RECORDS = 1000, 2000
+LEAST_REVISIT = 1000
+#: Bytes of records (before compression) that make a row of the text writer, or one longer record, and rows of a file.
+ROW_BYTES, FILE_ROWS = 4 << 20, 16
 #: Bytes of a gzip member before compression: under 1 << 24, so that the last byte of its length is zero.
 MEMBER_BYTES = 15 << 20
 
@@ -103,25 +106,36 @@ def with_revisits(pages: DataFrame, id_column: str, url_column: str, payload_col
     payload = F.encode(F.coalesce(F.col(payload_column), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_column).alias("id"), F.coalesce(F.col(url_column).cast("string"), F.lit("urn:none")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("same", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
-    groups = rows.where("same is not null").groupBy("same").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1").select("same", "last")
-    rows = rows.join(stored(groups, "warc-groups"), "same", "left")
-    return rows.select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    known = rows.where("same is not null").select("id", "same")
+    last = stored(known.groupBy("same").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1").select("same", "last"), "warc-groups")
+    revisits = stored(known.join(last, "same").where(~F.col("id").eqNullSafe(F.col("last"))).distinct().toDF("_same", "_id", "refers_to"), "warc-revisits")
+    both = rows.join(revisits, F.col("id").eqNullSafe(F.col("_id")) & (F.col("same") == F.col("_same")), "left")
+    return both.select("id", "url", "payload", "refers_to")
 
 
-def write_archives(rows: DataFrame, path: str, compress: bool = True, date: str = "2026-01-01T00:00:00Z", file_records: int = FILE_RECORDS) -> None:
+def write_archives(rows: DataFrame, path: str, compress: bool = True, date: str = "2026-01-01T00:00:00Z", row_bytes: int = ROW_BYTES, file_rows: int = FILE_ROWS) -> None:
     """Writes rows (id, url, payload, refers_to) as archives in the folder `path`, with Spark's text writer."""
+    end = b"\0" if compress else b"\r\n"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in text_slices(batches, "payload"):
-            out = []
             for number, url, payload, refers_to in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "payload", "refers_to")), strict=True):
                 own = record(str(number), url, date, payload, refers_to)
-                out.append(packed_record(own + b"\r\n") if compress else own)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                if held and size + len(own) > row_bytes:
+                    yield row(held)
+                    held, size = [], 0
+                held.append(packed_record(own + b"\r\n") if compress else own)
+                size += len(own)
+        if held:
+            yield row(held)
+
+    def row(held: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([end.join(held)], pa.binary())], ["record"])
 
     given = rows.select(F.col("id").cast("string").alias("id"), "url", "payload", F.col("refers_to").cast("string").alias("refers_to"))
     lines = given.mapInArrow(build, "record binary").select(F.col("record").cast("string"))
-    lines.write.option("lineSep", "\0" if compress else "\r\n").option("maxRecordsPerFile", file_records).text(path)
+    lines.write.option("lineSep", end.decode()).option("maxRecordsPerFile", file_rows).text(path)
 
 
 # ---- reading
@@ -262,3 +276,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", "content").mapInArrow(read, READ)
+
+
+def gaps(found: DataFrame) -> DataFrame:
+    """The log of what was left out: (archive, begin, end, gap) of the rows of read_archives."""
+    return found.where("gap is not null").select("archive", "begin", "end", "gap")
+
+
+def complete(found: DataFrame) -> DataFrame:
+    """The records of read_archives; a gap is an error that names its archive, bytes and reason."""
+    told = F.concat(F.lit("a gap in "), F.col("archive"), F.lit(", bytes "), F.col("begin").cast("string"), F.lit(" to "), F.col("end").cast("string"), F.lit(": "), F.col("gap"))
+    return found.where(F.when(F.col("gap").isNull(), True).otherwise(F.raise_error(told).isNull()))

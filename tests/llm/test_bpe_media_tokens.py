@@ -113,6 +113,44 @@ def test_companding_tables():
     assert media.ALAW[[0xD5, 0x55, 0xAA, 0x2A]].tolist() == [8, -8, 32256, -32256]
 
 
+def scalar_mulaw(code):
+    code = ~code & 0xFF
+    size = (((code & 15) * 8 + 132) << (code >> 4 & 7)) - 132
+    return -size if code & 128 else size
+
+
+def scalar_alaw(code):
+    code ^= 0x55
+    size = (code & 15) * 16 + 8
+    if code >> 4 & 7:
+        size = (size + 256) << (code >> 4 & 7) - 1
+    return size if code & 128 else -size
+
+
+def scalar_feature(data):
+    """The feature of mu-law bytes, a sample at a time; the PCM has every other sample."""
+    pack = lambda samples: b"".join(x.to_bytes(2, "little", signed=True) for x in samples)
+    own, law = [scalar_mulaw(b) for b in data], [scalar_alaw(b) for b in data]
+    ima = [x for k in range(0, len(data), 64) for x in scalar_ima(data[k : k + 64])]
+    changes = sum((a < 0) != (b < 0) for a, b in zip(own, own[1:], strict=False))
+    heard = pack(own[::2])
+    return ":".join(map(str, [len(own), sum(x * x for x in own), max(map(abs, own)), changes, *(zlib.crc32(pack(x)) for x in (own, law, ima)), len(heard), zlib.crc32(heard)]))
+
+
+def test_resampling_against_a_scalar_loop():
+    pcm = np.random.default_rng(2).integers(-32768, 32768, 999).astype(np.int16)
+    for rate, to in ((8000, 16000), (8000, 24000), (8000, 4000), (8000, 6000), (11025, 8000), (8000, 8000)):
+        want = []
+        for k in range(-(-len(pcm) * to // rate)):
+            at = k * rate / to
+            low = min(int(at), len(pcm) - 1)
+            high = min(low + 1, len(pcm) - 1)
+            want.append(float(pcm[low]) + (at - low) * (float(pcm[high]) - float(pcm[low])))
+        got = media.resample(pcm, rate, to)
+        assert len(got) == len(want) and np.abs(got - np.array(want)).max() <= 1
+    assert len(media.resample(pcm[:0], 8000, 16000)) == 0
+
+
 def test_media_round_trip(spark, tmp_path):
     texts = TEXTS + ["z" * 64, "z" * 65]
     rows = {r.doc_id: r for r in queries.op7_media(spark, documents(tmp_path, spark, texts)).collect()}
@@ -125,6 +163,7 @@ def test_media_round_trip(spark, tmp_path):
         assert r.tail_crc32 == zlib.crc32(padded[-64:])
         file = media.wav(padded, "mulaw")
         assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
+        assert r.feature == scalar_feature(padded)
     assert rows[8].feature == rows[9].feature
 
 

@@ -2,11 +2,13 @@
 
 import gzip
 import hashlib
+import os
 import random
 import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from terrasheet.llm import near_dedup, warc, words
@@ -190,13 +192,46 @@ def test_long_addresses_and_records_at_the_end_of_files(spark, tmp_path):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
     for compress in (True, False):
         at = f"{tmp_path}/{compress}"
-        warc.write_archives(warc.with_revisits(df, "page_id", "url", "html").coalesce(1), at, compress=compress, file_records=1)
+        warc.write_archives(warc.with_revisits(df, "page_id", "url", "html").coalesce(1), at, compress=compress, row_bytes=1, file_rows=1)
         read = warc.read_archives(spark, at).collect()
         assert all(r.gap is None for r in read) and len({r.archive for r in read}) == len(rows)
         got = {int(r.record_id.removeprefix(warc.ID_PREFIX)): (r.url, r.payload.decode()) for r in read}
         assert got == {i: (u.replace(" ", "%20"), h) for i, u, h in rows}
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    rows = spark.range(400).select(F.col("id").alias("page_id"), F.concat(F.lit("u"), "id").alias("url"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 100).alias("html")).coalesce(1)
+    for compress in (True, False):
+        at = f"{tmp_path}/{compress}"
+        warc.write_archives(warc.with_revisits(rows, "page_id", "url", "html").coalesce(1), at, compress=compress, row_bytes=50_000, file_rows=4)
+        sizes = [r.length for r in spark.read.format("binaryFile").load(at).select("length").collect()]
+        assert len(sizes) > 12 and max(sizes) <= 4 * 50_000 + 8
+        assert warc.complete(warc.read_archives(spark, at)).count() == 400
+
+
+def test_gaps_are_logged_and_can_be_errors(spark, tmp_path):
+    parts = whole(True)
+    hurt = bytearray(parts[2])
+    hurt[20] ^= 0x55
+    os.makedirs(f"{tmp_path}/a")
+    with open(f"{tmp_path}/a/one.warc.gz", "wb") as f:
+        f.write(b"".join([*parts[:2], bytes(hurt), *parts[3:]]))
+    found = warc.read_archives(spark, f"{tmp_path}/a")
+    begin = len(parts[0]) + len(parts[1])
+    assert [(r.begin, r.end) for r in warc.gaps(found).collect()] == [(begin, begin + len(hurt))]
+    assert found.where("gap is null").count() == len(PAGES) - 1
+    with pytest.raises(Exception, match=f"a gap in .*one.warc.gz, bytes {begin} to"):
+        warc.complete(found).select("record_id").collect()
+
+
+def test_revisits_of_rows_without_ids_and_repeated_rows(spark):
+    x, y = "x" * 1500, "y" * 1500
+    rows = [(None, x), (4, x), (4, x), (7, x), (None, y), (3, "short"), (9, "short"), (5, y), (5, "z" * 1500)]
+    df = spark.createDataFrame([(i, "u", t) for i, t in rows], "page_id long, url string, html string")
+    got = sorted(((r.id, bytes(r.payload).decode()[0], r.refers_to) for r in warc.with_revisits(df, "page_id", "url", "html").collect()), key=str)
+    assert got == sorted([(None, "x", 7), (4, "x", 7), (4, "x", 7), (7, "x", None), (None, "y", 5), (3, "s", None), (9, "s", None), (5, "y", None), (5, "z", None)], key=str)
+
+
 def test_headers_longer_than_a_member(monkeypatch):
     monkeypatch.setattr(warc, "MEMBER_BYTES", 500)
     found = list(warc.salvage(warc.packed_record(warc.record("1", "u" * 2000, "d", b"z" * 3000, None) + b"\r\n") + b"\0"))
@@ -206,4 +241,3 @@ def test_headers_longer_than_a_member(monkeypatch):
 def test_empty_table(spark, tmp_path):
     warc.write_archives(warc.with_revisits(pages(spark).limit(0), "page_id", "url", "html"), f"{tmp_path}/none")
     assert warc.read_archives(spark, f"{tmp_path}/none").count() == 0
-    assert F is not None
