@@ -1,11 +1,16 @@
 """Licence notices, with DataFrame functions only: normalised text against templates by Dice over word bigrams.
 
-A text's segments are its distinct lines and the text as a whole. Segments and templates become lower-case words of
-letters and digits, and the set of their word bigrams. The Dice coefficient of sets of a and b bigrams is at most
-2 * min(a, b) / (a + b), so a template is compared only with segments whose size can reach the threshold; segments that
-share no bigram with any template are left out first. Templates are literals of the plan: a list of notices, not data.
-
-One pass without a shuffle or a join. Null and empty texts, and texts of one word, have no segments with bigrams.
+A text's segments are its distinct lines, the text as a whole, and, for each template, windows of as many words as it has,
+one beginning every eighth of that: a notice that is wrapped over lines, or stands within a line, is seen whole or nearly
+so. Segments and templates become lower-case words of letters and digits, and the set of their word bigrams. The Dice
+coefficient of sets of a and b bigrams is at most 2 * min(a, b) / (a + b), so a template is compared only with segments
+whose size can reach the threshold; segments that share no bigram with any template are left out first, and so are the
+windows of a template of which the text hasn't as many bigrams as any window would need. Templates are literals of the
+plan: a list of notices, not data.
+
+One pass without a shuffle or a join, in time proportional to a text's length. Null and empty texts, and texts of one word,
+have no segments with bigrams. Repeated rows have equal results; very long texts are treated whole, in a task's memory.
+Only the named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -15,20 +20,28 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Short notices by SPDX-like id.
+#: Notices, headers and bodies by SPDX-like id.
 TEMPLATES = {
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "BSD-2-Clause-body": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "BSD-3-Clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "BSD-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MIT": "Released under the MIT License.",
     "MIT-body": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    "MIT-full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
 #: Least Dice coefficient of a match, in hundredths.
@@ -37,53 +50,77 @@ THRESHOLD = 80
 BREAK = r"[^a-z0-9\x80-\x{10FFFF}]+"
 
 
+def template_words(text: str) -> list[str]:
+    return re.findall(r"[a-z0-9]+", text.lower())
+
+
+def stride(words: int) -> int:
+    """Words from one window of so many words to the next."""
+    return max(1, words // 8)
+
+
 def template_bigrams(text: str) -> list[str]:
-    words = re.findall(r"[a-z0-9]+", text.lower())
+    words = template_words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def bigrams(segment: Column) -> Column:
-    """The distinct bigrams of a segment's words."""
-    words = F.filter(F.split(F.lower(segment), BREAK, -1), lambda w: w != "")
+def words_of(segment: Column) -> Column:
+    return F.filter(F.split(F.lower(segment), BREAK, -1), lambda w: w != "")
+
+
+def bigrams(words: Column) -> Column:
+    """The distinct bigrams of an array of words."""
     pairs = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
     return F.transform(F.array(words), lambda w: F.when(F.size(w) > 1, F.array_distinct(pairs(w))).otherwise(F.array().cast("array<string>")))[0]
 
 
 def licences(df: DataFrame, id_column: str, text_column: str, templates: dict[str, str] | None = None, threshold: int = THRESHOLD) -> DataFrame:
-    """(id, n_segments, n_matched, licences, best, best_dice) for each row.
+    """(id, n_segments, n_matched, n_windows, licences, best, best_dice) for each row.
 
-    n_matched: segments that reach the threshold with a template; licences: the ids of all such templates, sorted and
-    comma-joined; best: the one of the highest coefficient, the first id of equals, or null; best_dice: its coefficient in
-    whole millionths (rounded down), or null.
+    n_segments: its distinct lines that aren't empty, and the whole text if it has several; n_matched: those of them that
+    reach the threshold with a template; n_windows: windows that reach it with theirs; licences: the ids of all templates
+    that are reached, sorted and comma-joined; best: the one of the highest coefficient, the first id of equals, or null;
+    best_dice: its coefficient in whole millionths (rounded down), or null.
     """
-    known = {k: template_bigrams(v) for k, v in sorted((templates or TEMPLATES).items())}
-    known = {k: v for k, v in known.items() if v}
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    lines = F.split(text, "\n", -1)
-    segments = F.filter(F.array_distinct(F.when(F.size(lines) > 1, F.array_append(lines, text)).otherwise(lines)), lambda s: s != "")
-    found = df.select(F.col(id_column), segments.alias("segments"))
+    known = {k: v for k, v in sorted((templates or TEMPLATES).items()) if len(template_words(v)) > 1}
+    sets = {k: template_bigrams(v) for k, v in known.items()}
+    given = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    lines = F.split("text", "\n", -1)
+    segments = F.filter(F.array_distinct(F.when(F.size(lines) > 1, F.array_append(lines, F.col("text"))).otherwise(lines)), lambda s: s != "")
     if not known:
         none = F.lit(None)
-        return found.select(id_column, F.size("segments").cast("long").alias("n_segments"), F.lit(0).cast("long").alias("n_matched"), F.lit("").alias("licences"), none.cast("string").alias("best"), none.cast("long").alias("best_dice"))
-    any_bigram = F.array(*[F.lit(x) for x in sorted(set().union(*known.values()))])
+        return given.select(F.col("id").alias(id_column), F.size(segments).cast("long").alias("n_segments"), *[F.lit(0).cast("long").alias(c) for c in ("n_matched", "n_windows")], F.lit("").alias("licences"), none.cast("string").alias("best"), none.cast("long").alias("best_dice"))
+    any_bigram = F.array(*[F.lit(x) for x in sorted(set().union(*sets.values()))])
     reach = lambda n: (n * threshold // (200 - threshold), -(-n * (200 - threshold) // threshold))
-    least = min(reach(len(v))[0] for v in known.values())
-    most = max(reach(len(v))[1] for v in known.values())
-    sets = F.filter(F.transform("segments", bigrams), lambda b: (F.size(b) > 0) & (F.size(b) >= least) & (F.size(b) <= most) & F.arrays_overlap(b, any_bigram))
-
-    def against(b: Column) -> Column:
-        """The templates that a segment reaches: struct<d: -millionths, id>."""
-        tries = []
-        for name, own in known.items():
-            n, (lo, hi) = len(own), reach(len(own))
-            common = F.size(F.array_intersect(b, F.array(*[F.lit(x) for x in own]))).cast("long")
-            total = F.size(b).cast("long") + n
-            near = F.size(b).between(lo, hi)
-            tries.append(F.when(near & (F.when(near, common * 200).otherwise(0) >= threshold * total), F.struct((-(common * 2000000 - F.pmod(common * 2000000, total)) / total).cast("long").alias("d"), F.lit(name).alias("id"))))
-        return F.array_compact(F.array(*tries))
-
-    matched = found.select(id_column, "segments", F.filter(F.transform(sets, against), lambda x: F.size(x) > 0).alias("matched"))
-    hits = F.flatten("matched")
+    least = min(reach(len(v))[0] for v in sets.values())
+    most = max(reach(len(v))[1] for v in sets.values())
+    found = given.select("id", segments.alias("segments"), F.concat(F.array_join(words_of(F.col("text")), " "), F.lit(" ")).alias("norm"))
+    tried = F.filter(F.transform("segments", lambda s: bigrams(words_of(s))), lambda b: (F.size(b) > 0) & (F.size(b) >= least) & (F.size(b) <= most) & F.arrays_overlap(b, any_bigram))
+
+    def match(b: Column, name: str) -> Column:
+        """struct<d: -millionths, id> if the bigrams reach the template, else null."""
+        own = sets[name]
+        lo, hi = reach(len(own))
+        common = F.size(F.array_intersect(b, F.array(*[F.lit(x) for x in own]))).cast("long")
+        total = F.size(b).cast("long") + len(own)
+        near = F.size(b).between(lo, hi)
+        return F.when(near & (F.when(near, common * 200).otherwise(0) >= threshold * total), F.struct((-(common * 2000000 - F.pmod(common * 2000000, total)) / total).cast("long").alias("d"), F.lit(name).alias("id")))
+
+    def windows(norm: Column, shared: Column, name: str) -> Column:
+        """The matches of a template's windows, if the text shares as many of its bigrams as a window must have."""
+        n = len(template_words(known[name]))
+        cut = f"(?=((?:[^ ]++ ){{1,{n}}}))(?:[^ ]++ ){{1,{stride(n)}}}"
+        needed = reach(len(sets[name]))[0]
+        enough = F.size(F.array_intersect(shared, F.array(*[F.lit(x) for x in sets[name]]))) >= needed
+        tries = F.transform(F.regexp_extract_all(norm, F.lit(cut), F.lit(1)), lambda w: match(bigrams(F.filter(F.split(w, " "), lambda x: x != "")), name))
+        return F.when(enough, F.array_compact(tries)).otherwise(F.array().cast("array<struct<d: bigint, id: string>>"))
+
+    shared = F.array_intersect(bigrams(F.filter(F.split("norm", " "), lambda w: w != "")), any_bigram)
+    inside = F.flatten(F.transform(F.array(shared), lambda s: F.concat(*[windows(F.col("norm"), s, k) for k in known])))
+    matched = F.filter(F.transform(tried, lambda b: F.array_compact(F.array(*[match(b, k) for k in known]))), lambda x: F.size(x) > 0)
+    both = found.select("id", "segments", matched.alias("matched"), inside.alias("inside"))
+    hits = F.concat(F.flatten("matched"), F.col("inside"))
     best = F.array_min(hits)
     names = F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda x: x["id"]))), ",")
-    return matched.select(id_column, F.size("segments").cast("long").alias("n_segments"), F.size("matched").cast("long").alias("n_matched"), names.alias("licences"), best["id"].alias("best"), (-best["d"]).alias("best_dice"))
+    size = lambda c: F.size(c).cast("long")
+    return both.select(F.col("id").alias(id_column), size("segments").alias("n_segments"), size("matched").alias("n_matched"), size("inside").alias("n_windows"), names.alias("licences"), best["id"].alias("best"), (-best["d"]).alias("best_dice"))

@@ -139,21 +139,51 @@ def pairs(text):
     return set(zip(words, words[1:], strict=False))
 
 
+def wrapped(text, width):
+    words, lines = text.split(), [[]]
+    for w in words:
+        if sum(map(len, lines[-1])) + len(lines[-1]) + len(w) > width:
+            lines.append([])
+        lines[-1].append(w)
+    return ["# " + " ".join(x) for x in lines]
+
+
 def test_licences_against_brute_force(spark):
     known = license_scan.TEMPLATES
+    rng = random.Random(2)
+    prose = lambda n: "\n".join(" ".join(rng.choices(["the", "of", "words", "this", "license", "software", "is"], k=9)) for _ in range(n))
     texts = ODD + list(known.values()) + ["Intro.\n" + known["MIT"] + "\nmore", known["GPL-3.0"].upper(), known["Apache-2.0"] + " x", "Released under the license", known["MIT"] + "\n" + known["MIT"]]
-    rows = license_scan.licences(frame(spark, texts), "doc_id", "text").orderBy("doc_id").collect()
-    for row, text in zip(rows, texts, strict=True):
+    inside = {len(texts) + k: name for k, name in enumerate(known)}
+    texts += [prose(3) + "\n" + "\n".join(wrapped(v, 60)) + "\n" + prose(60) for v in known.values()]
+    texts.append("code. " + known["MIT"] + " More code.")
+    cut = lambda t: [w for w in re.split(r"[^a-z0-9\x80-\U0010ffff]+", t.lower()) if w]
+    for row, text in zip(license_scan.licences(frame(spark, texts), "doc_id", "text").orderBy("doc_id").collect(), texts, strict=True):
         lines = (text or "").split("\n")
         segments = dict.fromkeys(s for s in [*lines, *([text] if len(lines) > 1 else [])] if s)
-        scores = {(k, s): dice(pairs(v), pairs(s)) for k, v in known.items() for s in segments}
-        hits = sorted({k for (k, _), d in scores.items() if d >= 0.8 - 1e-12})
-        assert row.n_segments == len(segments) and row.licences == ",".join(hits)
+        scores = [(dice(pairs(v), pairs(s)), k, s) for k, v in known.items() for s in segments]
+        words, windows = cut(text or ""), []
+        for k, v in known.items():
+            m = len(cut(v))
+            windows += [(dice(pairs(v), pairs(" ".join(words[i : i + m]))), k) for i in range(0, len(words), max(1, m // 8))]
+        good = [x for x in scores if x[0] >= 0.8 - 1e-12]
+        within = [x for x in windows if x[0] >= 0.8 - 1e-12]
+        hits = {x[1] for x in good + within}
+        assert (row.n_segments, row.n_matched, row.n_windows, row.licences) == (len(segments), len({x[2] for x in good}), len(within), ",".join(sorted(hits)))
         if hits:
-            best = max(d for d in scores.values())
-            assert row.best == min(k for (k, _), d in scores.items() if d == best) and row.best_dice == int(best * 1_000_000 + 1e-6)
+            best = max(x[0] for x in good + within)
+            assert row.best == min(x[1] for x in good + within if x[0] == best) and row.best_dice == int(best * 1_000_000 + 1e-6)
         else:
             assert row.best is None and row.best_dice is None
+        if row.doc_id in inside:  # wrapped over lines, within a longer text
+            assert inside[row.doc_id] in hits
+    assert "MIT" in license_scan.licences(frame(spark, texts[-1:]), "doc_id", "text").first().licences
+    assert license_scan.licences(frame(spark, []), "doc_id", "text").count() == 0
+
+
+def test_licences_in_a_long_text(spark):
+    text = "word another line\n" * 200_000 + "\n".join(wrapped(license_scan.TEMPLATES["MIT-full"], 70)) + "\nmore words" * 200_000
+    row = license_scan.licences(frame(spark, [text, text]), "doc_id", "text").collect()
+    assert row[0][1:] == row[1][1:] and {"MIT-full", "MIT-body"} <= set(row[0].licences.split(","))
 
 
 def brute(texts, items):
