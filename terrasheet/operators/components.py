@@ -1,6 +1,6 @@
 """Connected components of flagged pixels.
 
-Each tile is labelled in one task by joining runs of its rows; then only pixels on both sides of a tile border are joined
+Each tile is labelled in one task by joining runs of pixels of its rows; then only pixels on both sides of a tile border are joined
 as links between tile labels, whose components are found by star contraction. What is shuffled besides the pixels grows
 with the borders of the tiles. A component's label is y * width + x of its first pixel in reading order.
 """
@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import connected, settled
+from .graph import connected, least_reachable, settled
 
 #: Side of a tile in pixels: a task's group holds at most TILE * TILE of them.
 TILE = 256
@@ -21,26 +21,29 @@ WIDTH = 1 << 24
 
 
 def label_tile(y: np.ndarray, x: np.ndarray, diagonal: bool) -> np.ndarray:
-    """For each pixel the index of the first pixel (by y, x; the order of the input) of its component."""
-    n = len(y)
-    parent = np.arange(n)
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    at = {(a, b): k for k, (a, b) in enumerate(zip(y.tolist(), x.tolist(), strict=True))}
-    back = [(0, -1), (-1, 0)] + [(-1, -1), (-1, 1)] * diagonal
-    for (a, b), k in at.items():
-        for dy, dx in back:
-            j = at.get((a + dy, b + dx))
-            if j is not None:
-                p, q = root(j), root(k)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-    return np.array([root(k) for k in range(n)], np.int64) if n else np.zeros(0, np.int64)
+    """For each pixel (in order by y, x, each once) the index of the first pixel of its component.
+
+    Runs of neighbours in a row are found first; a run's neighbours in the row above lie between two places of a sorted
+    search, and only runs are joined one by one.
+    """
+    if not len(y):
+        return np.zeros(0, np.int64)
+    y, x, wide = y.astype(np.int64) - int(y.min()), x.astype(np.int64) - int(x.min()), int(x.max() - x.min()) + 3
+    fresh = np.ones(len(y), bool)
+    fresh[1:] = (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1)
+    begin = np.flatnonzero(fresh)
+    size = np.diff(np.append(begin, len(y)))
+    left = y[begin] * wide + x[begin] + 1
+    right = left + size - 1
+    corner = int(diagonal)
+    low = np.searchsorted(right, left - wide - corner)
+    many = np.maximum(np.searchsorted(left, right - wide + corner, "right") - low, 0)
+    own = np.repeat(np.arange(len(begin)), many)
+    above = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+    first = np.arange(len(begin))
+    nodes, least = least_reachable(own, above)
+    first[nodes] = least
+    return np.repeat(begin[first], size)
 
 
 def components(df: DataFrame, diagonal: bool = False, tile: int = TILE) -> DataFrame:

@@ -57,7 +57,8 @@ def threshold_sweep(matches: DataFrame, true_number: Column | int, predicted_num
     """(threshold, tp, precision, recall, f1) for each IoU threshold, in one pass.
 
     Several matches of one true segment all count, so recall can exceed 1 (one_to_one avoids it). Precision and recall
-    are rounded to four significant digits before F1 is made from them. Rates without a denominator are null.
+    are rounded to four significant digits before F1 is made from them. Rates without a denominator are null. The numbers
+    may be columns of one row, as DataFrame.scalar gives them.
     """
     steps = thresholds or IOU_THRESHOLDS
     hits = F.array(*[F.struct(F.lit(t).alias("threshold"), F.sum((F.col("iou") >= t).cast("long")).alias("tp")) for t in steps])
@@ -73,10 +74,12 @@ def histogram(df: DataFrame, value: Column, edges: list[float] | None = None) ->
     """(bin, low, high, n, percent) for every bin, empty ones too; the last one holds its upper edge."""
     edges = edges or IOU_BINS
     last = len(edges) - 2
-    inside = [(value >= a) & ((value < b) if i < last else (value <= b)) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-    counts = F.array(*[F.struct(F.lit(i).alias("bin"), F.lit(edges[i]).alias("low"), F.lit(edges[i + 1]).alias("high"), F.count_if(c).alias("n")) for i, c in enumerate(inside)])
-    rows = df.agg(counts.alias("b")).select(F.explode("b").alias("b"), F.aggregate("b", F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("all")).select("b.*", "all")
-    return rows.select("bin", "low", "high", "n", (100 * F.try_divide(F.col("n"), F.col("all"))).alias("percent"))
+    below = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= value)) - 1
+    place = F.when(value == edges[-1], last).when((below >= 0) & (below <= last), below)
+    counts = df.select(place.alias("bin")).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"))
+    every = df.sparkSession.createDataFrame([(i, float(edges[i]), float(edges[i + 1])) for i in range(last + 1)], "bin int, low double, high double")
+    rows = every.join(F.broadcast(counts), "bin", "left").select("bin", "low", "high", F.coalesce("n", F.lit(0)).cast("long").alias("n"))  # a row per bin
+    return rows.withColumn("percent", 100 * F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy())))
 
 
 def confusion(df: DataFrame, true: str, predicted: str, classes: list) -> DataFrame:

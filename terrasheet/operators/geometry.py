@@ -116,12 +116,22 @@ def representative_point(ring: Column) -> Column:
     return mapped(representative)(ring)[0]
 
 
-def crosses_itself(points: np.ndarray) -> bool:
-    """True if two edges of the ring that aren't neighbours cross each other."""
+def crosses_itself(points: np.ndarray, block: int = 256) -> bool:
+    """True if two edges of the ring that aren't neighbours cross each other.
+
+    Edges lie in order of their least x; a block of them meets only those that begin before its greatest x.
+    """
     a, b = points, np.roll(points, -1, 0)
+    left, right = np.minimum(a[:, 0], b[:, 0]), np.maximum(a[:, 0], b[:, 0])
+    order = np.argsort(left, kind="stable")
+    a, b, left, right = a[order], b[order], left[order], right[order]
     side = lambda p, q, r: np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
-    p, q, r, s = a[:, None], b[:, None], a[None], b[None]
-    return bool(((side(p, q, r) * side(p, q, s) < 0) & (side(r, s, p) * side(r, s, q) < 0)).any())
+    for k in range(0, len(a), block):
+        to = int(np.searchsorted(left, right[k : k + block].max(), "right"))
+        p, q, r, s = a[k : k + block, None], b[k : k + block, None], a[None, k:to], b[None, k:to]
+        if ((side(p, q, r) * side(p, q, s) < 0) & (side(r, s, p) * side(r, s, q) < 0)).any():
+            return True
+    return False
 
 
 def repaired(points: np.ndarray) -> np.ndarray:
@@ -210,11 +220,19 @@ def snap_to_lines(vertices: DataFrame, lines: DataFrame, reach: float, cell: flo
     """(line, vertex, u, x, y, distance): vertices (vertex, poly, x, y) less than `reach` from an edge (line, poly, ax, ay, bx, by_) of
     another polygon, not near its ends (0.05 <= u <= 0.95), and where on it they go.
 
-    Edges are dealt to the cells that their bounding box, widened by reach, touches; a vertex meets the edges of its cell.
+    An edge is dealt to the cells that it passes within reach: in each row of cells, those along its part there. A vertex
+    meets the edges of its own cell.
     """
     low = lambda a, b: F.floor((F.least(a, b) - reach) / cell).cast("int")
     top = lambda a, b: F.floor((F.greatest(a, b) + reach) / cell).cast("int")
-    dealt = lines.withColumn("cx", F.explode(F.sequence(low("ax", "bx"), top("ax", "bx")))).withColumn("cy", F.explode(F.sequence(low("ay", "by_"), top("ay", "by_")))).withColumnRenamed("poly", "line_poly")
+    rows = lines.withColumn("cy", F.explode(F.sequence(low("ay", "by_"), top("ay", "by_")))).withColumnRenamed("poly", "line_poly")
+    within = lambda v: F.least(F.greatest(v, F.least("ay", "by_")), F.greatest("ay", "by_"))
+    along = lambda v: F.coalesce(F.col("ax") + (F.col("bx") - F.col("ax")) * F.try_divide(within(v) - F.col("ay"), F.col("by_") - F.col("ay")), F.col("ax"))
+    at = [along(F.col("cy") * F.lit(float(cell)) - reach), along((F.col("cy") + 1) * F.lit(float(cell)) + reach)]
+    flat = F.col("ay") == F.col("by_")
+    first, last = F.when(flat, F.least("ax", "bx")).otherwise(F.least(*at)), F.when(flat, F.greatest("ax", "bx")).otherwise(F.greatest(*at))
+    spare = reach * (1 + 1e-6) + 1e-6
+    dealt = rows.withColumn("cx", F.explode(F.sequence(F.floor((first - spare) / cell).cast("int"), F.floor((last + spare) / cell).cast("int"))))
     met = vertices.withColumn("cx", F.floor(F.col("x") / cell).cast("int")).withColumn("cy", F.floor(F.col("y") / cell).cast("int")).join(dealt, ["cx", "cy"]).where("poly <> line_poly")
     dx, dy = F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay")
     square = dx * dx + dy * dy
@@ -242,23 +260,45 @@ def box_neighbours(labelled: DataFrame, reach: int, retained: DataFrame | None =
     return inside.select("map_id", "label", "neighbour").distinct()
 
 
-def holding(points: DataFrame, polygons: DataFrame, cell: float, key: str = "id", polygon: str = "poly", ring: str = "ring") -> DataFrame:
-    """(key, polygon) for each point (key, x, y) inside a ring. Rings are dealt to the cells that their box touches."""
-    box = rings.bounds(F.col(ring))
-    at = lambda c: F.floor(c / cell).cast("int")
-    dealt = polygons.where(F.size(ring) > 2).select(polygon, ring, F.explode(F.sequence(at(box["y0"]), at(box["y1"]))).alias("cy"), F.sequence(at(box["x0"]), at(box["x1"])).alias("cx")).withColumn("cx", F.explode("cx"))
-    met = points.select(key, "x", "y", at(F.col("x")).alias("cx"), at(F.col("y")).alias("cy")).join(dealt, ["cx", "cy"])
-    return met.where(rings.contains(F.col(ring), F.col("x"), F.col("y"))).select(key, polygon)
+def sides(polygons: DataFrame, keys: list[str], ring: str, holes: str | None = None) -> DataFrame:
+    """(keys, ax, ay, bx, by_): the edges of each polygon's ring, and of its holes, that aren't level."""
+    whole = F.array(F.col(ring)) if holes is None else F.concat(F.array(F.col(ring)), F.coalesce(F.col(holes), F.array().cast(f"array<{RING}>")))
+    edge = polygons.select(*keys, F.explode(F.flatten(F.transform(whole, lambda r: F.coalesce(rings.edges(r), F.array())))).alias("e"))
+    ends = [F.col(f"e.{k}.{c}").cast("double").alias(n) for k, c, n in (("a", "x", "ax"), ("a", "y", "ay"), ("b", "x", "bx"), ("b", "y", "by_"))]
+    return edge.select(*keys, *ends).where("ay <> by_")
+
+
+def crossing(y: Column) -> Column:
+    """The x at which an edge of `sides` crosses height y."""
+    return (F.col("bx") - F.col("ax")) * (y - F.col("ay")) / (F.col("by_") - F.col("ay")) + F.col("ax")
+
 
+def holding(points: DataFrame, polygons: DataFrame, band: float, key: str = "id", polygon: str = "poly", ring: str = "ring", holes: str | None = None) -> DataFrame:
+    """(key, polygon) for each point (key, x, y) inside a polygon, by the even-odd rule. key tells points apart.
 
-def rasterise(polygons: DataFrame, ring: str = "ring", keys: tuple[str, ...] = ("map_id", "label")) -> DataFrame:
-    """(keys, y, x): the pixels whose centre a ring holds, and those that its corners lie on."""
-    box = rings.bounds(F.col(ring))
-    span = lambda a, b: F.sequence(F.floor(box[a]).cast("int"), F.floor(box[b]).cast("int"))
-    rows = polygons.where(F.size(ring) > 0).select(*keys, ring, F.explode(span("y0", "y1")).alias("y"), span("x0", "x1").alias("_xs"))
-    cells = rows.select(*keys, ring, "y", F.explode("_xs").alias("x"))
-    corner = F.exists(F.col(ring), lambda p: (F.floor(p["x"]) == F.col("x")) & (F.floor(p["y"]) == F.col("y")))
-    return cells.where(rings.contains(F.col(ring), F.col("x") + F.lit(0.0), F.col("y") + F.lit(0.0)) | corner).select(*keys, "y", "x")
+    Edges are dealt to the bands of height `band` that they cross; a point meets the edges of its band and counts those that
+    a ray to the right crosses. No ring is copied; counts are summed before they are shuffled.
+    """
+    at = lambda c: F.floor(c / band).cast("long")
+    dealt = sides(polygons.where(F.size(ring) > 2), [polygon], ring, holes).withColumn("band", F.explode(F.sequence(at(F.least("ay", "by_")), at(F.greatest("ay", "by_")))))
+    met = points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), at(F.col("y")).alias("band")).join(dealt, "band")
+    crossed = met.where(((F.col("ay") > F.col("y")) != (F.col("by_") > F.col("y"))) & (F.col("x") < crossing(F.col("y"))))
+    return crossed.groupBy(key, polygon).agg(F.count("*").alias("n")).where("n % 2 = 1").select(key, polygon)
+
+
+def rasterise(polygons: DataFrame, ring: str = "ring", keys: tuple[str, ...] = ("map_id", "label"), holes: str | None = None) -> DataFrame:
+    """(keys, y, x): the pixels whose centre a polygon holds, and those that its ring's corners lie on. keys tell polygons apart.
+
+    By scan lines: an edge crosses each row of pixels between its ends once, and between an odd crossing of a row and the
+    next one all pixels are inside.
+    """
+    low, top = F.ceil(F.least("ay", "by_")).cast("int"), F.ceil(F.greatest("ay", "by_")).cast("int")
+    lines = sides(polygons, list(keys), ring, holes).where(low < top).withColumn("y", F.explode(F.sequence(low, top - 1))).select(*keys, "y", crossing(F.col("y").cast("double")).alias("at"))
+    row = Window.partitionBy(*keys, "y").orderBy("at")
+    spans = lines.select(*keys, "y", F.ceil("at").cast("int").alias("x0"), F.ceil(F.lead("at").over(row)).cast("int").alias("x1"), F.row_number().over(row).alias("k")).where("k % 2 = 1 and x0 < x1")
+    inside = spans.select(*keys, "y", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"))
+    corners = polygons.select(*keys, F.explode(ring).alias("p")).select(*keys, F.floor("p.y").cast("int").alias("y"), F.floor("p.x").cast("int").alias("x"))
+    return inside.union(corners).distinct()
 
 
 def outline(polygons: DataFrame, ring: str = "ring", keys: tuple[str, ...] = ("map_id", "label")) -> DataFrame:

@@ -7,7 +7,6 @@ Work scales with the number of maps (or objects), and a group must fit in a task
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -120,16 +119,52 @@ def traced(mask: np.ndarray) -> np.ndarray:
     return points[corner] if corner.any() else points
 
 
+def parts_of(mask: np.ndarray, diagonal: bool) -> list[np.ndarray]:
+    """The components of a mask as masks, the largest first; of equals the first in reading order."""
+    from .components import label_tile
+
+    ys, xs = np.nonzero(mask)
+    labels, sizes = np.unique(label_tile(ys, xs, diagonal), return_counts=True)
+    own = label_tile(ys, xs, diagonal)
+    out = []
+    for label in labels[np.argsort(-sizes, kind="stable")]:
+        one = np.zeros(mask.shape, bool)
+        one[ys[own == label], xs[own == label]] = True
+        out.append(one)
+    return out
+
+
+def hole_rings(mask: np.ndarray) -> list[np.ndarray]:
+    """The borders of the holes of a mask, the largest first: rings of the mask's own pixels around each."""
+    wide = np.pad(mask, 1)
+    out = []
+    for gap in parts_of(~wide, False):
+        if gap[0, 0]:
+            continue
+        grown = gap.copy()
+        for dy, dx in AROUND[::2]:
+            grown |= np.roll(gap, (dy, dx), (0, 1))
+        ring = traced(grown) - 1
+        if len(ring) > 2:
+            out.append(ring)
+    return out
+
+
 def contours(labelled: DataFrame) -> DataFrame:
-    """(map_id, label, ring): the outer border of each label, one group per label."""
+    """(map_id, label, ring, holes) of each label, one group per label: the outer border of its largest component, and the
+    borders of that one's holes, the largest first. A hole of one pixel has a ring of four around it.
+    """
     kinds = {c: labelled.schema[c].dataType.simpleString() for c in ("map_id", "label")}
+    listed = lambda ring, x0, y0: [{"x": float(a + x0), "y": float(b + y0)} for a, b in ring]
 
     def one(pixels: pd.DataFrame) -> pd.DataFrame:
         own, y0, x0 = grid(pixels.assign(on=1), "on", 0)
-        ring = traced(own > 0)
-        return pd.DataFrame({"map_id": [pixels.map_id.iloc[0]], "label": [pixels.label.iloc[0]], "ring": [[{"x": float(a + x0), "y": float(b + y0)} for a, b in ring]]})
+        part = parts_of(own > 0, True)[0]
+        rings = [listed(r, x0, y0) for r in hole_rings(part)]
+        return pd.DataFrame({"map_id": [pixels.map_id.iloc[0]], "label": [pixels.label.iloc[0]], "ring": [listed(traced(part), x0, y0)], "holes": [rings]})
 
-    return labelled.select("map_id", "label", "y", "x").groupBy("map_id", "label").applyInPandas(one, f"map_id {kinds['map_id']}, label {kinds['label']}, ring array<struct<x: double, y: double>>")
+    ring = "array<struct<x: double, y: double>>"
+    return labelled.select("map_id", "label", "y", "x").groupBy("map_id", "label").applyInPandas(one, f"map_id {kinds['map_id']}, label {kinds['label']}, ring {ring}, holes array<{ring}>")
 
 
 def gradient_edges(image: np.ndarray, low: float, high: float) -> np.ndarray:
@@ -194,16 +229,25 @@ def enlarged(polygons: DataFrame, by: float, ring: str = "ring") -> DataFrame:
 
 
 def without_neighbours(labelled: DataFrame, neighbours: DataFrame, reach: int, outline: DataFrame) -> DataFrame:
-    """(map_id, y, x, label): each label grown by `reach` pixels (a square) within the outline, less what others take.
+    """(map_id, y, x, label): each label grown by `reach` pixels (a square) within the outline, less what neighbours take.
 
-    The raster form of enlarging polygons and subtracting their neighbours one after another, from the highest label to
-    the lowest: where grown labels that are neighbours overlap, pixels that a label has itself are its own, and others go
-    to the one treated last. Equi-joins and one aggregation; nothing is sequential, as the last one wins in any order.
+    The raster form of enlarging polygons and subtracting their neighbours (map_id, label, neighbour) one after another, from
+    the highest label to the lowest. Of two labels that list each other, the one treated last keeps what both grew into; a
+    label that lists another one-sidedly loses it; pixels that a label has from the start are its own. Where grown labels
+    that aren't neighbours overlap, both keep a pixel. Growing is two separable steps that drop repeated pixels in between.
     """
-    step = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)]))
-    grown = labelled.select("map_id", "label", "y", "x", step.alias("d")).select("map_id", "label", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), ((F.col("d.dy") == 0) & (F.col("d.dx") == 0)).alias("own"))
-    inside = grown.join(outline.select("map_id", "y", "x").distinct(), ["map_id", "y", "x"], "left_semi")
-    return inside.groupBy("map_id", "y", "x").agg(F.min(F.struct((~F.col("own")).alias("grown"), "label"))["label"].alias("label"))
+    cells = labelled.select("map_id", "label", "y", "x").distinct()
+    spread = lambda df, c: df.withColumn(c, F.explode(F.sequence(F.col(c) - reach, F.col(c) + reach))).distinct()
+    grown = spread(spread(cells, "x"), "y").join(outline.select("map_id", "y", "x").distinct(), ["map_id", "y", "x"], "left_semi")
+    grown = grown.join(cells.withColumn("own", F.lit(True)), ["map_id", "label", "y", "x"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    others = grown.toDF("map_id", *[c if c in ("y", "x") else {"label": "neighbour", "own": "theirs"}[c] for c in grown.columns[1:]])
+    kind = labelled.schema["label"].dataType
+    near = neighbours.select("map_id", *[F.col(c).cast(kind).alias(c) for c in ("label", "neighbour")]).distinct()
+    back = near.select("map_id", F.col("neighbour").alias("label"), F.col("label").alias("neighbour"), F.lit(True).alias("mutual"))
+    near = near.join(back, ["map_id", "label", "neighbour"], "left")
+    met = grown.where(~F.col("own")).join(others, ["map_id", "y", "x"]).join(near, ["map_id", "label", "neighbour"])
+    lost = met.where(F.col("theirs") | (F.col("neighbour") < F.col("label")) | F.col("mutual").isNull()).select("map_id", "label", "y", "x").distinct()
+    return grown.join(lost, ["map_id", "label", "y", "x"], "left_anti").select("map_id", "y", "x", "label")
 
 
 def snapped(points: pd.DataFrame, pairs: set[tuple[int, int]], reach: float) -> pd.DataFrame:
@@ -256,8 +300,3 @@ def snap_polygons(points: DataFrame, neighbours: DataFrame, reach: float) -> Dat
     left = points.select("map_id", F.col("poly").cast("long").alias("poly"), "seq", "x", "y").groupBy("map_id")
     right = neighbours.select(F.col("map_id").alias("_map"), F.col("label").cast("long").alias("label"), F.col("neighbour").cast("long").alias("neighbour")).groupBy("_map")
     return left.cogroup(right).applyInPandas(one, f"map_id {kind}, poly long, seq int, x double, y double")
-
-
-def per_map(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A kernel of one's own over each map's rows."""
-    return df.groupBy("map_id").applyInPandas(function, schema)

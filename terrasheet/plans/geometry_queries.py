@@ -75,18 +75,18 @@ def polygon_edges(spark, sf):
 def snap_candidates(spark, sf):
     pts = points(spark, sf)
     lines = geometry.edges_of(pts, "poly", "id").withColumnRenamed("id", "line")
-    found = geometry.snap_to_lines(pts.withColumnRenamed("id", "vertex"), lines, 0.5, 100.0)
+    found = geometry.snap_to_lines(pts.withColumnRenamed("id", "vertex"), lines, 0.5, 10.0)
     return found.select("line", "vertex", *[R6(c).alias(c) for c in ("u", "x", "y", "distance")])
 
 
 def point_in_polygon(spark, sf):
     own = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 % 1000 + F.lit(0.5)).alias("x"), (F.col("p_partkey") * 91 % 1000 + F.lit(0.25)).alias("y"))
-    return geometry.holding(own, star_rings(spark, sf), 100.0)
+    return geometry.holding(own, star_rings(spark, sf), 4.0)
 
 
 def small_rings(spark, sf):
     shrunk = F.transform("ring", lambda p: F.struct(F.floor(p["x"] / 20).cast("double").alias("x"), F.floor(p["y"] / 20).cast("double").alias("y")))
-    return star_rings(spark, sf).where("poly < 5").withColumn("ring", shrunk)
+    return star_rings(spark, sf).withColumn("ring", shrunk)
 
 
 def rasterise_polygons(spark, sf):
@@ -170,14 +170,15 @@ def iou_one_to_one(spark, sf):
 
 
 def true_number(spark, sf):
-    return blocks(px(spark, sf), "gt", 1).agg(F.count_distinct("map_id", "label")).scalar()
+    """How many true segments there are, as a column of one row."""
+    return blocks(px(spark, sf), "gt", 1).agg(F.count_distinct("map_id", "label").alias("true_num"))
 
 
 STEPS = [0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4]
 
 
 def iou_threshold_sweep(spark, sf):
-    return evaluation.threshold_sweep(matches(spark, sf).select("iou"), 147, None, STEPS).select("threshold", "tp", *[R6(c).alias(c) for c in ("precision", "recall", "f1")])
+    return evaluation.threshold_sweep(matches(spark, sf).select("iou"), true_number(spark, sf).scalar(), None, STEPS).select("threshold", "tp", *[R6(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def iou_histogram(spark, sf):
@@ -364,7 +365,7 @@ SIG = "CASE WHEN {0} = 0 THEN 0.0 ELSE round({0} * pow(10.0, 3 - floor(log10(abs
 def sweep_sql():
     steps = ", ".join(f"(CAST({t!r} AS DOUBLE))" for t in STEPS)
     return on_px(MATCHED + f""", h AS (SELECT threshold, count(*) FILTER (iou >= threshold) AS tp, CAST(count(*) AS DOUBLE) AS n FROM matched, (VALUES {steps}) s(threshold) GROUP BY 1),
-a AS (SELECT threshold, tp, {SIG.format('(tp / n)')} AS precision, {SIG.format('(tp / CAST(147 AS DOUBLE))')} AS recall FROM h),
+a AS (SELECT threshold, tp, {SIG.format('(tp / n)')} AS precision, {SIG.format('(tp / CAST((SELECT count(DISTINCT (map_id, label)) FROM t) AS DOUBLE))')} AS recall FROM h),
 f AS (SELECT *, 2 * precision * recall / nullif(precision + recall, 0) AS f FROM a) SELECT threshold, tp, round(precision, 6) AS precision, round(recall, 6) AS recall, round({SIG.format('f')}, 6) AS f1 FROM f""")
 
 
@@ -389,7 +390,7 @@ f AS (SELECT obj, count(*) AS n, """ + ", ".join(f"median({b}) AS median_{b}, ma
 k AS (SELECT obj, """ + ", ".join(f"coalesce(avg(pow({b} - mean_{b}, 3)) / nullif(pow(any_value(std_{b}), 3), 0), 0) AS skew_{b}" for b in "hsv") + " FROM o JOIN f USING (obj) GROUP BY 1)"
 ROUNDED = ", ".join(f"round({k}_{b}, 4) AS {k}_{b}" for k in ("median", "mad", "mean", "skew", "std") for b in "hsv")
 CROSSES = "(ay > {y}) <> (by_ > {y}) AND {x} < (bx - ax) * ({y} - ay) / CAST(by_ - ay AS DOUBLE) + ax"
-SMALL = RING + ", small AS MATERIALIZED (SELECT poly, seq, CAST(floor(ax / 20.0) AS DOUBLE) AS ax, CAST(floor(ay / 20.0) AS DOUBLE) AS ay, CAST(floor(bx / 20.0) AS DOUBLE) AS bx, CAST(floor(by_ / 20.0) AS DOUBLE) AS by_ FROM ring WHERE poly < 5)"
+SMALL = RING + ", small AS MATERIALIZED (SELECT poly, seq, CAST(floor(ax / 20.0) AS DOUBLE) AS ax, CAST(floor(ay / 20.0) AS DOUBLE) AS ay, CAST(floor(bx / 20.0) AS DOUBLE) AS bx, CAST(floor(by_ / 20.0) AS DOUBLE) AS by_ FROM ring)"
 WARPED = """w AS (SELECT *, (CAST(0.9 AS DOUBLE) * x + CAST(0.1 AS DOUBLE) * y + CAST(1.5 AS DOUBLE)) / d AS sx, (CAST(-0.05 AS DOUBLE) * x + CAST(1.1 AS DOUBLE) * y + CAST(0.75 AS DOUBLE)) / d AS sy FROM (SELECT map_id, y, x, CAST(0.001 AS DOUBLE) * x + CAST(0.0 AS DOUBLE) * y + CAST(1.0 AS DOUBLE) AS d FROM px)),
 c AS (SELECT w.*, j, k, (CASE WHEN j = 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) * (CASE WHEN k = 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) AS q FROM w, (VALUES (0), (1)) a(j), (VALUES (0), (1)) b(k))"""
 

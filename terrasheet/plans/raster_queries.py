@@ -256,5 +256,10 @@ ORACLES = {
     "sliding_tiles": on_px("SELECT map_id, CAST(ty.range AS INT) AS ty, CAST(tx.range AS INT) AS tx, count(*) AS n, CAST(sum(r) AS BIGINT) AS total, CAST(sum(r) FILTER (y - ty.range * 6 BETWEEN 3 AND 8 AND x - tx.range * 6 BETWEEN 3 AND 8) AS BIGINT) AS inner_total FROM px, range(4) ty, range(4) tx WHERE y - ty.range * 6 BETWEEN 0 AND 11 AND x - tx.range * 6 BETWEEN 0 AND 11 GROUP BY 1, 2, 3"),
     "patch_pixels": on_px("k AS (SELECT CAST(range % 3 AS INT) AS map_id, range AS patch, range * 5 % 24 AS cy, range * 7 % 24 AS cx FROM range(12)) SELECT map_id, patch, CAST(y - cy AS INT) AS py, CAST(x - cx AS INT) AS px, r FROM px JOIN k USING (map_id) WHERE y - cy BETWEEN 0 AND 7 AND x - cx BETWEEN 0 AND 7"),
     "bbox_neighbors": on_px(LARGE8 + ", box AS (SELECT map_id, label, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM big GROUP BY 1, 2) SELECT DISTINCT b.map_id, b.label, p.label AS neighbour FROM box b JOIN big p ON p.map_id = b.map_id AND p.label <> b.label AND p.y >= y0 AND p.y < y1 + 4 AND p.x >= x0 AND p.x < x1 + 4"),
-    "difference_enlarged": on_px(LARGE8 + " SELECT o.map_id, o.y, o.x, arg_min(b.label, (CASE WHEN o.y = b.y AND o.x = b.x THEN 0 ELSE 1 END) * 4611686018427387904 + b.label) AS label FROM (SELECT * FROM px WHERE gt OR m) o JOIN big b ON o.map_id = b.map_id AND abs(o.y - b.y) <= 2 AND abs(o.x - b.x) <= 2 GROUP BY 1, 2, 3"),
+    "difference_enlarged": on_px(LARGE8 + """, boxes AS (SELECT map_id, label, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM big GROUP BY 1, 2),
+near AS MATERIALIZED (SELECT DISTINCT b.map_id, b.label, p.label AS neighbour FROM boxes b JOIN big p ON p.map_id = b.map_id AND p.label <> b.label AND p.y >= b.y0 AND p.y < b.y1 + 4 AND p.x >= b.x0 AND p.x < b.x1 + 4),
+pair AS MATERIALIZED (SELECT n.*, r.label IS NULL AS onesided FROM near n LEFT JOIN near r ON r.map_id = n.map_id AND r.label = n.neighbour AND r.neighbour = n.label),
+grown AS MATERIALIZED (SELECT o.map_id, o.y, o.x, b.label, bool_or(o.y = b.y AND o.x = b.x) AS own FROM (SELECT * FROM px WHERE gt OR m) o JOIN big b ON o.map_id = b.map_id AND abs(o.y - b.y) <= 2 AND abs(o.x - b.x) <= 2 GROUP BY 1, 2, 3, 4),
+lost AS (SELECT DISTINCT g.map_id, g.y, g.x, g.label FROM grown g JOIN grown h USING (map_id, y, x) JOIN pair p ON p.map_id = g.map_id AND p.label = g.label AND p.neighbour = h.label WHERE NOT g.own AND (h.own OR h.label < g.label OR p.onesided))
+SELECT map_id, y, x, label FROM grown ANTI JOIN lost USING (map_id, y, x, label)"""),
 }
