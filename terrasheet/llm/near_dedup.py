@@ -36,8 +36,8 @@ from .graph import components
 from .words import LOWER, NOT_SPACE, find_words, gram_hashes, mix, word_hashes
 
 SLOTS = 120
-#: Members of a block, shingles of theirs, and ids that may be broadcast (8 bytes each, buckets 24).
-BLOCK, BLOCK_SHINGLES, BROADCAST_IDS = 512, 1 << 19, 1_000_000
+#: Members of a block, and of one that meets a single pivot; shingles of theirs; ids and buckets that may be broadcast.
+BLOCK, STAR_BLOCK, BLOCK_SHINGLES, BROADCAST_IDS, BROADCAST_BUCKETS = 256, 128, 1 << 19, 1_000_000, 100_000
 
 _U = np.uint64
 
@@ -170,7 +170,7 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     members = classes.select("rep", F.explode("bands").alias("key"))
     buckets = stored(members.groupBy("key").agg(F.min("rep").alias("p0"), F.max("rep").alias("p1")).where("p0 < p1"), "buckets")
-    crowd = stored(members.join(F.broadcast(buckets) if buckets.count() <= BROADCAST_IDS // 3 else buckets, "key"), "crowd")
+    crowd = stored(members.join(F.broadcast(buckets) if buckets.count() <= BROADCAST_BUCKETS else buckets, "key"), "crowd")
 
     pairs = crowd.select("rep", F.explode(F.array("p0", "p1")).alias("key")).where("rep <> key").distinct()
     pivots = pairs.select("key").distinct().select("key", F.col("key").alias("rep"), F.lit(True).alias("few"))
@@ -197,19 +197,20 @@ def links_in(groups: DataFrame, classes: DataFrame, scheme: Scheme, texts: Calla
     groups: (key, rep, component, few). by_band: keys are bands' hashes, and a pair is looked at in its first common band.
     """
     sized = groups.join(classes.select("rep", "n", "sig", *["bands"] * by_band), "rep")
-    near = in_cells(sized, ["sig", *["bands"] * by_band], 1 << 40).mapInArrow(cellwise(screened(scheme, by_band)), "key long, rep long, few boolean").distinct()
+    block = BLOCK if by_band else STAR_BLOCK
+    near = in_cells(sized, ["sig", *["bands"] * by_band], block, 1 << 40).mapInArrow(cellwise(screened(scheme, by_band)), "key long, rep long, few boolean").distinct()
     near = stored(near.join(groups, ["key", "rep", "few"]), "near")
     whole = near.join(classes.select("rep", "n"), "rep").join(texts(near.select("rep")).toDF("rep", "text"), "rep")
-    return in_cells(whole, ["text"], BLOCK_SHINGLES).mapInArrow(cellwise(compared(scheme)), "a long, b long").distinct()
+    return in_cells(whole, ["text"], block, BLOCK_SHINGLES).mapInArrow(cellwise(compared(scheme)), "a long, b long").distinct()
 
 
-def in_cells(members: DataFrame, columns: list[str], shingles: int) -> DataFrame:
+def in_cells(members: DataFrame, columns: list[str], block: int, shingles: int) -> DataFrame:
     """Members (key, rep, component, few, n, columns) dealt to cells (key, i, j), sorted by cell: block i of a group's few
-    against block j of its others. A block has BLOCK members, or so, and `shingles` of their shingles.
+    against block j of its others. A block has `block` members, or so, and `shingles` of their shingles.
     """
-    blocks = lambda few: F.ceil(F.greatest(F.lit(1), F.count(F.when(few, 1)) / BLOCK, F.sum(F.when(few, F.col("n"))) / shingles)).cast("int")
+    blocks = lambda few: F.ceil(F.greatest(F.lit(1), F.count(F.when(few, 1)) / block, F.sum(F.when(few, F.col("n"))) / shingles)).cast("int")
     sizes = stored(members.select("key", "few", "n").groupBy("key").agg(blocks(F.col("few")).alias("rows"), blocks(~F.col("few")).alias("cols")), "sizes")
-    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS // 3 else sizes
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_BUCKETS else sizes
     own = lambda side: F.array(F.pmod(F.xxhash64("rep"), F.col(side)).cast("int"))
     every = lambda side: F.sequence(F.lit(0), F.col(side) - 1)
     held = members.join(sizes, "key").withColumn("i", F.explode(F.when(F.col("few"), own("rows")).otherwise(every("rows"))))

@@ -69,6 +69,8 @@ def test_small_blocks_find_the_same(spark, monkeypatch):
     rows = corpus(11, 85)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "STAR_BLOCK", 7)
+    monkeypatch.setattr(near_dedup, "BROADCAST_BUCKETS", 0)
     got = {r.doc_id: r.component_id for r in near_dedup.near_groups(df).collect()}
     assert got == {i: g[1] for i, g in groups(rows, 3, 85).items()}
 
