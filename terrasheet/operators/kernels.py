@@ -150,17 +150,29 @@ def hole_rings(mask: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def contours(labelled: DataFrame) -> DataFrame:
+def cross_closed(mask: np.ndarray) -> np.ndarray:
+    """Binary closing by a cross of 3 x 3, as if the mask lay on an endless plane."""
+    wide = np.pad(mask, 2)
+    grown = wide | np.roll(wide, 1, 0) | np.roll(wide, -1, 0) | np.roll(wide, 1, 1) | np.roll(wide, -1, 1)
+    return (grown & np.roll(grown, 1, 0) & np.roll(grown, -1, 0) & np.roll(grown, 1, 1) & np.roll(grown, -1, 1))[2:-2, 2:-2]
+
+
+def contours(labelled: DataFrame, closing: bool = False, hole_tolerance: float = 0.0) -> DataFrame:
     """(map_id, label, ring, holes) of each label, one group per label: the outer border of its largest component, and the
     borders of that one's holes, the largest first. A hole of one pixel has a ring of four around it.
+
+    closing: each label's pixels are closed by a cross of 3 x 3 first. hole_tolerance: holes are simplified by it.
     """
+    from .geometry import simplified
+
     kinds = {c: labelled.schema[c].dataType.simpleString() for c in ("map_id", "label")}
     listed = lambda ring, x0, y0: [{"x": float(a + x0), "y": float(b + y0)} for a, b in ring]
 
     def one(pixels: pd.DataFrame) -> pd.DataFrame:
         own, y0, x0 = grid(pixels.assign(on=1), "on", 0)
-        part = parts_of(own > 0, True)[0]
-        rings = [listed(r, x0, y0) for r in hole_rings(part)]
+        part = parts_of(cross_closed(own > 0) if closing else own > 0, True)[0]
+        inner = [simplified(r, hole_tolerance, True) if hole_tolerance else r for r in hole_rings(part)]
+        rings = [listed(r, x0, y0) for r in inner if len(r) > 2]
         return pd.DataFrame({"map_id": [pixels.map_id.iloc[0]], "label": [pixels.label.iloc[0]], "ring": [listed(traced(part), x0, y0)], "holes": [rings]})
 
     ring = "array<struct<x: double, y: double>>"

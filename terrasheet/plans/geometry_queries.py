@@ -332,6 +332,23 @@ def vectorised_maps(spark, sf):
     return vectorise.vectorise(px(spark, sf), SMALL_MAPS).select("map_id", "label", "class", "gis", "simple")
 
 
+def vectorised_classified(spark, sf):
+    """Segments named by a forest that learns the objects of three masks; what they leave of the outline is the contours feature."""
+    df = px(spark, sf)
+    masks = df.select("map_id", F.when(F.col("m"), "building").when(F.col("gt"), "water").otherwise("background").alias("class"), "y", "x")
+    forest = vectorise.trained(vectorise.training_objects(df, masks, SMALL_MAPS))
+    return vectorise.vectorise(df, SMALL_MAPS._replace(extract_contour=True), forest).select("map_id", "label", "class", "gis", "simple")
+
+
+def vectorised_collections(spark, sf):
+    """What the two collections of each map hold: numbers of features and of rings, after a round trip through JSON."""
+    both = vectorise.collections(vectorise.vectorise(px(spark, sf), SMALL_MAPS))
+    parsed = lambda c: F.from_json(c, f"type string, features array<struct<{geojson.FEATURE}>>")["features"]
+    held = both.select("map_id", parsed("gis").alias("g"), parsed("simple").alias("s"))
+    sizes = lambda c: F.aggregate(c, F.lit(0), lambda acc, f: acc + F.size(f["geometry"]["coordinates"]))
+    return held.select("map_id", F.size("g").alias("n_gis"), F.size("s").alias("n_simple"), sizes("g").alias("gis_rings"), sizes("s").alias("simple_rings"))
+
+
 def vectorised_snapped(spark, sf):
     return vectorise.vectorise(px(spark, sf), SMALL_MAPS._replace(method=2)).select("map_id", "label", "class", "gis", "simple")
 
@@ -342,7 +359,7 @@ QUERIES = {f.__name__: f for f in (
     homography_warp, buffer_mitre, polygon_snapping, geojson_features, geojson_collection, spectral_features, standardise, feature_vector,
     iou_pairs, iou_area_bounds, iou_one_to_one, iou_threshold_sweep, iou_histogram, mean_iou, class_raster, matched_points, confusion_matrix,
     classification_report, stratified_split, nested_split, weighted_sample, best_matches, kmeans_lloyd, gaussian_nb, hamming_match, hamming_match_all, matched_all_points, rf_classify,
-    svm_classify, rf_importance, permutation_importance, pca_project, register_maps, vectorised_maps, vectorised_snapped,
+    svm_classify, rf_importance, permutation_importance, pca_project, register_maps, vectorised_maps, vectorised_snapped, vectorised_classified, vectorised_collections,
 )}
 
 

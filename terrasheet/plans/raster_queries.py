@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import CLASSES, FOREGROUND_MOST, PALETTE, PALETTE_CLASS
-from ..functions import color
+from ..functions import color, rings
 from ..operators import components as cc
 from ..operators import geometry, kernels, raster
 from ..sources import images
@@ -161,6 +161,12 @@ def watershed(spark, sf):
     return kernels.watershed(peaks, "height", "label", "m")
 
 
+def contour_areas(spark, sf):
+    """Areas and holes of traced segments: the rings' area is that of the whole and half squares between pixel centres."""
+    own = kernels.contours(cc.components(px(spark, sf).where("m"), True, tile=16))
+    return own.select("map_id", "label", F.size("holes").cast("long").alias("n_holes"), rings.area(F.col("ring"), F.col("holes")).alias("area"))
+
+
 def skeletonise(spark, sf):
     return kernels.skeleton(px(spark, sf).where("m"))
 
@@ -216,6 +222,7 @@ QUERIES = {
     "watershed": watershed,
     "skeletonise": skeletonise,
     "contour_trace": contour_trace,
+    "contour_areas": contour_areas,
     "canny_edges": canny_edges,
     "mask_png": mask_png,
 }
@@ -256,6 +263,9 @@ ORACLES = {
     "sliding_tiles": on_px("SELECT map_id, CAST(ty.range AS INT) AS ty, CAST(tx.range AS INT) AS tx, count(*) AS n, CAST(sum(r) AS BIGINT) AS total, CAST(sum(r) FILTER (y - ty.range * 6 BETWEEN 3 AND 8 AND x - tx.range * 6 BETWEEN 3 AND 8) AS BIGINT) AS inner_total FROM px, range(4) ty, range(4) tx WHERE y - ty.range * 6 BETWEEN 0 AND 11 AND x - tx.range * 6 BETWEEN 0 AND 11 GROUP BY 1, 2, 3"),
     "patch_pixels": on_px("k AS (SELECT CAST(range % 3 AS INT) AS map_id, range AS patch, range * 5 % 24 AS cy, range * 7 % 24 AS cx FROM range(12)) SELECT map_id, patch, CAST(y - cy AS INT) AS py, CAST(x - cx AS INT) AS px, r FROM px JOIN k USING (map_id) WHERE y - cy BETWEEN 0 AND 7 AND x - cx BETWEEN 0 AND 7"),
     "bbox_neighbors": on_px(LARGE8 + ", box AS (SELECT map_id, label, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM big GROUP BY 1, 2) SELECT DISTINCT b.map_id, b.label, p.label AS neighbour FROM box b JOIN big p ON p.map_id = b.map_id AND p.label <> b.label AND p.y >= y0 AND p.y < y1 + 4 AND p.x >= x0 AND p.x < x1 + 4"),
+    # squares of 2 x 2 pixels: full ones count 1, those of three pixels 1/2; their numbers give the Euler number as well
+    "contour_areas": on_px(labelled_sql("m", True) + """, q AS (SELECT map_id, label, y + dy AS qy, x + dx AS qx, count(*) AS n, bool_or(dy = dx) AND bool_or(dy <> dx) AS sides FROM labelled, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(dy, dx) GROUP BY 1, 2, 3, 4)
+SELECT map_id, label, 1 - (count(*) FILTER (n = 1) - count(*) FILTER (n = 3) - 2 * count(*) FILTER (n = 2 AND NOT sides)) // 4 AS n_holes, count(*) FILTER (n = 4) + count(*) FILTER (n = 3) / 2.0::DOUBLE AS area FROM q GROUP BY 1, 2"""),
     "difference_enlarged": on_px(LARGE8 + """, boxes AS (SELECT map_id, label, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM big GROUP BY 1, 2),
 near AS MATERIALIZED (SELECT DISTINCT b.map_id, b.label, p.label AS neighbour FROM boxes b JOIN big p ON p.map_id = b.map_id AND p.label <> b.label AND p.y >= b.y0 AND p.y < b.y1 + 4 AND p.x >= b.x0 AND p.x < b.x1 + 4),
 pair AS MATERIALIZED (SELECT n.*, r.label IS NULL AS onesided FROM near n LEFT JOIN near r ON r.map_id = n.map_id AND r.label = n.neighbour AND r.neighbour = n.label),

@@ -5,18 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CLASSES, EDT_CAP, ENLARGE, FILLS, FOREGROUND_MOST, MIN_SEGMENT_PIXELS, MIN_VALUE, NEIGHBOUR_REACH, PALETTE, PALETTE_CLASS, SENSITIVITY, SIMPLIFY, SNAP
+from ..config import CLASSES, EDT_CAP, ENLARGE, FEATURES, FILLS, FOREGROUND_MOST, MIN_SEGMENT_PIXELS, MIN_VALUE, NEIGHBOUR_REACH, PALETTE, PALETTE_CLASS, SELECTED, SENSITIVITY, SIMPLIFY, SNAP, TREES
 from ..functions import color, rings
-from ..operators import components, evaluation, features, geometry, kernels, raster
+from ..operators import components, evaluation, features, geometry, kernels, learning, raster
 from ..operators.graph import settled
 from ..sources import geojson
 
 
 class Settings(NamedTuple):
-    """What a user of the maps chooses. marker_region: where peaks are sought, 'high' distances or the 'low' band."""
+    """What a user of the maps chooses. marker_region: where peaks are sought, 'high' distances or the 'low' band;
+    extract_contour: the contours feature is what segments leave of the map's outline, not the whole outline.
+    """
 
     foreground_most: int = FOREGROUND_MOST
     dark_most: int = 110
@@ -29,6 +32,7 @@ class Settings(NamedTuple):
     snap: float = SNAP
     reach: int = NEIGHBOUR_REACH
     tile: int = 256
+    extract_contour: bool = False
 
 
 def estimated_distance(pixels: DataFrame, dark_most: int) -> DataFrame:
@@ -50,9 +54,53 @@ def segments(pixels: DataFrame, distance: Callable[[DataFrame], DataFrame] | Non
     return settled(components.without_small(kernels.watershed(joined, "height", "marker", "inside"), settings.least_pixels)[0])
 
 
-def nearest_palette(df: DataFrame) -> Column:
-    """The class of the palette colour nearest to an object's mean colour: for use without a trained model."""
-    return color.lookup(color.lookup(color.nearest(F.col("mean_r"), F.col("mean_g"), F.col("mean_b"), PALETTE), PALETTE_CLASS), CLASSES)
+PROBABILITY = "struct<background: double, building: double, water: double>"
+#: The columns that a forest reads, in the order of features.vector.
+CHOSEN = [FEATURES[i] for i in SELECTED]
+
+
+def nearest_palette(df: DataFrame) -> DataFrame:
+    """(map_id, label, class, probability): the class of the palette colour nearest to an object's mean colour, without
+    probabilities. For use without a trained model.
+    """
+    own = color.lookup(color.lookup(color.nearest(F.col("mean_r"), F.col("mean_g"), F.col("mean_b"), PALETTE), PALETTE_CLASS), CLASSES)
+    return df.select("map_id", "label", own.alias("class"), F.lit(None).cast(PROBABILITY).alias("probability"))
+
+
+def vectors(df: DataFrame) -> DataFrame:
+    """df with the chosen features as columns: zeros for objects of too few usable pixels."""
+    own = features.vector()
+    return df.withColumn("_v", own).withColumns({c: F.col("_v")[i] for i, c in enumerate(CHOSEN)}).drop("_v")
+
+
+def training_objects(pixels: DataFrame, masks: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(map_id, label, class, features): the objects of class masks (map_id, class, y, x), described for a forest.
+
+    An object is a component of a class's mask whose ring encloses more than least_pixels; maps without a class's mask have
+    none of it.
+    """
+    parts = []
+    for k, name in enumerate(CLASSES[1:]):
+        own = components.components(masks.where(F.col("class") == name), True, settings.tile)
+        parts.append(own.withColumn("label", F.col("label") * len(CLASSES) + k).withColumn("class", F.lit(name)))
+    labelled = settled(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    polygons = kernels.contours(labelled).where(rings.area(F.col("ring")) > settings.least_pixels)
+    polygons = settled(polygons.withColumn("ring", geometry.simplify(F.col("ring"), 3.0)).drop("holes"))
+    return vectors(described(pixels, labelled.drop("class"), polygons)).join(labelled.select("map_id", "label", "class").distinct(), ["map_id", "label"])
+
+
+def trained(objects: DataFrame, trees: int = TREES) -> Callable[[DataFrame], DataFrame]:
+    """A classifier for vectorise from training_objects: standardised chosen features, a forest with balanced classes."""
+    fit = settled(objects.select("class", *CHOSEN))
+    model: PipelineModel = learning.forest(features.standardise(fit, CHOSEN), CHOSEN, "class", trees)
+
+    def classify(df: DataFrame) -> DataFrame:
+        ready = features.standardise(vectors(df).select("map_id", "label", *CHOSEN), CHOSEN, fit=fit).withColumn("_id", F.struct("map_id", "label"))
+        found = learning.classify(ready.withColumn("class", F.lit(CLASSES[1])), model, "class", "_id")
+        share = F.struct(*[F.coalesce(F.col("probability")[c], F.lit(0.0)).alias(c) for c in CLASSES[1:]])
+        return found.select("_id.map_id", "_id.label", F.col("predicted").alias("class"), share.alias("probability"))
+
+    return classify
 
 
 def described(pixels: DataFrame, labelled: DataFrame, polygons: DataFrame) -> DataFrame:
@@ -60,38 +108,58 @@ def described(pixels: DataFrame, labelled: DataFrame, polygons: DataFrame) -> Da
     inside = pixels.select("map_id", "y", "x", "r", "g", "b").join(labelled.select("map_id", "y", "x", F.lit(True).alias("_in")), ["map_id", "y", "x"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
     even = raster.equalise(raster.median_blur(inside, ["r", "g", "b"]), ["r", "g", "b"], F.col("_in"))
     h, s, v = color.hsv(F.col("r"), F.col("g"), F.col("b"), 1.0)
-    own = even.where("_in").withColumns({"h": h, "s": s, "v": v}).where(F.col("v") > MIN_VALUE).join(labelled, ["map_id", "y", "x"])
-    spectral = features.spectral(own.select("map_id", "label", "h", "s", "v"), ["map_id", "label"], ["h", "s", "v"])
+    bright = even.where("_in").withColumns({"h": h, "s": s, "v": v}).where(F.col("v") > MIN_VALUE).join(labelled, ["map_id", "y", "x"])
+    spectral = features.spectral(bright.select("map_id", "label", "h", "s", "v"), ["map_id", "label"], ["h", "s", "v"])
     mean = pixels.join(labelled, ["map_id", "y", "x"]).groupBy("map_id", "label").agg(*[F.avg(c).alias(f"mean_{c}") for c in "rgb"])
-    whole = polygons.groupBy("map_id").agg(F.sum(rings.area(F.col("ring"))).alias("_map_area"))
-    shapes = features.shape(polygons.withColumn("hull", geometry.convex_hull(F.col("ring"))).join(whole, "map_id"), "ring", "hull", F.col("_map_area")).drop("ring", "hull", "_map_area")
+    own = polygons if "holes" in polygons.columns else polygons.withColumn("holes", F.array().cast(f"array<{geometry.RING}>"))
+    whole = own.groupBy("map_id").agg(F.sum(rings.area(F.col("ring"))).alias("_map_area"))
+    shapes = features.shape(own.withColumn("hull", geometry.convex_hull(F.col("ring"))).join(whole, "map_id"), "ring", "hull", F.col("_map_area"), "holes").drop("ring", "holes", "hull", "_map_area")
     return shapes.join(mean, ["map_id", "label"]).join(spectral, ["map_id", "label"], "left")
 
 
-def vectorise(pixels: DataFrame, settings: Settings = Settings(), classify: Callable[[DataFrame], Column] = nearest_palette, distance: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(map_id, label, class, ring, points, gis, simple): each segment as a classified polygon and as GeoJSON features.
+def vectorise(pixels: DataFrame, settings: Settings = Settings(), classify: Callable[[DataFrame], DataFrame] = nearest_palette, distance: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(map_id, label, class, ring, holes, points, gis, simple): each segment as a classified polygon and as GeoJSON features.
 
-    method 1 closes gaps by growing segments and giving each pixel to one of them; 2 snaps the vertices of neighbours, which
-    moves the points only, so that the two features differ.
+    Segments are closed by a cross, traced with their holes, simplified and classified (nearest_palette, or what trained
+    gives). method 1 closes gaps by growing segments and giving each pixel to one of two neighbours; 2 snaps the vertices of
+    neighbours, which moves the points only, so that the two features differ. With method 1 a map also has a contours
+    feature, of label -1, without a simple one: its outline, or with extract_contour what segments leave of it.
     """
     labelled = segments(pixels, distance, settings)
-    traced = lambda df: kernels.contours(df).withColumn("ring", geometry.valid_ring(geometry.simplify(F.col("ring"), settings.tolerance)))
+    valid = lambda r: geometry.valid_ring(geometry.simplify(r, settings.tolerance))
+
+    def traced(df: DataFrame) -> DataFrame:
+        return kernels.contours(df, closing=True, hole_tolerance=settings.tolerance).withColumn("ring", valid(F.col("ring")))
+
     polygons = settled(traced(labelled))
-    named = described(pixels, labelled, polygons)
-    named = named.select("map_id", "label", classify(named).alias("class"))
+    named = classify(described(pixels, labelled, polygons))
     near = geometry.box_neighbours(labelled, settings.reach)
+    contour = None
     if settings.method == 1:
-        outline = pixels.where(color.gray(F.col("r"), F.col("g"), F.col("b"), color.SWAPPED_LUMA) <= settings.foreground_most)
-        closed = traced(kernels.without_neighbours(labelled, near, round(settings.enlarge), outline))
-        polygons = closed.withColumn("points", F.col("ring"))
+        outline = pixels.where(color.gray(F.col("r"), F.col("g"), F.col("b"), color.SWAPPED_LUMA) <= settings.foreground_most).select("map_id", "y", "x")
+        grown = settled(kernels.without_neighbours(labelled, near, round(settings.enlarge), outline))
+        polygons = traced(grown).withColumn("points", F.col("ring"))
+        left = outline.join(grown.select("map_id", "y", "x").distinct(), ["map_id", "y", "x"], "left_anti") if settings.extract_contour else outline
+        contour = traced(left.withColumn("label", F.lit(-1).cast(labelled.schema["label"].dataType)))
     else:
         vertices = polygons.select("map_id", F.col("label").alias("poly"), F.posexplode("ring").alias("seq", "p")).select("map_id", "poly", "seq", "p.x", "p.y")
         moved = geometry.rings_of(kernels.snap_polygons(vertices, near, settings.snap), ["map_id", "poly"], [F.col("seq")])
         polygons = polygons.join(moved.select("map_id", F.col("poly").alias("label"), F.col("ring").alias("points")), ["map_id", "label"])
     out = polygons.join(named, ["map_id", "label"])
     fill = F.create_map(*[F.lit(v) for pair in FILLS.items() for v in pair])[F.col("class")]
-    properties = F.struct(fill.alias("fill"), F.col("class").alias("type"))
-    return out.select("map_id", "label", "class", "ring", "points", geojson.feature(F.col("ring"), properties).alias("gis"), geojson.feature(F.col("points"), properties).alias("simple"))
+    properties = F.struct(fill.alias("fill"), F.col("class").alias("type"), "probability")
+    out = out.select("map_id", "label", "class", "ring", "holes", "points", geojson.feature(F.col("ring"), properties, F.col("holes")).alias("gis"), geojson.feature(F.col("points"), properties).alias("simple"))
+    if contour is None:
+        return out
+    own = F.struct(F.lit("#FFFFFF").alias("fill"), F.lit(CLASSES[0]).alias("type"))
+    whole = contour.select("map_id", "label", F.lit(CLASSES[0]).alias("class"), "ring", "holes", F.lit(None).cast(out.schema["points"].dataType).alias("points"), geojson.feature(F.col("ring"), own, F.col("holes")).alias("gis"), F.lit(None).cast("string").alias("simple"))
+    return out.unionByName(whole.where(F.size("ring") > 2))
+
+
+def collections(vectorised: DataFrame) -> DataFrame:
+    """(map_id, gis, simple): the two collections of each map, features by label; the simple one has no contours."""
+    gis, simple = (geojson.collections(vectorised.where(F.col(c).isNotNull()), "map_id", c) for c in ("gis", "simple"))
+    return gis.select("map_id", F.col("collection").alias("gis")).join(simple.select("map_id", F.col("collection").alias("simple")), "map_id", "left")
 
 
 def evaluated(polygons: DataFrame, truth: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Hand-computed cases, brute force and invariants of the operators."""
 
+import json
 import math
 import random
 import zlib
@@ -284,6 +285,96 @@ def test_vectorised_maps_cover_their_segments(spark):
     assert best.count() == labelled.select("map_id", "label").distinct().count() and best.agg(F.avg("iou")).first()[0] > 0.8
 
 
+def test_segments_with_holes(spark):
+    """A thick frame with two holes, one of a single pixel: areas, GeoJSON and pixels keep them."""
+    own = np.ones((12, 14), bool)
+    own[3:6, 3:8] = own[8, 10] = False
+    df = pixels(spark, own).where("v").select("map_id", "y", "x", F.lit(5).cast("long").alias("label"))
+    row = kernels.contours(df).first()
+    assert len(row.holes) == 2 and [tuple(p) for p in row.ring] == [(0, 0), (13, 0), (13, 11), (0, 11)]
+    area = kernels.contours(df).select(rings.area(F.col("ring"), F.col("holes")).alias("a")).first().a
+    squares = [int(own[y : y + 2, x : x + 2].sum()) for y in range(11) for x in range(13)]
+    assert area == squares.count(4) + squares.count(3) / 2
+    filled = {(r.y, r.x) for r in geometry.rasterise(kernels.contours(df), holes="holes").collect()}
+    assert not filled & {(4, 5), (8, 10)} and (1, 1) in filled and (4, 9) in filled
+    points = spark.createDataFrame([(1, 4.5, 4.5), (2, 1.5, 1.5), (3, 10.2, 8.1), (4, 20.0, 4.0)], "id int, x double, y double")
+    assert {r.id for r in geometry.holding(points, kernels.contours(df).withColumnRenamed("label", "poly"), 3.0, holes="holes").collect()} == {2}
+
+
+def test_the_largest_part_is_traced(spark):
+    own = np.zeros((9, 9), bool)
+    own[0, 0] = own[4:8, 4:8] = True
+    df = pixels(spark, own).where("v").select("map_id", "y", "x", F.lit(1).alias("label"))
+    assert [tuple(p) for p in kernels.contours(df).first().ring] == [(4, 4), (7, 4), (7, 7), (4, 7)]
+
+
+def test_closing_before_tracing():
+    own = np.ones((5, 7), bool)
+    own[2, 3] = False
+    assert kernels.cross_closed(own).all()
+    assert (kernels.cross_closed(np.eye(4, dtype=bool)) >= np.eye(4, dtype=bool)).all()
+
+
+def test_labels_that_are_not_neighbours_keep_their_pixels(spark):
+    cells = [(0, 0, 0, 1), (0, 0, 3, 2), (0, 0, 6, 3)]
+    df = spark.createDataFrame(cells, "map_id int, y int, x int, label long")
+    outline = spark.createDataFrame([(0, 0, x) for x in range(9)], "map_id int, y int, x int")
+    both = spark.createDataFrame([(0, 1, 2), (0, 2, 1)], "map_id int, label long, neighbour long")
+    got = {}
+    for r in kernels.without_neighbours(df, both, 2, outline).collect():
+        got.setdefault(r.label, set()).add(r.x)
+    # 1 is treated last and keeps 1 and 2; 2 and 3 aren't neighbours, so both have 4 and 5
+    assert got == {1: {0, 1, 2}, 2: {3, 4, 5}, 3: {4, 5, 6, 7, 8}}
+    one = spark.createDataFrame([(0, 1, 2)], "map_id int, label long, neighbour long")
+    got = {(r.label, r.x) for r in kernels.without_neighbours(df, one, 2, outline).collect()}
+    assert (1, 1) not in got and (1, 2) not in got and {(2, 1), (2, 2)} <= got
+
+
+def test_forest_in_the_flow(spark):
+    rows = {r.label: r for r in geometry_queries.QUERIES["vectorised_classified"](spark, "/root/testdata/sf0.001").where("map_id = 0").collect()}
+    contour = json.loads(rows.pop(-1).gis)
+    assert contour["properties"] == {"fill": "#FFFFFF", "type": "contours"} and len(rows) > 3
+    for r in rows.values():
+        told = json.loads(r.gis)["properties"]
+        assert told["type"] == r["class"] and abs(sum(told["probability"].values()) - 1) < 1e-6
+        assert max(told["probability"], key=told["probability"].get) == r["class"]
+
+
+@pytest.mark.parametrize("diagonal", [False, True])
+def test_runs_give_the_components_of_a_walk(diagonal):
+    rng = np.random.default_rng(4)
+    for density in (0.3, 0.5, 0.7):
+        own = rng.random((30, 40)) < density
+        ys, xs = np.nonzero(own)
+        got = components.label_tile(ys + 5, xs + 9, diagonal)
+        seen = {}
+        at = {(a, b): k for k, (a, b) in enumerate(zip(ys.tolist(), xs.tolist(), strict=True))}
+        for p, k in at.items():
+            if k in seen:
+                continue
+            todo, seen[k] = [p], k
+            while todo:
+                y, x = todo.pop()
+                for dy in (-1, 0, 1):
+                    for dx in (-1, 0, 1):
+                        j = at.get((y + dy, x + dx))
+                        if j is not None and j not in seen and (diagonal or not dy or not dx):
+                            seen[j] = k
+                            todo.append((y + dy, x + dx))
+        assert got.tolist() == [seen[k] for k in range(len(ys))]
+
+
+def test_edges_in_blocks_cross_as_all_pairs_do():
+    rng = np.random.default_rng(5)
+    for n in (4, 9, 40, 700):
+        angle = np.sort(rng.random(n) * 2 * np.pi)
+        star = np.stack([np.cos(angle), np.sin(angle)], 1) * rng.uniform(1, 5, (n, 1))
+        assert not geometry.crosses_itself(star, 16)
+        knot = star.copy()
+        knot[[0, n // 2]] = knot[[n // 2, 0]]
+        assert geometry.crosses_itself(knot, 16) == geometry.crosses_itself(knot, 10_000)
+
+
 def test_rings_through_arrow_keep_nulls_and_empty_ones(spark):
     df = spark.createDataFrame([(1, ring((0, 0), (4, 0), (2, 1), (4, 3), (0, 3))), (2, None), (3, []), (4, ring((1, 1)))], "id int, a array<struct<x: double, y: double>>")
     got = {r.id: r.h for r in df.select("id", geometry.convex_hull(F.col("a")).alias("h")).collect()}
