@@ -7,14 +7,19 @@ order 0 all 256 bytes are alike. Statistics are frozen, so a text's code length
 bytes, and the language with the shortest code wins; ties go to the first in alphabetical order.
 
 Training counts n-grams on Spark over a bounded sample of labelled rows and merges them by key; what reaches the driver
-is one count per different n-gram (contexts seen at least twice), bounded by the sample. In a task the trees are one
-table: a node for every context of any language, and each node's code lengths per byte and language.
+is one count per different n-gram, bounded by the sample. In a task the trees are sparse: an n-gram and a context have an
+entry for each language that has them. A slice of texts is turned into its different n-grams, whose code lengths under all
+languages come from walking up the orders, adding escapes; each byte then takes its n-gram's.
+
+A text that is null or has no letter is `und`. Repeated rows have equal results; very long texts are treated whole, in a
+task's memory (some 60 bytes of numpy for a byte of text). Only the named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +27,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_fraction, text_bytes, text_slices
+from .common import bounded_fraction, schema_of, text_bytes, text_slices
 from .words import LOWER
 
 ORDER = 3
-#: Rows of each language that a model is trained on, at most about; contexts of each order that it keeps, the most frequent.
-TRAINING_ROWS, CONTEXTS = 3000, 40_000
+#: Rows of each language that a model is trained on, at most about.
+TRAINING_ROWS = 3000
 
 _LETTER = regex.compile(r"\p{L}")
 _trees: dict[str, Trees | None] = {}
@@ -86,7 +91,7 @@ def train(df: DataFrame, text_column: str, lang_column: str, usable: Column, row
         return [], []
     share = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
     sample = rows.where(F.pmod("_key", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    found = count_grams(sample).where("n > 1").toArrow()
+    found = count_grams(sample).toArrow()
     langs = sorted(sizes)
     out = []
     lang, gram, n = found.column("lang").combine_chunks(), found.column("gram").to_numpy(), found.column("n").to_numpy()
@@ -98,72 +103,72 @@ def train(df: DataFrame, text_column: str, lang_column: str, usable: Column, row
     return langs, out
 
 
+class Entries(NamedTuple):
+    """Values of languages by key: keys ascending, those of key k from begin[k] to begin[k + 1]."""
+
+    keys: np.ndarray
+    begin: np.ndarray
+    lang: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[tuple[np.ndarray, np.ndarray]]) -> Entries:
+        """From each language's (keys, values)."""
+        keys = np.concatenate([k for k, _ in parts])
+        lang = np.repeat(np.arange(len(parts), dtype=np.int16), [len(k) for k, _ in parts])
+        order = np.argsort(keys, kind="stable")
+        different, begin = np.unique(keys[order], return_index=True)
+        return cls(different, np.append(begin, len(keys)), lang[order], np.concatenate([v for _, v in parts])[order].astype(np.float32))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The entries of the keys: the index of the key, the language and the value of each."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), self.lang, self.value
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        row = np.flatnonzero(self.keys[at] == keys)
+        low, many = self.begin[at[row]], self.begin[at[row] + 1] - self.begin[at[row]]
+        pick = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+        return np.repeat(row, many), self.lang[pick], self.value[pick]
+
+
 class Trees:
-    """The trees of all languages as a table of code lengths in bits: node x byte x language."""
+    """The trees of all languages: by order, the code lengths in bits of n-grams and of escapes from contexts."""
 
     def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
-        seen = np.unique(np.concatenate([k & 255 for k, _ in counts] + [np.zeros(0, np.int64)]))
-        self.byte = np.zeros(256, np.int64)  # a byte's column; 0 is for bytes that no language has
-        self.byte[seen] = np.arange(1, len(seen) + 1)
-        width, langs = len(seen) + 1, len(counts)
-        p = np.full((1, width, langs), 1 / 256)
-        shorter = None
-        levels, self.tables = [], []
+        self.langs = len(counts)
+        self.levels: list[tuple[Entries, Entries]] = []
         for order in range(ORDER + 1):
-            keys, n = [], []
+            found, escapes = [], []
             for gram, many in counts:
-                cut = gram & ((1 << 8 * (order + 1)) - 1)
-                k, at = np.unique(cut, return_inverse=True)
-                keys.append(k)
-                n.append(np.bincount(at, many, len(k)))
-            contexts = np.unique(np.concatenate([k >> 8 for k in keys] + [np.zeros(1, np.int64)] * (order == 0)))
-            if len(contexts) > CONTEXTS:
-                total = np.zeros(len(contexts))
-                for k, m in zip(keys, n, strict=True):
-                    np.add.at(total, np.searchsorted(contexts, k >> 8), m)
-                contexts = np.sort(contexts[np.argsort(-total, kind="stable")[:CONTEXTS]])
-            if order:  # a kept context's own shorter context must be kept as well
-                parent = np.searchsorted(shorter, contexts & ((1 << 8 * (order - 1)) - 1))
-                parent = np.minimum(parent, len(shorter) - 1)
-                good = shorter[parent] == contexts & ((1 << 8 * (order - 1)) - 1)
-                contexts, parent = contexts[good], parent[good]
-                p = p[parent]
-                self.tables.append(self.transitions(contexts, parent, len(shorter), order, width))
-            for lang, (k, m) in enumerate(zip(keys, n, strict=True)):
-                at = np.minimum(np.searchsorted(contexts, k >> 8), len(contexts) - 1)
-                good = contexts[at] == k >> 8
-                at, col, m = at[good], self.byte[k[good] & 255], m[good]
-                total, kinds = np.bincount(at, m, len(contexts)), np.bincount(at, minlength=len(contexts))
-                has = total > 0
-                p[has, :, lang] *= (kinds / np.maximum(total + kinds, 1))[has, None]
-                p[at, col, lang] = m / (total + kinds)[at]
-            levels.append((-np.log2(p)).astype(np.float32))
-            shorter = contexts
-        self.first = np.cumsum([0] + [len(x) for x in levels])
-        self.width = width
-        self.bits = np.concatenate(levels).reshape(-1, langs)
-
-    def transitions(self, contexts: np.ndarray, parent: np.ndarray, parents: int, order: int, width: int) -> np.ndarray:
-        """Node of the next order, by the node of this one and the byte before it; 0 where there is none."""
-        out = np.zeros(parents * width, np.int32)
-        out[parent * width + self.byte[contexts >> 8 * (order - 1) & 255]] = np.arange(1, len(contexts) + 1)
+                keys, at = np.unique(gram & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+                n = np.bincount(at, many, len(keys))
+                contexts, at = np.unique(keys >> 8, return_inverse=True)
+                total, kinds = np.bincount(at, n, len(contexts)), np.bincount(at, minlength=len(contexts))
+                found.append((keys, np.log2((total + kinds)[at] / n)))
+                escapes.append((contexts, np.log2((total + kinds) / kinds)))
+            self.levels.append((Entries.of(found), Entries.of(escapes)))
+
+    def gram_lengths(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each n-gram after the others, under each language."""
+        out = np.full((len(grams), self.langs), 8.0, np.float32)  # of 256 bytes, all alike
+        for order, (found, escapes) in enumerate(self.levels):
+            for entries, keys, known in ((escapes, grams >> 8 & ((1 << 8 * order) - 1), False), (found, grams & ((1 << 8 * (order + 1)) - 1), True)):
+                row, lang, value = entries.find(keys)
+                if known:
+                    out[row, lang] = value
+                else:
+                    out[row, lang] += value
         return out
 
     def code_lengths(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""
-        gram = grams(data, at)
-        node = np.zeros(len(data), np.int64)  # in its order
-        total = np.zeros(len(data), np.int64)  # among all nodes
-        live = None
-        for order, table in enumerate(self.tables, 1):
-            column = self.byte[gram >> 8 * order & 255]
-            reached = table[node * self.width + column].astype(np.int64) - 1
-            live = reached >= 0 if live is None else live & (reached >= 0)
-            node = np.where(live, reached, 0)
-            total = np.where(live, self.first[order] + reached, total)
-        rows = self.bits[total * self.width + self.byte[data]]
-        sums = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows, 0, dtype=np.float64)])
-        return sums[at[1:]] - sums[at[:-1]]
+        different, which = np.unique(grams(data, at), return_inverse=True)
+        bits = self.gram_lengths(different)
+        out = np.empty((len(at) - 1, self.langs))
+        for lang in range(self.langs):  # one at a time, so that memory doesn't grow with their number
+            sums = np.concatenate(([0.0], np.cumsum(bits[which, lang], dtype=np.float64)))
+            out[:, lang] = sums[at[1:]] - sums[at[:-1]]
+        return out
 
 
 def predict(df: DataFrame, id_column: str, text_column: str, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]], keep: dict[str, Column] | None = None) -> DataFrame:
@@ -194,5 +199,4 @@ def predict(df: DataFrame, id_column: str, text_column: str, langs: list[str], c
             columns = [pa.array([x or "und" for x in found]), pa.array(np.where(und, 0.0, share))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *columns], [*others, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in others)
-    return given.mapInArrow(score, f"{schema}, lang_pred string, score double")
+    return given.mapInArrow(score, schema_of(given, others, "lang_pred string, score double"))

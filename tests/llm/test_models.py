@@ -4,6 +4,8 @@ import math
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +126,52 @@ def test_held_out_rows_of_the_tables(spark):
     assert hits >= 0.75 * sum(y for _, y in rows) and hits >= 0.9 * sum(p for p, _ in rows)
 
 
+def scalar_bits(texts, text):
+    """The code length of a text under the PPM model of some texts, a byte at a time."""
+    counts = {}
+    for t in texts:
+        data = b"\n" * language_id.ORDER + t.encode().lower()
+        for k in range(language_id.ORDER, len(data)):
+            for order in range(language_id.ORDER + 1):
+                own = counts.setdefault(data[k - order : k], {})
+                own[data[k]] = own.get(data[k], 0) + 1
+    total, data = 0.0, b"\n" * language_id.ORDER + text.encode().lower()
+    for k in range(language_id.ORDER, len(data)):
+        for order in range(language_id.ORDER, -1, -1):
+            own = counts.get(data[k - order : k])
+            if own is None:
+                continue
+            if data[k] in own:
+                total += math.log2((sum(own.values()) + len(own)) / own[data[k]])
+                break
+            total += math.log2((sum(own.values()) + len(own)) / len(own))
+        else:
+            total += 8
+    return total
+
+
+def test_code_lengths_against_a_scalar_model(spark):
+    rng = random.Random(6)
+    known = {k: [prose(rng, k, 30) + " é漢" for _ in range(4)] for k in ("xx", "yy")}
+    docs = spark.createDataFrame([(t, k) for k, own in known.items() for t in own], "text string, lang string")
+    langs, counts = language_id.train(docs, "text", "lang", F.lit(True))
+    texts = ["", "Ba", "schungein ba do", "q?🙂 é漢é", prose(rng, "xx", 60), prose(rng, "yy", 60)]
+    data, at = language_id.text_bytes(pa.array(texts))
+    got = language_id.Trees(counts).code_lengths(language_id.LOWER[data], at)
+    want = [[scalar_bits(known[k], t) for k in langs] for t in texts]
+    assert np.allclose(got, want, rtol=1e-5)
+
+
+def test_language_of_a_text_longer_than_a_slice(spark):
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(i, prose(rng, k, 40), k) for i in range(20) for k in ("xx", "yy")], "doc_id long, text string, lang string")
+    model = language_id.train(docs, "text", "lang", F.lit(True))
+    long = prose(rng, "xx", 400_000)
+    df = spark.createDataFrame([(1, long), (2, long), (3, "z" * 3_000_000)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in language_id.predict(df, "doc_id", "text", *model).collect()}
+    assert rows[1].lang_pred == rows[2].lang_pred == "xx" and rows[1].score == rows[2].score
+
+
 def test_language_id(spark):
     rng = random.Random(2)
     rows = [(i, prose(rng, k, 40), k, "en") for i in range(120) for k in ("xx", "yy")]
