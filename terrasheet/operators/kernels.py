@@ -87,14 +87,16 @@ def skeleton(df: DataFrame) -> DataFrame:
     return df.select("map_id", "y", "x").groupBy("map_id").applyInPandas(one, f"map_id {kind}, y int, x int")
 
 
-def traced(mask: np.ndarray) -> np.ndarray:
-    """The outer border of the first component in reading order, as (x, y) of pixel centres; runs on a line are merged."""
+def traced(mask: np.ndarray, start: tuple[int, int] | None = None, look: int = 4) -> np.ndarray:
+    """The border of a mask from the pixel `start`, whose neighbour in the direction `look` is off, as (x, y) of pixel
+    centres; runs on a line are merged. By default the outer border of the first component in reading order.
+    """
     ys, xs = np.nonzero(mask)
     if not len(ys):
         return np.zeros((0, 2))
-    start = (int(ys[0]), int(xs[0]))
+    start = start or (int(ys[0]), int(xs[0]))
     on = lambda p: 0 <= p[0] < mask.shape[0] and 0 <= p[1] < mask.shape[1] and bool(mask[p])
-    path, at, look = [start], start, 4  # the pixel before the first one in its row is off
+    path, at = [start], start
     first = None
     while True:
         for k in range(1, 9):
@@ -124,8 +126,8 @@ def parts_of(mask: np.ndarray, diagonal: bool) -> list[np.ndarray]:
     from .components import label_tile
 
     ys, xs = np.nonzero(mask)
-    labels, sizes = np.unique(label_tile(ys, xs, diagonal), return_counts=True)
     own = label_tile(ys, xs, diagonal)
+    labels, sizes = np.unique(own, return_counts=True)
     out = []
     for label in labels[np.argsort(-sizes, kind="stable")]:
         one = np.zeros(mask.shape, bool)
@@ -139,12 +141,10 @@ def hole_rings(mask: np.ndarray) -> list[np.ndarray]:
     wide = np.pad(mask, 1)
     out = []
     for gap in parts_of(~wide, False):
-        if gap[0, 0]:
+        y, x = (int(v[0]) for v in np.nonzero(gap))
+        if (y, x) == (0, 0):
             continue
-        grown = gap.copy()
-        for dy, dx in AROUND[::2]:
-            grown |= np.roll(gap, (dy, dx), (0, 1))
-        ring = traced(grown) - 1
+        ring = traced(wide, (y, x - 1), 0) - 1  # what lies before a hole's first pixel is no part of it
         if len(ring) > 2:
             out.append(ring)
     return out

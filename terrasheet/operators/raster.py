@@ -1,7 +1,7 @@
 """Operators on rasters as pixel rows (map_id, y, x, values): stencils, morphology, crops, padding, tiles.
 
-Stencils are separable windows, first along rows and then along columns, keyed by map and line: two shuffles, whatever the
-size of the neighbourhood, and no join. Windows by range don't mind missing pixels; those by rows (median_blur) need a
+Stencils are separable, first along rows and then along columns, keyed by map and line: two shuffles, whatever the size of
+the neighbourhood, and no join. Small ones are windows; those with a wide reach take lines as arrays. Windows by range don't mind missing pixels; those by rows (median_blur) need a
 dense raster. Pixels beyond the border never win.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,18 +85,40 @@ def median_blur(df: DataFrame, values: list[str], side: int = 5) -> DataFrame:
     return rows.select(*others, *[F.array_sort(F.flatten(around(v, "y")))[side * side // 2].alias(v) for v in values])
 
 
+def by_line(df: DataFrame, axis: str, value: Column, function: Callable[[np.ndarray, np.ndarray], np.ndarray], out: str) -> DataFrame:
+    """df with `out` (double): function(positions, values) of each line of pixels along an axis, in order.
+
+    A line is one array, and Arrow hands many of them to numpy at once: one shuffle, whatever the function's reach. Lines may
+    lack pixels; a null value comes as NaN, and NaN goes back as null.
+    """
+    other = "y" if axis == "x" else "x"
+    rest = [c for c in df.columns if c not in ("map_id", other, axis)]
+
+    @F.arrow_udf("array<double>")
+    def run(positions: pa.Array, values: pa.Array) -> pa.Array:
+        at, p, v = positions.offsets.to_numpy(), positions.values.to_numpy(), values.values.to_numpy(zero_copy_only=False).astype(float)
+        whole = np.concatenate([function(p[i:j], v[i:j]) for i, j in zip(at, at[1:], strict=False)] + [np.zeros(0)])
+        return pa.ListArray.from_arrays(positions.offsets, pa.array(whole, from_pandas=True))
+
+    fields = [F.col(axis), *[F.col(c) for c in rest], value.cast("double").alias("_v")]
+    held = df.groupBy("map_id", other).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_line"))
+    done = held.withColumn("_out", run(F.transform("_line", lambda e: e[axis].cast("long")), F.transform("_line", lambda e: e["_v"])))
+    rows = done.select("map_id", other, F.explode(F.arrays_zip("_line", "_out")).alias("_p"))
+    return rows.select("map_id", "y" if other == "y" else "_p._line.y", "x" if other == "x" else "_p._line.x", *[F.col(f"_p._line.{c}").alias(c) for c in rest if c != out], F.col("_p._out").alias(out))
+
+
 def gaussian_blur(df: DataFrame, value: str, sigma: float, reach: int, out: str | None = None) -> DataFrame:
     """Separable weighted mean with the normal density's weights, cut off at reach; borders count what lies inside."""
+    weights = np.exp(-(np.arange(-reach, reach + 1.0) ** 2) / (2 * sigma * sigma))
 
-    def pass_along(axis: str, source: str, target: str, frame: DataFrame) -> DataFrame:
-        near = F.collect_list(F.struct(F.col(axis).alias("p"), F.col(source).cast("double").alias("v"))).over(line(axis, reach, reach))
-        weight = lambda e: F.exp(-((e["p"] - F.col(axis)) * (e["p"] - F.col(axis))) / (2 * sigma * sigma))
-        frame = frame.withColumn("_near", near)
-        top = F.aggregate("_near", F.lit(0.0), lambda acc, e: acc + weight(e) * e["v"])
-        low = F.aggregate("_near", F.lit(0.0), lambda acc, e: acc + weight(e))
-        return frame.withColumn(target, top / low).drop("_near")
+    def smooth(positions: np.ndarray, values: np.ndarray) -> np.ndarray:
+        low = positions[0]
+        dense = np.zeros((2, positions[-1] - low + 1))
+        dense[0, positions - low], dense[1, positions - low] = values, 1.0
+        top, bottom = (np.convolve(row, weights)[reach : reach + len(row)] for row in dense)
+        return (top / bottom)[positions - low]
 
-    return pass_along("y", "_row", out or value, pass_along("x", value, "_row", df)).drop("_row")
+    return by_line(by_line(df, "x", F.col(value), smooth, "_row"), "y", F.col("_row"), smooth, out or value).drop("_row")
 
 
 def local_maxima(df: DataFrame, value: str, region: Column, side: int = 3, out: str = "peak") -> DataFrame:
@@ -109,9 +133,18 @@ def distance_transform(df: DataFrame, seed: Column, cap: int, out: str = "distan
     own = F.when(seed, F.col("x"))
     left, right = F.col("x") - F.last(own, True).over(before), F.first(own, True).over(after) - F.col("x")
     rows = df.withColumn("_dx", F.least(left, right))  # least ignores a side without a seed
-    near = F.collect_list(F.when(F.col("_dx") <= cap, F.struct(F.col("y").alias("p"), F.col("_dx").alias("d")))).over(line("y", cap, cap))
-    square = F.array_min(F.transform("_near", lambda e: (e["p"] - F.col("y")) * (e["p"] - F.col("y")) + e["d"] * e["d"]))
-    return rows.withColumn("_near", near).withColumn(out, F.least(F.lit(float(cap)), F.sqrt(F.coalesce(square.cast("double"), F.lit(float(cap * cap)))))).drop("_near", "_dx")
+
+    def nearest(positions: np.ndarray, along: np.ndarray) -> np.ndarray:
+        low, n = positions[0], positions[-1] - positions[0] + 1
+        wide = np.full(n + 2 * cap, np.inf)
+        wide[cap + positions - low] = np.where(along <= cap, along * along, np.inf)
+        best = wide[cap : cap + n].copy()
+        for d in range(1, min(cap, n) + 1):
+            np.minimum(best, wide[cap - d : cap - d + n] + d * d, out=best)
+            np.minimum(best, wide[cap + d : cap + d + n] + d * d, out=best)
+        return np.minimum(cap, np.sqrt(best))[positions - low]
+
+    return by_line(rows, "y", F.col("_dx"), nearest, out).drop("_dx")
 
 
 # ---- shapes of rasters

@@ -1,6 +1,7 @@
 """Rasters, polygons and objects derived from the star-schema tables, as DataFrames and as SQL for the twins.
 
-There are no images in the tables, so pixels are sums over line items: three maps of 32 x 32.
+There are no images in the tables, so pixels are sums over line items: maps of 32 x 32, one for each MAP_ROWS of them and
+three at least, so that pixels grow with the table.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SIDE, MAPS = 32, 3
+SIDE, LEAST_MAPS, MAP_ROWS = 32, 3, 6000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,19 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(map_id, y, x, r, g, b, m, gt): a dense raster, its predicted mask and the true one."""
-    at = [(F.col(c) % n).cast("int").alias(k) for c, n, k in (("l_suppkey", MAPS, "map_id"), ("l_orderkey", SIDE, "y"), ("l_partkey", SIDE, "x"))]
+    items = table(spark, sf_dir, "lineitem")
+    maps = max(LEAST_MAPS, items.count() // MAP_ROWS)  # the files' own counts
+    at = [(F.col(c) % n).cast("int").alias(k) for c, n, k in (("l_suppkey", maps, "map_id"), ("l_orderkey", SIDE, "y"), ("l_partkey", SIDE, "x"))]
     keys = ["map_id", "y", "x"]
-    sums = table(spark, sf_dir, "lineitem").select(*at, "l_quantity", "l_linenumber").groupBy(*keys).agg(F.sum("l_quantity").cast("long").alias("q"), F.sum(F.col("l_linenumber") * 37).cast("long").alias("s"), F.count("*").alias("n"))
+    sums = items.select(*at, "l_quantity", "l_linenumber").groupBy(*keys).agg(F.sum("l_quantity").cast("long").alias("q"), F.sum(F.col("l_linenumber") * 37).cast("long").alias("s"), F.count("*").alias("n"))
     i = F.col("id")
-    grid = spark.range(MAPS * SIDE * SIDE).select(F.floor(i / SIDE**2).cast("int").alias("map_id"), (F.floor(i / SIDE) % SIDE).cast("int").alias("y"), (i % SIDE).cast("int").alias("x"))
+    grid = spark.range(maps * SIDE * SIDE).select(F.floor(i / SIDE**2).cast("int").alias("map_id"), (F.floor(i / SIDE) % SIDE).cast("int").alias("y"), (i % SIDE).cast("int").alias("x"))
     band = lambda c: F.coalesce(c, F.lit(255)).cast("int")
     flag = lambda n: F.coalesce(F.col("q") % n < 40, F.lit(False))
     return grid.join(sums, keys, "left").select(*keys, band(F.col("q") % 256).alias("r"), band(F.col("s") % 256).alias("g"), band(F.col("n") * 16 % 256).alias("b"), flag(97).alias("m"), flag(89).alias("gt"))
 
 
 PX = f"""
-grid AS (SELECT CAST(i // {SIDE**2} AS INT) AS map_id, CAST((i // {SIDE}) % {SIDE} AS INT) AS y, CAST(i % {SIDE} AS INT) AS x FROM range({MAPS * SIDE * SIDE}) t(i)),
-sums AS (SELECT CAST(l_suppkey % {MAPS} AS INT) AS map_id, CAST(l_orderkey % {SIDE} AS INT) AS y, CAST(l_partkey % {SIDE} AS INT) AS x,
+maps AS MATERIALIZED (SELECT greatest({LEAST_MAPS}, count(*) // {MAP_ROWS}) AS k FROM lineitem),
+grid AS (SELECT CAST(i // {SIDE**2} AS INT) AS map_id, CAST((i // {SIDE}) % {SIDE} AS INT) AS y, CAST(i % {SIDE} AS INT) AS x FROM (SELECT unnest(range(k * {SIDE * SIDE})) AS i FROM maps)),
+sums AS (SELECT CAST(l_suppkey % (SELECT k FROM maps) AS INT) AS map_id, CAST(l_orderkey % {SIDE} AS INT) AS y, CAST(l_partkey % {SIDE} AS INT) AS x,
   CAST(sum(l_quantity) AS BIGINT) AS q, CAST(sum(l_linenumber * 37) AS BIGINT) AS s, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
 px AS MATERIALIZED (SELECT map_id, y, x, CAST(coalesce(q % 256, 255) AS INT) AS r, CAST(coalesce(s % 256, 255) AS INT) AS g, CAST(coalesce(n * 16 % 256, 255) AS INT) AS b,
   coalesce(q % 97 < 40, false) AS m, coalesce(q % 89 < 40, false) AS gt FROM grid LEFT JOIN sums USING (map_id, y, x))"""

@@ -85,7 +85,7 @@ CROSS = "a.map_id = b.map_id AND abs(a.y - b.y) + abs(a.x - b.x) <= 1"
 
 
 def gaussian_blur(spark, sf):
-    return raster.gaussian_blur(px(spark, sf).select(*at("r")), "r", 1.5, 3).select(*at(), F.round("r", 6).alias("r"))
+    return raster.gaussian_blur(px(spark, sf).select(*at("r")), "r", 50.0, 100).select(*at(), F.round("r", 6).alias("r"))
 
 
 def local_maxima(spark, sf):
@@ -93,7 +93,7 @@ def local_maxima(spark, sf):
 
 
 def edt_capped(spark, sf):
-    return raster.distance_transform(px(spark, sf), F.col("m") & (F.col("r") < 40), 5).select(*at(), F.round(F.col("distance") / 5, 6).alias("d"))
+    return raster.distance_transform(px(spark, sf), F.col("m") & (F.col("r") < 40), 50).select(*at(), F.round(F.col("distance") / 50, 6).alias("d"))
 
 
 def components(diagonal):
@@ -247,16 +247,16 @@ ORACLES = {
     "cross_close": on_px(f"d AS MATERIALIZED (SELECT a.map_id, a.y, a.x, bool_or(b.m) AS m FROM px a JOIN px b ON {CROSS} GROUP BY 1, 2, 3) SELECT a.map_id, a.y, a.x, count(*) FILTER (b.m) = 5 AS m FROM d a JOIN d b ON {CROSS} GROUP BY 1, 2, 3"),
     "cross_erode": on_px(f"SELECT a.map_id, a.y, a.x, count(*) FILTER (b.m) = 5 AS m FROM px a JOIN px b ON {CROSS} GROUP BY 1, 2, 3"),
     "box_blur3": around("round(avg(b.r), 6) AS r", 1),
-    "gaussian_blur": on_px("w AS (SELECT *, exp(-CAST(d * d AS DOUBLE) / 4.5) AS k FROM (SELECT range AS d FROM range(-3, 4))), h AS MATERIALIZED (SELECT a.map_id, a.y, a.x, sum(k * b.r) / sum(k) AS v FROM px a JOIN px b ON a.map_id = b.map_id AND a.y = b.y JOIN w ON b.x - a.x = d GROUP BY 1, 2, 3) SELECT a.map_id, a.y, a.x, round(sum(k * b.v) / sum(k), 6) AS r FROM h a JOIN h b ON a.map_id = b.map_id AND a.x = b.x JOIN w ON b.y - a.y = d GROUP BY 1, 2, 3"),
+    "gaussian_blur": on_px("w AS (SELECT *, exp(-CAST(d * d AS DOUBLE) / 5000) AS k FROM (SELECT range AS d FROM range(-100, 101))), h AS MATERIALIZED (SELECT a.map_id, a.y, a.x, sum(k * b.r) / sum(k) AS v FROM px a JOIN px b ON a.map_id = b.map_id AND a.y = b.y JOIN w ON b.x - a.x = d GROUP BY 1, 2, 3) SELECT a.map_id, a.y, a.x, round(sum(k * b.v) / sum(k), 6) AS r FROM h a JOIN h b ON a.map_id = b.map_id AND a.x = b.x JOIN w ON b.y - a.y = d GROUP BY 1, 2, 3"),
     "local_maxima": around("any_value(a.m) AND any_value(a.r) = max(b.r) AS peak", 1),
-    "edt_capped": on_px("SELECT a.map_id, a.y, a.x, round(least(5.0, coalesce(sqrt(min((a.y - s.y) * (a.y - s.y) + (a.x - s.x) * (a.x - s.x))), 5.0)) / 5.0, 6) AS d FROM px a LEFT JOIN (SELECT * FROM px WHERE m AND r < 40) s ON a.map_id = s.map_id GROUP BY 1, 2, 3"),
+    "edt_capped": on_px("SELECT a.map_id, a.y, a.x, round(least(50.0, coalesce(sqrt(min((a.y - s.y) * (a.y - s.y) + (a.x - s.x) * (a.x - s.x))), 50.0)) / 50.0, 6) AS d FROM px a LEFT JOIN (SELECT * FROM px WHERE m AND r < 40) s ON a.map_id = s.map_id GROUP BY 1, 2, 3"),
     "components4": on_px(labelled_sql("m", False) + " SELECT * FROM labelled"),
     "components8": on_px(labelled_sql("m", True) + " SELECT * FROM labelled"),
     "remove_small": on_px(labelled_sql("m", False) + " SELECT map_id, y, x, label, count(*) OVER (PARTITION BY map_id, label) < 5 AS small FROM labelled"),
     "fill_holes": on_px("r AS (SELECT map_id, y, x FROM px WHERE NOT m AND (y IN (0, 31) OR x IN (0, 31)) UNION SELECT b.map_id, b.y, b.x FROM r a JOIN px b ON a.map_id = b.map_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 AND NOT b.m) SELECT map_id, y, x, (map_id, y, x) NOT IN (SELECT (map_id, y, x) FROM r) AS m FROM px"),
     "label_bbox_crop": on_px("k AS (SELECT map_id, min(y) AS y0, min(x) AS x0, max(y) AS y1, max(x) AS x1 FROM px WHERE m AND y BETWEEN 5 AND 20 AND x BETWEEN 7 AND 25 GROUP BY 1) SELECT map_id, y - y0 AS y, x - x0 AS x, r, y0, x0 FROM px JOIN k USING (map_id) WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1"),
     "crop_paste": on_px("SELECT map_id, y, x, CASE WHEN y BETWEEN 5 AND 20 AND x BETWEEN 7 AND 25 THEN r + 1000 ELSE r END AS r FROM px"),
-    "padding": on_px("a AS (SELECT CAST(m.range AS INT) AS map_id, CAST(p.range AS INT) AS y, CAST(q.range AS INT) AS x FROM range(3) m, range(38) p, range(38) q) SELECT a.map_id, a.y, a.x, coalesce(nullif(r, 0), 255) AS r, coalesce(nullif(g, 0), 255) AS g FROM a LEFT JOIN px ON a.map_id = px.map_id AND a.y = px.y + 3 AND a.x = px.x + 3"),
+    "padding": on_px("a AS (SELECT m.map_id, CAST(p.range AS INT) AS y, CAST(q.range AS INT) AS x FROM (SELECT DISTINCT map_id FROM px) m, range(38) p, range(38) q) SELECT a.map_id, a.y, a.x, coalesce(nullif(r, 0), 255) AS r, coalesce(nullif(g, 0), 255) AS g FROM a LEFT JOIN px ON a.map_id = px.map_id AND a.y = px.y + 3 AND a.x = px.x + 3"),
     "padding_removed": on_px("SELECT map_id, y, x, coalesce(nullif(r, 0), 255) AS r FROM px"),
     "downsample_trim": on_px("SELECT map_id, y // 2 - 2 AS y, x // 2 - 2 AS x, r FROM px WHERE y % 2 = 0 AND x % 2 = 0 AND y // 2 BETWEEN 2 AND 12 AND x // 2 BETWEEN 2 AND 12"),
     "row_col_compaction": on_px("a AS (SELECT map_id, y, row_number() OVER (PARTITION BY map_id ORDER BY y) - 1 AS n FROM (SELECT DISTINCT map_id, y FROM px WHERE g < 6)), c AS (SELECT map_id, x, row_number() OVER (PARTITION BY map_id ORDER BY x) - 1 AS n FROM (SELECT DISTINCT map_id, x FROM px WHERE g < 6)) SELECT map_id, CAST(a.n AS INT) AS y, CAST(c.n AS INT) AS x, r, g FROM px JOIN a USING (map_id, y) JOIN c USING (map_id, x)"),
