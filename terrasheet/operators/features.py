@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FEATURES, MIN_USABLE_PIXELS, SELECTED
@@ -53,3 +56,12 @@ def standardise(df: DataFrame, columns: list[str], fit: DataFrame | None = None)
     stats = (fit or df).agg(F.struct(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in columns]).alias("stats")).scalar()
     scaled = [((F.col(c) - F.col("_stats")[c]["m"]) / F.when(F.col("_stats")[c]["s"] == 0, 1.0).otherwise(F.col("_stats")[c]["s"])).alias(c) for c in columns]
     return df.withColumn("_stats", stats).select(*[c for c in df.columns if c not in columns], *scaled)
+
+
+def stored(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
+    """The feature store at `path`: read if it is there, else computed, written as Parquet and read back."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        compute().write.parquet(path)
+        return spark.read.parquet(path)

@@ -310,14 +310,23 @@ def outline(polygons: DataFrame, ring: str = "ring", keys: tuple[str, ...] = ("m
     return walked.select(*keys, at("y").alias("y"), at("x").alias("x")).distinct()
 
 
-def warp(df: DataFrame, values: list[str], inverse: list[float], height: int, width: int) -> DataFrame:
+def inverted(matrix: Column) -> Column:
+    """The inverse of a 3 x 3 matrix (array of 9, by rows), up to its scale."""
+    a, b, c, d, e, f, g, h, i = (matrix[k] for k in range(9))
+    return F.array(e * i - f * h, c * h - b * i, b * f - c * e, f * g - d * i, a * i - c * g, c * d - a * f, d * h - e * g, b * g - a * h, a * e - b * d)
+
+
+def warp(df: DataFrame, values: list[str], inverse: list[float] | DataFrame, height: int, width: int) -> DataFrame:
     """Each target pixel with the bilinear mean of the source pixels where the 3 x 3 matrix `inverse` takes it.
 
-    Source pixels that are missing count as 0. Each target pixel meets its four sources by an equi-join.
+    inverse: one matrix for all maps, or (map_id, inverse array<double>); maps without one are left out. Source pixels that
+    are missing count as 0. Each target pixel meets its four sources by an equi-join.
     """
-    maps = df.select("map_id").distinct()
-    target = maps.select("map_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("map_id", "y", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
-    a, b, c, d, e, f, g, h, i = (F.lit(float(v)) for v in inverse)
+    if isinstance(inverse, DataFrame):
+        maps, (a, b, c, d, e, f, g, h, i) = inverse.where("inverse is not null").select("map_id", "inverse"), (F.col("inverse")[k] for k in range(9))
+    else:
+        maps, (a, b, c, d, e, f, g, h, i) = df.select("map_id").distinct().withColumn("inverse", F.lit(0)), (F.lit(float(v)) for v in inverse)
+    target = maps.select("map_id", "inverse", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("map_id", "inverse", "y", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
     w = g * F.col("x") + h * F.col("y") + i
     placed = target.withColumn("_sx", F.try_divide(a * F.col("x") + b * F.col("y") + c, w)).withColumn("_sy", F.try_divide(d * F.col("x") + e * F.col("y") + f, w))
     corner = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(k).alias("k")) for j in (0, 1) for k in (0, 1)])).alias("_c")

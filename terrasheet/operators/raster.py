@@ -254,6 +254,16 @@ def patches(df: DataFrame, corners: DataFrame, side: int) -> DataFrame:
     return inside.where((F.col("py").between(0, side - 1)) & (F.col("px").between(0, side - 1))).drop("_by", "_bx", "_cy", "_cx")
 
 
+def patch_pairs(pixels: DataFrame, distance: str, corners: DataFrame, side: int) -> DataFrame:
+    """(map_id, patch, split, py, px, r, g, b, label) of training patches: colours, and the distance (0..1) as a byte, cut off.
+
+    corners: (map_id, patch, split, y, x). Written with partitionBy("split"), a split's pairs lie in a folder of their own.
+    """
+    label = F.floor(F.col(distance) * 255).cast("int").alias("label")
+    own = patches(pixels.select("map_id", "y", "x", "r", "g", "b", label), corners, side)
+    return own.join(corners.select("map_id", "patch", "split"), ["map_id", "patch"]).select("map_id", "patch", "split", "py", "px", "r", "g", "b", "label")
+
+
 def augment(df: DataFrame, copies: int, height: int, width: int, most_shift: float = 0.4) -> DataFrame:
     """df (by map_id) `copies` times over with `copy`: flipped and shifted around the borders, by digests of map and copy.
 

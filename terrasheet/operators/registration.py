@@ -123,3 +123,28 @@ def silhouette(df: DataFrame, value: str) -> DataFrame:
     marked = df.join(edges, ["map_id", "y", "x"], "left").withColumn("_e", F.coalesce("_e", F.lit(0)))
     closed = closing(dilate(marked, "_e", 7), "_e", 7).withColumn("inside", F.col("_e") > 0).drop("_e")
     return fill_holes(closed, "inside")
+
+
+def registered(fixed: DataFrame, moving: DataFrame, height: int, width: int, bands: tuple[str, ...] = ("r", "g", "b"), border: int = 500, first: int = 30, less: int = 100, share: float = 0.2) -> DataFrame:
+    """(map_id, y, x, bands, moved_<band>): images of maps laid over others of the same map (map_id, y, x, bands).
+
+    Both are trimmed (first, less) and get a white border; keypoints of their filled silhouettes are matched, and the moving
+    image is warped by the homography that most matches agree with, into height x width pixels of the fixed one. Rows and
+    columns that the moved image leaves white in the last band are taken out of both. Maps without a homography are left
+    out. Each step runs per map; nothing is overwritten.
+    """
+    from ..functions import color
+    from .geometry import inverted, warp
+    from .graph import settled
+    from .raster import compact, pad, trim
+
+    def shown(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        wide = settled(pad(trim(df.select("map_id", "y", "x", *bands), first, less), list(bands), border))
+        gray = wide.select("map_id", "y", "x", color.gray(*[F.col(b) for b in bands]).alias("gray"))
+        return wide, silhouette(gray, "gray").select("map_id", "y", "x", (F.col("inside").cast("int") * 255).alias("gray"))
+
+    (still, still_outline), (other, other_outline) = shown(fixed), shown(moving)
+    found = homographies(settled(matches(keypoints(still_outline, "gray"), keypoints(other_outline, "gray"), share)))
+    moved = warp(other, list(bands), found.where("matrix is not null").select("map_id", inverted(F.col("matrix")).alias("inverse")), height + 2 * border, width + 2 * border)
+    both = still.join(moved.select("map_id", "y", "x", *[F.col(b).alias(f"moved_{b}") for b in bands]), ["map_id", "y", "x"])
+    return compact(settled(both), F.col(f"moved_{bands[-1]}") < 250)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..config import FILLS
 from ..functions import color, rings
 from ..operators import components as cc
 from ..operators import evaluation, features, geometry, kernels, learning, registration, sampling
+from ..operators.graph import shared_folder
 from ..sources import geojson
 from .proxies import BLOCKS, HULL, PTS, RING, blocks, labelled_sql, on_px, points, star_rings, table
 from . import vectorise
@@ -128,6 +131,22 @@ def geojson_collection(spark, sf):
     return whole.select("map_id", F.explode(parsed["features"]).alias("f")).groupBy("map_id").agg(F.count("*").alias("n"), F.sum(F.size(F.col("f.geometry.coordinates")[0])).cast("long").alias("points"))
 
 
+def geojson_round_trip(spark, sf):
+    """Collections written as files by map and read back as features."""
+    at = f"{shared_folder(spark)}/geojson-{uuid.uuid4().hex}"
+    geojson.write(geojson.collections(geojson_features(spark, sf).withColumn("map_id", F.col("poly") % 3), "map_id", order="poly"), "map_id", at)
+    back = geojson.read(spark, at, "map_id")
+    ring = F.col("geometry.coordinates")[0]
+    return back.select(F.col("map_id").cast("long").alias("map_id"), F.col("properties.type").alias("type"), F.size(ring).cast("long").alias("points"), F.aggregate(ring, F.lit(0.0), lambda acc, p: acc + p[0] + 1000 * p[1]).alias("total"))
+
+
+def feature_store(spark, sf):
+    """Features that are computed and stored, then read from the store."""
+    at = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
+    features.stored(spark, at, lambda: spectral_features(spark, sf))
+    return features.stored(spark, at, lambda: spectral_features(spark, sf).limit(0))
+
+
 # ---- objects
 
 
@@ -356,7 +375,7 @@ def vectorised_snapped(spark, sf):
 QUERIES = {f.__name__: f for f in (
     classified_segments, ring_area_perimeter, convex_hull, min_rotated_rect, shape_features, polygon_holes, largest_part, douglas_peucker,
     radius_pairs, midpoint_snaps, polygon_edges, snap_candidates, point_in_polygon, rasterise_polygons, outline_pixels, representative_points,
-    homography_warp, buffer_mitre, polygon_snapping, geojson_features, geojson_collection, spectral_features, standardise, feature_vector,
+    homography_warp, buffer_mitre, polygon_snapping, geojson_features, geojson_collection, geojson_round_trip, feature_store, spectral_features, standardise, feature_vector,
     iou_pairs, iou_area_bounds, iou_one_to_one, iou_threshold_sweep, iou_histogram, mean_iou, class_raster, matched_points, confusion_matrix,
     classification_report, stratified_split, nested_split, weighted_sample, best_matches, kmeans_lloyd, gaussian_nb, hamming_match, hamming_match_all, matched_all_points, rf_classify,
     svm_classify, rf_importance, permutation_importance, pca_project, register_maps, vectorised_maps, vectorised_snapped, vectorised_classified, vectorised_collections,
@@ -439,6 +458,7 @@ SELECT line, vertex, round(u, 6) AS u, round(ax + u * dx, 6) AS x, round(ay + u
     "outline_pixels": "WITH " + SMALL + ", e AS (SELECT *, CAST(greatest(abs(bx - ax), abs(by_ - ay)) AS BIGINT) AS n FROM small) SELECT DISTINCT poly, CAST(floor(ay + (by_ - ay) * coalesce(k / CAST(nullif(n, 0) AS DOUBLE), 0.0) + 0.5) AS INT) AS y, CAST(floor(ax + (bx - ax) * coalesce(k / CAST(nullif(n, 0) AS DOUBLE), 0.0) + 0.5) AS INT) AS x FROM (SELECT *, unnest(generate_series(0, n)) AS k FROM e)",
     "representative_points": "WITH " + PTS + " SELECT DISTINCT poly, true AS inside FROM pts",
     "homography_warp": on_px(WARPED + " SELECT c.map_id, c.y, c.x, round(sum(coalesce(s.r, 0) * q), 6) AS r FROM c LEFT JOIN px s ON s.map_id = c.map_id AND s.y = CAST(floor(sy) AS INT) + j AND s.x = CAST(floor(sx) AS INT) + k GROUP BY 1, 2, 3"),
+    "geojson_round_trip": "WITH " + RING + " SELECT poly % 3 AS map_id, 'building' AS type, count(*) + 1 AS points, CAST(sum(ax + 1000 * ay) + max(ax + 1000 * ay) FILTER (seq = 0) AS DOUBLE) AS total FROM ring GROUP BY poly",
     "geojson_features": "WITH " + RING + """ SELECT poly, '{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[' || string_agg('[' || CAST(CAST(ax AS DOUBLE) AS VARCHAR) || ',' || CAST(CAST(ay AS DOUBLE) AS VARCHAR) || ']', ',' ORDER BY seq) || ',' || max('[' || CAST(CAST(ax AS DOUBLE) AS VARCHAR) || ',' || CAST(CAST(ay AS DOUBLE) AS VARCHAR) || ']') FILTER (seq = 0) || ']]},"properties":{"fill":"#ff7fcc","type":"building"}}' AS feature FROM ring GROUP BY 1""",
     "geojson_collection": "WITH " + SIZED + " SELECT poly % 3 AS map_id, count(*) AS n, CAST(sum(n + 1) AS BIGINT) AS points FROM sized GROUP BY 1",
     "spectral_features": "WITH " + SPECTRAL_SQL + " SELECT obj, n, " + ROUNDED + " FROM f JOIN k USING (obj)",
@@ -486,3 +506,4 @@ SELECT map_id, label, n, {', '.join([f'mean_{c}' for c in 'rgb'] + [f'median_{c}
 
 
 ORACLES["classified_segments"] = segments_sql()
+ORACLES["feature_store"] = ORACLES["spectral_features"]

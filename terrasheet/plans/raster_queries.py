@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..config import CLASSES, FOREGROUND_MOST, PALETTE, PALETTE_CLASS
 from ..functions import color, rings
 from ..operators import components as cc
 from ..operators import geometry, kernels, raster
+from ..operators.graph import shared_folder
 from ..sources import images
 from .proxies import on_px, labelled_sql
 from .proxies import raster as px
@@ -167,6 +170,31 @@ def contour_areas(spark, sf):
     return own.select("map_id", "label", F.size("holes").cast("long").alias("n_holes"), rings.area(F.col("ring"), F.col("holes")).alias("area"))
 
 
+def image_scan(spark, sf):
+    """The maps as PNG files, and the pixels that Spark's image source finds in them."""
+    at = f"{shared_folder(spark)}/images-{uuid.uuid4().hex}"
+    images.write_png(images.as_png(px(spark, sf), ["map_id"], ["r", "g", "b"]).withColumn("name", F.col("map_id").cast("string")), at)
+    return images.pixels(images.read_images(spark, at, "*.png")).withColumn("map_id", F.col("map_id").cast("int"))
+
+
+def mask_scan(spark, sf):
+    """Class masks as files <map>-<class>.png, and the pixels that are set in them; maps lack some classes."""
+    at, df = f"{shared_folder(spark)}/masks-{uuid.uuid4().hex}", px(spark, sf)
+    kinds = F.explode(F.filter(F.array(F.when(F.col("m"), "building"), F.when(F.col("gt") & (F.col("map_id") != 1), "water")), lambda c: c.isNotNull()))
+    named = df.select("map_id", kinds.alias("class"), "y", "x", F.lit(255).alias("v"))
+    images.write_png(images.as_png(named, ["map_id", "class"], "v").withColumn("name", F.concat_ws("-", "map_id", "class")), at)
+    return images.masks(images.read_images(spark, at, "*.png")).withColumn("map_id", F.col("map_id").cast("int"))
+
+
+def patch_pairs(spark, sf):
+    """Pairs of training patches, written by split and read back."""
+    at = f"{shared_folder(spark)}/patches-{uuid.uuid4().hex}"
+    df = raster.distance_transform(px(spark, sf), F.col("m") & (F.col("r") < 40), 50).withColumn("d", F.col("distance") / 50)
+    corners = spark.range(12).select((F.col("id") % 3).cast("int").alias("map_id"), F.col("id").alias("patch"), (F.col("id") * 5 % 24).cast("int").alias("y"), (F.col("id") * 7 % 24).cast("int").alias("x"), F.when(F.col("id") % 4 == 0, "test").otherwise("train").alias("split"))
+    raster.patch_pairs(df, "d", corners, 8).write.partitionBy("split").parquet(at)
+    return spark.read.parquet(at)
+
+
 def skeletonise(spark, sf):
     return kernels.skeleton(px(spark, sf).where("m"))
 
@@ -223,6 +251,9 @@ QUERIES = {
     "skeletonise": skeletonise,
     "contour_trace": contour_trace,
     "contour_areas": contour_areas,
+    "image_scan": image_scan,
+    "mask_scan": mask_scan,
+    "patch_pairs": patch_pairs,
     "canny_edges": canny_edges,
     "mask_png": mask_png,
 }
@@ -263,6 +294,11 @@ ORACLES = {
     "sliding_tiles": on_px("SELECT map_id, CAST(ty.range AS INT) AS ty, CAST(tx.range AS INT) AS tx, count(*) AS n, CAST(sum(r) AS BIGINT) AS total, CAST(sum(r) FILTER (y - ty.range * 6 BETWEEN 3 AND 8 AND x - tx.range * 6 BETWEEN 3 AND 8) AS BIGINT) AS inner_total FROM px, range(4) ty, range(4) tx WHERE y - ty.range * 6 BETWEEN 0 AND 11 AND x - tx.range * 6 BETWEEN 0 AND 11 GROUP BY 1, 2, 3"),
     "patch_pixels": on_px("k AS (SELECT CAST(range % 3 AS INT) AS map_id, range AS patch, range * 5 % 24 AS cy, range * 7 % 24 AS cx FROM range(12)) SELECT map_id, patch, CAST(y - cy AS INT) AS py, CAST(x - cx AS INT) AS px, r FROM px JOIN k USING (map_id) WHERE y - cy BETWEEN 0 AND 7 AND x - cx BETWEEN 0 AND 7"),
     "bbox_neighbors": on_px(LARGE8 + ", box AS (SELECT map_id, label, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM big GROUP BY 1, 2) SELECT DISTINCT b.map_id, b.label, p.label AS neighbour FROM box b JOIN big p ON p.map_id = b.map_id AND p.label <> b.label AND p.y >= y0 AND p.y < y1 + 4 AND p.x >= x0 AND p.x < x1 + 4"),
+    "image_scan": on_px("SELECT map_id, y, x, r, g, b FROM px"),
+    "mask_scan": on_px("SELECT map_id, 'building' AS class, y, x FROM px WHERE m UNION ALL SELECT map_id, 'water', y, x FROM px WHERE gt AND map_id <> 1"),
+    "patch_pairs": on_px("""e AS MATERIALIZED (SELECT a.map_id, a.y, a.x, any_value(a.r) AS r, any_value(a.g) AS g, any_value(a.b) AS b, least(50.0::DOUBLE, coalesce(sqrt(min((a.y - s.y) * (a.y - s.y) + (a.x - s.x) * (a.x - s.x))), 50.0::DOUBLE)) / 50.0::DOUBLE AS d FROM px a LEFT JOIN (SELECT * FROM px WHERE m AND r < 40) s ON a.map_id = s.map_id GROUP BY 1, 2, 3),
+k AS (SELECT CAST(range % 3 AS INT) AS map_id, range AS patch, range * 5 % 24 AS cy, range * 7 % 24 AS cx, CASE WHEN range % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM range(12))
+SELECT map_id, patch, split, CAST(y - cy AS INT) AS py, CAST(x - cx AS INT) AS px, r, g, b, CAST(floor(d * 255) AS INT) AS label FROM e JOIN k USING (map_id) WHERE y - cy BETWEEN 0 AND 7 AND x - cx BETWEEN 0 AND 7"""),
     # squares of 2 x 2 pixels: full ones count 1, those of three pixels 1/2; their numbers give the Euler number as well
     "contour_areas": on_px(labelled_sql("m", True) + """, q AS (SELECT map_id, label, y + dy AS qy, x + dx AS qx, count(*) AS n, bool_or(dy = dx) AND bool_or(dy <> dx) AS sides FROM labelled, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(dy, dx) GROUP BY 1, 2, 3, 4)
 SELECT map_id, label, 1 - (count(*) FILTER (n = 1) - count(*) FILTER (n = 3) - 2 * count(*) FILTER (n = 2 AND NOT sides)) // 4 AS n_holes, count(*) FILTER (n = 4) + count(*) FILTER (n = 3) / 2.0::DOUBLE AS area FROM q GROUP BY 1, 2"""),

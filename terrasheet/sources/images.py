@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -63,13 +65,36 @@ def png(bands: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(rows.tobytes(), 6)) + part(b"IEND", b"")
 
 
-def as_png(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, png binary): each group's pixels (y, x, value 0..255) as a grey file; missing pixels are 0."""
+def as_png(df: DataFrame, by: list[str], value: str | list[str]) -> DataFrame:
+    """(by, png binary): each group's pixels (y, x, value 0..255) as a grey file, or as a colour file of three values;
+    missing pixels are 0.
+    """
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    values = [value] if isinstance(value, str) else value
 
     def one(own: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros((int(own.y.max()) + 1, int(own.x.max()) + 1), np.uint8)
-        out[own.y.to_numpy(), own.x.to_numpy()] = own[value].to_numpy()
-        return pd.DataFrame({**{c: [own[c].iloc[0]] for c in by}, "png": [png(out)]})
+        out = np.zeros((int(own.y.max()) + 1, int(own.x.max()) + 1, len(values)), np.uint8)
+        out[own.y.to_numpy(), own.x.to_numpy()] = own[values].to_numpy()
+        return pd.DataFrame({**{c: [own[c].iloc[0]] for c in by}, "png": [png(out if len(values) == 3 else out[:, :, 0])]})
 
-    return df.select(*by, "y", "x", value).groupBy(*by).applyInPandas(one, f"{kinds}, png binary")
+    return df.select(*by, "y", "x", *values).groupBy(*by).applyInPandas(one, f"{kinds}, png binary")
+
+
+def write_png(files: DataFrame, path: str) -> None:
+    """Writes files (name string, png binary) as <name>.png into a folder that all machines have mounted.
+
+    Spark has no writer of single files, so each task writes its own; a task that runs again writes the same files again.
+    """
+    at = path.removeprefix("file://")
+    if "://" in at:
+        raise ValueError("images are written to a mounted folder")
+
+    def write(rows: Iterator) -> None:
+        os.makedirs(at, exist_ok=True)
+        for row in rows:
+            part = f"{at}/.{row.name}-{uuid.uuid4().hex}"
+            with open(part, "wb") as f:
+                f.write(row.png)
+            os.replace(part, f"{at}/{row.name}.png")
+
+    files.select("name", "png").foreachPartition(write)
