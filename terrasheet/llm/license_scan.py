@@ -5,8 +5,9 @@ one beginning every eighth of that: a notice that is wrapped over lines, or stan
 so. Segments and templates become lower-case words of letters and digits, and the set of their word bigrams. The Dice
 coefficient of sets of a and b bigrams is at most 2 * min(a, b) / (a + b), so a template is compared only with segments
 whose size can reach the threshold; segments that share no bigram with any template are left out first, and so are the
-windows of a template of which the text hasn't as many bigrams as any window would need. Templates are literals of the
-plan: a list of notices, not data.
+windows of a template of which the text hasn't as many bigrams as any window would need. First of all, a text must hold
+one of a few words: so many of a template's bigrams have one of them that no segment can reach it without. Templates are
+literals of the plan: a list of notices, not data.
 
 One pass without a shuffle or a join, in time proportional to a text's length. Null and empty texts, and texts of one word,
 have no segments with bigrams. Repeated rows have equal results; very long texts are treated whole, in a task's memory.
@@ -44,6 +45,8 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+#: Words that are looked for last, as ordinary texts are full of them.
+COMMON = set("a all and any are as at be by can code copy distributed file following for found free from general general in is it law may not of on one or other person public source terms that the this to under use version with work you 0 1 2 3 4".split())
 #: Least Dice coefficient of a match, in hundredths.
 THRESHOLD = 80
 #: What separates words.
@@ -64,6 +67,27 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def needed(n: int, threshold: int) -> int:
+    """Bigrams that a segment must share with a template of n to reach the threshold."""
+    return -(-n * threshold // (200 - threshold))
+
+
+def tell_tales(sets: dict[str, list[str]], threshold: int) -> list[str]:
+    """Words of which every segment that reaches a template holds one: the template's bigrams without them are too few.
+
+    The rarest come first, by length, and those that are words of earlier templates cost nothing.
+    """
+    chosen: set[str] = set()
+    for own in sets.values():
+        words = sorted({w for b in own for w in b.split()}, key=lambda w: (w in COMMON, -len(w), w))
+        without = lambda: sum(chosen.isdisjoint(b.split()) for b in own)  # noqa: B023, E731
+        for w in words:
+            if without() < needed(len(own), threshold):
+                break
+            chosen.add(w)
+    return sorted(chosen)
+
+
 def words_of(segment: Column) -> Column:
     return F.filter(F.split(F.lower(segment), BREAK, -1), lambda w: w != "")
 
@@ -94,7 +118,10 @@ def licences(df: DataFrame, id_column: str, text_column: str, templates: dict[st
     reach = lambda n: (n * threshold // (200 - threshold), -(-n * (200 - threshold) // threshold))
     least = min(reach(len(v))[0] for v in sets.values())
     most = max(reach(len(v))[1] for v in sets.values())
-    found = given.select("id", segments.alias("segments"), F.concat(F.array_join(words_of(F.col("text")), " "), F.lit(" ")).alias("norm"))
+    letters = BREAK[2:-2]
+    tale = F.lower("text").rlike(f"(?<![{letters}])(?:{'|'.join(tell_tales(sets, threshold))})(?![{letters}])")
+    words = F.when(tale, words_of(F.col("text")))
+    found = given.select("id", segments.alias("segments"), words.alias("words"))
     tried = F.filter(F.transform("segments", lambda s: bigrams(words_of(s))), lambda b: (F.size(b) > 0) & (F.size(b) >= least) & (F.size(b) <= most) & F.arrays_overlap(b, any_bigram))
 
     def match(b: Column, name: str) -> Column:
@@ -110,15 +137,18 @@ def licences(df: DataFrame, id_column: str, text_column: str, templates: dict[st
         """The matches of a template's windows, if the text shares as many of its bigrams as a window must have."""
         n = len(template_words(known[name]))
         cut = f"(?=((?:[^ ]++ ){{1,{n}}}))(?:[^ ]++ ){{1,{stride(n)}}}"
-        needed = reach(len(sets[name]))[0]
-        enough = F.size(F.array_intersect(shared, F.array(*[F.lit(x) for x in sets[name]]))) >= needed
+        enough = F.size(F.array_intersect(shared, F.array(*[F.lit(x) for x in sets[name]]))) >= needed(len(sets[name]), threshold)
         tries = F.transform(F.regexp_extract_all(norm, F.lit(cut), F.lit(1)), lambda w: match(bigrams(F.filter(F.split(w, " "), lambda x: x != "")), name))
         return F.when(enough, F.array_compact(tries)).otherwise(F.array().cast("array<struct<d: bigint, id: string>>"))
 
-    shared = F.array_intersect(bigrams(F.filter(F.split("norm", " "), lambda w: w != "")), any_bigram)
-    inside = F.flatten(F.transform(F.array(shared), lambda s: F.concat(*[windows(F.col("norm"), s, k) for k in known])))
+    none = lambda kind: F.array().cast(kind)
+    hit = "struct<d: bigint, id: string>"
+    shared = F.array_intersect(bigrams(F.col("words")), any_bigram)
+    norm = F.concat(F.array_join("words", " "), F.lit(" "))
+    inside = F.flatten(F.transform(F.array(F.struct(shared.alias("shared"), norm.alias("norm"))), lambda t: F.concat(*[windows(t["norm"], t["shared"], k) for k in known])))
     matched = F.filter(F.transform(tried, lambda b: F.array_compact(F.array(*[match(b, k) for k in known]))), lambda x: F.size(x) > 0)
-    both = found.select("id", "segments", matched.alias("matched"), inside.alias("inside"))
+    told = F.col("words").isNotNull()
+    both = found.select("id", "segments", F.when(told, matched).otherwise(none(f"array<array<{hit}>>")).alias("matched"), F.when(told, inside).otherwise(none(f"array<{hit}>")).alias("inside"))
     hits = F.concat(F.flatten("matched"), F.col("inside"))
     best = F.array_min(hits)
     names = F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda x: x["id"]))), ",")

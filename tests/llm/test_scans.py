@@ -180,6 +180,14 @@ def test_licences_against_brute_force(spark):
     assert license_scan.licences(frame(spark, []), "doc_id", "text").count() == 0
 
 
+def test_tell_tale_words_are_needed():
+    sets = {k: license_scan.template_bigrams(v) for k, v in license_scan.TEMPLATES.items()}
+    chosen = set(license_scan.tell_tales(sets, 80))
+    for own in sets.values():
+        n, without = len(own), sum(chosen.isdisjoint(b.split()) for b in own)
+        assert 2 * without / (without + n) < 0.8  # at best, a segment of nothing but those
+
+
 def test_licences_in_a_long_text(spark):
     text = "word another line\n" * 200_000 + "\n".join(wrapped(license_scan.TEMPLATES["MIT-full"], 70)) + "\nmore words" * 200_000
     row = license_scan.licences(frame(spark, [text, text]), "doc_id", "text").collect()
