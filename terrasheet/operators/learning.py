@@ -90,11 +90,11 @@ def classify(df: DataFrame, model: PipelineModel, label: str, id_column: str) ->
 
 
 def importances(model: PipelineModel, features: list[str], spark) -> DataFrame:
-    """(feature, importance, deviation): by impurity, with the deviation over the trees."""
+    """(feature, importance, deviation): by impurity, with the deviation over the trees; the most important first."""
     own = model.stages[-1]
     each = [t.featureImportances.toArray() for t in own.trees]
     rows = [(f, float(own.featureImportances.toArray()[i]), float((sum((e[i] - sum(x[i] for x in each) / len(each)) ** 2 for e in each) / len(each)) ** 0.5)) for i, f in enumerate(features)]
-    return spark.createDataFrame(rows, "feature string, importance double, deviation double")
+    return spark.createDataFrame(rows, "feature string, importance double, deviation double").orderBy(F.desc("importance"), "feature")
 
 
 def permutation_importances(model: PipelineModel, df: DataFrame, features: list[str], label: str, id_column: str, repeats: int = 3) -> DataFrame:

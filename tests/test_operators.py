@@ -420,3 +420,28 @@ def test_queries_take_all_polygons_and_points(spark):
     both = df[df["m"] & df["gt"]]
     want = {(r.map_id, r.y * 32 + r.x, r.y // 5 * 100 + (r.x + 1) // 5 + 1) for r in both.itertuples()}
     assert {tuple(r) for r in own["matched_all_points"](spark, sf).select("map_id", "pred", "truth").where("truth is not null").collect()} == want
+
+
+def test_registered_maps(spark):
+    """An image of the same shapes, moved by (3, 5), lies over the fixed one again."""
+    own = np.full((70, 80), 255)
+    own[10:40, 12:30] = own[30:55, 25:62] = own[14:22, 48:66] = 60
+    moved = np.full((70, 80), 255)
+    moved[3:, 5:] = own[:-3, :-5]
+    frames = [pixels(spark, a).select("map_id", "y", "x", *[F.col("v").alias(c) for c in "rgb"]) for a in (own, moved)]
+    rows = registration.registered(*frames, 70, 80, border=20, first=0, less=0, share=0.6).select("y", "x", "r", "moved_r").collect()
+    assert len(rows) > 1000
+    same = sum(abs(r.r - r.moved_r) < 40 for r in rows)
+    assert same > 0.9 * len(rows)
+
+
+def test_feature_store_is_read_back(spark, tmp_path):
+    made = []
+
+    def compute():
+        made.append(1)
+        return spark.range(3).toDF("obj")
+
+    for _ in range(2):
+        assert features.stored(spark, f"{tmp_path}/store", compute).count() == 3
+    assert made == [1]
