@@ -110,7 +110,7 @@ def homography_warp(spark, sf):
 
 
 def buffer_mitre(spark, sf):
-    return kernels.enlarged(hulls(spark, sf).select("poly", F.col("hull").alias("ring")), 2.85).select("poly", rings.area(F.col("ring")).alias("area"))
+    return kernels.enlarged(hulls(spark, sf).select("poly", F.col("hull").alias("ring")), 2.85).select("poly", F.round(rings.area(F.col("ring")), 4).alias("area"))
 
 
 def polygon_snapping(spark, sf):
@@ -324,7 +324,8 @@ def register_maps(spark, sf):
     df = px(spark, sf).select("map_id", "y", "x", "r")
     moved = df.select("map_id", (F.col("y") + 2).alias("y"), (F.col("x") + 3).alias("x"), "r")
     found = registration.matches(registration.keypoints(df, "r", 60), registration.keypoints(moved, "r", 60), 0.5)
-    return registration.homographies(found)
+    whole = registration.homographies(found)
+    return whole.select("map_id", *[(F.round(F.col("matrix")[k], 3) + F.lit(0.0)).alias(f"h{k}") for k in range(9)])
 
 
 def classified_segments(spark, sf):
@@ -505,5 +506,10 @@ a AS (SELECT *, row_number() OVER (PARTITION BY map_id, label ORDER BY (mean_r -
 SELECT map_id, label, n, {', '.join([f'mean_{c}' for c in 'rgb'] + [f'median_{c}' for c in 'hsv'] + ['std_h', 'std_v'])}, name AS class, '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[' || {ring} || ']]}},"properties":{{"type":"' || name || '"}}}}' AS feature FROM a WHERE j = 1""")
 
 
+# a convex ring moved out by d has its area, d times its length, and d * d times the tangents of half its turns (beyond the limit, what cut corners enclose)
+ORACLES["buffer_mitre"] = "WITH " + HULLED + """, t AS (SELECT a.poly, a.ax * a.by_ - a.bx * a.ay AS twice, sqrt(CAST((a.bx - a.ax) * (a.bx - a.ax) + (a.by_ - a.ay) * (a.by_ - a.ay) AS DOUBLE)) AS size, ((a.bx - a.ax) * (b.bx - b.ax) + (a.by_ - a.ay) * (b.by_ - b.ay)) / (sqrt(CAST((a.bx - a.ax) * (a.bx - a.ax) + (a.by_ - a.ay) * (a.by_ - a.ay) AS DOUBLE)) * sqrt(CAST((b.bx - b.ax) * (b.bx - b.ax) + (b.by_ - b.ay) * (b.by_ - b.ay) AS DOUBLE))) AS turn FROM hull a JOIN hull b ON a.poly = b.poly AND a.bx = b.ax AND a.by_ = b.ay)
+SELECT poly, round(abs(CAST(sum(twice) AS DOUBLE)) / 2 + 2.85::DOUBLE * sum(size) + 2.85::DOUBLE * 2.85::DOUBLE * sum(CASE WHEN 2 <= 25 * (1 + turn) THEN sqrt(greatest(0, 1 - turn) / (1 + turn)) ELSE 1 - turn END), 4) AS area FROM t GROUP BY 1"""
+# the moved image lies 3 columns to the right and 2 rows down
+ORACLES["register_maps"] = on_px("SELECT DISTINCT map_id, " + ", ".join(f"{v}::DOUBLE AS h{k}" for k, v in enumerate((1, 0, -3, 0, 1, -2, 0, 0, 1))) + " FROM px")
 ORACLES["classified_segments"] = segments_sql()
 ORACLES["feature_store"] = ORACLES["spectral_features"]
