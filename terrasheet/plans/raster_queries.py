@@ -299,6 +299,12 @@ ORACLES = {
     "patch_pairs": on_px("""e AS MATERIALIZED (SELECT a.map_id, a.y, a.x, any_value(a.r) AS r, any_value(a.g) AS g, any_value(a.b) AS b, least(50.0::DOUBLE, coalesce(sqrt(min((a.y - s.y) * (a.y - s.y) + (a.x - s.x) * (a.x - s.x))), 50.0::DOUBLE)) / 50.0::DOUBLE AS d FROM px a LEFT JOIN (SELECT * FROM px WHERE m AND r < 40) s ON a.map_id = s.map_id GROUP BY 1, 2, 3),
 k AS (SELECT CAST(range % 3 AS INT) AS map_id, range AS patch, range * 5 % 24 AS cy, range * 7 % 24 AS cx, CASE WHEN range % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM range(12))
 SELECT map_id, patch, split, CAST(y - cy AS INT) AS py, CAST(x - cx AS INT) AS px, r, g, b, CAST(floor(d * 255) AS INT) AS label FROM e JOIN k USING (map_id) WHERE y - cy BETWEEN 0 AND 7 AND x - cx BETWEEN 0 AND 7"""),
+    # with equal thresholds the edges are the ridges of the gradient over it
+    "canny_edges": on_px("""w AS (SELECT a.range AS dy, b.range AS dx, b.range * (2 - abs(a.range)) AS kx, a.range * (2 - abs(b.range)) AS ky FROM range(-1, 2) a, range(-1, 2) b),
+g AS MATERIALIZED (SELECT a.map_id, a.y, a.x, sum(b.r * kx) AS gx, sum(b.r * ky) AS gy FROM px a, w, px b WHERE b.map_id = a.map_id AND b.y = least(greatest(a.y + dy, 0), 31) AND b.x = least(greatest(a.x + dx, 0), 31) GROUP BY 1, 2, 3),
+s AS MATERIALIZED (SELECT map_id, y, x, abs(gx) + abs(gy) AS size, CAST(round(atan2(gy, gx) / (pi() / 4)) + 8 AS INT) % 4 AS sector FROM g),
+d(sector, dy, dx) AS (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1))
+SELECT s.map_id, s.y, s.x FROM s JOIN d USING (sector) LEFT JOIN s f ON f.map_id = s.map_id AND f.y = s.y + d.dy AND f.x = s.x + d.dx LEFT JOIN s b ON b.map_id = s.map_id AND b.y = s.y - d.dy AND b.x = s.x - d.dx WHERE s.size > 70 AND s.size > coalesce(f.size, 0) AND s.size >= coalesce(b.size, 0)"""),
     # squares of 2 x 2 pixels: full ones count 1, those of three pixels 1/2; their numbers give the Euler number as well
     "contour_areas": on_px(labelled_sql("m", True) + """, q AS (SELECT map_id, label, y + dy AS qy, x + dx AS qx, count(*) AS n, bool_or(dy = dx) AND bool_or(dy <> dx) AS sides FROM labelled, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(dy, dx) GROUP BY 1, 2, 3, 4)
 SELECT map_id, label, 1 - (count(*) FILTER (n = 1) - count(*) FILTER (n = 3) - 2 * count(*) FILTER (n = 2 AND NOT sides)) // 4 AS n_holes, count(*) FILTER (n = 4) + count(*) FILTER (n = 3) / 2.0::DOUBLE AS area FROM q GROUP BY 1, 2"""),
