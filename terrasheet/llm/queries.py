@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, license_scan, media, near_dedup, secret_scan, token_counts, toxicity, twins, warc
+from . import bpe, decontaminate, filter_audit, importance, language_id, license_scan, media, near_dedup, piece_bpe, secret_scan, token_counts, toxicity, twins, warc
 from .common import new_path, stored, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Samples a second of op7's PCM: half of the files', as disk allows (README).
 RATE = 4000
 
@@ -80,6 +81,20 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = piece_bpe.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", PIECES)
+    back = piece_bpe.decode_ids(ids, "doc_id", "ids", PIECES)
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_secrets": op2_secrets,
@@ -91,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
     "op6_toxicity": op6_toxicity,
     "op8_warc": op8_warc,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_importance": op13_importance,
 }
 
 #: The others are models, encoders or digests of stored forms, which SQL can't express; tests/llm checks them by brute force.
@@ -99,4 +117,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_licences": twins.LICENCES,
     "op8_warc": twins.WARC,
     "op9_near_dedup": twins.NEAR,
+    "op12_filter_audit": twins.AUDIT,
+    "op13_importance": twins.IMPORTANCE,
 }

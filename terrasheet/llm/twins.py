@@ -56,3 +56,30 @@ LEFT JOIN (SELECT doc_id, count(DISTINCT s) AS n FROM h GROUP BY 1) p ON p.doc_i
 
 
 LICENCES = _licences()
+
+AUDIT = """
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS q, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS t FROM labels GROUP BY 1),
+f AS MATERIALIZED (SELECT part, coalesce(q, 0) AS q, coalesce(t, 0) AS t, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b, 100 * len(regexp_replace(x, '[^A-Z]+', '', 'g')) > 10 * len(x) AS c, regexp_matches(x, '[#$%&*|]') AS d, coalesce(min(w.doc_id) OVER (PARTITION BY x) < w.doc_id, false) AS e FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+g AS MATERIALIZED (SELECT part, a, b, c, d, e, count(*) AS n, sum(q) AS q, sum(t) AS t FROM f GROUP BY ALL),
+i AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS i),
+o AS (SELECT v.i || w.i || x.i || y.i || z.i AS o FROM i v, i w, i x, i y, i z WHERE len(list_distinct([v.i, w.i, x.i, y.i, z.i])) = 5),
+s AS (SELECT o, k AS step, o[k] AS filter, o[1 : k - 1] AS before FROM o, (SELECT unnest(range(1, 6)) AS k)),
+h AS (SELECT *, list_filter(['A', 'B', 'C', 'D', 'E'], lambda i: CASE i WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END) AS fails FROM g),
+r AS MATERIALIZED (SELECT part, o AS filter_order, step, filter, CAST(coalesce(sum(n) FILTER (NOT early AND NOT now), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (NOT early AND now), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (early AND now), 0) AS BIGINT) AS redundant,
+CAST(coalesce(sum(n) FILTER (fails = [filter]), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(q) FILTER (NOT early AND now), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(t) FILTER (NOT early AND now), 0) AS BIGINT) AS toxic_lost
+FROM (SELECT h.*, s.*, list_contains(fails, filter) AS now, len(list_filter(fails, lambda i: contains(before, i))) > 0 AS early FROM h, s) GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r"""
+
+IMPORTANCE = f"""
+WITH c AS MATERIALIZED (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, b)) AS c),
+d AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents), i AS MATERIALIZED (SELECT {WORDS} AS w FROM benchmark),
+v AS MATERIALIZED (SELECT w, hex(encode(w)) AS h FROM (SELECT unnest(w) AS w FROM d UNION SELECT unnest(w) FROM i)),
+b AS MATERIALIZED (SELECT w, xor(4294967295, list_reduce(list_transform(range(1, len(h), 2), lambda k: CAST('0x' || substr(h, k, 2) AS BIGINT)), lambda r, x: xor(r >> 8, c[(xor(r, x) & 255) + 1]), 4294967295)) % 10000 AS b FROM v, c),
+f AS MATERIALIZED (SELECT doc_id, row, b FROM (SELECT doc_id, row, unnest(w) AS w FROM (SELECT *, row_number() OVER () AS row FROM d)) JOIN b USING (w)),
+s AS (SELECT b, count(*) AS s FROM f GROUP BY 1), t AS (SELECT b, count(*) AS t FROM (SELECT unnest(w) AS w FROM i) JOIN b USING (w) GROUP BY 1),
+g AS MATERIALIZED (SELECT s.b, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000.0::DOUBLE) / ((s + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000.0::DOUBLE)))) AS BIGINT) AS g FROM s LEFT JOIN t ON s.b = t.b),
+m AS (SELECT row, CAST(floor(sum(g) / count(*)) AS BIGINT) AS m FROM f JOIN g USING (b) GROUP BY 1),
+e AS MATERIALIZED (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(m, 0) AS weight, coalesce(m, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM (SELECT *, row_number() OVER () AS row FROM d) d LEFT JOIN m ON m.row = d.row),
+o AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS r FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= (SELECT 10 * count(*) // 100 FROM e WHERE n_features >= 20) THEN r END AS rank FROM o"""
