@@ -21,8 +21,8 @@ def flags(text, smaller):
 
 
 def plain(docs, labels):
-    good = {i for i, q, t in labels if q == 1}
-    toxic = {i for i, q, t in labels if t == 1}
+    good = {i for i, q, t in labels if q == 1 and i is not None}
+    toxic = {i for i, q, t in labels if t == 1 and i is not None}
     least = {}
     for i, text, _ in docs:
         if i is not None:
