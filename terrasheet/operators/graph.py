@@ -62,34 +62,34 @@ def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return nodes, nodes[[root(k) for k in range(len(nodes))]]
 
 
-def connected(links: DataFrame, group_links: int = GROUP_LINKS) -> DataFrame:
-    """(map_id, node, label) for the nodes of links (map_id, a, b) that aren't the least of their component: the least node.
+def connected(links: DataFrame, group_links: int = GROUP_LINKS, keys: tuple[str, ...] = ("map_id",)) -> DataFrame:
+    """(keys, node, label) for the nodes of links (keys, a, b) that aren't the least of their component: the least node.
 
-    If no map has more than group_links links, each map's are joined in one task. Else rounds of large and small stars: a
+    If no key has more than group_links links, each one's are joined in one task. Else rounds of large and small stars: a
     node's greater neighbours, then itself and its smaller ones, are linked to the least of its neighbourhood. Their number
     grows with the logarithm of the longest path.
     """
-    edges = settled(links.select("map_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    most = edges.groupBy("map_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    edges = settled(links.select(*keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    most = edges.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     if most <= group_links:
-        kind = edges.schema["map_id"].dataType.simpleString()
+        kinds = ", ".join(f"{k} {edges.schema[k].dataType.simpleString()}" for k in keys)
 
         def one(own: pd.DataFrame) -> pd.DataFrame:
             nodes, least = least_reachable(own.a.to_numpy(), own.b.to_numpy())
             other = nodes != least
-            return pd.DataFrame({"map_id": own.map_id.iloc[0], "node": nodes[other], "label": least[other]})
+            return pd.DataFrame({**{k: own[k].iloc[0] for k in keys}, "node": nodes[other], "label": least[other]})
 
-        return edges.groupBy("map_id").applyInPandas(one, f"map_id {kind}, node long, label long")
+        return edges.groupBy(*keys).applyInPandas(one, f"{kinds}, node long, label long")
     before = None
     for _ in range(ROUNDS):
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("map_id", "a", "b").cast("decimal(38,0)"))).first()
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
-            return edges.toDF("map_id", "node", "label")
+            return edges.toDF(*keys, "node", "label")
         before = state
-        both = edges.union(edges.select("map_id", "b", "a")).toDF("map_id", "u", "v")
-        least = both.groupBy("map_id", "u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, ["map_id", "u"]).select("map_id", F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lower = large.groupBy("map_id", "u").agg(F.min("v").alias("m"))
-        small = large.join(lower, ["map_id", "u"]).select("map_id", F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = settled(small.select("map_id", "e.a", "e.b").where("a <> b").distinct())
+        both = edges.union(edges.select(*keys, "b", "a")).toDF(*keys, "u", "v")
+        least = both.groupBy(*keys, "u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        lower = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+        small = large.join(lower, [*keys, "u"]).select(*keys, F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e"))
+        edges = settled(small.select(*keys, "e.a", "e.b").where("a <> b").distinct())
     raise RuntimeError(f"components still change after {ROUNDS} rounds")

@@ -25,68 +25,6 @@ def grid(pixels: pd.DataFrame, value: str, fill: float) -> tuple[np.ndarray, int
     return out, y0, x0
 
 
-def flood(height: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Watershed labels: markers grow in order of height, then of age, over the four neighbours inside the mask."""
-    labels = np.where(mask, markers, 0).astype(np.int64)
-    heap = [(height[y, x], k, y, x) for k, (y, x) in enumerate(zip(*np.nonzero(labels), strict=True))]
-    heapq.heapify(heap)
-    age = len(heap)
-    while heap:
-        _, _, y, x = heapq.heappop(heap)
-        for dy, dx in AROUND[::2]:
-            a, b = y + dy, x + dx
-            if 0 <= a < labels.shape[0] and 0 <= b < labels.shape[1] and mask[a, b] and not labels[a, b]:
-                labels[a, b] = labels[y, x]
-                heapq.heappush(heap, (height[a, b], age, a, b))
-                age += 1
-    return labels
-
-
-def watershed(df: DataFrame, height: str, marker: str, mask: str) -> DataFrame:
-    """(map_id, y, x, label) of the mask's pixels that a marker (label > 0) reaches."""
-    kind = df.schema["map_id"].dataType.simpleString()
-
-    def one(pixels: pd.DataFrame) -> pd.DataFrame:
-        heights, y0, x0 = grid(pixels, height, np.inf)
-        marks, _, _ = grid(pixels, marker, 0)
-        inside, _, _ = grid(pixels.assign(**{mask: pixels[mask].astype(int)}), mask, 0)
-        labels = flood(heights, marks, inside > 0)
-        y, x = np.nonzero(labels)
-        return pd.DataFrame({"map_id": pixels.map_id.iloc[0], "y": y + y0, "x": x + x0, "label": labels[y, x]})
-
-    return df.select("map_id", "y", "x", height, marker, mask).groupBy("map_id").applyInPandas(one, f"map_id {kind}, y int, x int, label long")
-
-
-def thinned(mask: np.ndarray) -> np.ndarray:
-    """A skeleton: border pixels are peeled off, two sides in turn, while that keeps their neighbourhood connected."""
-    own = np.pad(mask.astype(bool), 1)
-    while True:
-        changed = False
-        for side in (0, 1):
-            near = [np.roll(own, (-dy, -dx), (0, 1)) for dy, dx in AROUND]
-            right, down, left, up = near[0], near[2], near[4], near[6]
-            count = sum(n.astype(int) for n in near)
-            turns = sum((~near[k] & near[(k + 1) % 8]).astype(int) for k in range(8))
-            sides = (~(up & right & down)) & (~(right & down & left)) if side == 0 else (~(up & right & left)) & (~(up & down & left))
-            gone = own & (count >= 2) & (count <= 6) & (turns == 1) & sides
-            if gone.any():
-                own, changed = own & ~gone, True
-        if not changed:
-            return own[1:-1, 1:-1]
-
-
-def skeleton(df: DataFrame) -> DataFrame:
-    """(map_id, y, x): the skeleton of each map's pixels."""
-    kind = df.schema["map_id"].dataType.simpleString()
-
-    def one(pixels: pd.DataFrame) -> pd.DataFrame:
-        own, y0, x0 = grid(pixels.assign(on=1), "on", 0)
-        y, x = np.nonzero(thinned(own > 0))
-        return pd.DataFrame({"map_id": pixels.map_id.iloc[0], "y": y + y0, "x": x + x0})
-
-    return df.select("map_id", "y", "x").groupBy("map_id").applyInPandas(one, f"map_id {kind}, y int, x int")
-
-
 def traced(mask: np.ndarray, start: tuple[int, int] | None = None, look: int = 4) -> np.ndarray:
     """The border of a mask from the pixel `start`, whose neighbour in the direction `look` is off, as (x, y) of pixel
     centres; runs on a line are merged. By default the outer border of the first component in reading order.
@@ -157,62 +95,6 @@ def cross_closed(mask: np.ndarray) -> np.ndarray:
     return (grown & np.roll(grown, 1, 0) & np.roll(grown, -1, 0) & np.roll(grown, 1, 1) & np.roll(grown, -1, 1))[2:-2, 2:-2]
 
 
-def contours(labelled: DataFrame, closing: bool = False, hole_tolerance: float = 0.0) -> DataFrame:
-    """(map_id, label, ring, holes) of each label, one group per label: the outer border of its largest component, and the
-    borders of that one's holes, the largest first. A hole of one pixel has a ring of four around it.
-
-    closing: each label's pixels are closed by a cross of 3 x 3 first. hole_tolerance: holes are simplified by it.
-    """
-    from .geometry import simplified
-
-    kinds = {c: labelled.schema[c].dataType.simpleString() for c in ("map_id", "label")}
-    listed = lambda ring, x0, y0: [{"x": float(a + x0), "y": float(b + y0)} for a, b in ring]
-
-    def one(pixels: pd.DataFrame) -> pd.DataFrame:
-        own, y0, x0 = grid(pixels.assign(on=1), "on", 0)
-        part = parts_of(cross_closed(own > 0) if closing else own > 0, True)[0]
-        inner = [simplified(r, hole_tolerance, True) if hole_tolerance else r for r in hole_rings(part)]
-        rings = [listed(r, x0, y0) for r in inner if len(r) > 2]
-        return pd.DataFrame({"map_id": [pixels.map_id.iloc[0]], "label": [pixels.label.iloc[0]], "ring": [listed(traced(part), x0, y0)], "holes": [rings]})
-
-    ring = "array<struct<x: double, y: double>>"
-    return labelled.select("map_id", "label", "y", "x").groupBy("map_id", "label").applyInPandas(one, f"map_id {kinds['map_id']}, label {kinds['label']}, ring {ring}, holes array<{ring}>")
-
-
-def gradient_edges(image: np.ndarray, low: float, high: float) -> np.ndarray:
-    """Canny's edges: ridges of the gradient over `high`, and over `low` where they touch such."""
-    wide = np.pad(image.astype(float), 1, mode="edge")
-    part = lambda dy, dx: wide[1 + dy : 1 + dy + image.shape[0], 1 + dx : 1 + dx + image.shape[1]]
-    gx = part(-1, 1) + 2 * part(0, 1) + part(1, 1) - part(-1, -1) - 2 * part(0, -1) - part(1, -1)
-    gy = part(1, -1) + 2 * part(1, 0) + part(1, 1) - part(-1, -1) - 2 * part(-1, 0) - part(-1, 1)
-    size = np.abs(gx) + np.abs(gy)
-    sector = np.round(np.arctan2(gy, gx) / (np.pi / 4)).astype(int) % 4
-    padded = np.pad(size, 1)
-    near = lambda dy, dx: padded[1 + dy : 1 + dy + size.shape[0], 1 + dx : 1 + dx + size.shape[1]]
-    ridge = np.zeros(size.shape, bool)
-    for k, (dy, dx) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1))):
-        ridge |= (sector == k) & (size > near(dy, dx)) & (size >= near(-dy, -dx))
-    strong, weak = ridge & (size > high), ridge & (size > low)
-    while True:
-        wider = np.pad(strong, 1)
-        grown = weak & np.logical_or.reduce([wider[1 + dy : 1 + dy + size.shape[0], 1 + dx : 1 + dx + size.shape[1]] for dy, dx in AROUND + [(0, 0)]])
-        if (grown == strong).all():
-            return strong
-        strong = grown
-
-
-def canny(df: DataFrame, value: str, low: float = 70.0, high: float = 70.0) -> DataFrame:
-    """(map_id, y, x): the edge pixels of each map."""
-    kind = df.schema["map_id"].dataType.simpleString()
-
-    def one(pixels: pd.DataFrame) -> pd.DataFrame:
-        own, y0, x0 = grid(pixels, value, 0)
-        y, x = np.nonzero(gradient_edges(own, low, high))
-        return pd.DataFrame({"map_id": pixels.map_id.iloc[0], "y": y + y0, "x": x + x0})
-
-    return df.select("map_id", "y", "x", value).groupBy("map_id").applyInPandas(one, f"map_id {kind}, y int, x int")
-
-
 def mitred(ring: np.ndarray, by: float, limit: float = 5.0) -> np.ndarray:
     """The ring moved outwards: neighbouring edges are shifted and meet in their corner, or are cut beyond the limit."""
     if len(ring) < 3:

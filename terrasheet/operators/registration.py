@@ -116,7 +116,7 @@ def homographies(found: DataFrame, reach: float = 3.0) -> DataFrame:
 def silhouette(df: DataFrame, value: str) -> DataFrame:
     """df (dense) with `inside`: within the outline of what the map shows. Edges, widened and closed, with holes filled."""
     from .components import fill_holes
-    from .kernels import canny
+    from .tiles import canny
     from .raster import closing, dilate
 
     edges = canny(df, value).withColumn("_e", F.lit(1))

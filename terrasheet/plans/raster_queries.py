@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..config import CLASSES, FOREGROUND_MOST, PALETTE, PALETTE_CLASS
 from ..functions import color, rings
 from ..operators import components as cc
-from ..operators import geometry, kernels, raster
+from ..operators import borders, geometry, kernels, raster, tiles
 from ..operators.graph import shared_folder
 from ..sources import images
 from .proxies import on_px, labelled_sql
@@ -161,12 +161,12 @@ def difference_enlarged(spark, sf):
 def watershed(spark, sf):
     df = raster.distance_transform(px(spark, sf), ~F.col("m"), 50).withColumn("height", -F.col("distance"))
     peaks = raster.local_maxima(df, "distance", F.col("m")).withColumn("label", F.when(F.col("peak"), F.col("y") * 1000 + F.col("x") + 1).otherwise(0))
-    return kernels.watershed(peaks, "height", "label", "m")
+    return tiles.watershed(peaks, "height", "label", "m", 16)
 
 
 def contour_areas(spark, sf):
     """Areas and holes of traced segments: the rings' area is that of the whole and half squares between pixel centres."""
-    own = kernels.contours(cc.components(px(spark, sf).where("m"), True, tile=16))
+    own = borders.contours(cc.components(px(spark, sf).where("m"), True, tile=16), tile=16)
     return own.select("map_id", "label", F.size("holes").cast("long").alias("n_holes"), rings.area(F.col("ring"), F.col("holes")).alias("area"))
 
 
@@ -196,15 +196,18 @@ def patch_pairs(spark, sf):
 
 
 def skeletonise(spark, sf):
-    return kernels.skeleton(px(spark, sf).where("m"))
+    return tiles.skeleton(px(spark, sf).where("m"), 16)
 
 
 def contour_trace(spark, sf):
-    return kernels.contours(cc.components(px(spark, sf).where("m"), True, tile=16))
+    """The corners of each segment's border (part 0) and of its holes (from 1 on), in order."""
+    own = borders.contours(cc.components(px(spark, sf).where("m"), True, tile=16), tile=16)
+    rows = own.select("map_id", "label", F.posexplode(F.concat(F.array("ring"), "holes")).alias("part", "r")).select("map_id", "label", "part", F.posexplode("r").alias("k", "p"))
+    return rows.select("map_id", "label", "part", "k", F.col("p.y").cast("int").alias("y"), F.col("p.x").cast("int").alias("x"))
 
 
 def canny_edges(spark, sf):
-    return kernels.canny(px(spark, sf), "r")
+    return tiles.canny(px(spark, sf), "r", 150.0, 450.0, 16)
 
 
 def mask_png(spark, sf):
@@ -261,6 +264,23 @@ QUERIES = {
 LARGE8 = labelled_sql("m", True) + ", big AS MATERIALIZED (SELECT * FROM labelled WHERE (map_id, label) IN (SELECT (map_id, label) FROM (SELECT map_id, label FROM labelled GROUP BY 1, 2 HAVING count(*) >= 4)))"
 SCALE = "max(greatest(r, g, b)) OVER (PARTITION BY map_id)", "min(least(r, g, b)) OVER (PARTITION BY map_id)"
 
+
+
+def skeleton_sql() -> str:
+    """Thinning of maps as lists of 34 x 34 pixels with a frame, both sides in a step."""
+    at = [1, 35, 34, 33, -1, -35, -34, -33]  # clockwise from the right
+    n = lambda k: f"l[i + {at[k]}]"
+    count = " + ".join(n(k) for k in range(8))
+    turns = " + ".join(f"(1 - {n(k)}) * {n((k + 1) % 8)}" for k in range(8))
+    right, down, left, up = n(0), n(2), n(4), n(6)
+    sides = [f"{up} * {right} * {down} = 0 AND {right} * {down} * {left} = 0", f"{up} * {right} * {left} = 0 AND {up} * {down} * {left} = 0"]
+    peel = lambda s: f"list_transform(l, lambda v, i: CASE WHEN v = 0 THEN 0 WHEN {count} BETWEEN 2 AND 6 AND {turns} = 1 AND {sides[s]} THEN 0 ELSE 1 END)"
+    return f"""cell AS (SELECT map_id, range AS i, range // 34 - 1 AS y, range % 34 - 1 AS x FROM (SELECT DISTINCT map_id FROM px), range(34 * 34)),
+thin AS (SELECT map_id, 0 AS k, list(CAST(coalesce(m, false) AS INT) ORDER BY i) AS l, CAST(NULL AS INT[]) AS before FROM cell LEFT JOIN px USING (map_id, y, x) GROUP BY 1
+  UNION ALL SELECT map_id, k + 1, {peel(1)}, o FROM (SELECT map_id, k, {peel(0)} AS l, l AS o FROM thin WHERE l IS DISTINCT FROM before))
+SELECT map_id, CAST(i // 34 - 1 AS INT) AS y, CAST(i % 34 - 1 AS INT) AS x FROM (SELECT map_id, unnest(l) AS v, unnest(range(34 * 34)) AS i FROM thin WHERE l = before) WHERE v = 1"""
+
+
 HEX = "CAST('0x' || substr(md5(CAST(map_id AS VARCHAR) || '-' || CAST(copy AS VARCHAR)), {0}, 4) AS INT)"
 
 ORACLES = {
@@ -299,12 +319,33 @@ ORACLES = {
     "patch_pairs": on_px("""e AS MATERIALIZED (SELECT a.map_id, a.y, a.x, any_value(a.r) AS r, any_value(a.g) AS g, any_value(a.b) AS b, least(50.0::DOUBLE, coalesce(sqrt(min((a.y - s.y) * (a.y - s.y) + (a.x - s.x) * (a.x - s.x))), 50.0::DOUBLE)) / 50.0::DOUBLE AS d FROM px a LEFT JOIN (SELECT * FROM px WHERE m AND r < 40) s ON a.map_id = s.map_id GROUP BY 1, 2, 3),
 k AS (SELECT CAST(range % 3 AS INT) AS map_id, range AS patch, range * 5 % 24 AS cy, range * 7 % 24 AS cx, CASE WHEN range % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM range(12))
 SELECT map_id, patch, split, CAST(y - cy AS INT) AS py, CAST(x - cx AS INT) AS px, r, g, b, CAST(floor(d * 255) AS INT) AS label FROM e JOIN k USING (map_id) WHERE y - cy BETWEEN 0 AND 7 AND x - cx BETWEEN 0 AND 7"""),
-    # with equal thresholds the edges are the ridges of the gradient over it
+    # ridges of the gradient over the upper threshold, and those over the lower one that reach them
     "canny_edges": on_px("""w AS (SELECT a.range AS dy, b.range AS dx, b.range * (2 - abs(a.range)) AS kx, a.range * (2 - abs(b.range)) AS ky FROM range(-1, 2) a, range(-1, 2) b),
 g AS MATERIALIZED (SELECT a.map_id, a.y, a.x, sum(b.r * kx) AS gx, sum(b.r * ky) AS gy FROM px a, w, px b WHERE b.map_id = a.map_id AND b.y = least(greatest(a.y + dy, 0), 31) AND b.x = least(greatest(a.x + dx, 0), 31) GROUP BY 1, 2, 3),
 s AS MATERIALIZED (SELECT map_id, y, x, abs(gx) + abs(gy) AS size, CAST(round(atan2(gy, gx) / (pi() / 4)) + 8 AS INT) % 4 AS sector FROM g),
-d(sector, dy, dx) AS (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1))
-SELECT s.map_id, s.y, s.x FROM s JOIN d USING (sector) LEFT JOIN s f ON f.map_id = s.map_id AND f.y = s.y + d.dy AND f.x = s.x + d.dx LEFT JOIN s b ON b.map_id = s.map_id AND b.y = s.y - d.dy AND b.x = s.x - d.dx WHERE s.size > 70 AND s.size > coalesce(f.size, 0) AND s.size >= coalesce(b.size, 0)"""),
+d(sector, dy, dx) AS (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1)),
+e AS MATERIALIZED (SELECT s.map_id, s.y, s.x, s.size FROM s JOIN d USING (sector) LEFT JOIN s f ON f.map_id = s.map_id AND f.y = s.y + d.dy AND f.x = s.x + d.dx LEFT JOIN s b ON b.map_id = s.map_id AND b.y = s.y - d.dy AND b.x = s.x - d.dx WHERE s.size > 150 AND s.size > coalesce(f.size, 0) AND s.size >= coalesce(b.size, 0)),
+h AS (SELECT map_id, y, x FROM e WHERE size > 450 UNION SELECT e.map_id, e.y, e.x FROM h JOIN e ON e.map_id = h.map_id AND abs(e.y - h.y) <= 1 AND abs(e.x - h.x) <= 1) SELECT map_id, y, x FROM h"""),
+    "watershed": on_px("""d AS MATERIALIZED (SELECT a.map_id, a.y, a.x, any_value(a.m) AS m, least(2500, coalesce(min((a.y - s.y) * (a.y - s.y) + (a.x - s.x) * (a.x - s.x)), 2500)) AS d FROM px a LEFT JOIN (SELECT * FROM px WHERE NOT m) s ON a.map_id = s.map_id GROUP BY 1, 2, 3),
+k AS MATERIALIZED (SELECT a.map_id, a.y, a.x, -any_value(a.d) AS h, CASE WHEN any_value(a.d) = max(b.d) THEN a.y * 1000 + a.x + 1 ELSE 0 END AS marker FROM d a JOIN d b ON a.map_id = b.map_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 WHERE a.m GROUP BY 1, 2, 3),
+s(map_id, y, x, level, steps) USING KEY (map_id, y, x) AS (SELECT map_id, y, x, h, 0 FROM k WHERE marker > 0
+  UNION SELECT map_id, y, x, s[1], s[2] FROM (SELECT n.map_id, n.y, n.x, min([greatest(s.level, n.h), CASE WHEN n.h > s.level THEN 0 ELSE s.steps + 1 END]) AS s FROM s JOIN k n ON n.map_id = s.map_id AND abs(n.y - s.y) + abs(n.x - s.x) = 1 AND n.marker = 0 GROUP BY 1, 2, 3) c
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.s o WHERE o.map_id = c.map_id AND o.y = c.y AND o.x = c.x AND [o.level, o.steps] <= c.s)),
+e AS MATERIALIZED (SELECT a.map_id, a.y AS ay, a.x AS ax, b.y, b.x FROM s a JOIN s b ON a.map_id = b.map_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 JOIN k n ON n.map_id = b.map_id AND n.y = b.y AND n.x = b.x AND n.marker = 0 WHERE b.level = greatest(a.level, n.h) AND b.steps = CASE WHEN n.h > a.level THEN 0 ELSE a.steps + 1 END),
+l AS (SELECT map_id, y, x, marker AS label FROM k WHERE marker > 0 UNION SELECT e.map_id, e.y, e.x, l.label FROM l JOIN e ON e.map_id = l.map_id AND e.ay = l.y AND e.ax = l.x)
+SELECT map_id, y, x, CAST(min(label) AS BIGINT) AS label FROM l GROUP BY 1, 2, 3"""),
+    "skeletonise": on_px(skeleton_sql()),
+    "contour_trace": on_px(labelled_sql("m", True) + """, side(s, ay, ax, oy, ox) AS (VALUES (0, 0, 1, -1, 0), (1, 1, 0, 0, 1), (2, 0, -1, 1, 0), (3, -1, 0, 0, -1)),
+c AS MATERIALIZED (SELECT p.map_id, p.label, (CAST(p.y AS BIGINT) * 16777216 + p.x) * 4 + s AS id, s, p.y, CASE WHEN g.y IS NOT NULL THEN (CAST(g.y AS BIGINT) * 16777216 + g.x) * 4 + (s + 3) % 4 WHEN f.y IS NOT NULL THEN (CAST(f.y AS BIGINT) * 16777216 + f.x) * 4 + s ELSE (CAST(p.y AS BIGINT) * 16777216 + p.x) * 4 + (s + 1) % 4 END AS next
+  FROM labelled p CROSS JOIN side LEFT JOIN labelled o ON o.map_id = p.map_id AND o.label = p.label AND o.y = p.y + oy AND o.x = p.x + ox LEFT JOIN labelled g ON g.map_id = p.map_id AND g.label = p.label AND g.y = p.y + oy + ay AND g.x = p.x + ox + ax LEFT JOIN labelled f ON f.map_id = p.map_id AND f.label = p.label AND f.y = p.y + ay AND f.x = p.x + ax WHERE o.y IS NULL),
+r AS (SELECT map_id, id, id AS l FROM c UNION SELECT r.map_id, c.next, r.l FROM r JOIN c ON c.map_id = r.map_id AND c.id = r.id WHERE r.l < c.next),
+ring AS MATERIALIZED (SELECT map_id, l AS ring, any_value(label) AS label, sum(CASE s WHEN 2 THEN y + 1 WHEN 0 THEN -y ELSE 0 END) AS area, count(*) AS n FROM (SELECT map_id, id, min(l) AS l FROM r GROUP BY 1, 2) JOIN c USING (map_id, id) GROUP BY 1, 2),
+w AS (SELECT map_id, ring, ring AS id, 0 AS pos FROM ring UNION ALL SELECT w.map_id, ring, c.next, pos + 1 FROM w JOIN c ON c.map_id = w.map_id AND c.id = w.id WHERE c.next <> ring),
+o AS MATERIALIZED (SELECT w.map_id, w.ring, label, area, CASE WHEN area < 0 AND pos = 0 THEN n ELSE pos END AS pos, w.id // 4 AS p, coalesce(lead(w.id // 4) OVER (PARTITION BY w.map_id, w.ring ORDER BY pos), w.ring // 4) AS q FROM w JOIN ring USING (map_id, ring)),
+t AS (SELECT *, coalesce(lag(p) OVER k, last_value(p) OVER (PARTITION BY map_id, ring ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS b FROM o WHERE p <> q WINDOW k AS (PARTITION BY map_id, ring ORDER BY pos)),
+corner AS (SELECT map_id, ring, label, area, pos, p FROM t WHERE p - b <> q - p UNION ALL SELECT map_id, ring, any_value(label), any_value(area), 0, any_value(p) FROM o GROUP BY 1, 2 HAVING count(DISTINCT p) = 1),
+part AS (SELECT map_id, ring, CASE WHEN area > 0 THEN 0 ELSE row_number() OVER (PARTITION BY map_id, label, area > 0 ORDER BY area, ring) END AS part FROM (SELECT map_id, ring, any_value(label) AS label, any_value(area) AS area FROM corner GROUP BY 1, 2 HAVING any_value(area) > 0 OR count(*) > 2))
+SELECT map_id, label, CAST(part AS INT) AS part, CAST(row_number() OVER (PARTITION BY map_id, ring ORDER BY pos) - 1 AS INT) AS k, CAST(p // 16777216 AS INT) AS y, CAST(p % 16777216 AS INT) AS x FROM corner JOIN part USING (map_id, ring)"""),
     # squares of 2 x 2 pixels: full ones count 1, those of three pixels 1/2; their numbers give the Euler number as well
     "contour_areas": on_px(labelled_sql("m", True) + """, q AS (SELECT map_id, label, y + dy AS qy, x + dx AS qx, count(*) AS n, bool_or(dy = dx) AND bool_or(dy <> dx) AS sides FROM labelled, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(dy, dx) GROUP BY 1, 2, 3, 4)
 SELECT map_id, label, 1 - (count(*) FILTER (n = 1) - count(*) FILTER (n = 3) - 2 * count(*) FILTER (n = 2 AND NOT sides)) // 4 AS n_holes, count(*) FILTER (n = 4) + count(*) FILTER (n = 3) / 2.0::DOUBLE AS area FROM q GROUP BY 1, 2"""),

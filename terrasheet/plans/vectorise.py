@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import CLASSES, EDT_CAP, ENLARGE, FEATURES, FILLS, FOREGROUND_MOST, MIN_SEGMENT_PIXELS, MIN_VALUE, NEIGHBOUR_REACH, PALETTE, PALETTE_CLASS, SELECTED, SENSITIVITY, SIMPLIFY, SNAP, TREES
 from ..functions import color, rings
-from ..operators import components, evaluation, features, geometry, kernels, learning, raster
+from ..operators import borders, components, evaluation, features, geometry, kernels, learning, raster, tiles
 from ..operators.graph import settled
 from ..sources import geojson
 
@@ -51,7 +51,7 @@ def segments(pixels: DataFrame, distance: Callable[[DataFrame], DataFrame] | Non
     own = settled(raster.local_maxima(own, "d", (F.col("far") == 1) & F.col("inside")).select("map_id", "y", "x", "d", "inside", "peak"))
     markers = components.components(own.where("peak"), False, settings.tile).select("map_id", "y", "x", (F.col("label") + 1).alias("marker"))
     joined = own.join(markers, ["map_id", "y", "x"], "left").select("map_id", "y", "x", (1 - F.col("d")).alias("height"), F.coalesce("marker", F.lit(0)).alias("marker"), "inside")
-    return settled(components.without_small(kernels.watershed(joined, "height", "marker", "inside"), settings.least_pixels)[0])
+    return settled(components.without_small(tiles.watershed(joined, "height", "marker", "inside", settings.tile), settings.least_pixels)[0])
 
 
 PROBABILITY = "struct<background: double, building: double, water: double>"
@@ -84,7 +84,7 @@ def training_objects(pixels: DataFrame, masks: DataFrame, settings: Settings = S
         own = components.components(masks.where(F.col("class") == name), True, settings.tile)
         parts.append(own.withColumn("label", F.col("label") * len(CLASSES) + k).withColumn("class", F.lit(name)))
     labelled = settled(parts[0].unionByName(parts[1]).unionByName(parts[2]))
-    polygons = kernels.contours(labelled).where(rings.area(F.col("ring")) > settings.least_pixels)
+    polygons = borders.contours(labelled, tile=settings.tile).where(rings.area(F.col("ring")) > settings.least_pixels)
     polygons = settled(polygons.withColumn("ring", geometry.simplify(F.col("ring"), 3.0)).drop("holes"))
     return vectors(described(pixels, labelled.drop("class"), polygons)).join(labelled.select("map_id", "label", "class").distinct(), ["map_id", "label"])
 
@@ -129,7 +129,7 @@ def vectorise(pixels: DataFrame, settings: Settings = Settings(), classify: Call
     valid = lambda r: geometry.valid_ring(geometry.simplify(r, settings.tolerance))
 
     def traced(df: DataFrame) -> DataFrame:
-        return kernels.contours(df, closing=True, hole_tolerance=settings.tolerance).withColumn("ring", valid(F.col("ring")))
+        return borders.contours(df, closing=True, hole_tolerance=settings.tolerance, tile=settings.tile).withColumn("ring", valid(F.col("ring")))
 
     polygons = settled(traced(labelled))
     named = classify(described(pixels, labelled, polygons))

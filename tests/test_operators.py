@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from terrasheet.config import IOU_THRESHOLDS
 from terrasheet.functions import color, rings
-from terrasheet.operators import components, evaluation, features, geometry, kernels, learning, raster, registration, sampling
+from terrasheet.operators import borders, components, evaluation, features, geometry, kernels, learning, raster, registration, sampling, tiles
 from terrasheet.plans import geometry_queries
 from terrasheet.sources import geojson, images
 from terrasheet.streaming import maps
@@ -136,7 +136,7 @@ def test_watershed_covers_what_markers_reach():
     markers = np.zeros(own.shape, int)
     ys, xs = np.nonzero(own)
     markers[ys[0], xs[0]], markers[ys[-1], xs[-1]] = 1, 2
-    labels = kernels.flood(np.random.default_rng(1).random(own.shape), markers, own)
+    labels = tiles.flood(np.random.default_rng(1).random(own.shape), markers, own, [])[2]
     assert set(np.unique(labels)) <= {0, 1, 2} and (labels[~own] == 0).all()
     group = components.label_tile(ys, xs, False)
     reached = {g for g, y, x in zip(group, ys, xs, strict=True) if markers[y, x]}
@@ -149,7 +149,7 @@ def test_trace_and_skeleton():
     assert {tuple(p) for p in kernels.traced(own)} == {(2, 1), (6, 1), (6, 4), (2, 4)}
     assert len(kernels.traced(np.zeros((2, 2), bool))) == 0
     assert kernels.traced(np.array([[True]])).tolist() == [[0, 0]]
-    thin = kernels.thinned(own)
+    thin = tiles.peeled(own, 10**6)
     assert thin.any() and not (thin & ~own).any()
 
 
@@ -280,7 +280,7 @@ def test_vectorised_maps_cover_their_segments(spark):
     assert labelled.groupBy("map_id", "label").count().where("count < 6").count() == 0
     own = vectorise.vectorise(df, settings)
     assert own.select("class").distinct().where("class not in ('contours', 'background', 'building', 'water')").count() == 0
-    grown = kernels.contours(labelled)
+    grown = borders.contours(labelled)
     best = vectorise.evaluated(grown, labelled).groupBy("map_id", "truth").agg(F.max("iou").alias("iou"))
     assert best.count() == labelled.select("map_id", "label").distinct().count() and best.agg(F.avg("iou")).first()[0] > 0.8
 
@@ -290,22 +290,22 @@ def test_segments_with_holes(spark):
     own = np.ones((12, 14), bool)
     own[3:6, 3:8] = own[8, 10] = False
     df = pixels(spark, own).where("v").select("map_id", "y", "x", F.lit(5).cast("long").alias("label"))
-    row = kernels.contours(df).first()
+    row = borders.contours(df).first()
     assert len(row.holes) == 2 and [tuple(p) for p in row.ring] == [(0, 0), (13, 0), (13, 11), (0, 11)]
-    area = kernels.contours(df).select(rings.area(F.col("ring"), F.col("holes")).alias("a")).first().a
+    area = borders.contours(df).select(rings.area(F.col("ring"), F.col("holes")).alias("a")).first().a
     squares = [int(own[y : y + 2, x : x + 2].sum()) for y in range(11) for x in range(13)]
     assert area == squares.count(4) + squares.count(3) / 2
-    filled = {(r.y, r.x) for r in geometry.rasterise(kernels.contours(df), holes="holes").collect()}
+    filled = {(r.y, r.x) for r in geometry.rasterise(borders.contours(df), holes="holes").collect()}
     assert not filled & {(4, 5), (8, 10)} and (1, 1) in filled and (4, 9) in filled
     points = spark.createDataFrame([(1, 4.5, 4.5), (2, 1.5, 1.5), (3, 10.2, 8.1), (4, 20.0, 4.0)], "id int, x double, y double")
-    assert {r.id for r in geometry.holding(points, kernels.contours(df).withColumnRenamed("label", "poly"), 3.0, holes="holes").collect()} == {2}
+    assert {r.id for r in geometry.holding(points, borders.contours(df).withColumnRenamed("label", "poly"), 3.0, holes="holes").collect()} == {2}
 
 
 def test_the_largest_part_is_traced(spark):
     own = np.zeros((9, 9), bool)
     own[0, 0] = own[4:8, 4:8] = True
     df = pixels(spark, own).where("v").select("map_id", "y", "x", F.lit(1).alias("label"))
-    assert [tuple(p) for p in kernels.contours(df).first().ring] == [(4, 4), (7, 4), (7, 7), (4, 7)]
+    assert [tuple(p) for p in borders.contours(df).first().ring] == [(4, 4), (7, 4), (7, 7), (4, 7)]
 
 
 def test_closing_before_tracing():

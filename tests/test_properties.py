@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from hypothesis.extra.numpy import arrays
 
-from terrasheet.operators import components, geometry, kernels
+from terrasheet.operators import components, geometry, kernels, tiles
 
 MASKS = arrays(bool, st.tuples(st.integers(1, 10), st.integers(1, 10)))
 POINTS = st.lists(st.tuples(st.integers(-50, 50), st.integers(-50, 50)), min_size=1, max_size=25).map(lambda p: np.array(p, float))
@@ -31,7 +31,7 @@ def test_labels_partition_the_mask_and_eight_is_coarser(mask):
 @SOME
 @given(MASKS)
 def test_skeletons_keep_every_component(mask):
-    thin = kernels.thinned(mask)
+    thin = tiles.peeled(mask, 10**6)
     assert not (thin & ~mask).any()
     whole = groups(mask, True)
     kept = {whole[tuple(p)] for p in np.argwhere(thin).tolist()}
@@ -51,7 +51,7 @@ def test_borders_run_along_the_mask(mask):
 def test_floods_stay_inside_and_keep_markers(mask, seed):
     rng = np.random.default_rng(seed)
     markers = (rng.random(mask.shape) < 0.1) * (1 + rng.integers(0, 3, mask.shape))
-    labels = kernels.flood(rng.random(mask.shape), markers, mask)
+    labels = tiles.flood(rng.random(mask.shape), markers, mask, [])[2]
     assert not labels[~mask].any() and (labels[mask & (markers > 0)] == markers[mask & (markers > 0)]).all()
     assert set(np.unique(labels)) <= set(np.unique(markers)) | {0}
 
