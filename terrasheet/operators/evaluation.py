@@ -40,6 +40,22 @@ def at_points(points: DataFrame, truth: DataFrame) -> DataFrame:
     return at.join(truth.select("map_id", "y", "x", F.col("label").alias("truth")), ["map_id", "y", "x"])
 
 
+def matched_at_points(predicted: DataFrame, points: DataFrame, truth: DataFrame, areas: tuple[float, float] | None = None) -> DataFrame:
+    """matched() rows for each predicted segment and the one true segment under its point (map_id, pred, px, py).
+
+    A segment whose point lies over no true segment has no row; one that doesn't overlap the segment under its point has an
+    IoU of 0, and one without pixels an area of 0.
+    """
+    met = at_points(points, truth).select("map_id", "pred", "truth")
+    common = matched(predicted, truth).select("map_id", "pred", "truth", "iou")
+    size = lambda df, name: df.groupBy("map_id", "label").agg(F.count("*").alias(f"{name}_area")).withColumnRenamed("label", name)
+    pairs = met.join(common, ["map_id", "pred", "truth"], "left").join(size(predicted, "pred"), ["map_id", "pred"], "left").join(size(truth, "truth"), ["map_id", "truth"])
+    pairs = pairs.withColumns({"iou": F.coalesce("iou", F.lit(0.0)), "pred_area": F.coalesce("pred_area", F.lit(0))})
+    if areas:
+        pairs = pairs.where((F.col("truth_area") > areas[0]) & (F.col("truth_area") < areas[1]) & F.col("pred_area").between(*areas))
+    return pairs.select("map_id", "pred", "truth", "iou", "pred_area", "truth_area")
+
+
 def one_to_one(matches: DataFrame) -> DataFrame:
     """Of the matches of a true segment, the one of the highest IoU; ties go to the least predicted label."""
     best = F.row_number().over(Window.partitionBy("map_id", "truth").orderBy(F.desc("iou"), "pred"))
@@ -57,7 +73,7 @@ def threshold_sweep(matches: DataFrame, true_number: Column | int, predicted_num
     """(threshold, tp, precision, recall, f1) for each IoU threshold, in one pass.
 
     Several matches of one true segment all count, so recall can exceed 1 (one_to_one avoids it). Precision and recall
-    are rounded to four significant digits before F1 is made from them. Rates without a denominator are null. The numbers
+    are rounded to four significant digits before F1 is made from them; F1 isn't rounded. Rates without a denominator are null. The numbers
     may be columns of one row, as DataFrame.scalar gives them.
     """
     steps = thresholds or IOU_THRESHOLDS
@@ -66,7 +82,7 @@ def threshold_sweep(matches: DataFrame, true_number: Column | int, predicted_num
     total = F.count("*") if predicted_number is None else lit(predicted_number)
     rows = matches.agg(hits.alias("hits"), total.cast("double").alias("n")).select(F.explode("hits").alias("h"), "n").select("h.threshold", F.coalesce("h.tp", F.lit(0)).alias("tp"), "n")
     rows = rows.withColumn("precision", significant(F.try_divide(F.col("tp"), F.col("n")))).withColumn("recall", significant(F.try_divide(F.col("tp"), lit(true_number).cast("double"))))
-    f1 = significant(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    f1 = F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
     return rows.select("threshold", "tp", "precision", "recall", f1.alias("f1"))
 
 

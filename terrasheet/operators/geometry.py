@@ -134,47 +134,6 @@ def crosses_itself(points: np.ndarray, block: int = 256) -> bool:
     return False
 
 
-def repaired(points: np.ndarray) -> np.ndarray:
-    """The ring if its edges don't cross; else the border of the largest part that it encloses by the even-odd rule, in whole
-    pixels. Rings without area become the corners of their box.
-    """
-    from .components import label_tile
-    from .kernels import traced
-
-    def area(p: np.ndarray) -> float:
-        q = np.roll(p, -1, 0)
-        return abs(float(np.sum(p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]))) / 2
-
-    if not len(points):
-        return points
-    own = points
-    if len(own) > 3 and crosses_itself(own):
-        low = np.floor(own.min(0))
-        w, h = (np.ceil(own.max(0)) - low + 1).astype(int)
-        y, x = np.mgrid[:h, :w]
-        inside = np.zeros((h, w), bool)
-        for a, b in zip(own - low, np.roll(own - low, -1, 0), strict=True):
-            if a[1] != b[1]:
-                inside ^= ((a[1] > y) != (b[1] > y)) & (x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0])
-        ys, xs = np.nonzero(inside)
-        own = np.zeros((0, 2))
-        if len(ys):
-            part = label_tile(ys, xs, False)
-            keep = part == np.bincount(part).argmax()
-            one = np.zeros((h, w), bool)
-            one[ys[keep], xs[keep]] = True
-            own = traced(one) + low
-    if len(own) >= 3 and area(own) > 0:
-        return own
-    (x0, y0), (x1, y1) = points.min(0), points.max(0)
-    return np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1)])
-
-
-def valid_ring(ring: Column) -> Column:
-    """A ring that doesn't cross itself and has an area (repaired); null and empty rings stay as they are."""
-    return mapped(repaired)(ring)
-
-
 def largest_part(parts: Column) -> Column:
     """Of an array of rings the one of the largest area; ties go to the first."""
     sized = F.transform(parts, lambda p, i: F.struct((-rings.area(p)).alias("a"), i.alias("i"), p.alias("ring")))

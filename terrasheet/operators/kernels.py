@@ -1,13 +1,7 @@
-"""Sequential kernels: one group per map or object in a task, as their order of steps can't be cut.
-
-Each kernel is a small numpy function over one dense array or list of pixels; Spark partitions, shuffles and returns rows.
-Work scales with the number of maps (or objects), and a group must fit in a task's memory.
-"""
+"""Small numpy functions over one dense array or ring, and the raster form of the enlarged difference."""
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -142,55 +136,3 @@ def without_neighbours(labelled: DataFrame, neighbours: DataFrame, reach: int, o
     met = grown.where(~F.col("own")).join(others, ["map_id", "y", "x"]).join(near, ["map_id", "label", "neighbour"])
     lost = met.where(F.col("theirs") | (F.col("neighbour") < F.col("label")) | F.col("mutual").isNull()).select("map_id", "label", "y", "x").distinct()
     return grown.join(lost, ["map_id", "label", "y", "x"], "left_anti").select("map_id", "y", "x", "label")
-
-
-def snapped(points: pd.DataFrame, pairs: set[tuple[int, int]], reach: float) -> pd.DataFrame:
-    """The points (poly, seq, x, y) of a map after each pair of neighbours has been snapped once, from the highest label.
-
-    First a vertex of the neighbour near an edge of the polygon moves onto it and becomes a vertex of the polygon as well
-    (where several edges are near, the last one counts); then vertices of both within `reach` meet at the floor of their
-    middle.
-    """
-    rings = {k: g.sort_values("seq")[["x", "y"]].to_numpy(float) for k, g in points.groupby("poly")}
-    done: set[tuple[int, int]] = set()
-    for own in sorted(rings, reverse=True):
-        for other in sorted((b for a, b in pairs if a == own and b in rings and b != own), reverse=True):
-            if (own, other) in done or (other, own) in done:
-                continue
-            done.add((own, other))
-            line, vertices = rings[own], rings[other].copy()
-            result = []
-            for k in range(len(line)):
-                a, b = line[k], line[(k + 1) % len(line)]
-                result.append(a)
-                span = (b - a) @ (b - a)
-                if not span:
-                    continue
-                u = (rings[other] - a) @ (b - a) / span
-                foot = a + u[:, None] * (b - a)
-                near = (u >= 0.05) & (u <= 0.95) & (np.hypot(*(rings[other] - foot).T) < reach)
-                vertices[near] = foot[near]
-                result += list(foot[near][np.argsort(u[near], kind="stable")])
-            line = np.array(result)
-            for i in range(len(line)):
-                close = np.flatnonzero(np.hypot(*(vertices - line[i]).T) <= reach)
-                for j in close[:1]:
-                    line[i] = vertices[j] = np.floor((line[i] + vertices[j]) / 2)
-            rings[own], rings[other] = line, vertices
-    parts = [pd.DataFrame({"poly": k, "seq": np.arange(len(r)), "x": r[:, 0], "y": r[:, 1]}) for k, r in sorted(rings.items())]
-    return pd.concat(parts, ignore_index=True)
-
-
-def snap_polygons(points: DataFrame, neighbours: DataFrame, reach: float) -> DataFrame:
-    """(map_id, poly, seq, x, y) after snapping; neighbours: (map_id, label, neighbour). Maps are independent."""
-    kind = points.schema["map_id"].dataType.simpleString()
-
-    def one(own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        if own.empty:
-            return pd.DataFrame(columns=["map_id", "poly", "seq", "x", "y"])
-        out = snapped(own, set(zip(near.label.tolist(), near.neighbour.tolist(), strict=True)), reach)
-        return out.assign(map_id=own.map_id.iloc[0])[["map_id", "poly", "seq", "x", "y"]]
-
-    left = points.select("map_id", F.col("poly").cast("long").alias("poly"), "seq", "x", "y").groupBy("map_id")
-    right = neighbours.select(F.col("map_id").alias("_map"), F.col("label").cast("long").alias("label"), F.col("neighbour").cast("long").alias("neighbour")).groupBy("_map")
-    return left.cogroup(right).applyInPandas(one, f"map_id {kind}, poly long, seq int, x double, y double")

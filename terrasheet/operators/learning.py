@@ -10,25 +10,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import PALETTE, TREE_DEPTH, TREES
-from ..functions.color import nearest
 from .features import standardise
 from .graph import settled
 
 
-def lloyd(df: DataFrame, start: list[tuple[float, float, float]] | None = None, rounds: int = 10, digits: int = 6) -> DataFrame:
-    """df (r, g, b) with `cluster`: the nearest centre before the last update, from given centres.
+def lloyd(df: DataFrame, start: list[tuple[float, float, float]] | None = None, rounds: int = 10, digits: int = 6, by: str = "map_id") -> DataFrame:
+    """df (by, r, g, b) with `cluster`: the nearest centre before the last update, from given centres, for each map by itself.
 
-    Rounds run over the distinct colours and their numbers, counted once; each is one aggregation to as many rows as there
-    are centres. A centre without pixels stays. Centres are rounded, so that results don't depend on the order of sums.
+    Rounds run over the distinct colours of each map and their numbers, counted once; what a round keeps is a row of centres
+    per map. A centre without pixels stays. Centres are rounded, so that results don't depend on the order of sums.
     """
-    centres = [tuple(map(float, c)) for c in (start or PALETTE)]
-    own = [F.col(c) for c in "rgb"]
-    colours = settled(df.groupBy("r", "g", "b").agg(F.count("*").alias("n")))
+    first = F.array(*[F.struct(*[F.lit(float(v)).alias(c) for v, c in zip(p, "rgb", strict=True)]) for p in (start or PALETTE)])
+    colours = settled(df.groupBy(by, "r", "g", "b").agg(F.count("*").alias("n")))
+    centres = settled(colours.select(by).distinct().withColumn("centres", first))
+
+    def assigned(rows: DataFrame) -> DataFrame:
+        far = lambda c: sum((F.col(v) - c[v]) * (F.col(v) - c[v]) for v in "rgb")
+        best = F.array_min(F.transform("centres", lambda c, i: F.struct(far(c).alias("d"), i.alias("k"))))
+        return rows.join(centres, by).withColumn("cluster", best["k"])
+
     for _ in range(rounds - 1):
         means = [F.round(F.sum(F.col(c) * F.col("n")) / F.sum("n"), digits).alias(c) for c in "rgb"]
-        for row in colours.groupBy(nearest(*own, centres).alias("k")).agg(*means).collect():  # one per centre
-            centres[row.k] = (row.r, row.g, row.b)
-    return df.withColumn("cluster", nearest(*own, centres))
+        moved = assigned(colours).groupBy(by, "cluster").agg(*means).groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("cluster", F.struct("r", "g", "b")))).alias("moved"))
+        centres = settled(centres.join(moved, by).select(by, F.transform("centres", lambda c, i: F.coalesce(F.element_at("moved", i), c)).alias("centres")))
+    return assigned(df).select(*df.columns, "cluster")
 
 
 def gaussian_likelihoods(df: DataFrame, features: list[str], label: str, least_variance: float = 1e-9) -> DataFrame:

@@ -275,3 +275,10 @@ def augment(df: DataFrame, copies: int, height: int, width: int, most_shift: flo
     y = F.when(part(1, 2) == 1, height - 1 - F.col("y")).otherwise(F.col("y")) + part(5, 2 * reach_y + 1) - reach_y
     x = F.when(part(9, 2) == 1, width - 1 - F.col("x")).otherwise(F.col("x")) + part(13, 2 * reach_x + 1) - reach_x
     return many.withColumn("_y", F.pmod(y, F.lit(height))).withColumn("_x", F.pmod(x, F.lit(width))).withColumn("y", F.col("_y")).withColumn("x", F.col("_x")).drop("_y", "_x")
+
+
+def labels_eroded(labelled: DataFrame) -> DataFrame:
+    """The pixels (map_id, label, y, x) whose four neighbours have the same label as well; a pixel may have several labels."""
+    cross = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))])).alias("p")
+    own = labelled.select("map_id", "label", "y", "x").distinct()
+    return own.select("map_id", "label", cross).groupBy("map_id", "label", F.col("p.y").alias("y"), F.col("p.x").alias("x")).agg(F.count("*").alias("_n")).where("_n = 5").drop("_n")

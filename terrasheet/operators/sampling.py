@@ -25,18 +25,22 @@ def split(df: DataFrame, id_column: str, class_column: str, shares: dict[str, fl
     return placed.withColumn("_place", place).withColumn(out, F.coalesce(*ends)).select(*df.columns, out)
 
 
-def weighted_draws(df: DataFrame, by: str, order: str, weight: str, draws: Column) -> DataFrame:
+def weighted_draws(df: DataFrame, by: str, order: str, weight: str, draws: Column, block: int = 1 << 16) -> DataFrame:
     """(by, draw, order): for each u of `draws` (array<double> in 0..1), the row whose part of the summed weights holds it.
 
-    Rows lie one after another in order; u belongs to the row with cdf before <= u < cdf. Equal draws give equal rows. The
-    sums run along a group's sorted rows, so each group is one task's work.
+    Rows lie one after another in order, a whole number; u belongs to the row with cdf before <= u < cdf. Equal draws give
+    equal rows. Weights are summed by blocks of `order` first; only the rows of blocks that a draw falls in are sorted and
+    summed one by one, each block in a task of its own.
     """
-    window = Window.partitionBy(by).orderBy(order)
-    whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    summed = F.sum(weight).over(window.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum(weight).over(whole)
-    cdf = df.select(by, order, F.coalesce((summed - F.col(weight)) / total, F.lit(0.0)).alias("low"), (summed / total).alias("high"))
-    drawn = cdf.withColumn("u", F.explode(F.filter(draws, lambda u: (u >= F.col("low")) & (u < F.col("high")))))
+    placed = df.withColumn("_b", F.floor(F.col(order) / block))
+    window = Window.partitionBy(by).orderBy("_b")
+    blocks = placed.groupBy(by, "_b").agg(F.sum(weight).alias("_own"))
+    blocks = blocks.withColumn("_end", F.sum("_own").over(window)).withColumn("_all", F.sum("_own").over(Window.partitionBy(by))).withColumn("_start", F.col("_end") - F.col("_own"))
+    within = lambda u, low, high: (u >= F.coalesce(low / F.col("_all"), F.lit(0.0))) & (u < high / F.col("_all"))
+    hit = blocks.withColumn("_u", F.filter(draws, lambda u: within(u, F.col("_start"), F.col("_end")))).where("size(_u) > 0").select(by, "_b", "_start", "_all", "_u")
+    own = placed.select(by, "_b", order, weight).join(hit, [by, "_b"])
+    end = F.col("_start") + F.sum(weight).over(Window.partitionBy(by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    drawn = own.withColumn("_last", end).withColumn("u", F.explode(F.filter("_u", lambda u: within(u, F.col("_last") - F.col(weight), F.col("_last")))))
     return drawn.select(by, F.col("u").alias("draw"), order)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..config import FILLS
 from ..functions import color, rings
 from ..operators import components as cc
-from ..operators import evaluation, features, geometry, kernels, learning, registration, sampling
+from ..operators import borders, evaluation, features, folds, geometry, kernels, learning, overlay, raster, registration, sampling
 from ..operators.graph import shared_folder
 from ..sources import geojson
 from .proxies import BLOCKS, HULL, PTS, RING, blocks, labelled_sql, on_px, points, star_rings, table
@@ -114,10 +114,52 @@ def buffer_mitre(spark, sf):
 
 
 def polygon_snapping(spark, sf):
-    pts = points(spark, sf).select((F.col("poly") % 2).cast("int").alias("map_id"), "poly", F.col("id").cast("int").alias("seq"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    polys = pts.select("map_id", "poly").distinct()
-    near = polys.withColumnRenamed("poly", "label").join(polys.withColumnRenamed("poly", "neighbour"), "map_id").where("label <> neighbour")
-    return kernels.snap_polygons(pts, near, 4.0)
+    """The contours of the maps' segments, snapped to those of the segments beside them."""
+    kept, _ = cc.without_small(cc.components(px(spark, sf).where("m"), True, tile=16), 4)
+    own = borders.contours(kept, tile=16)
+    pts = own.select("map_id", F.col("label").alias("poly"), F.posexplode("ring").alias("seq", "p")).select("map_id", "poly", "seq", "p.x", "p.y")
+    return folds.snap_polygons(pts, geometry.box_neighbours(kept, 2, cell=8), 2.0)
+
+
+def enlarged_difference(spark, sf):
+    """The contours of the maps' segments, grown by 2.85 with mitred corners, less their neighbours, in order: areas and parts."""
+    kept, _ = cc.without_small(cc.components(px(spark, sf).where("m"), True, tile=16), 4)
+    own = overlay.valid_polygons(borders.contours(kept, tile=16), ["map_id", "label"])
+    folded = folds.without_neighbours(own, geometry.box_neighbours(kept, 4, cell=8), 2.85, extract=False)
+    sizes = folds.as_rings(folded).groupBy("map_id", "label").agg(F.count("*").alias("rings"), F.round(F.sum(rings.signed_area(F.col("ring"))), 2).alias("area"))
+    return folded.select("map_id", "label", "changed").join(sizes, ["map_id", "label"])
+
+
+def ring_pairs(spark, sf):
+    """Each nation's ring, and the next one's under its name."""
+    own = star_rings(spark, sf).select("poly", "ring")
+    return own, own.select(F.pmod(F.col("poly") - 1, F.lit(25)).cast(own.schema["poly"].dataType).alias("poly"), "ring")
+
+
+def overlaid_area(spark, sf, rule):
+    own, other = ring_pairs(spark, sf)
+    parts = overlay.overlaid(own, other, ["poly"], rule, cell=50.0, scale=1 << 17)
+    return parts.groupBy("poly").agg(F.round(F.sum(rings.area(F.col("ring"), F.col("holes"))), -1).alias("area"))
+
+
+def polygon_intersection(spark, sf):
+    return overlaid_area(spark, sf, overlay.INTERSECTION)
+
+
+def polygon_difference(spark, sf):
+    return overlaid_area(spark, sf, overlay.DIFFERENCE)
+
+
+def polygon_validity(spark, sf):
+    """What rings enclose that go through the points in the order of their ids and so cross themselves again and again."""
+    parts = overlay.made_valid(polyline(spark, sf).where(F.size("ring") > 2), ["poly"], cell=50.0, scale=1 << 17)
+    return parts.groupBy("poly").agg(F.round(F.sum(rings.area(F.col("ring"), F.col("holes"))), -1).alias("area"))
+
+
+def buffer_concave(spark, sf):
+    """Concave rings grown by 2.85 with mitred corners."""
+    parts = overlay.buffered(star_rings(spark, sf), ["poly"], 2.85, cell=50.0, scale=1 << 17)
+    return parts.groupBy("poly").agg(F.round(F.sum(rings.area(F.col("ring"), F.col("holes"))), -1).alias("area"))
 
 
 def geojson_features(spark, sf):
@@ -214,16 +256,19 @@ def class_raster(spark, sf):
     return evaluation.class_raster(df.select("map_id"), masks, ["background", "building", "water"]).select("map_id", "y", "x", "class_id")
 
 
-def matched_points(spark, sf):
+def matched_all_points(spark, sf):
     df = px(spark, sf)
-    pts = df.where("m and x % 3 = 0").select("map_id", (F.col("y") * 32 + F.col("x")).alias("pred"), (F.col("x") + 0.25).alias("px"), (F.col("y") + 0.75).alias("py"))
+    pts = df.where("m").select("map_id", (F.col("y") * 32 + F.col("x")).alias("pred"), (F.col("x") + 0.25).alias("px"), (F.col("y") + 0.75).alias("py"))
     return evaluation.at_points(pts, blocks(df, "gt", 1)).select("map_id", "pred", "truth")
 
 
-def matched_all_points(spark, sf):
+def evaluated_segments(spark, sf):
+    """Each predicted segment against the true one under its first pixel, and the sweep over thresholds: one match each."""
     df = px(spark, sf)
-    pts = df.where("m").select("map_id", (F.col("y") * 32 + F.col("x")).alias("pred"), (F.col("x") + 0.25).alias("px"), (F.col("y") + 0.75).alias("py"))
-    return evaluation.at_points(pts, blocks(df, "gt", 1)).select("map_id", "pred", "truth")
+    own = blocks(df, "m", 0)
+    first = own.groupBy("map_id", "label").agg(F.min(F.struct("y", "x")).alias("p")).select("map_id", F.col("label").alias("pred"), F.col("p.x").cast("double").alias("px"), F.col("p.y").cast("double").alias("py"))
+    found = evaluation.matched_at_points(raster.labels_eroded(own), first, blocks(df, "gt", 1))
+    return evaluation.threshold_sweep(found.select("iou"), true_number(spark, sf).scalar(), None, STEPS).select("threshold", "tp", *[R6(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def judged(spark, sf):
@@ -278,11 +323,6 @@ def bit_vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.array(word).alias("bits"))
 
 
-def hamming_match(spark, sf):
-    own = bit_vectors(spark, sf)
-    return learning.nearest_by_bits(own.where("id % 50 = 0"), own.where("id % 50 <> 0"))
-
-
 def hamming_match_all(spark, sf):
     own = bit_vectors(spark, sf)
     return learning.nearest_by_bits(own.where("id % 50 = 0"), own, itself=False)
@@ -376,9 +416,9 @@ def vectorised_snapped(spark, sf):
 QUERIES = {f.__name__: f for f in (
     classified_segments, ring_area_perimeter, convex_hull, min_rotated_rect, shape_features, polygon_holes, largest_part, douglas_peucker,
     radius_pairs, midpoint_snaps, polygon_edges, snap_candidates, point_in_polygon, rasterise_polygons, outline_pixels, representative_points,
-    homography_warp, buffer_mitre, polygon_snapping, geojson_features, geojson_collection, geojson_round_trip, feature_store, spectral_features, standardise, feature_vector,
-    iou_pairs, iou_area_bounds, iou_one_to_one, iou_threshold_sweep, iou_histogram, mean_iou, class_raster, matched_points, confusion_matrix,
-    classification_report, stratified_split, nested_split, weighted_sample, best_matches, kmeans_lloyd, gaussian_nb, hamming_match, hamming_match_all, matched_all_points, rf_classify,
+    homography_warp, buffer_mitre, buffer_concave, polygon_intersection, polygon_difference, polygon_validity, polygon_snapping, enlarged_difference, geojson_features, geojson_collection, geojson_round_trip, feature_store, spectral_features, standardise, feature_vector,
+    iou_pairs, iou_area_bounds, iou_one_to_one, iou_threshold_sweep, iou_histogram, mean_iou, class_raster, evaluated_segments, confusion_matrix,
+    classification_report, stratified_split, nested_split, weighted_sample, best_matches, kmeans_lloyd, gaussian_nb, hamming_match_all, matched_all_points, rf_classify,
     svm_classify, rf_importance, permutation_importance, pca_project, register_maps, vectorised_maps, vectorised_snapped, vectorised_classified, vectorised_collections,
 )}
 
@@ -394,25 +434,29 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY poly ORDER BY
 MATCHED = BLOCKS + """, pa AS (SELECT map_id, label, count(*) AS n FROM p GROUP BY 1, 2), ta AS (SELECT map_id, label, count(*) AS n FROM t GROUP BY 1, 2),
 c AS (SELECT map_id, p.label AS pred, t.label AS truth, count(*) AS common FROM p JOIN t USING (map_id, y, x) GROUP BY 1, 2, 3),
 matched AS (SELECT c.map_id, pred, truth, common / CAST(pa.n + ta.n - common AS DOUBLE) AS iou, pa.n AS pred_area, ta.n AS truth_area FROM c JOIN pa ON pa.map_id = c.map_id AND pa.label = pred JOIN ta ON ta.map_id = c.map_id AND ta.label = truth)"""
+MATCHED_AT = BLOCKS + """, e AS (SELECT a.map_id, a.label, a.y, a.x FROM p a JOIN p b ON a.map_id = b.map_id AND a.label = b.label AND abs(a.y - b.y) + abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3, 4 HAVING count(*) = 5),
+ea AS (SELECT map_id, label, count(*) AS n FROM e GROUP BY 1, 2), ta AS (SELECT map_id, label, count(*) AS n FROM t GROUP BY 1, 2),
+spot_at AS (SELECT map_id, label AS pred, min([y, x]) AS spot FROM p GROUP BY 1, 2), c AS (SELECT map_id, e.label AS pred, t.label AS truth, count(*) AS common FROM e JOIN t USING (map_id, y, x) GROUP BY 1, 2, 3),
+met AS (SELECT coalesce(common / CAST(ea.n + ta.n - common AS DOUBLE), 0) AS iou FROM spot_at f JOIN t ON t.map_id = f.map_id AND t.y = spot[1] AND t.x = spot[2] JOIN ta ON ta.map_id = f.map_id AND ta.label = t.label LEFT JOIN ea ON ea.map_id = f.map_id AND ea.label = pred LEFT JOIN c ON c.map_id = f.map_id AND c.pred = f.pred AND c.truth = t.label)"""
 JUDGED = "j AS (SELECT quality AS truth, CASE WHEN n_chars % 3 = 0 THEN 0 ELSE 1 END AS pred FROM labels JOIN documents USING (doc_id))"
 #: Rounded to four significant digits.
 SIG = "CASE WHEN {0} = 0 THEN 0.0 ELSE round({0} * pow(10.0, 3 - floor(log10(abs({0}))))) / pow(10.0, 3 - floor(log10(abs({0})))) END"
 
 
-def sweep_sql():
+def sweep_sql(with_matched=MATCHED, matched="matched"):
     steps = ", ".join(f"(CAST({t!r} AS DOUBLE))" for t in STEPS)
-    return on_px(MATCHED + f""", h AS (SELECT threshold, count(*) FILTER (iou >= threshold) AS tp, CAST(count(*) AS DOUBLE) AS n FROM matched, (VALUES {steps}) s(threshold) GROUP BY 1),
+    return on_px(with_matched + f""", h AS (SELECT threshold, count(*) FILTER (iou >= threshold) AS tp, CAST(count(*) AS DOUBLE) AS n FROM {matched}, (VALUES {steps}) s(threshold) GROUP BY 1),
 a AS (SELECT threshold, tp, {SIG.format('(tp / n)')} AS precision, {SIG.format('(tp / CAST((SELECT count(DISTINCT (map_id, label)) FROM t) AS DOUBLE))')} AS recall FROM h),
-f AS (SELECT *, 2 * precision * recall / nullif(precision + recall, 0) AS f FROM a) SELECT threshold, tp, round(precision, 6) AS precision, round(recall, 6) AS recall, round({SIG.format('f')}, 6) AS f1 FROM f""")
+f AS (SELECT *, 2 * precision * recall / nullif(precision + recall, 0) AS f FROM a) SELECT threshold, tp, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f, 6) AS f1 FROM f""")
 
 
 def lloyd_sql(rounds=10):
     from ..config import PALETTE
 
-    parts = ["k0(k, r, g, b) AS (VALUES " + ", ".join(f"({i}, CAST({r} AS DOUBLE), CAST({g} AS DOUBLE), CAST({b} AS DOUBLE))" for i, (r, g, b) in enumerate(PALETTE)) + ")"]
+    parts = ["k0(map_id, k, r, g, b) AS (SELECT map_id, k, r, g, b FROM (SELECT DISTINCT map_id FROM px), (VALUES " + ", ".join(f"({i}, CAST({r} AS DOUBLE), CAST({g} AS DOUBLE), CAST({b} AS DOUBLE))" for i, (r, g, b) in enumerate(PALETTE)) + ") v(k, r, g, b))"]
     for i in range(rounds):
-        parts.append(f"a{i} AS MATERIALIZED (SELECT map_id, y, x, r, g, b, k FROM (SELECT px.*, k, row_number() OVER (PARTITION BY map_id, y, x ORDER BY (px.r - c.r) * (px.r - c.r) + (px.g - c.g) * (px.g - c.g) + (px.b - c.b) * (px.b - c.b), k) AS n FROM px, k{i} c) WHERE n = 1)")
-        parts.append(f"k{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.r, c.r) AS r, coalesce(m.g, c.g) AS g, coalesce(m.b, c.b) AS b FROM k{i} c LEFT JOIN (SELECT k, round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b FROM a{i} GROUP BY 1) m USING (k))")
+        parts.append(f"a{i} AS MATERIALIZED (SELECT map_id, y, x, r, g, b, k FROM (SELECT px.*, k, row_number() OVER (PARTITION BY px.map_id, y, x ORDER BY (px.r - c.r) * (px.r - c.r) + (px.g - c.g) * (px.g - c.g) + (px.b - c.b) * (px.b - c.b), k) AS n FROM px JOIN k{i} c ON c.map_id = px.map_id) WHERE n = 1)")
+        parts.append(f"k{i + 1} AS MATERIALIZED (SELECT c.map_id, c.k, coalesce(m.r, c.r) AS r, coalesce(m.g, c.g) AS g, coalesce(m.b, c.b) AS b FROM k{i} c LEFT JOIN (SELECT map_id, k, round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b FROM a{i} GROUP BY 1, 2) m USING (map_id, k))")
     return on_px(", ".join(parts) + f" SELECT map_id, y, x, k AS cluster FROM a{rounds - 1}")
 
 
@@ -472,7 +516,8 @@ SELECT line, vertex, round(u, 6) AS u, round(ax + u * dx, 6) AS x, round(ay + u
     "iou_histogram": on_px(MATCHED + ", b(bin, low, high) AS (VALUES (0, 0.0, 0.1), (1, 0.1, 0.2), (2, 0.2, 0.3), (3, 0.3, 1.0)) SELECT bin, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, count(iou) AS n, round(100 * count(iou) / CAST((SELECT count(*) FROM matched) AS DOUBLE), 6) AS percent FROM b LEFT JOIN matched ON iou >= CAST(low AS DOUBLE) AND (iou < CAST(high AS DOUBLE) OR bin = 3) GROUP BY 1, 2, 3"),
     "mean_iou": on_px(MATCHED + " SELECT round(avg(iou), 6) AS mean_iou, count(*) AS n FROM matched"),
     "class_raster": on_px("SELECT map_id, y, x, CASE WHEN gt THEN 3 ELSE 1 END AS class_id FROM px WHERE m OR gt"),
-    "matched_points": on_px(BLOCKS + " SELECT p.map_id, p.y * 32 + p.x AS pred, t.label AS truth FROM p JOIN t USING (map_id, y, x) WHERE p.x % 3 = 0"),
+    "matched_all_points": on_px(BLOCKS + " SELECT p.map_id, p.y * 32 + p.x AS pred, t.label AS truth FROM p JOIN t USING (map_id, y, x)"),
+    "evaluated_segments": sweep_sql(MATCHED_AT, "met"),
     "confusion_matrix": "WITH " + JUDGED + " SELECT truth AS true_class, count(*) AS support, round(avg(CAST(pred = 0 AS INT)), 6) AS p_0, round(avg(CAST(pred = 1 AS INT)), 6) AS p_1 FROM j GROUP BY 1",
     "classification_report": "WITH " + JUDGED + """, c AS (SELECT k, count(*) FILTER (truth = k AND pred = k) AS tp, count(*) FILTER (pred = k) AS pp, count(*) FILTER (truth = k) AS support FROM j, (VALUES (0), (1)) v(k) GROUP BY 1),
 r AS (SELECT CAST(k AS VARCHAR) AS class, coalesce(tp / CAST(nullif(pp, 0) AS DOUBLE), 0) AS precision, coalesce(tp / CAST(nullif(support, 0) AS DOUBLE), 0) AS recall, support FROM c),
@@ -486,7 +531,7 @@ SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, roun
     "best_matches": "WITH " + PTS + " SELECT poly, id, x FROM (SELECT *, row_number() OVER (PARTITION BY poly ORDER BY x, id) AS k, count(*) OVER (PARTITION BY poly) AS n FROM pts) WHERE k <= floor(n * CAST(0.2 AS DOUBLE))",
     "kmeans_lloyd": lloyd_sql(),
     "gaussian_nb": "WITH e AS (SELECT vec_id, label, " + E4 + " FROM embeddings), t AS (SELECT label, count(*) / CAST((SELECT count(*) FROM e) AS DOUBLE) AS prior, " + ", ".join(f"avg(e{i}) AS m{i}, var_pop(e{i}) + 1e-9 AS v{i}" for i in range(4)) + " FROM e GROUP BY 1), s AS (SELECT vec_id, t.label, round(ln(prior)" + "".join(f" - 0.5 * (ln(2 * 3.141592653589793 * v{i}) + (e{i} - m{i}) * (e{i} - m{i}) / v{i})" for i in range(4)) + ", 6) AS l FROM e, t) SELECT vec_id, label AS predicted, l AS log_likelihood FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY l DESC, label) AS k FROM s) WHERE k = 1",
-    "hamming_match": "WITH d AS (SELECT q.vec_id AS query, b.vec_id AS match, len(list_filter(generate_series(1, 64), lambda i: (q.embedding[i] > 0) <> (b.embedding[i] > 0))) AS distance FROM embeddings q, embeddings b WHERE q.vec_id % 50 = 0 AND b.vec_id % 50 <> 0) SELECT query, match, CAST(distance AS INT) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, match) AS k FROM d) WHERE k = 1",
+    "hamming_match_all": "WITH d AS (SELECT q.vec_id AS query, b.vec_id AS match, len(list_filter(generate_series(1, 64), lambda i: (q.embedding[i] > 0) <> (b.embedding[i] > 0))) AS distance FROM embeddings q, embeddings b WHERE q.vec_id % 50 = 0 AND b.vec_id <> q.vec_id) SELECT query, match, CAST(distance AS INT) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, match) AS k FROM d) WHERE k = 1",
 }
 
 
@@ -513,3 +558,34 @@ SELECT poly, round(abs(CAST(sum(twice) AS DOUBLE)) / 2 + 2.85::DOUBLE * sum(size
 ORACLES["register_maps"] = on_px("SELECT DISTINCT map_id, " + ", ".join(f"{v}::DOUBLE AS h{k}" for k, v in enumerate((1, 0, -3, 0, 1, -2, 0, 0, 1))) + " FROM px")
 ORACLES["classified_segments"] = segments_sql()
 ORACLES["feature_store"] = ORACLES["spectral_features"]
+
+
+def region_sql(ways, inside):
+    """The areas of where `inside` (of the windings w0, w1) holds, by slabs between all heights at which edges end or cross.
+
+    ways: CTEs that end in way(poly, side, ax, ay, bx, by_), directed edges.
+    """
+    return "WITH " + ways + f""", n AS MATERIALIZED (SELECT poly, side, CAST(ax AS DOUBLE) AS ax, CAST(ay AS DOUBLE) AS ay, CAST(bx AS DOUBLE) AS bx, CAST(by_ AS DOUBLE) AS by_, row_number() OVER () AS e FROM way WHERE ax <> bx OR ay <> by_),
+d AS (SELECT a.poly, a.ay, a.by_ - a.ay AS dy, (b.ax - a.ax) * (b.by_ - b.ay) - (b.ay - a.ay) * (b.bx - b.ax) AS s, (b.ax - a.ax) * (a.by_ - a.ay) - (b.ay - a.ay) * (a.bx - a.ax) AS t, (a.bx - a.ax) * (b.by_ - b.ay) - (a.by_ - a.ay) * (b.bx - b.ax) AS q
+  FROM n a JOIN n b ON a.poly = b.poly AND a.e < b.e AND greatest(a.ax, a.bx) >= least(b.ax, b.bx) AND greatest(b.ax, b.bx) >= least(a.ax, a.bx) AND greatest(a.ay, a.by_) >= least(b.ay, b.by_) AND greatest(b.ay, b.by_) >= least(a.ay, a.by_)),
+h AS (SELECT poly, ay AS y FROM n UNION SELECT poly, ay + dy * s / q FROM d WHERE q <> 0 AND s / q BETWEEN 0 AND 1 AND t / q BETWEEN 0 AND 1),
+slab AS MATERIALIZED (SELECT * FROM (SELECT poly, y, lead(y) OVER (PARTITION BY poly ORDER BY y) AS top FROM h) WHERE top > y),
+x AS (SELECT slab.poly, slab.y, top, side, ax + (bx - ax) * ((y + top) / 2 - ay) / (by_ - ay) AS x, CASE WHEN by_ > ay THEN 1 ELSE -1 END AS up FROM slab JOIN n ON n.poly = slab.poly AND least(ay, by_) < (y + top) / 2 AND greatest(ay, by_) > (y + top) / 2),
+w AS (SELECT poly, top - y AS high, lead(x) OVER s - x AS wide, -sum(CASE WHEN side = 0 THEN up ELSE 0 END) OVER s AS w0, -sum(CASE WHEN side = 1 THEN up ELSE 0 END) OVER s AS w1 FROM x WINDOW s AS (PARTITION BY poly, y ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT poly, round(sum(high * wide), -1) AS area FROM w WHERE wide > 0 AND {inside} GROUP BY 1"""
+
+
+PAIRED = RING + ", way AS (SELECT poly, 0 AS side, ax, ay, bx, by_ FROM ring UNION ALL SELECT (poly + 24) % 25, 1, ax, ay, bx, by_ FROM ring)"
+# the raw curve of a ring moved to its right: mitres where the gap opens (square beyond the limit), else back to the vertex
+MOVED = RING + """, turned AS (SELECT poly, CASE WHEN sum(ax * by_ - bx * ay) OVER (PARTITION BY poly) > 0 THEN seq ELSE -seq END AS seq, ax AS x, ay AS y FROM ring),
+single AS (SELECT * FROM (SELECT *, coalesce(lag(x) OVER w, last_value(x) OVER v) AS px, coalesce(lag(y) OVER w, last_value(y) OVER v) AS py FROM turned WINDOW w AS (PARTITION BY poly ORDER BY seq), v AS (PARTITION BY poly ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE x <> px OR y <> py),
+bent AS (SELECT poly, seq, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, (x - px) / sqrt(CAST((x - px) * (x - px) + (y - py) * (y - py) AS DOUBLE)) AS ux, (y - py) / sqrt(CAST((x - px) * (x - px) + (y - py) * (y - py) AS DOUBLE)) AS uy, coalesce(lead(x) OVER w, first_value(x) OVER w) - x AS dx, coalesce(lead(y) OVER w, first_value(y) OVER w) - y AS dy FROM single WINDOW w AS (PARTITION BY poly ORDER BY seq)),
+unit AS (SELECT poly, seq, x, y, ux, uy, dx / sqrt(CAST(dx * dx + dy * dy AS DOUBLE)) AS vx, dy / sqrt(CAST(dx * dx + dy * dy AS DOUBLE)) AS vy FROM bent),
+kind AS (SELECT *, 1 + ux * vx + uy * vy AS bend, ux * vy - uy * vx AS turn FROM unit),
+curve AS (SELECT poly, seq, unnest(CASE WHEN turn < -1e-12 THEN [{'x': x + 2.85 * uy, 'y': y - 2.85 * ux}, {'x': x, 'y': y}, {'x': x + 2.85 * vy, 'y': y - 2.85 * vx}]
+  WHEN bend > 1e-9 AND 2 <= 25 * greatest(bend, 1e-12) THEN [{'x': x + 2.85 * (uy + vy) / bend, 'y': y - 2.85 * (ux + vx) / bend}] ELSE [{'x': x + 2.85 * (uy + ux), 'y': y + 2.85 * (uy - ux)}, {'x': x + 2.85 * (vy - vx), 'y': y - 2.85 * (vx + vy)}] END) AS p, unnest(CASE WHEN turn < -1e-12 THEN [1, 2, 3] WHEN bend > 1e-9 AND 2 <= 25 * greatest(bend, 1e-12) THEN [1] ELSE [1, 2] END) AS k FROM kind),
+way AS (SELECT poly, 0 AS side, p.x AS ax, p.y AS ay, coalesce(lead(p.x) OVER w, first_value(p.x) OVER w) AS bx, coalesce(lead(p.y) OVER w, first_value(p.y) OVER w) AS by_ FROM curve WINDOW w AS (PARTITION BY poly ORDER BY seq, k))"""
+ORACLES["polygon_intersection"] = region_sql(PAIRED, "abs(w0) % 2 = 1 AND abs(w1) % 2 = 1")
+ORACLES["polygon_difference"] = region_sql(PAIRED, "abs(w0) % 2 = 1 AND abs(w1) % 2 = 0")
+ORACLES["polygon_validity"] = region_sql(PTS + ", way AS (SELECT poly, 0 AS side, x AS ax, y AS ay, coalesce(lead(x) OVER w, first_value(x) OVER w) AS bx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS by_ FROM pts WINDOW w AS (PARTITION BY poly ORDER BY id))", "abs(w0) % 2 = 1")
+ORACLES["buffer_concave"] = region_sql(MOVED, "w0 > 0")

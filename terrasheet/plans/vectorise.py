@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import CLASSES, EDT_CAP, ENLARGE, FEATURES, FILLS, FOREGROUND_MOST, MIN_SEGMENT_PIXELS, MIN_VALUE, NEIGHBOUR_REACH, PALETTE, PALETTE_CLASS, SELECTED, SENSITIVITY, SIMPLIFY, SNAP, TREES
 from ..functions import color, rings
-from ..operators import borders, components, evaluation, features, geometry, kernels, learning, raster, tiles
+from ..operators import borders, components, evaluation, features, folds, geometry, learning, overlay, raster, tiles
 from ..operators.graph import settled
 from ..sources import geojson
 
@@ -120,16 +120,18 @@ def described(pixels: DataFrame, labelled: DataFrame, polygons: DataFrame) -> Da
 def vectorise(pixels: DataFrame, settings: Settings = Settings(), classify: Callable[[DataFrame], DataFrame] = nearest_palette, distance: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(map_id, label, class, ring, holes, points, gis, simple): each segment as a classified polygon and as GeoJSON features.
 
-    Segments are closed by a cross, traced with their holes, simplified and classified (nearest_palette, or what trained
-    gives). method 1 closes gaps by growing segments and giving each pixel to one of two neighbours; 2 snaps the vertices of
-    neighbours, which moves the points only, so that the two features differ. With method 1 a map also has a contours
-    feature, of label -1, without a simple one: its outline, or with extract_contour what segments leave of it.
+    Segments are closed by a cross, traced with their holes, simplified, made valid and classified (nearest_palette, or what
+    trained gives). method 1 closes gaps: polygons grow by `enlarge` with mitred corners, within the map's outline, less their
+    neighbours, from the highest label on (folds.without_neighbours); 2 snaps the vertices of neighbours, which moves the
+    points only, so that the two features differ. With method 1 a map also has a contours feature, of label -1, without a
+    simple one: its outline, or with extract_contour what the polygons leave of it.
     """
     labelled = segments(pixels, distance, settings)
-    valid = lambda r: geometry.valid_ring(geometry.simplify(r, settings.tolerance))
+    keys = ["map_id", "label"]
 
     def traced(df: DataFrame) -> DataFrame:
-        return borders.contours(df, closing=True, hole_tolerance=settings.tolerance, tile=settings.tile).withColumn("ring", valid(F.col("ring")))
+        own = borders.contours(df, closing=True, hole_tolerance=settings.tolerance, tile=settings.tile).withColumn("ring", geometry.simplify(F.col("ring"), settings.tolerance))
+        return overlay.valid_polygons(own, keys)
 
     polygons = settled(traced(labelled))
     named = classify(described(pixels, labelled, polygons))
@@ -137,13 +139,15 @@ def vectorise(pixels: DataFrame, settings: Settings = Settings(), classify: Call
     contour = None
     if settings.method == 1:
         outline = pixels.where(color.gray(F.col("r"), F.col("g"), F.col("b"), color.SWAPPED_LUMA) <= settings.foreground_most).select("map_id", "y", "x")
-        grown = settled(kernels.without_neighbours(labelled, near, round(settings.enlarge), outline))
-        polygons = traced(grown).withColumn("points", F.col("ring"))
-        left = outline.join(grown.select("map_id", "y", "x").distinct(), ["map_id", "y", "x"], "left_anti") if settings.extract_contour else outline
-        contour = traced(left.withColumn("label", F.lit(-1).cast(labelled.schema["label"].dataType)))
+        contour = settled(traced(outline.withColumn("label", F.lit(-1).cast(labelled.schema["label"].dataType))))
+        folded = settled(folds.without_neighbours(polygons, near, settings.enlarge, contour, settings.extract_contour))
+        polygons = folds.parts(folded).drop("changed").withColumn("points", F.col("ring"))
+        if settings.extract_contour:
+            rest = overlay.overlaid(contour, folds.as_rings(folded.where("changed")), ["map_id"], overlay.LESS_UNION, ("holes", None))
+            contour = overlay.largest(rest, ["map_id"]).withColumn("label", F.lit(-1).cast(labelled.schema["label"].dataType))
     else:
         vertices = polygons.select("map_id", F.col("label").alias("poly"), F.posexplode("ring").alias("seq", "p")).select("map_id", "poly", "seq", "p.x", "p.y")
-        moved = geometry.rings_of(kernels.snap_polygons(vertices, near, settings.snap), ["map_id", "poly"], [F.col("seq")])
+        moved = geometry.rings_of(folds.snap_polygons(vertices, near, settings.snap), ["map_id", "poly"], [F.col("seq")])
         polygons = polygons.join(moved.select("map_id", F.col("poly").alias("label"), F.col("ring").alias("points")), ["map_id", "label"])
     out = polygons.join(named, ["map_id", "label"])
     fill = F.create_map(*[F.lit(v) for pair in FILLS.items() for v in pair])[F.col("class")]
@@ -162,6 +166,10 @@ def collections(vectorised: DataFrame) -> DataFrame:
     return gis.select("map_id", F.col("collection").alias("gis")).join(simple.select("map_id", F.col("collection").alias("simple")), "map_id", "left")
 
 
-def evaluated(polygons: DataFrame, truth: DataFrame) -> DataFrame:
-    """Matches (evaluation.matched) of polygons (map_id, label, ring), filled with pixels, and true segments (map_id, y, x, label)."""
-    return evaluation.matched(geometry.rasterise(polygons), truth)
+def evaluated(polygons: DataFrame, truth: DataFrame, areas: tuple[float, float] | None = None) -> DataFrame:
+    """evaluation.matched_at_points of polygons (map_id, label, ring, holes), filled with pixels and eroded by a cross, and true
+    segments (map_id, y, x, label): each polygon meets the one segment under a point inside it."""
+    own = polygons if "holes" in polygons.columns else polygons.withColumn("holes", F.array().cast(f"array<{geometry.RING}>"))
+    point = geometry.representative_point(F.col("ring"))
+    points = own.withColumn("p", point).select("map_id", F.col("label").alias("pred"), F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+    return evaluation.matched_at_points(raster.labels_eroded(geometry.rasterise(own, holes="holes")), points, truth, areas)

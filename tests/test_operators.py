@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from terrasheet.config import IOU_THRESHOLDS
 from terrasheet.functions import color, rings
-from terrasheet.operators import borders, components, evaluation, features, geometry, kernels, learning, raster, registration, sampling, tiles
+from terrasheet.operators import borders, components, evaluation, features, folds, geometry, kernels, learning, overlay, raster, registration, sampling, tiles
 from terrasheet.plans import geometry_queries
 from terrasheet.sources import geojson, images
 from terrasheet.streaming import maps
@@ -159,12 +159,11 @@ def test_mitre():
 
 
 def test_snapping_moves_onto_lines(spark):
-    import pandas as pd
-
     rows = [(1, i, x, y) for i, (x, y) in enumerate([(0, 0), (10, 0), (10, -10), (0, -10)])] + [(2, i, x, y) for i, (x, y) in enumerate([(5, 2), (9, 20), (1, 20)])]
-    out = kernels.snapped(pd.DataFrame(rows, columns=["poly", "seq", "x", "y"]), {(1, 2)}, 4)
-    assert (5.0, 0.0) in set(zip(out[out.poly == 2].x, out[out.poly == 2].y, strict=True))
-    assert (5.0, 0.0) in set(zip(out[out.poly == 1].x, out[out.poly == 1].y, strict=True))
+    near = spark.createDataFrame([(1, 1, 2)], "map_id int, label int, neighbour int")
+    points = spark.createDataFrame([(1, *map(float, r)) for r in rows], "map_id int, poly double, seq double, x double, y double").withColumn("poly", F.col("poly").cast("int"))
+    out = folds.snap_polygons(points, near, 4).collect()
+    assert (2, 5.0, 0.0) in {(r.poly, r.x, r.y) for r in out} and (1, 5.0, 0.0) in {(r.poly, r.x, r.y) for r in out}
 
 
 def test_midpoints_are_floors(spark):
@@ -385,7 +384,7 @@ def test_repaired_rings(spark):
     box = ring((0, 0), (4, 0), (4, 3), (0, 3))
     bow = ring((0, 0), (20, 10), (20, 0), (0, 12))
     df = spark.createDataFrame([(1, box), (2, bow), (3, ring((1, 1), (5, 4))), (4, []), (5, None)], "id int, a array<struct<x: double, y: double>>")
-    got = {r.id: r.v for r in df.select("id", geometry.valid_ring(F.col("a")).alias("v")).collect()}
+    got = {r.id: r.v for r in overlay.valid_polygons(df.withColumnRenamed("a", "ring"), ["id"]).withColumnRenamed("ring", "v").collect()}
     assert [tuple(p) for p in got[1]] == [(0, 0), (4, 0), (4, 3), (0, 3)]
     fixed = np.array([tuple(p) for p in got[2]])
     assert geometry.crosses_itself(np.array([(p["x"], p["y"]) for p in bow])) and not geometry.crosses_itself(fixed) and fixed[:, 0].max() <= 12
