@@ -37,7 +37,9 @@ from .words import LOWER, NOT_SPACE, find_words, gram_hashes, mix, word_hashes
 
 SLOTS = 120
 #: Members of a block, and of one that meets a single pivot; shingles of theirs; ids and buckets that may be broadcast.
-BLOCK, STAR_BLOCK, BLOCK_SHINGLES, BROADCAST_IDS, BROADCAST_BUCKETS = 256, 128, 1 << 19, 1_000_000, 100_000
+BLOCK, STAR_BLOCK, BLOCK_SHINGLES, BROADCAST_IDS, BROADCAST_BUCKETS = 512, 128, 1 << 19, 1_000_000, 100_000
+#: Members of a block where members of several components meet by their signatures alone.
+SIGNATURE_BLOCK = 1024
 
 _U = np.uint64
 
@@ -198,7 +200,7 @@ def links_in(groups: DataFrame, classes: DataFrame, scheme: Scheme, texts: Calla
     """
     sized = groups.join(classes.select("rep", "n", "sig", *["bands"] * by_band), "rep")
     block = BLOCK if by_band else STAR_BLOCK
-    near = in_cells(sized, ["sig", *["bands"] * by_band], block, 1 << 40).mapInArrow(cellwise(screened(scheme, by_band)), "key long, rep long, few boolean").distinct()
+    near = in_cells(sized, ["sig", *["bands"] * by_band], SIGNATURE_BLOCK if by_band else block, 1 << 40).mapInArrow(cellwise(screened(scheme, by_band)), "key long, rep long, few boolean").distinct()
     near = stored(near.join(groups, ["key", "rep", "few"]), "near")
     whole = near.join(classes.select("rep", "n"), "rep").join(texts(near.select("rep")).toDF("rep", "text"), "rep")
     return in_cells(whole, ["text"], block, BLOCK_SHINGLES).mapInArrow(cellwise(compared(scheme)), "a long, b long").distinct()
