@@ -5,7 +5,9 @@ all of them together: an inverted index has, for each merge rank, the positions
 made. Ranks are taken in ascending order; a merge touches its two neighbours only, whose new pairs enter the index.
 Nothing is shuffled; the number of pieces that a task remembers is bounded, and forgetting them changes no result.
 
-Null is encoded as empty text: no ids, no bytes.
+Null is encoded as empty text: no ids, no bytes. Repeated rows give repeated rows, an empty table an empty one. A very long
+text is cut into pieces whole, in a task's memory. Other columns aren't read, whatever their names; an id column must not
+have the name of a column of the result (ids, n_tokens, ids_sha256, decoded): that is a ValueError.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import byte_lengths, text_slices
+from .common import byte_lengths, check_names, text_slices
 
 #: Pieces that a task remembers with their ids, and bytes of text whose new pieces are replayed together.
 REMEMBERED, BLOCK_BYTES = 150_000, 8 << 20
@@ -213,6 +215,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encode_texts(df: DataFrame, id_column: str, text_column: str, ranks: str, pattern: str) -> DataFrame:
     """(id, ids): the text's ids as the bytes of little-endian unsigned 32-bit integers. The rank file is on every machine."""
+    check_names(id_column, "ids")
     id_type = df.schema[id_column].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +241,7 @@ def encode_texts(df: DataFrame, id_column: str, text_column: str, ranks: str, pa
 
 def decode_ids(df: DataFrame, id_column: str, ids_column: str, ranks: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded): the bytes that the ids stand for. keep_ids: the ids column as well, at the end."""
+    check_names(id_column, "n_tokens", "ids_sha256", "decoded")
     id_type = df.schema[id_column].dataType.simpleString()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,6 +59,12 @@ def schema_of(df: DataFrame, columns: list[str], more: str) -> T.StructType:
     return T.StructType(own + T.StructType.fromDDL(more).fields)
 
 
+def check_names(id_column: str, *results: str) -> None:
+    """An error where the id column's name would stand twice in a result."""
+    if id_column.lower() in results:
+        raise ValueError(f"the id column is named {id_column}, like a column of the result")
+
+
 def bounded_fraction(rows: int, most: int) -> float:
     """The fraction of rows to keep so that about `most` are left."""
     return 1.0 if rows <= most else most / rows

@@ -31,7 +31,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import byte_lengths, schema_of, text_slices
+from .common import byte_lengths, check_names, schema_of, text_slices
 
 #: Words that a task remembers with their ids; bytes of text whose new words are merged together; characters of a text that
 #: are cut into words, and ids of a text that are decoded, at once.
@@ -250,11 +250,6 @@ def codec(path: str) -> Codec:
     return _loaded[path]
 
 
-def check_names(id_column: str, *results: str) -> None:
-    if id_column.lower() in results:
-        raise ValueError(f"the id column is named {id_column}, like a column of the result")
-
-
 def encode_texts(df: DataFrame, id_column: str, text_column: str, model: str) -> DataFrame:
     """(id, ids): the text's ids as the bytes of little-endian 32-bit integers. The model file is on every machine."""
     check_names(id_column, "ids")

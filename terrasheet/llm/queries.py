@@ -61,7 +61,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     model = language_id.train(docs, "text", "lang", ~held_out, key=F.col("doc_id"))
-    return language_id.predict(docs, "doc_id", "text", *model, keep={"held_out": held_out})
+    # a row without an id is neither learned from nor held out
+    return language_id.predict(docs, "doc_id", "text", *model, keep={"held_out": F.coalesce(held_out, F.lit(False))})
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +70,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
     scored = toxicity.toxicity(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,9 @@ the sections' spans (sorted search, not pairs), and a token that crosses a bound
 - token_share: to each section in proportion to the token's bytes in it.
 
 Over sections that cover a text without overlap, both add up to the text's tokens. One pass, without a shuffle.
+
+Repeated rows give repeated sections, an empty table none. A very long text is encoded whole, in a task's memory. Other
+columns aren't read, whatever their names; an id column named like a column of the result is a ValueError.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import read_ranks
-from .common import text_slices
+from .common import check_names, text_slices
 
 _loaded: dict[tuple[str, str], tuple] = {}
 
@@ -58,6 +61,7 @@ def section_tokens(df: DataFrame, id_column: str, text_column: str, ranks: str,
     null element, and one whose end isn't after its begin, is an empty section. Without it, sections are lines with their
     newline. A null text is empty: it has one empty line, and its given sections have no tokens. A null array has none.
     """
+    check_names(id_column, "section_id", "begin", "end", "n_tokens", "token_share")
     id_type = df.schema[id_column].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

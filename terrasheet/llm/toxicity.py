@@ -252,9 +252,9 @@ def calibrated(rows: DataFrame, ordinary: bytes, toxic: bytes) -> Model:
 def train(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most: int = LABELLED) -> Model | None:
     """Fits the model to labelled rows for which usable(id) holds; None if they haven't both labels.
 
-    Of a label with more rows than `most`, those whose id hashes lowest are taken, about `most`; equal texts count once.
+    An id with both labels is toxic; rows without an id aren't learned from. Of a label with more rows than `most`, those whose id hashes lowest are taken, about `most`; equal texts count once.
     """
-    known = labels.where(F.col(label_column).isin(0, 1)).select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("label")).dropDuplicates(["_id"])
+    known = labels.where(F.col(label_column).isin(0, 1)).select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("label")).where("_id is not null").groupBy("_id").agg(F.max("label").alias("label"))
     sizes = {r.label: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
@@ -280,8 +280,9 @@ class Scorer:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         counts = np.array([self.distances.counts(t) for t in texts]).reshape(-1, FARTHEST - NEAREST + 1)
-        found = 1 / (1 + np.exp(-np.clip(features(counts) @ self.model.weights, -30, 30)))
-        return np.where(counts.sum(1) > 0, found, self.model.share)
+        # summed row by row and rounded, so that a text's score doesn't depend on the others of its batch
+        found = 1 / (1 + np.exp(-np.clip((features(counts) * self.model.weights).sum(1).round(9), -30, 30)))
+        return np.where(counts.sum(1) > 0, found, self.model.share).round(12)
 
 
 def toxicity(docs: DataFrame, model: Model | None, text_column: str = "text", output: str = "score") -> DataFrame:
