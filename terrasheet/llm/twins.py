@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import TEMPLATES, THRESHOLD, stride, template_bigrams, template_words
+from .license_scan import TEMPLATES, THRESHOLD, template_bigrams, template_words
 
 LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = f"regexp_extract_all({LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -35,16 +35,16 @@ SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least AS componen
 
 def _licences() -> str:
     known = {k: v for k, v in sorted(TEMPLATES.items())}
-    rows = ", ".join(f"('{k}', [{', '.join(repr(b) for b in template_bigrams(v))}], {len(template_words(v))}, {stride(len(template_words(v)))})" for k, v in known.items())
+    rows = ", ".join(f"('{k}', [{', '.join(repr(b) for b in template_bigrams(v))}], {len(template_words(v))})" for k, v in known.items())
     words = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+'), lambda v: v <> '')"
     pairs = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
     return f"""
-WITH t(id, b, m, step) AS (VALUES {rows}),
+WITH t(id, b, m) AS (VALUES {rows}),
 x AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS x, {words.format("coalesce(text, '')")} AS w FROM documents),
 s AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(CASE WHEN len(l) > 1 THEN list_append(l, x) ELSE l END)) AS s FROM (SELECT doc_id, x, string_split(x, chr(10)) AS l FROM x)),
 g AS MATERIALIZED (SELECT doc_id, s, {pairs.format("w")} AS b FROM (SELECT doc_id, s, {words.format("s")} AS w FROM s WHERE s <> '')),
 k AS MATERIALIZED (SELECT doc_id, w, {pairs.format("w")} AS b FROM x),
-v AS MATERIALIZED (SELECT doc_id, id, tb, unnest(list_transform(range(1, len(w) + 1, step), lambda i: w[i : i + m - 1])) AS q FROM (SELECT doc_id, w, id, t.b AS tb, m, step FROM k, t WHERE len(k.b) > 0 AND 3 * len(list_intersect(k.b, t.b)) > 2 * len(t.b) - 3)),
+v AS MATERIALIZED (SELECT doc_id, id, tb, unnest(list_transform(range(1, len(w)), lambda i: w[i : i + m - 1])) AS q FROM (SELECT doc_id, w, id, t.b AS tb, m FROM k, t WHERE len(k.b) > 0 AND 3 * len(list_intersect(k.b, t.b)) > 2 * len(t.b) - 3)),
 u AS MATERIALIZED (SELECT doc_id, id, 2000000 * c // n AS d FROM (SELECT doc_id, id, len(list_intersect(b, tb)) AS c, len(b) + len(tb) AS n FROM (SELECT doc_id, id, tb, {pairs.format("q")} AS b FROM v) WHERE len(b) > 0) WHERE 200 * c >= {THRESHOLD} * n),
 h AS MATERIALIZED (SELECT doc_id, s, id, 2000000 * c // n AS d FROM (SELECT doc_id, s, id, len(list_intersect(g.b, t.b)) AS c, len(g.b) + len(t.b) AS n FROM g, t WHERE len(g.b) > 0) WHERE 200 * c >= {THRESHOLD} * n),
 e AS MATERIALIZED (SELECT doc_id, id, d FROM h UNION ALL SELECT doc_id, id, d FROM u),
