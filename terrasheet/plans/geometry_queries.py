@@ -198,14 +198,19 @@ def spectral_features(spark, sf):
     return features.spectral(own, ["obj"], ["h", "s", "v"]).select("obj", "n", *[F.round(c, 4).alias(c) for c in names])
 
 
+#: Dimensions of the embeddings.
+DIMS = 64
+
+
 def standardise(spark, sf):
-    own = table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
-    return features.standardise(own, [f"e{i}" for i in range(4)]).select("vec_id", *[R6(f"e{i}").alias(f"e{i}") for i in range(4)])
+    own = table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(DIMS)])
+    return features.standardise(own, [f"e{i}" for i in range(DIMS)]).select("vec_id", *[R6(f"e{i}").alias(f"e{i}") for i in range(DIMS)])
 
 
 def feature_vector(spark, sf):
     own = spectral_features(spark, sf)
-    filled = own.select("obj", (F.col("n") % 40).alias("n"), *[F.col(c) for c in own.columns if c not in ("obj", "n")], *[F.lit(0.25).alias(c) for c in ("rectangularity", "circularity", "convexity", "relative_area")])
+    shapes = shape_features(spark, sf).select(F.col("poly").alias("_poly"), "rectangularity", "circularity", "convexity", "relative_area")
+    filled = own.withColumn("_poly", F.pmod("obj", F.lit(25))).join(shapes, "_poly").drop("_poly").withColumn("n", F.when(F.col("obj") % 4 == 0, F.col("n") % 40).otherwise(F.col("n")))
     return filled.select("obj", F.round(F.aggregate(features.vector(), F.lit(0.0), lambda a, v: a + v), 3).alias("total"))
 
 
@@ -313,8 +318,8 @@ def kmeans_lloyd(spark, sf):
 
 
 def gaussian_nb(spark, sf):
-    names = [f"e{i}" for i in range(4)]
-    own = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
+    names = [f"e{i}" for i in range(DIMS)]
+    own = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(DIMS)])
     return learning.gaussian_predict(own, learning.gaussian_likelihoods(own, names, "label"), names, "label", "vec_id")
 
 
@@ -329,35 +334,35 @@ def hamming_match_all(spark, sf):
 
 
 def vectors(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(6)])
+    return table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(DIMS)])
 
 
-SIX = [f"e{i}" for i in range(6)]
+EVERY = [f"e{i}" for i in range(DIMS)]
 
 
 def rf_classify(spark, sf):
     own = sampling.split(vectors(spark, sf), "vec_id", "label", {"train": 0.8, "test": 0.2})
-    scaled = features.standardise(own, SIX, fit=own.where("part = 'train'"))
-    model = learning.forest(scaled.where("part = 'train'"), SIX, "label", trees=20)
+    scaled = features.standardise(own, EVERY, fit=own.where("part = 'train'"))
+    model = learning.forest(scaled.where("part = 'train'"), EVERY, "label")
     return learning.classify(scaled.where("part = 'test'"), model, "label", "vec_id")
 
 
 def svm_classify(spark, sf):
     own = vectors(spark, sf)
-    return learning.classify(own, learning.linear_machines(own, SIX, "label", rounds=3), "label", "vec_id")
+    return learning.classify(own, learning.linear_machines(own, EVERY, "label", rounds=3), "label", "vec_id")
 
 
 def rf_importance(spark, sf):
-    return learning.importances(learning.forest(vectors(spark, sf), SIX, "label", trees=10), SIX, spark)
+    return learning.importances(learning.forest(vectors(spark, sf), EVERY, "label"), EVERY, spark)
 
 
 def permutation_importance(spark, sf):
-    own = vectors(spark, sf)
-    return learning.permutation_importances(learning.forest(own, SIX, "label", trees=10), own, SIX, "label", "vec_id", 2)
+    own, six = vectors(spark, sf), EVERY[:6]
+    return learning.permutation_importances(learning.forest(own, six, "label", trees=10), own, six, "label", "vec_id", 2)
 
 
 def pca_project(spark, sf):
-    return learning.principal_axes(vectors(spark, sf), SIX, "vec_id")
+    return learning.principal_axes(vectors(spark, sf), EVERY, "vec_id")
 
 
 def register_maps(spark, sf):
@@ -465,7 +470,7 @@ def split_sql(source, key, group, bounds):
     return f"SELECT {key}, {group}, CASE {part} END AS part FROM (SELECT {key}, {group}, row_number() OVER (PARTITION BY {group} ORDER BY md5(CAST({key} AS VARCHAR)), {key}) AS place, count(*) OVER (PARTITION BY {group}) AS n FROM {source})"
 
 
-E4 = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(4))
+E64 = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(DIMS))
 SPECTRAL_SQL = """o AS (SELECT l_suppkey AS obj, l_quantity AS h, l_extendedprice AS s, l_discount AS v FROM lineitem),
 f AS (SELECT obj, count(*) AS n, """ + ", ".join(f"median({b}) AS median_{b}, mad({b}) AS mad_{b}, avg({b}) AS mean_{b}, stddev_pop({b}) AS std_{b}" for b in "hsv") + """ FROM o GROUP BY 1),
 k AS (SELECT obj, """ + ", ".join(f"coalesce(avg(pow({b} - mean_{b}, 3)) / nullif(pow(any_value(std_{b}), 3), 0), 0) AS skew_{b}" for b in "hsv") + " FROM o JOIN f USING (obj) GROUP BY 1)"
@@ -475,13 +480,15 @@ SMALL = RING + ", small AS MATERIALIZED (SELECT poly, seq, CAST(floor(ax / 20.0)
 WARPED = """w AS (SELECT *, (CAST(0.9 AS DOUBLE) * x + CAST(0.1 AS DOUBLE) * y + CAST(1.5 AS DOUBLE)) / d AS sx, (CAST(-0.05 AS DOUBLE) * x + CAST(1.1 AS DOUBLE) * y + CAST(0.75 AS DOUBLE)) / d AS sy FROM (SELECT map_id, y, x, CAST(0.001 AS DOUBLE) * x + CAST(0.0 AS DOUBLE) * y + CAST(1.0 AS DOUBLE) AS d FROM px)),
 c AS (SELECT w.*, j, k, (CASE WHEN j = 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) * (CASE WHEN k = 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) AS q FROM w, (VALUES (0), (1)) a(j), (VALUES (0), (1)) b(k))"""
 
+SHAPES_SQL = "WITH " + SIZED + ", " + HULL + ", " + BOXES + """, hh AS (SELECT poly, CAST(sum(ax * by_ - bx * ay) AS DOUBLE) / 2 AS area, sum(sqrt(CAST((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) AS DOUBLE))) AS length FROM hull GROUP BY 1)
+  SELECT s.poly, round(s.area / (long * short), 6) AS rectangularity, round(s.area / hh.area, 6) AS solidity, round(long / short, 6) AS aspect_ratio, round(abs(long - short) / long, 6) AS elongation, round(s.area / (s.length * s.length), 6) AS circularity,
+  round(hh.length / s.length, 6) AS convexity, round(s.area / 1000000.0, 6) AS relative_area FROM sized s JOIN best USING (poly) JOIN hh USING (poly)"""
+
 ORACLES = {
     "ring_area_perimeter": "WITH " + SIZED + " SELECT poly, n, area, round(length, 6) AS perimeter FROM sized",
     "convex_hull": "WITH " + HULLED + " SELECT poly, count(*) AS n, CAST(sum(ax * by_ - bx * ay) AS DOUBLE) / 2 AS area, round(sum(sqrt(CAST((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) AS DOUBLE))), 6) AS perimeter FROM hull GROUP BY 1",
     "min_rotated_rect": "WITH " + HULLED + ", " + BOXES + " SELECT poly, round(wh, 4) AS area, round(long, 4) AS length, round(short, 4) AS breadth FROM best",
-    "shape_features": "WITH " + SIZED + ", " + HULL + ", " + BOXES + """, hh AS (SELECT poly, CAST(sum(ax * by_ - bx * ay) AS DOUBLE) / 2 AS area, sum(sqrt(CAST((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) AS DOUBLE))) AS length FROM hull GROUP BY 1)
-  SELECT s.poly, round(s.area / (long * short), 6) AS rectangularity, round(s.area / hh.area, 6) AS solidity, round(long / short, 6) AS aspect_ratio, round(abs(long - short) / long, 6) AS elongation, round(s.area / (s.length * s.length), 6) AS circularity,
-  round(hh.length / s.length, 6) AS convexity, round(s.area / 1000000.0, 6) AS relative_area FROM sized s JOIN best USING (poly) JOIN hh USING (poly)""",
+    "shape_features": SHAPES_SQL,
     "polygon_holes": "WITH " + SIZED + " SELECT poly, area - area / 4 AS area, round(length + length / 2, 6) AS length FROM sized",
     "largest_part": "WITH " + SIZED + " SELECT poly % 5 AS g, max(area) AS area FROM sized GROUP BY 1",
     "douglas_peucker": "WITH RECURSIVE " + PTS + """, l AS MATERIALIZED (SELECT poly, x, y, row_number() OVER (PARTITION BY poly ORDER BY id) - 1 AS i FROM pts),
@@ -507,8 +514,9 @@ SELECT line, vertex, round(u, 6) AS u, round(ax + u * dx, 6) AS x, round(ay + u
     "geojson_features": "WITH " + RING + """ SELECT poly, '{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[' || string_agg('[' || CAST(CAST(ax AS DOUBLE) AS VARCHAR) || ',' || CAST(CAST(ay AS DOUBLE) AS VARCHAR) || ']', ',' ORDER BY seq) || ',' || max('[' || CAST(CAST(ax AS DOUBLE) AS VARCHAR) || ',' || CAST(CAST(ay AS DOUBLE) AS VARCHAR) || ']') FILTER (seq = 0) || ']]},"properties":{"fill":"#ff7fcc","type":"building"}}' AS feature FROM ring GROUP BY 1""",
     "geojson_collection": "WITH " + SIZED + " SELECT poly % 3 AS map_id, count(*) AS n, CAST(sum(n + 1) AS BIGINT) AS points FROM sized GROUP BY 1",
     "spectral_features": "WITH " + SPECTRAL_SQL + " SELECT obj, n, " + ROUNDED + " FROM f JOIN k USING (obj)",
-    "standardise": "WITH e AS (SELECT vec_id, " + E4 + " FROM embeddings), s AS (SELECT " + ", ".join(f"avg(e{i}) AS m{i}, stddev_pop(e{i}) AS s{i}" for i in range(4)) + " FROM e) SELECT vec_id, " + ", ".join(f"round((e{i} - m{i}) / CASE WHEN s{i} = 0 THEN 1.0 ELSE s{i} END, 6) AS e{i}" for i in range(4)) + " FROM e, s",
-    "feature_vector": "WITH " + SPECTRAL_SQL + " SELECT obj, round(CASE WHEN n % 40 < 20 THEN 0.0 ELSE round(median_h, 4) + round(median_s, 4) + round(median_v, 4) + round(mean_h, 4) + round(mean_s, 4) + round(mean_v, 4) + round(std_h, 4) + round(std_v, 4) + 1.0 END, 3) AS total FROM f JOIN k USING (obj)",
+    "standardise": "WITH e AS (SELECT vec_id, " + E64 + " FROM embeddings), s AS (SELECT " + ", ".join(f"avg(e{i}) AS m{i}, stddev_pop(e{i}) AS s{i}" for i in range(DIMS)) + " FROM e) SELECT vec_id, " + ", ".join(f"round((e{i} - m{i}) / CASE WHEN s{i} = 0 THEN 1.0 ELSE s{i} END, 6) AS e{i}" for i in range(DIMS)) + " FROM e, s",
+    "feature_vector": "WITH " + SPECTRAL_SQL + ", shapes AS (" + SHAPES_SQL + """), w AS (SELECT *, CASE WHEN obj % 4 = 0 THEN n % 40 ELSE n END AS used FROM f)
+SELECT w.obj, round(CASE WHEN used < 20 THEN 0.0 ELSE round(median_h, 4) + round(median_s, 4) + round(median_v, 4) + round(mean_h, 4) + round(mean_s, 4) + round(mean_v, 4) + round(std_h, 4) + round(std_v, 4) + rectangularity + circularity + convexity + relative_area END, 3) AS total FROM w JOIN shapes ON poly = w.obj % 25""",
     "iou_pairs": on_px(MATCHED + " SELECT map_id, pred, truth, round(iou, 6) AS iou, pred_area, truth_area FROM matched"),
     "iou_area_bounds": on_px(MATCHED + " SELECT map_id, pred, truth, round(iou, 6) AS iou, pred_area, truth_area FROM matched WHERE truth_area > 6 AND truth_area < 14 AND pred_area BETWEEN 6 AND 14"),
     "iou_one_to_one": on_px(MATCHED + " SELECT map_id, pred, truth, round(iou, 6) AS iou, pred_area, truth_area FROM (SELECT *, row_number() OVER (PARTITION BY map_id, truth ORDER BY iou DESC, pred) AS k FROM matched) WHERE k = 1"),
@@ -530,7 +538,7 @@ SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, roun
     "weighted_sample": on_px("c AS (SELECT map_id, y * 32 + x AS pos, CAST(sum(r) OVER w - r AS DOUBLE) / sum(r) OVER (PARTITION BY map_id) AS low, CAST(sum(r) OVER w AS DOUBLE) / sum(r) OVER (PARTITION BY map_id) AS high FROM px WINDOW w AS (PARTITION BY map_id ORDER BY y, x ROWS UNBOUNDED PRECEDING)) SELECT map_id, round((k.range + 0.5) / 15, 6) AS draw, pos, pos % 32 AS x, CAST(pos // 32 AS INT) AS y FROM c, range(15) k WHERE (k.range + 0.5) / CAST(15 AS DOUBLE) >= low AND (k.range + 0.5) / CAST(15 AS DOUBLE) < high"),
     "best_matches": "WITH " + PTS + " SELECT poly, id, x FROM (SELECT *, row_number() OVER (PARTITION BY poly ORDER BY x, id) AS k, count(*) OVER (PARTITION BY poly) AS n FROM pts) WHERE k <= floor(n * CAST(0.2 AS DOUBLE))",
     "kmeans_lloyd": lloyd_sql(),
-    "gaussian_nb": "WITH e AS (SELECT vec_id, label, " + E4 + " FROM embeddings), t AS (SELECT label, count(*) / CAST((SELECT count(*) FROM e) AS DOUBLE) AS prior, " + ", ".join(f"avg(e{i}) AS m{i}, var_pop(e{i}) + 1e-9 AS v{i}" for i in range(4)) + " FROM e GROUP BY 1), s AS (SELECT vec_id, t.label, round(ln(prior)" + "".join(f" - 0.5 * (ln(2 * 3.141592653589793 * v{i}) + (e{i} - m{i}) * (e{i} - m{i}) / v{i})" for i in range(4)) + ", 6) AS l FROM e, t) SELECT vec_id, label AS predicted, l AS log_likelihood FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY l DESC, label) AS k FROM s) WHERE k = 1",
+    "gaussian_nb": "WITH e AS (SELECT vec_id, label, " + E64 + " FROM embeddings), t AS (SELECT label, count(*) / CAST((SELECT count(*) FROM e) AS DOUBLE) AS prior, " + ", ".join(f"avg(e{i}) AS m{i}, var_pop(e{i}) + 1e-9 AS v{i}" for i in range(DIMS)) + " FROM e GROUP BY 1), s AS (SELECT vec_id, t.label, round(ln(prior)" + "".join(f" - 0.5 * (ln(2 * 3.141592653589793 * v{i}) + (e{i} - m{i}) * (e{i} - m{i}) / v{i})" for i in range(DIMS)) + ", 6) AS l FROM e, t) SELECT vec_id, label AS predicted, l AS log_likelihood FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY l DESC, label) AS k FROM s) WHERE k = 1",
     "hamming_match_all": "WITH d AS (SELECT q.vec_id AS query, b.vec_id AS match, len(list_filter(generate_series(1, 64), lambda i: (q.embedding[i] > 0) <> (b.embedding[i] > 0))) AS distance FROM embeddings q, embeddings b WHERE q.vec_id % 50 = 0 AND b.vec_id <> q.vec_id) SELECT query, match, CAST(distance AS INT) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, match) AS k FROM d) WHERE k = 1",
 }
 

@@ -142,8 +142,14 @@ def sliding_tiles(spark, sf):
     return raster.sliding_tiles(px(spark, sf).select(*at("r")), 12, 3).groupBy("map_id", "ty", "tx").agg(F.count("*").alias("n"), F.sum("r").alias("total"), F.sum(F.when(F.col("inner"), F.col("r"))).alias("inner_total"))
 
 
+def patch_corners(df):
+    """Four patches of each map."""
+    four = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")
+    return df.select("map_id").distinct().select("map_id", four).select("map_id", (F.col("map_id").cast("long") * 4 + F.col("k")).alias("patch")).select("map_id", "patch", (F.col("patch") * 5 % 24).cast("int").alias("y"), (F.col("patch") * 7 % 24).cast("int").alias("x"))
+
+
 def patch_pixels(spark, sf):
-    corners = spark.range(12).select((F.col("id") % 3).cast("int").alias("map_id"), F.col("id").alias("patch"), (F.col("id") * 5 % 24).cast("int").alias("y"), (F.col("id") * 7 % 24).cast("int").alias("x"))
+    corners = patch_corners(px(spark, sf))
     return raster.patches(px(spark, sf).select(*at("r")), corners, 8).select("map_id", "patch", "py", "px", "r")
 
 
@@ -190,7 +196,7 @@ def patch_pairs(spark, sf):
     """Pairs of training patches, written by split and read back."""
     at = f"{shared_folder(spark)}/patches-{uuid.uuid4().hex}"
     df = raster.distance_transform(px(spark, sf), F.col("m") & (F.col("r") < 40), 50).withColumn("d", F.col("distance") / 50)
-    corners = spark.range(12).select((F.col("id") % 3).cast("int").alias("map_id"), F.col("id").alias("patch"), (F.col("id") * 5 % 24).cast("int").alias("y"), (F.col("id") * 7 % 24).cast("int").alias("x"), F.when(F.col("id") % 4 == 0, "test").otherwise("train").alias("split"))
+    corners = patch_corners(px(spark, sf)).withColumn("split", F.when(F.col("patch") % 4 == 0, "test").otherwise("train"))
     raster.patch_pairs(df, "d", corners, 8).write.partitionBy("split").parquet(at)
     return spark.read.parquet(at)
 
@@ -312,12 +318,12 @@ ORACLES = {
     "downsample_trim": on_px("SELECT map_id, y // 2 - 2 AS y, x // 2 - 2 AS x, r FROM px WHERE y % 2 = 0 AND x % 2 = 0 AND y // 2 BETWEEN 2 AND 12 AND x // 2 BETWEEN 2 AND 12"),
     "row_col_compaction": on_px("a AS (SELECT map_id, y, row_number() OVER (PARTITION BY map_id ORDER BY y) - 1 AS n FROM (SELECT DISTINCT map_id, y FROM px WHERE g < 6)), c AS (SELECT map_id, x, row_number() OVER (PARTITION BY map_id ORDER BY x) - 1 AS n FROM (SELECT DISTINCT map_id, x FROM px WHERE g < 6)) SELECT map_id, CAST(a.n AS INT) AS y, CAST(c.n AS INT) AS x, r, g FROM px JOIN a USING (map_id, y) JOIN c USING (map_id, x)"),
     "sliding_tiles": on_px("SELECT map_id, CAST(ty.range AS INT) AS ty, CAST(tx.range AS INT) AS tx, count(*) AS n, CAST(sum(r) AS BIGINT) AS total, CAST(sum(r) FILTER (y - ty.range * 6 BETWEEN 3 AND 8 AND x - tx.range * 6 BETWEEN 3 AND 8) AS BIGINT) AS inner_total FROM px, range(4) ty, range(4) tx WHERE y - ty.range * 6 BETWEEN 0 AND 11 AND x - tx.range * 6 BETWEEN 0 AND 11 GROUP BY 1, 2, 3"),
-    "patch_pixels": on_px("k AS (SELECT CAST(range % 3 AS INT) AS map_id, range AS patch, range * 5 % 24 AS cy, range * 7 % 24 AS cx FROM range(12)) SELECT map_id, patch, CAST(y - cy AS INT) AS py, CAST(x - cx AS INT) AS px, r FROM px JOIN k USING (map_id) WHERE y - cy BETWEEN 0 AND 7 AND x - cx BETWEEN 0 AND 7"),
+    "patch_pixels": on_px("k AS (SELECT CAST(i // 4 AS INT) AS map_id, i AS patch, i * 5 % 24 AS cy, i * 7 % 24 AS cx FROM (SELECT unnest(range(4 * k)) AS i FROM maps)) SELECT map_id, patch, CAST(y - cy AS INT) AS py, CAST(x - cx AS INT) AS px, r FROM px JOIN k USING (map_id) WHERE y - cy BETWEEN 0 AND 7 AND x - cx BETWEEN 0 AND 7"),
     "bbox_neighbors": on_px(LARGE8 + ", box AS (SELECT map_id, label, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM big GROUP BY 1, 2) SELECT DISTINCT b.map_id, b.label, p.label AS neighbour FROM box b JOIN big p ON p.map_id = b.map_id AND p.label <> b.label AND p.y >= y0 AND p.y < y1 + 4 AND p.x >= x0 AND p.x < x1 + 4"),
     "image_scan": on_px("SELECT map_id, y, x, r, g, b FROM px"),
     "mask_scan": on_px("SELECT map_id, 'building' AS class, y, x FROM px WHERE m UNION ALL SELECT map_id, 'water', y, x FROM px WHERE gt AND map_id <> 1"),
     "patch_pairs": on_px("""e AS MATERIALIZED (SELECT a.map_id, a.y, a.x, any_value(a.r) AS r, any_value(a.g) AS g, any_value(a.b) AS b, least(50.0::DOUBLE, coalesce(sqrt(min((a.y - s.y) * (a.y - s.y) + (a.x - s.x) * (a.x - s.x))), 50.0::DOUBLE)) / 50.0::DOUBLE AS d FROM px a LEFT JOIN (SELECT * FROM px WHERE m AND r < 40) s ON a.map_id = s.map_id GROUP BY 1, 2, 3),
-k AS (SELECT CAST(range % 3 AS INT) AS map_id, range AS patch, range * 5 % 24 AS cy, range * 7 % 24 AS cx, CASE WHEN range % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM range(12))
+k AS (SELECT CAST(i // 4 AS INT) AS map_id, i AS patch, i * 5 % 24 AS cy, i * 7 % 24 AS cx, CASE WHEN i % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM (SELECT unnest(range(4 * k)) AS i FROM maps))
 SELECT map_id, patch, split, CAST(y - cy AS INT) AS py, CAST(x - cx AS INT) AS px, r, g, b, CAST(floor(d * 255) AS INT) AS label FROM e JOIN k USING (map_id) WHERE y - cy BETWEEN 0 AND 7 AND x - cx BETWEEN 0 AND 7"""),
     # ridges of the gradient over the upper threshold, and those over the lower one that reach them
     "canny_edges": on_px("""w AS (SELECT a.range AS dy, b.range AS dx, b.range * (2 - abs(a.range)) AS kx, a.range * (2 - abs(b.range)) AS ky FROM range(-1, 2) a, range(-1, 2) b),
