@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import PALETTE, TREE_DEPTH, TREES
 from .features import standardise
@@ -133,21 +136,46 @@ def principal_axes(df: DataFrame, features: list[str], id_column: str, k: int =
     return model.transform(scaled).select(id_column, *[vector_to_array("_z")[i].alias(f"axis{i + 1}") for i in range(k)])
 
 
-#: Queries of a block of nearest_by_bits, and parts that a block's base rows are dealt to.
-QUERY_BLOCK, BLOCK_PARTS = 512, 16
+#: Bits of a chunk of nearest_by_bits.
+CHUNK = 16
+
+
+def chunks_of(bits: Column) -> Column:
+    """The chunks of an array of 64-bit words, as whole numbers."""
+    return F.flatten(F.transform(bits, lambda w: F.array(*[F.shiftrightunsigned(w, k).bitwiseAND((1 << CHUNK) - 1).cast("int") for k in range(0, 64, CHUNK)])))
 
 
 def nearest_by_bits(queries: DataFrame, base: DataFrame, bits: str = "bits", itself: bool = True) -> DataFrame:
     """(query, match, distance): for each query the descriptor with the fewest differing bits, the least id of equals.
 
-    Queries are cut into blocks of about QUERY_BLOCK, each one array; base rows meet the blocks by block number. A base row
-    with the query's own id counts only if `itself`.
+    Multi-index hashing: descriptors are looked up by chunks of 16 bits. Round s probes, for the queries that are still open,
+    all chunks with s bits changed. Of m chunks one has at most d / m of d differing bits, so after round s all descriptors at
+    a distance below m * (s + 1) have been met, and a query whose best is among them is done. The last round would have met
+    all. Equal descriptors are one entry. A base row with the query's own id counts only if `itself`; rows without bits and
+    queries without any other row have no match.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    own = queries.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_b"), F.struct(F.col("id").alias("id"), F.col(bits).alias("bits")).alias("q"))
-    tables = own.groupBy("_b").agg(F.collect_list("q").alias("_q")).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(BLOCK_PARTS - 1))))
-    dealt = base.withColumn("_p", F.pmod(F.xxhash64("id"), F.lit(BLOCK_PARTS)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    distance = lambda q: F.aggregate(F.zip_with(q["bits"], F.col(bits), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, v: acc + v)
-    others = F.col("_q") if itself else F.filter("_q", lambda q: q["id"] != F.col("id"))
-    met = dealt.join(tables, ["_b", "_p"]).withColumn("_q", others).select(F.col("id").alias("match"), F.explode(F.transform("_q", lambda q: F.struct(q["id"].alias("query"), distance(q).alias("distance")))).alias("m"))
-    return met.groupBy("m.query").agg(F.min(F.struct(F.col("m.distance").alias("distance"), F.col("match"))).alias("best")).select("query", "best.match", "best.distance")
+    known = base.where(F.col(bits).isNotNull()).select("id", F.col(bits).alias("bits"))
+    entries = known.groupBy("bits").agg(F.min("id").alias("a"))
+    if itself:
+        entries = entries.withColumn("b", F.col("a"))
+    else:
+        second = known.join(entries, "bits").where("id > a").groupBy("bits").agg(F.min("id").alias("b"))
+        entries = entries.join(second, "bits", "left")
+    entries = settled(entries)
+    index = entries.select(F.col("bits").alias("theirs"), "a", "b", F.posexplode(chunks_of(F.col("bits"))).alias("chunk", "key"))
+    left = settled(queries.where(F.col(bits).isNotNull()).select(F.col("id").alias("query"), F.col(bits).alias("bits")).distinct())
+    best = left.sparkSession.createDataFrame([], T.StructType([T.StructField("query", left.schema["query"].dataType), T.StructField("distance", T.IntegerType()), T.StructField("match", known.schema["id"].dataType)]))
+    distance = F.aggregate(F.zip_with("bits", "theirs", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, v: acc + v)
+    match = F.when(F.col("a") == F.col("query"), F.col("b")).otherwise(F.col("a")) if not itself else F.col("a")
+    for s in range(CHUNK + 1):
+        masks = ",".join(str(sum(1 << k for k in own)) for own in combinations(range(CHUNK), s))
+        probes = left.select("query", "bits", F.posexplode(chunks_of(F.col("bits"))).alias("chunk", "own"))
+        probes = probes.withColumn("mask", F.explode(F.split(F.lit(masks), ",").cast("array<int>")))
+        met = probes.withColumn("key", F.col("own").bitwiseXOR(F.col("mask"))).join(index, ["chunk", "key"]).select("query", distance.alias("distance"), match.alias("match")).where("match is not null")
+        found = best.unionByName(met).groupBy("query").agg(F.min(F.struct("distance", "match")).alias("m"))
+        best = settled(found.select("query", "m.distance", "m.match"))
+        proved = (s + 1) * F.size("bits") * (64 // CHUNK)
+        left = settled(left.join(best, "query", "left").where(F.col("distance").isNull() | (F.col("distance") >= proved)).select("query", "bits"))
+        if left.isEmpty():
+            break
+    return best.select("query", "match", "distance")

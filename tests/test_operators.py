@@ -402,19 +402,29 @@ def test_links_are_joined_alike_in_one_task_and_by_stars(spark):
     assert graph.connected(links.limit(0)).count() == 0
 
 
-def test_nearest_by_bits_over_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(learning, "QUERY_BLOCK", 3)
+def test_nearest_by_bits_in_rounds(spark):
+    """Near ones, copies and far ones (found in the last round only), in two words."""
     rng = random.Random(6)
-    bits = [rng.getrandbits(12) for _ in range(40)]
-    df = spark.createDataFrame([(i, [b]) for i, b in enumerate(bits)], "id long, bits array<long>")
-    got = {r.query: (r.distance, r.match) for r in learning.nearest_by_bits(df.where("id % 4 = 0"), df, itself=False).collect()}
-    assert got == {i: min(((bits[i] ^ b).bit_count(), k) for k, b in enumerate(bits) if k != i) for i in range(0, 40, 4)}
+    word = lambda: rng.getrandbits(64)
+    bits = [(word(), word()) for _ in range(12)]
+    bits += [(a ^ 1 << rng.randrange(64), b ^ 5 << 20) for a, b in bits[:6]] + [bits[0], bits[0], (~bits[3][0] & (1 << 64) - 1, ~bits[3][1] & (1 << 64) - 1)]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    rows = [(i, [signed(a), signed(b)]) for i, (a, b) in enumerate(bits)]
+    df = spark.createDataFrame([*rows, (100, None)], "id long, bits array<long>")
+    far = lambda i, k: (bits[i][0] ^ bits[k][0]).bit_count() + (bits[i][1] ^ bits[k][1]).bit_count()
+    for itself in (False, True):
+        got = {r.query: (r.distance, r.match) for r in learning.nearest_by_bits(df, df, itself=itself).collect()}
+        assert got == {i: min((far(i, k), k) for k in range(len(bits)) if itself or k != i) for i in range(len(bits))}
+    alone = learning.nearest_by_bits(df.where("id = 3"), df.where("id in (3, 20)"), itself=False).first()  # its complement
+    assert alone is None or (alone.distance, alone.match) == (128, 20)
+    assert learning.nearest_by_bits(df, df.limit(0)).count() == 0
 
 
 def test_queries_take_all_polygons_and_points(spark):
     sf = "/root/testdata/sf0.001"
     own = geometry_queries.QUERIES
-    assert own["polygon_snapping"](spark, sf).select("poly").distinct().count() == geometry_queries.points(spark, sf).select("poly").distinct().count()
+    kept = components.without_small(components.components(geometry_queries.px(spark, sf).where("m"), True, tile=16), 4)[0]
+    assert own["polygon_snapping"](spark, sf).select("map_id", "poly").distinct().count() == kept.select("map_id", "label").distinct().count()
     df = geometry_queries.px(spark, sf).select("map_id", "y", "x", "m", "gt").toPandas()
     both = df[df["m"] & df["gt"]]
     want = {(r.map_id, r.y * 32 + r.x, r.y // 5 * 100 + (r.x + 1) // 5 + 1) for r in both.itertuples()}
