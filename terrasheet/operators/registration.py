@@ -10,46 +10,105 @@ from pyspark.sql import functions as F
 from .kernels import AROUND, grid
 from .sampling import best_share
 
-#: Keypoints of an image, bits of a descriptor, pixels around a keypoint that it looks at.
+#: Keypoints of an image, bits of a descriptor, pixels around a keypoint that its direction and its descriptor look at.
 KEYPOINTS, BITS, REACH = 500, 256, 15
+#: Levels of the pyramid, how much smaller each is, and the least difference of a corner from its surroundings.
+LEVELS, FACTOR, CONTRAST = 8, 1.2, 20
+#: The circle of radius 3 around a pixel, as (y, x) in order.
+CIRCLE = [(0, 3), (1, 3), (2, 2), (3, 1), (3, 0), (3, -1), (2, -2), (1, -3), (0, -3), (-1, -3), (-2, -2), (-3, -1), (-3, 0), (-3, 1), (-2, 2), (-1, 3)]
 
 
-def corners(image: np.ndarray, most: int) -> np.ndarray:
-    """(y, x) of the points where the gradient changes most in every direction, the strongest first."""
-    gy, gx = np.gradient(image.astype(float))
+def around(image: np.ndarray, steps: list[tuple[int, int]], fill: str | float = "edge") -> list[np.ndarray]:
+    """The image moved by each of the steps; beyond its border it is repeated, or a number."""
+    far = max(max(abs(dy), abs(dx)) for dy, dx in steps)
+    wide = np.pad(image, far, mode="edge") if fill == "edge" else np.pad(image, far, constant_values=fill)
+    return [wide[far + dy : far + dy + image.shape[0], far + dx : far + dx + image.shape[1]] for dy, dx in steps]
 
-    def summed(v: np.ndarray) -> np.ndarray:
-        wide = np.pad(v, 1)
-        return sum(wide[1 + dy : 1 + dy + v.shape[0], 1 + dx : 1 + dx + v.shape[1]] for dy, dx in AROUND + [(0, 0)])
 
+def corners(image: np.ndarray, most: int) -> np.ndarray:
+    """(y, x) of the pixels of which 9 neighbours in a row on the circle are all brighter, or all darker, by CONTRAST; of
+    those the ones whose gradient changes more in every direction than their neighbours', the strongest first.
+    """
+    ring = np.stack(around(image, CIRCLE)) - image
+    arc = lambda m: np.logical_or.reduce([np.logical_and.reduce([m[(k + j) % 16] for j in range(9)]) for k in range(16)])
+    found = arc(ring > CONTRAST) | arc(ring < -CONTRAST)
+    gy, gx = np.gradient(image.astype(float))
+    summed = lambda v: sum(around(v, AROUND + [(0, 0)], 0))
     a, b, c = summed(gx * gx), summed(gx * gy), summed(gy * gy)
-    strength = a * c - b * b - 0.04 * (a + c) ** 2
-    wide = np.pad(strength, 1, constant_values=-np.inf)
-    peak = np.logical_and.reduce([strength >= wide[1 + dy : 1 + dy + strength.shape[0], 1 + dx : 1 + dx + strength.shape[1]] for dy, dx in AROUND]) & (strength > 0)
+    strength = np.where(found, a * c - b * b - 0.04 * (a + c) ** 2, -np.inf)
+    peak = np.logical_and.reduce([strength >= v for v in around(strength, AROUND, -np.inf)]) & found
     y, x = np.nonzero(peak)
     order = np.lexsort((x, y, -strength[y, x]))[:most]
     return np.stack([y[order], x[order]], 1)
 
 
-def descriptors(image: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """BITS comparisons of pairs of pixels around each point, as 64-bit words. The pairs come from a fixed seed."""
-    pairs = np.random.default_rng(7).integers(-REACH, REACH + 1, (BITS, 4))
+def directions(image: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The direction from each point to the centroid of brightness in the disc around it."""
+    dy, dx = np.nonzero(np.add.outer(np.arange(-REACH, REACH + 1) ** 2, np.arange(-REACH, REACH + 1) ** 2) <= REACH**2)
     wide = np.pad(image.astype(float), REACH, mode="edge")
-    y, x = at[:, :1] + REACH, at[:, 1:] + REACH
-    bits = wide[y + pairs[:, 0], x + pairs[:, 1]] < wide[y + pairs[:, 2], x + pairs[:, 3]]
+    disc = wide[at[:, :1] + dy, at[:, 1:] + dx]
+    return np.arctan2(disc @ (dy - REACH), disc @ (dx - REACH))
+
+
+def descriptors(image: np.ndarray, at: np.ndarray, turned: np.ndarray) -> np.ndarray:
+    """BITS comparisons of pairs of places around each point, turned with it, as 64-bit words. The image is blurred for it;
+    the pairs come from a fixed seed."""
+    pairs = np.clip(np.random.default_rng(7).normal(0, REACH / 2.5, (BITS, 4)), 2 - REACH, REACH - 2)
+    sums = around(sum(around(image.astype(float), [(k, 0) for k in range(-2, 3)])), [(0, k) for k in range(-2, 3)])
+    wide = np.pad(sum(sums), REACH + 6, mode="edge")
+    cos, sin = np.cos(turned)[:, None], np.sin(turned)[:, None]
+
+    def sample(dy: np.ndarray, dx: np.ndarray) -> np.ndarray:
+        y, x = np.rint(sin * dx + cos * dy).astype(int), np.rint(cos * dx - sin * dy).astype(int)
+        return wide[at[:, :1] + y + REACH + 6, at[:, 1:] + x + REACH + 6]
+
+    bits = sample(pairs[:, 0], pairs[:, 1]) < sample(pairs[:, 2], pairs[:, 3])
     return np.packbits(bits, axis=1).view(">i8").astype(np.int64)
 
 
+def smaller(image: np.ndarray, by: float) -> np.ndarray:
+    """The image at 1 / by of its size: the mean of the four pixels around each place, by distance."""
+
+    def places(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(max(1, round(n / by))) + 0.5) * by - 0.5, 0, n - 1)
+        low = np.minimum(at.astype(int), max(n - 2, 0))
+        return low, np.minimum(low + 1, n - 1), at - low
+
+    (y0, y1, v), (x0, x1, u) = places(image.shape[0]), places(image.shape[1])
+    rows = image[y0] * (1 - v)[:, None] + image[y1] * v[:, None]
+    return rows[:, x0] * (1 - u) + rows[:, x1] * u
+
+
+def described(image: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keypoints (y, x, in the image's pixels) of all levels of the pyramid, and their descriptors. A level has its share by
+    its number of pixels."""
+    shares = FACTOR ** (-2.0 * np.arange(LEVELS))
+    points, words, level = [np.zeros((0, 2))], [np.zeros((0, BITS // 64), np.int64)], image.astype(float)
+    for k, share in enumerate(shares / shares.sum()):
+        if min(level.shape) < 2 * REACH:
+            break
+        by = np.array(image.shape) / level.shape
+        at = corners(level, max(1, round(most * share)))
+        points.append((at + 0.5) * by - 0.5)
+        words.append(descriptors(level, at, directions(level, at)))
+        level = smaller(image.astype(float), FACTOR ** (k + 1))
+    return np.concatenate(points), np.concatenate(words)
+
+
 def keypoints(df: DataFrame, value: str, most: int = KEYPOINTS) -> DataFrame:
-    """(map_id, id, y, x, bits array<long>) of each map's pixels; one map per group."""
+    """(map_id, id, y, x, bits array<long>) of each map's pixels; one map per group.
+
+    Corners at several scales, each with a direction, so that descriptors of a turned or smaller image agree. A map of fewer
+    than 2 * REACH rows or columns has none.
+    """
     kind = df.schema["map_id"].dataType.simpleString()
 
     def one(pixels: pd.DataFrame) -> pd.DataFrame:
         image, y0, x0 = grid(pixels, value, 0)
-        at = corners(image, most)
-        return pd.DataFrame({"map_id": pixels.map_id.iloc[0], "id": np.arange(len(at)), "y": at[:, 0] + y0, "x": at[:, 1] + x0, "bits": list(descriptors(image, at))})
+        at, bits = described(image, most)
+        return pd.DataFrame({"map_id": pixels.map_id.iloc[0], "id": np.arange(len(at)), "y": at[:, 0] + y0, "x": at[:, 1] + x0, "bits": list(bits)})
 
-    return df.select("map_id", "y", "x", value).groupBy("map_id").applyInPandas(one, f"map_id {kind}, id long, y int, x int, bits array<long>")
+    return df.select("map_id", "y", "x", value).groupBy("map_id").applyInPandas(one, f"map_id {kind}, id long, y double, x double, bits array<long>")
 
 
 def matches(fixed: DataFrame, moving: DataFrame, share: float = 0.2) -> DataFrame:
@@ -128,22 +187,28 @@ def silhouette(df: DataFrame, value: str) -> DataFrame:
 def registered(fixed: DataFrame, moving: DataFrame, height: int, width: int, bands: tuple[str, ...] = ("r", "g", "b"), border: int = 500, first: int = 30, less: int = 100, share: float = 0.2) -> DataFrame:
     """(map_id, y, x, bands, moved_<band>): images of maps laid over others of the same map (map_id, y, x, bands).
 
-    Both are trimmed (first, less) and get a white border; keypoints of their filled silhouettes are matched, and the moving
-    image is warped by the homography that most matches agree with, into height x width pixels of the fixed one. Rows and
+    A moving image of more than twice the fixed one's height or width is taken at every second row and column. Both are trimmed
+    (first, less) and get a white border; keypoints of their filled silhouettes, the fixed one's blurred by a box of 3 x 3, are
+    matched, and the moving image is warped by the homography that most matches agree with, into height x width pixels of the fixed one. Rows and
     columns that the moved image leaves white in the last band are taken out of both. Maps without a homography are left
     out. Each step runs per map; nothing is overwritten.
     """
     from ..functions import color
     from .geometry import inverted, warp
     from .graph import settled
-    from .raster import compact, pad, trim
+    from .raster import box_blur, compact, pad, trim
 
     def shown(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         wide = settled(pad(trim(df.select("map_id", "y", "x", *bands), first, less), list(bands), border))
         gray = wide.select("map_id", "y", "x", color.gray(*[F.col(b) for b in bands]).alias("gray"))
         return wide, silhouette(gray, "gray").select("map_id", "y", "x", (F.col("inside").cast("int") * 255).alias("gray"))
 
-    (still, still_outline), (other, other_outline) = shown(fixed), shown(moving)
+    size = lambda df, name: df.groupBy("map_id").agg((F.max("y") + 1).alias(f"{name}_h"), (F.max("x") + 1).alias(f"{name}_w"))
+    large = size(moving, "m").join(size(fixed, "f"), "map_id").where("m_h > 2 * f_h or m_w > 2 * f_w").select("map_id", F.lit(2).alias("_step"))
+    sized = moving.join(large, "map_id", "left").withColumn("_step", F.coalesce("_step", F.lit(1))).where("y % _step = 0 and x % _step = 0")
+    halved = sized.withColumn("y", F.floor(F.col("y") / F.col("_step")).cast("int")).withColumn("x", F.floor(F.col("x") / F.col("_step")).cast("int")).drop("_step")
+    (still, still_outline), (other, other_outline) = shown(fixed), shown(halved)
+    still_outline = box_blur(still_outline, "gray", 3)
     found = homographies(settled(matches(keypoints(still_outline, "gray"), keypoints(other_outline, "gray"), share)))
     moved = warp(other, list(bands), found.where("matrix is not null").select("map_id", inverted(F.col("matrix")).alias("inverse")), height + 2 * border, width + 2 * border)
     both = still.join(moved.select("map_id", "y", "x", *[F.col(b).alias(f"moved_{b}") for b in bands]), ["map_id", "y", "x"])

@@ -373,6 +373,25 @@ def register_maps(spark, sf):
     return whole.select("map_id", *[(F.round(F.col("matrix")[k], 3) + F.lit(0.0)).alias(f"h{k}") for k in range(9)])
 
 
+#: An image turned by 30 degrees and scaled by 0.8 around (110, 75): where its pixels come from.
+TURN = [1.082531755, 0.625, -55.95349302, -0.625, 1.082531755, 62.560118395, 0.0, 0.0, 1.0]
+
+
+def register_turned(spark, sf):
+    """Five images of five filled rings each, and the same turned by 30 degrees and made smaller: are their corners found again?"""
+    spot = F.transform("ring", lambda p: F.struct(((p["x"] + 100) / 20 + 10 + F.col("poly") % 5 % 3 * 70).alias("x"), (p["y"] / 18 + 10 + F.floor(F.col("poly") % 5 / 3) * 70).alias("y")))
+    own = star_rings(spark, sf).select(F.floor(F.col("poly") / 5).cast("int").alias("map_id"), (F.col("poly") % 5).alias("slot"), spot.alias("ring"))
+    shown = geometry.rasterise(own, keys=("map_id", "slot")).groupBy("map_id", "y", "x").agg((F.max("slot") * 40 + 80).cast("double").alias("v"))
+    moved = geometry.warp(shown, ["v"], TURN, 150, 220)
+    found = registration.homographies(registration.matches(registration.keypoints(shown, "v"), registration.keypoints(moved, "v")))
+    place = lambda m, x, y: [(m[k] * x + m[k + 1] * y + m[k + 2]) / (m[6] * x + m[7] * y + m[8]) for k in (0, 3)]
+    away = []
+    for x, y in ((40, 30), (180, 30), (40, 120), (180, 120)):
+        (ax, ay), (bx, by) = place([F.col("matrix")[k] for k in range(9)], x, y), place(TURN, x, y)
+        away.append(F.hypot(ax - bx, ay - by))
+    return found.select("map_id", F.coalesce(F.greatest(*away) < 3, F.lit(False)).alias("registered"))
+
+
 def classified_segments(spark, sf):
     """Dark segments of the maps with their features, the class of the nearest palette colour, and a GeoJSON box."""
     df = px(spark, sf)
@@ -424,7 +443,7 @@ QUERIES = {f.__name__: f for f in (
     homography_warp, buffer_mitre, buffer_concave, polygon_intersection, polygon_difference, polygon_validity, polygon_snapping, enlarged_difference, geojson_features, geojson_collection, geojson_round_trip, feature_store, spectral_features, standardise, feature_vector,
     iou_pairs, iou_area_bounds, iou_one_to_one, iou_threshold_sweep, iou_histogram, mean_iou, class_raster, evaluated_segments, confusion_matrix,
     classification_report, stratified_split, nested_split, weighted_sample, best_matches, kmeans_lloyd, gaussian_nb, hamming_match_all, matched_all_points, rf_classify,
-    svm_classify, rf_importance, permutation_importance, pca_project, register_maps, vectorised_maps, vectorised_snapped, vectorised_classified, vectorised_collections,
+    svm_classify, rf_importance, permutation_importance, pca_project, register_maps, register_turned, vectorised_maps, vectorised_snapped, vectorised_classified, vectorised_collections,
 )}
 
 

@@ -454,3 +454,31 @@ def test_feature_store_is_read_back(spark, tmp_path):
     for _ in range(2):
         assert features.stored(spark, f"{tmp_path}/store", compute).count() == 3
     assert made == [1]
+
+
+def test_a_turned_and_smaller_image_is_registered(spark):
+    """Boxes of several greys, turned by 30 degrees and made smaller by a fifth around the middle."""
+    rng = np.random.default_rng(1)
+    image = np.zeros((200, 220))
+    for _ in range(50):
+        y, x = rng.integers(15, 165, 2)
+        h, w = rng.integers(8, 40, 2)
+        image[y : y + h, x : x + w] = rng.integers(0, 256)
+    cos, sin = math.cos(math.radians(30)) / 0.8, math.sin(math.radians(30)) / 0.8
+    back = [cos, sin, 110 - 110 * cos - 100 * sin, -sin, cos, 100 + 110 * sin - 100 * cos, 0.0, 0.0, 1.0]
+    fixed = pixels(spark, image)
+    moved = geometry.warp(fixed, ["v"], back, 200, 220)
+    found = registration.homographies(registration.matches(registration.keypoints(fixed, "v"), registration.keypoints(moved, "v"))).first().matrix
+    for x, y in ((60, 50), (160, 50), (60, 150), (160, 150)):
+        got = np.array(found).reshape(3, 3) @ [x, y, 1]
+        want = np.array(back).reshape(3, 3) @ [x, y, 1]
+        assert np.hypot(*(got[:2] / got[2] - want[:2])) < 2
+
+
+def test_keypoints_have_directions():
+    """The brightest side of a disc gives its direction; a flat image has no corners."""
+    image = np.zeros((61, 61))
+    image[30:, :] = 100
+    assert registration.directions(image, np.array([[30, 30]]))[0] == pytest.approx(math.pi / 2, abs=0.05)
+    assert registration.directions(image.T, np.array([[30, 30]]))[0] == pytest.approx(0, abs=0.05)
+    assert len(registration.corners(np.full((40, 40), 7.0), 9)) == 0 and len(registration.described(np.zeros((9, 9)), 9)[0]) == 0
