@@ -180,7 +180,7 @@ def test_neighbours_are_asymmetric(spark):
 def test_sweep(spark):
     df = spark.createDataFrame([(0.5,), (0.71,), (0.9,)], "iou double")
     row = evaluation.threshold_sweep(df, 4, None, [0.7]).first()
-    assert (row.tp, row.precision, row.recall) == (2, 0.6667, 0.5) and row.f1 == pytest.approx(0.5714)
+    assert (row.tp, row.precision, row.recall) == (2, 0.6667, 0.5) and row.f1 == pytest.approx(2 * 0.6667 * 0.5 / 1.1667)
     exact = spark.createDataFrame([(0.7,)], "iou double")
     assert evaluation.threshold_sweep(exact, 1).where(F.col("threshold") == IOU_THRESHOLDS[4]).first().tp == 0
     nothing = evaluation.threshold_sweep(df.limit(0), 0, None, [0.5]).first()
@@ -280,10 +280,26 @@ def test_vectorised_maps_cover_their_segments(spark):
     own = vectorise.vectorise(df, settings)
     assert own.select("class").distinct().where("class not in ('contours', 'background', 'building', 'water')").count() == 0
     grown = borders.contours(labelled)
-    best = vectorise.evaluated(grown, labelled).groupBy("map_id", "truth").agg(F.max("iou").alias("iou"))
+    best = evaluation.matched(geometry.rasterise(grown), labelled).groupBy("map_id", "truth").agg(F.max("iou").alias("iou"))
     assert best.count() == labelled.select("map_id", "label").distinct().count() and best.agg(F.avg("iou")).first()[0] > 0.8
 
 
+def test_a_prediction_meets_the_segment_under_its_point(spark):
+    """A box over two true segments counts for the one in its middle only; one over nothing has no row; pixels are eroded."""
+    from terrasheet.plans import vectorise
+
+    boxes = [(0, 1, ring((0, 0), (9, 0), (9, 5), (0, 5)), []), (0, 2, ring((30, 0), (34, 0), (34, 4), (30, 4)), [])]
+    polygons = spark.createDataFrame(boxes, "map_id int, label long, ring array<struct<x: double, y: double>>, holes array<array<struct<x: double, y: double>>>")
+    truth = spark.createDataFrame([(0, y, x, 7 if x < 7 else 8) for y in range(6) for x in range(10)], "map_id int, y int, x int, label long")
+    inside = {(r.y, r.x) for r in geometry.rasterise(polygons.where("label = 1"), holes="holes").collect()}
+    eroded = {(y, x) for y, x in inside if {(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)} <= inside}
+    common = sum(x < 7 for _, x in eroded)
+    row = vectorise.evaluated(polygons, truth).collect()
+    assert [(r.pred, r.truth, r.pred_area, r.truth_area) for r in row] == [(1, 7, len(eroded), 42)]
+    assert row[0].iou == common / (len(eroded) + 42 - common)
+    assert vectorise.evaluated(polygons, truth, (50, 90)).count() == 0
+
+
 def test_segments_with_holes(spark):
     """A thick frame with two holes, one of a single pixel: areas, GeoJSON and pixels keep them."""
     own = np.ones((12, 14), bool)
