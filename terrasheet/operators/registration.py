@@ -37,6 +37,8 @@ def corners(image: np.ndarray, most: int) -> np.ndarray:
     a, b, c = summed(gx * gx), summed(gx * gy), summed(gy * gy)
     strength = np.where(found, a * c - b * b - 0.04 * (a + c) ** 2, -np.inf)
     peak = np.logical_and.reduce([strength >= v for v in around(strength, AROUND, -np.inf)]) & found
+    edge = min(REACH, min(image.shape) // 4)  # what a point looks at beyond the border isn't there; of small images a part
+    peak[:edge] = peak[-edge:] = peak[:, :edge] = peak[:, -edge:] = False
     y, x = np.nonzero(peak)
     order = np.lexsort((x, y, -strength[y, x]))[:most]
     return np.stack([y[order], x[order]], 1)
@@ -82,11 +84,10 @@ def smaller(image: np.ndarray, by: float) -> np.ndarray:
 def described(image: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Keypoints (y, x, in the image's pixels) of all levels of the pyramid, and their descriptors. A level has its share by
     its number of pixels."""
-    shares = FACTOR ** (-2.0 * np.arange(LEVELS))
+    fits = [k for k in range(LEVELS) if round(min(image.shape) / FACTOR**k) >= 2 * REACH]
+    shares = FACTOR ** (-2.0 * np.array(fits, float))
     points, words, level = [np.zeros((0, 2))], [np.zeros((0, BITS // 64), np.int64)], image.astype(float)
     for k, share in enumerate(shares / shares.sum()):
-        if min(level.shape) < 2 * REACH:
-            break
         by = np.array(image.shape) / level.shape
         at = corners(level, max(1, round(most * share)))
         points.append((at + 0.5) * by - 0.5)
