@@ -24,6 +24,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -35,7 +36,7 @@ from .common import byte_lengths, check_names, schema_of, text_slices
 
 #: Words that a task remembers with their ids; bytes of text whose new words are merged together; characters of a text that
 #: are cut into words, and ids of a text that are decoded, at once.
-REMEMBERED, BLOCK_BYTES, PART = 150_000, 8 << 20, 1 << 20
+REMEMBERED, BLOCK_BYTES, PART = 100_000, 4 << 20, 1 << 20
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
 
@@ -193,10 +194,14 @@ class Codec:
 
     def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces = Pieces(self.model)
         self.index: dict[str, int] = {}
         self.ids: list[bytes] = []
 
+    @cached_property
+    def pieces(self) -> Pieces:
+        """Only for encoding: a task that decodes has no use of the tables."""
+        return Pieces(self.model)
+
     def words(self, text: str) -> np.ndarray:
         """The numbers of a text's words; new words get the next numbers."""
         index, number = self.index, self.index.setdefault
@@ -275,15 +280,23 @@ def encode_texts(df: DataFrame, id_column: str, text_column: str, model: str) ->
     return df.select(id_column, text_column).mapInArrow(encode, schema_of(df, [id_column], "ids binary"))
 
 
+def decimal_digest(ids: np.ndarray) -> str:
+    """The digest of the ids' decimals joined by commas, part by part."""
+    out = hashlib.sha256()
+    for at in range(0, len(ids), PART):
+        out.update(("," * (at > 0) + ",".join(map(str, ids[at : at + PART].tolist()))).encode())
+    return out.hexdigest()
+
+
 def decode_ids(df: DataFrame, id_column: str, ids_column: str, model: str) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded): the number of ids, the digest of their decimals joined by commas, their text."""
     check_names(id_column, "n_tokens", "ids_sha256", "decoded")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
-        for batch in text_slices(batches, ids_column):
+        for batch in text_slices(batches, ids_column, 1 << 20):
             ids = [np.frombuffer(x or b"", "<i4") for x in batch.column(ids_column).to_pylist()]
-            digests = [hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]
+            digests = [decimal_digest(x) for x in ids]
             columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array(digests, pa.string()), pa.array([own.decode(x) for x in ids], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(id_column), *columns], [id_column, "n_tokens", "ids_sha256", "decoded"])
 
