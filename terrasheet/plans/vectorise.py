@@ -140,7 +140,8 @@ def vectorise(pixels: DataFrame, settings: Settings = Settings(), classify: Call
     if settings.method == 1:
         outline = pixels.where(color.gray(F.col("r"), F.col("g"), F.col("b"), color.SWAPPED_LUMA) <= settings.foreground_most).select("map_id", "y", "x")
         contour = settled(traced(outline.withColumn("label", F.lit(-1).cast(labelled.schema["label"].dataType))))
-        folded = settled(folds.without_neighbours(polygons, near, settings.enlarge, contour, settings.extract_contour))
+        # neighbours count with what they have, not grown once more: see the README
+        folded = settled(folds.without_neighbours(polygons, near, settings.enlarge, contour, extract=False))
         polygons = folds.parts(folded).drop("changed").withColumn("points", F.col("ring"))
         if settings.extract_contour:
             rest = overlay.overlaid(contour, folds.as_rings(folded.where("changed")), ["map_id"], overlay.LESS_UNION, ("holes", None))
