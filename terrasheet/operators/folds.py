@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .borders import follow
 from .geometry import RING
 from .graph import settled
-from .overlay import CLOSE, SCALE, moved_out, straightened, turned
+from .overlay import SCALE, moved_out, straightened, turned
 
 RINGS = "array<array<long>>"
 #: Rounds after which all steps must be done; else an error.
@@ -56,14 +56,15 @@ def cut(ends: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d1, d2, d3, d4 = turn(q, p[:, 0], p[:, 1]), turn(q, p[:, 2], p[:, 3]), turn(p, q[:, 0], q[:, 1]), turn(p, q[:, 2], q[:, 3])
         cross = (np.sign(d1) * np.sign(d2) < 0) & (np.sign(d3) * np.sign(d4) < 0)
         part = np.divide(d1, d1.astype(float) - d2, out=np.zeros(len(d1)), where=cross)
-        half_up = lambda v: np.where(v < 0, -np.floor(0.5 - v), np.floor(v + 0.5)).astype(np.int64)
+        half_up = lambda v: np.floor(v + 0.5).astype(np.int64)
         x, y = half_up(p[:, 0] + (p[:, 2] - p[:, 0]) * part), half_up(p[:, 1] + (p[:, 3] - p[:, 1]) * part)
         found = [(i, x, y, cross), (j, x, y, cross)]
         for d, own, e, f, a in ((d3, i, p, q, 0), (d4, i, p, q, 2), (d1, j, q, p, 0), (d2, j, q, p, 2)):
             px, py = f[:, a], f[:, a + 1]
             dx, dy = e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]
-            along = (px - e[:, 0]) * dx + (py - e[:, 1]) * dy
-            found.append((own, px, py, (np.abs(d) <= CLOSE * np.hypot(dx, dy)) & (along > 0) & (along < dx * dx + dy * dy)))
+            boxed = (px >= e[:, 0]) & (px <= e[:, 2]) & (py >= np.minimum(e[:, 1], e[:, 3])) & (py <= np.maximum(e[:, 1], e[:, 3]))
+            corner = (np.sign(dx) * np.sign(dy) < 0) & (2 * d == dx - dy)
+            found.append((own, px, py, boxed & ((np.abs(2 * d) < np.abs(dx) + np.abs(dy)) | corner)))
         of, x, y = (np.concatenate([f[k][f[3]] for f in found]) for k in range(3))
         inner = ((x != ends[of, 0]) | (y != ends[of, 1])) & ((x != ends[of, 2]) | (y != ends[of, 3]))
         if not inner.any():

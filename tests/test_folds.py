@@ -1,5 +1,7 @@
 """Folds in rounds against the same steps one after another, and the small overlay against the large one."""
 
+import signal
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +113,16 @@ def test_snapping_in_rounds_equals_the_fold(spark):
 def test_all_close_vertices_meet():
     line, other = folds.snapped_pair(np.array([(0.0, 0.0), (50.0, 0.0), (50.0, 50.0)]), np.array([(1.0, 1.0), (1.0, -1.0), (100.0, 100.0)]), 4.0)
     assert other[0].tolist() == [0, 0] and other[1].tolist() == [0, -1] and line[0].tolist() == [0, -1]
+
+
+def test_cutting_ends_on_crowded_points():
+    """Edges between neighbouring whole points: diagonals pass exactly between the points beside them."""
+    rng = np.random.default_rng(0)
+    signal.alarm(60)  # it would go on for ever
+    try:
+        for _ in range(40):
+            p, q = rng.integers(-4, 5, (2, rng.integers(5, 40), 2))
+            ends, _ = folds.cut(*folds.merged(folds.ends_of([p, q]), np.ones((len(p) + len(q), 2), np.int64)))
+            assert (np.abs(ends[:, 2:] - ends[:, :2]).max(1) >= 1).all()
+    finally:
+        signal.alarm(0)
