@@ -136,24 +136,25 @@ def store_audio(df: DataFrame, id_column: str, payload: Column, codec: str = "mu
     return given.mapInArrow(store, schema_of(given, others, "media binary"))
 
 
-def read_audio(media: DataFrame, id_column: str, to_rate: int = 16000, keep: list[str] | None = None) -> DataFrame:
+def read_audio(media: DataFrame, id_column: str, to_rate: int = 16000, keep: list[str] | None = None, also: tuple[int, ...] = ()) -> DataFrame:
     """What the stored files hold: codec, rate, sizes and digests of their bytes, features, and pcm, resampled to to_rate.
+    also: other rates, each with a column pcm_<rate>.
 
     feature: the samples' number, energy, peak and sign changes under the file's codec, and the CRCs of the samples that its
     bytes give as mu-law, A-law and ADPCM. Equal bytes have equal features. pcm: 16-bit samples, little-endian.
     """
-    others = [id_column, *(keep or [])]
+    others, more = [id_column, *(keep or [])], [f"pcm_{rate}" for rate in also]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "media"):
             files = batch.column("media").to_pylist()
             found = [unwav(x) if x else None for x in files]
             adpcm = decode_all([f[2] if f else b"" for f in found])
-            rows = [describe(x, f, a, to_rate) for x, f, a in zip(files, found, adpcm, strict=True)]
-            columns = [batch.column(c) for c in others] + [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(KINDS)]
-            yield pa.RecordBatch.from_arrays(columns, [*others, *NAMES])
+            rows = [describe(x, f, a, (to_rate, *also)) for x, f, a in zip(files, found, adpcm, strict=True)]
+            columns = [batch.column(c) for c in others] + [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(KINDS + (pa.binary(),) * len(also))]
+            yield pa.RecordBatch.from_arrays(columns, [*others, *NAMES, *more])
 
-    schema = schema_of(media, others, "codec string, rate int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary")
+    schema = schema_of(media, others, "codec string, rate int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary" + "".join(f", {c} binary" for c in more))
     return media.select(*others, "media").mapInArrow(read, schema)
 
 
@@ -168,9 +169,10 @@ def decode_all(payloads: list[bytes]) -> list[np.ndarray]:
     return np.split(decode_ima(data.reshape(-1, BLOCK)).ravel(), np.cumsum(blocks)[:-1] * BLOCK_SAMPLES)
 
 
-def describe(media: bytes | None, found: tuple[str, int, bytes] | None, adpcm: np.ndarray, to_rate: int) -> tuple:
+def describe(media: bytes | None, found: tuple[str, int, bytes] | None, adpcm: np.ndarray, to_rates: tuple[int, ...]) -> tuple:
     if found is None:
-        return (None,) * 5 + (len(media), hashlib.sha256(media).hexdigest(), None, None) if media is not None else (None,) * 9
+        known = (len(media), hashlib.sha256(media).hexdigest()) if media is not None else (None, None)
+        return (None,) * 5 + known + (None,) * (1 + len(to_rates))
     codec, rate, data = found
     raw = np.frombuffer(data, np.uint8)
     heard_as = {"mulaw": MULAW[raw], "alaw": ALAW[raw], "ima": adpcm}
@@ -178,5 +180,5 @@ def describe(media: bytes | None, found: tuple[str, int, bytes] | None, adpcm: n
     wide = own.astype(np.int64)
     parts = [len(own), int(wide @ wide), int(np.abs(wide).max(initial=0)), int(np.count_nonzero(np.diff(np.signbit(own))))]
     parts += [zlib.crc32(x.astype("<i2").tobytes()) for x in heard_as.values()]
-    heard = resample(own, rate, to_rate).astype("<i2").tobytes()
-    return (codec, rate, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), ":".join(map(str, parts)), heard)
+    heard = [resample(own, rate, to).astype("<i2").tobytes() for to in to_rates]
+    return (codec, rate, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), ":".join(map(str, parts)), *heard)

@@ -167,6 +167,16 @@ def test_media_round_trip(spark, tmp_path):
     assert rows[8].feature == rows[9].feature
 
 
+def test_media_is_heard_at_twice_its_rate(spark, tmp_path):
+    texts = [None, "a", "z" * 65, "é" * 700]
+    for r in queries.op7_media(spark, documents(tmp_path, spark, texts)).collect():
+        data = (texts[r.doc_id] or "").encode()
+        own = [scalar_mulaw(b) for b in data + b"\0" * ((-len(data)) % 64 if data else 64)]
+        between = [(a + b) // 2 for a, b in zip(own, own[1:] + own[-1:], strict=True)]
+        heard = b"".join(x.to_bytes(2, "little", signed=True) for pair in zip(own, between, strict=True) for x in pair)
+        assert (r.pcm_bytes, r.pcm_crc32) == (len(heard), zlib.crc32(heard))
+
+
 def test_other_files_read_back_as_null(spark):
     df = spark.createDataFrame([(1, bytearray(b"RIFFxxxxWAVE")), (2, None), (3, bytearray(media.wav(b"\x01\x02\x03", "alaw")))], "k long, media binary")
     rows = {r.k: r for r in media.read_audio(df, "k").collect()}
