@@ -316,6 +316,16 @@ def test_segments_with_holes(spark):
     assert {r.id for r in geometry.holding(points, borders.contours(df).withColumnRenamed("label", "poly"), 3.0, holes="holes").collect()} == {2}
 
 
+def test_points_at_one_place_meet_edges_once(spark):
+    """Rows between the edges and the counts don't grow with copies of a point."""
+    square = spark.createDataFrame([(1, ring((0, 0), (10, 0), (10, 10), (0, 10)))], "poly int, ring array<struct<x: double, y: double>>")
+    points = spark.createDataFrame([(k, 5.0, 5.0) for k in range(500)] + [(500, 15.0, 5.0)], "id long, x double, y double")
+    found = geometry.holding(points, square, 4.0)
+    assert {r.id for r in found.collect()} == set(range(500)) and found.count() == 500
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [x" in plan  # places, before they meet edges
+
+
 def test_the_largest_part_is_traced(spark):
     own = np.zeros((9, 9), bool)
     own[0, 0] = own[4:8, 4:8] = True
