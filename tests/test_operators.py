@@ -316,6 +316,29 @@ def test_segments_with_holes(spark):
     assert {r.id for r in geometry.holding(points, borders.contours(df).withColumnRenamed("label", "poly"), 3.0, holes="holes").collect()} == {2}
 
 
+def test_copies_of_a_place_are_members_not_pairs(spark):
+    """The links of places and their members give every pair of the full join; their number grows with the copies only."""
+    rows = [(k, k % 3 + 5 * (k < 2), float(x), float(y)) for k, (x, y) in enumerate([(0, 0), (3, 0), (0, 4), (50, 50)] * 20)]
+    df = spark.createDataFrame(rows, "id long, poly int, x double, y double")
+    links = [tuple(r) for r in geometry.radius_links(df, 5.0).collect()]
+    assert len(links) == 3 + 76
+    place = {b: a for a, b, d in links if d == 0} | {k: k for k in range(4)}
+    near = {(a, b): d for a, b, d in links if d} | {(k, k): 0.0 for k in range(4)}
+    full = {tuple(r) for r in geometry.radius_pairs(df, 5.0).collect()}
+    pairs = [(a, b, near.get(tuple(sorted((place[a], place[b]))))) for a in range(80) for b in range(a + 1, 80)]
+    assert full == {p for p in pairs if p[2] is not None}
+    mids = geometry.midpoint_links(df, 5.0).collect()
+    at = {r.b: (r.a, r.poly) for r in mids if r.poly is not None}
+    middle = {(r.a, r.b): (r.x, r.y) for r in mids if r.poly is None} | {(r.a, r.a): (r.x, r.y) for r in mids if r.a == r.b}
+    got = {(a, b, *middle.get(tuple(sorted((at[a][0], at[b][0]))), ())) for a in range(80) for b in range(a + 1, 80) if at[a][1] != at[b][1]}
+    assert {g for g in got if len(g) == 4} == {tuple(r) for r in geometry.midpoint_snaps(df, 5.0).collect()}
+
+
+def test_pairs_of_a_small_table_are_dealt_to_all_partitions(spark):
+    df = spark.createDataFrame([(k, float(k % 90), float(k % 70)) for k in range(900)], "id long, x double, y double")
+    assert geometry.radius_pairs(df, 5.0).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_points_at_one_place_meet_edges_once(spark):
     """Rows between the edges and the counts don't grow with copies of a point."""
     square = spark.createDataFrame([(1, ring((0, 0), (10, 0), (10, 10), (0, 10)))], "poly int, ring array<struct<x: double, y: double>>")
