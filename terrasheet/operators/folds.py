@@ -1,8 +1,10 @@
 """Steps that must be done one after another, as rounds of those that don't wait for each other.
 
-Polygons of a map change in the order of their labels, and each looks only at a few others. A step is ready when the steps
-before it that touch the same polygons are done. A round takes all ready steps of all maps, so the number of rounds is the
-longest chain of steps that wait for each other, and no task holds a map: only a polygon and its neighbours.
+Polygons of a map change in the order of their labels, and each looks only at a few others. Polygons that are linked by
+neighbours, however far, are a group; up to GROUP_NUMBERS coordinates, one task does a group's steps one after another. Steps
+of larger groups go in rounds: a step is ready when the steps before it that touch the same polygons are done. A round takes
+all ready steps of all maps, so the number of rounds is the longest chain of steps that wait for each other, and no task holds
+a large group: only a polygon and its neighbours.
 
 Polygons are lists of rings, a ring the flat list x, y, x, y... in whole steps of 1 / SCALE (overlay), what it encloses on
 its left (y upwards), holes the other way round.
@@ -18,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .borders import follow
-from .geometry import RING
-from .graph import settled
+from .geometry import RING, evenly
+from .graph import connected, settled
 from .overlay import SCALE, moved_out, straightened, turned
 
 RINGS = "array<array<long>>"
 #: Rounds after which all steps must be done; else an error.
 ROUNDS = 100_000
+#: Coordinates of the polygons of a group whose steps one task does in their order; beyond it, rounds are run.
+GROUP_NUMBERS = 400_000
 
 
 # ---- a small overlay in numpy, by the same steps as overlay.py
@@ -170,6 +174,15 @@ def in_units(rings: np.ndarray, scale: int = SCALE) -> list[dict]:
     return [{"x": float(x), "y": float(y)} for x, y in rings / scale]
 
 
+def gathered(sized: DataFrame, links: DataFrame, key: str, most: int) -> DataFrame:
+    """(map_id, key, group, small) for polygons (map_id, key, numbers): the least key that links (map_id, a, b) lead to, and
+    whether the group has at most `most` numbers."""
+    found = connected(links).select("map_id", F.col("node").alias(key), F.col("label").alias("group"))
+    own = sized.join(found, ["map_id", key], "left").withColumn("group", F.coalesce("group", F.col(key).cast("long")))
+    total = own.groupBy("map_id", "group").agg((F.sum("numbers") <= most).alias("small"))
+    return settled(own.join(total, ["map_id", "group"]).select("map_id", key, "group", "small"))
+
+
 # ---- the enlarged difference
 
 
@@ -222,7 +235,7 @@ def overlapping(boxes: DataFrame, cell: int) -> DataFrame:
     return met.select("map_id", "label", "other").distinct()
 
 
-def without_neighbours(polygons: DataFrame, neighbours: DataFrame, by: float, outline: DataFrame | None = None, extract: bool = True, scale: int = SCALE) -> DataFrame:
+def without_neighbours(polygons: DataFrame, neighbours: DataFrame, by: float, outline: DataFrame | None = None, extract: bool = True, scale: int = SCALE, group_numbers: int = GROUP_NUMBERS) -> DataFrame:
     """(map_id, label, rings, changed): valid polygons (map_id, label, ring, holes) grown by `by`, less their neighbours
     (map_id, label, neighbour), one after another from the highest label on.
 
@@ -240,7 +253,7 @@ def without_neighbours(polygons: DataFrame, neighbours: DataFrame, by: float, ou
         for rows in batches:
             yield rows.assign(own=[flat(oriented(lists(r))) for r in rows.own])
 
-    start = settled(widened(start.mapInPandas(orient, f"{kinds}, own {RINGS}"), by, scale))
+    start = settled(widened(evenly(start, *keys).mapInPandas(orient, f"{kinds}, own {RINGS}"), by, scale))
     coordinate = lambda side, fold: fold(F.transform(F.flatten("wide"), lambda v, i: F.when(i % 2 == side, v)))
     margin = int(by * scale) if extract else 0  # neighbours are grown once more
     boxes = settled(start.where("size(wide) > 0").select(*keys, *[(fold(side) + d * (margin + 2)).alias(n) for n, side, fold, d in (("x0", 0, lambda s: coordinate(s, F.array_min), -1), ("y0", 1, lambda s: coordinate(s, F.array_min), -1), ("x1", 0, lambda s: coordinate(s, F.array_max), 1), ("y1", 1, lambda s: coordinate(s, F.array_max), 1))]))
@@ -262,21 +275,55 @@ def without_neighbours(polygons: DataFrame, neighbours: DataFrame, by: float, ou
     pairs = settled(pairs.join(start.select("map_id", F.col("label").alias("other")), ["map_id", "other"], "left_semi").join(start.select(*keys), keys, "left_semi"))
     ready = start if clip is None else start.join(clip, keys, "left")
     todo = settled(ready.select(*keys, "own", "wide", (F.lit(None).cast("array<long>") if clip is None else F.coalesce("clip", F.array().cast("array<long>"))).alias("clip")))
-    state = settled(start.select(*keys, F.col("own").alias("rings"), F.col("wide").alias("grown"), F.lit(False).alias("changed"), F.lit(False).alias("done")))
+    numbers = F.aggregate("own", F.lit(0).cast("long"), lambda n, r: n + F.size(r)).alias("numbers")
+    groups = gathered(start.select(*keys, numbers), pairs.select("map_id", F.col("label").cast("long").alias("a"), F.col("other").cast("long").alias("b")), "label", group_numbers)
+
+    def less(wide, clip_ends, takers: list) -> list[np.ndarray]:
+        a = ends_of(lists(wide))
+        if clip_ends is not None:
+            a = np.concatenate([a, np.asarray(clip_ends, np.int64).reshape(-1, 4)])
+        b = ends_of([r for t in takers for r in lists(t)])
+        least = 1 if clip_ends is None else 2
+        return kept_rings(np.concatenate([a, b]), np.repeat([[1, 0], [0, 1]], (len(a), len(b)), 0), lambda p, q: (p >= least) & (q <= 0))
+
+    def in_order(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("label", ascending=False)
+        at = {label: k for k, label in enumerate(rows.label)}
+        first = list(rows["wide"] if extract else rows.own)
+        rings, changed, wider = list(rows.own), [False] * len(rows), list(rows["wide"])
+        for k, (label, wide, clip_ends, others, are_listed) in enumerate(zip(rows.label, rows["wide"], rows["clip"], rows.others, rows.are_listed, strict=True)):
+            takers = []
+            for other, is_listed in zip(others, are_listed, strict=True):
+                j = at[other]
+                if other < label:
+                    takers.append(first[j])
+                elif is_listed:
+                    takers.append(wider[j] if extract else rings[j])
+                elif changed[j]:
+                    takers.append(rings[j])
+            own = less(wide, clip_ends, takers)
+            if own:
+                rings[k], changed[k] = flat(own), True
+                if extract:
+                    wider[k] = flat(grown(own, by * scale))
+        return pd.DataFrame({"map_id": rows.map_id, "label": rows.label, "rings": rings, "changed": changed})
+
+    linked = pairs.groupBy(*keys).agg(F.collect_list(F.struct("other", "listed")).alias("links"))
+    no_links = lambda c, kind: F.coalesce(F.col(f"links.{c}"), F.array().cast(f"array<{kind}>"))
+    small = todo.join(groups.where("small").drop("small"), keys).join(linked, keys, "left").withColumn("others", no_links("other", pairs.schema["other"].dataType.simpleString())).withColumn("are_listed", no_links("listed", "boolean")).drop("links")
+    done = settled(evenly(small, "map_id", "group").groupBy("map_id", "group").applyInPandas(in_order, f"{kinds}, rings {RINGS}, changed boolean"))
+    large = groups.where("not small").select(*keys)
+    if large.isEmpty():
+        return done
+    todo, pairs = todo.join(large, keys, "left_semi"), pairs.join(large, keys, "left_semi")
+    state = settled(start.join(large, keys, "left_semi").select(*keys, F.col("own").alias("rings"), F.col("wide").alias("grown"), F.lit(False).alias("changed"), F.lit(False).alias("done")))
     shape = "wide" if extract else "own"  # of neighbours whose turn comes later
     later = pairs.where("other < label").join(start.select("map_id", F.col("label").alias("other"), F.col(shape).alias("taken")), ["map_id", "other"])
     later = settled(later.groupBy(*keys).agg(F.collect_list("taken").alias("later")))
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for wide, clip_ends, takers in zip(rows["wide"], rows["clip"], rows["takers"], strict=True):
-                a = ends_of(lists(wide))
-                if clip_ends is not None:
-                    a = np.concatenate([a, np.asarray(clip_ends, np.int64).reshape(-1, 4)])
-                b = ends_of([r for t in takers for r in lists(t)])
-                least = 1 if clip_ends is None else 2
-                out.append(kept_rings(np.concatenate([a, b]), np.repeat([[1, 0], [0, 1]], (len(a), len(b)), 0), lambda p, q, k=least: (p >= k) & (q <= 0)))
+            out = [less(*r) for r in zip(rows["wide"], rows["clip"], rows.takers, strict=True)]
             changed = [bool(r) for r in out]
             rings = [flat(r) if ok else own for r, ok, own in zip(out, changed, rows.own, strict=True)]
             wider = [flat(grown(r, by * scale)) if ok and extract else wide for r, ok, wide in zip(out, changed, rows.wide, strict=True)]
@@ -286,7 +333,7 @@ def without_neighbours(polygons: DataFrame, neighbours: DataFrame, by: float, ou
     for _ in range(ROUNDS):
         open_ones = state.where("not done").select("map_id", "label")
         if open_ones.isEmpty():
-            return state.select(*keys, "rings", "changed")
+            return state.select(*keys, "rings", "changed").unionByName(done)
         blocked = waits.join(open_ones.withColumnRenamed("label", "other"), ["map_id", "other"], "left_semi").select(*keys).distinct()
         now = todo.join(open_ones, keys, "left_semi").join(blocked, keys, "left_anti")
         theirs = state.select("map_id", F.col("label").alias("other"), "rings", F.col("grown"), F.col("changed").alias("theirs_changed"))
@@ -377,9 +424,10 @@ def snapped_pair(line: np.ndarray, vertices: np.ndarray, reach: float) -> tuple[
     return line, moved
 
 
-def snap_polygons(points: DataFrame, neighbours: DataFrame, reach: float) -> DataFrame:
+def snap_polygons(points: DataFrame, neighbours: DataFrame, reach: float, group_numbers: int = GROUP_NUMBERS) -> DataFrame:
     """(map_id, poly, seq, x, y) after each pair of neighbours (map_id, label, neighbour) has been snapped once, from the
-    highest label on, a label's neighbours in their order. A round snaps all pairs whose polygons no earlier pair waits for.
+    highest label on, a label's neighbours in their order. A group is snapped in one task; of groups with more than
+    group_numbers coordinates, a round snaps all pairs whose polygons no earlier pair waits for.
     """
     kind = points.schema["map_id"].dataType.simpleString()
     state = settled(points.groupBy("map_id", F.col("poly").cast("long").alias("poly")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.array(p["x"].cast("double"), p["y"].cast("double")))).alias("xy")))
@@ -392,6 +440,22 @@ def snap_polygons(points: DataFrame, neighbours: DataFrame, reach: float) -> Dat
     for c in ("a", "b"):
         pairs = pairs.join(polys.withColumnRenamed("poly", c), ["map_id", c], "left_semi")
     left = settled(pairs.select("map_id", "a", "b"))
+    groups = gathered(state.select("map_id", "poly", F.size("xy").cast("long").alias("numbers")), left, "poly", group_numbers)
+
+    def in_order(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("poly", ascending=False)
+        now = {poly: np.asarray(xy, float).reshape(-1, 2) for poly, xy in zip(rows.poly, rows.xy, strict=True)}
+        for a, others in zip(rows.poly, rows.others, strict=True):
+            for b in others:
+                now[a], now[b] = snapped_pair(now[a], now[b], reach)
+        return pd.DataFrame({"map_id": rows.map_id, "poly": rows.poly, "xy": [now[poly].ravel().tolist() for poly in rows.poly]})
+
+    lists_of = left.groupBy("map_id", F.col("a").alias("poly")).agg(F.sort_array(F.collect_list("b")).alias("others"))
+    small = state.join(groups.where("small").drop("small"), ["map_id", "poly"]).join(lists_of, ["map_id", "poly"], "left").withColumn("others", F.coalesce("others", F.array().cast("array<long>")))
+    snapped = settled(evenly(small, "map_id", "group").groupBy("map_id", "group").applyInPandas(in_order, f"map_id {kind}, poly long, xy array<double>"))
+    large = settled(groups.where("not small").select("map_id", "poly"))
+    state = settled(state.join(large, ["map_id", "poly"], "left_semi"))
+    left = settled(left.join(large.withColumnRenamed("poly", "a"), ["map_id", "a"], "left_semi"))
 
     def snap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -402,7 +466,7 @@ def snap_polygons(points: DataFrame, neighbours: DataFrame, reach: float) -> Dat
     order = F.struct((-F.col("a")).alias("a"), "b")
     for _ in range(ROUNDS):
         if left.isEmpty():
-            return state.select("map_id", "poly", F.posexplode(F.sequence(F.lit(0), (F.size("xy") / 2 - 1).cast("int"))).alias("seq", "k"), "xy").select("map_id", "poly", "seq", F.get("xy", 2 * F.col("k")).alias("x"), F.get("xy", 2 * F.col("k") + 1).alias("y"))
+            return state.unionByName(snapped).select("map_id", "poly", F.posexplode(F.sequence(F.lit(0), (F.size("xy") / 2 - 1).cast("int"))).alias("seq", "k"), "xy").select("map_id", "poly", "seq", F.get("xy", 2 * F.col("k")).alias("x"), F.get("xy", 2 * F.col("k") + 1).alias("y"))
         ends = left.select("map_id", order.alias("turn"), F.explode(F.array("a", "b")).alias("poly")).groupBy("map_id", "poly").agg(F.min("turn").alias("turn"))
         both_first = ends.groupBy("map_id", "turn").agg(F.count("*").alias("n")).where("n = 2").select("map_id", (-F.col("turn.a")).alias("a"), F.col("turn.b").alias("b"))
         ready = settled(both_first)

@@ -126,3 +126,20 @@ def test_cutting_ends_on_crowded_points():
             assert (np.abs(ends[:, 2:] - ends[:, :2]).max(1) >= 1).all()
     finally:
         signal.alarm(0)
+
+
+@pytest.mark.parametrize("extract", [True, False])
+def test_groups_in_one_task_equal_rounds(spark, extract):
+    maps = {m: squares(70 + m, 7) for m in range(2)}
+    polygons = spark.createDataFrame([(m, k, ring(*b), []) for m, (boxes, _) in maps.items() for k, b in boxes.items()], "map_id int, label long, ring array<struct<x: double, y: double>>, holes array<array<struct<x: double, y: double>>>")
+    near = spark.createDataFrame([(m, a, b) for m, (_, pairs) in maps.items() for a, b in pairs], "map_id int, label long, neighbour long")
+    results = [{(r.map_id, r.label): (sorted(map(tuple, r.rings)), r.changed) for r in folds.without_neighbours(polygons, near, 1.5, extract=extract, group_numbers=most).collect()} for most in (0, 30, folds.GROUP_NUMBERS)]
+    assert len(results[0]) == 14 and results[0] == results[1] == results[2]
+
+
+def test_snapping_in_one_task_equals_rounds(spark):
+    rng = np.random.default_rng(9)
+    points = spark.createDataFrame([(k % 2, k, i, float(x), float(y)) for k in range(10) for i, (x, y) in enumerate(rng.integers(0, 25, (5, 2)))], "map_id int, poly long, seq int, x double, y double")
+    near = spark.createDataFrame([(k % 2, k, j) for k in range(10) for j in range(10) if k % 2 == j % 2 and k != j and rng.random() < 0.4], "map_id int, label long, neighbour long")
+    results = [sorted(map(tuple, folds.snap_polygons(points, near, 4.0, most).collect())) for most in (0, folds.GROUP_NUMBERS)]
+    assert len(results[0]) > 10 and results[0] == results[1]
