@@ -51,7 +51,8 @@ def turn(e: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def cut(ends: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces that meet at their ends only: all are cut where they cross or pass another one's end, again and again."""
+    """Pieces that meet at their ends only: all are cut where they cross or pass another one's end, again and again. Of two
+    pieces of which one passes the other's end the crossing waits for the next round."""
     while True:
         low, top = np.minimum(ends[:, 1], ends[:, 3]), np.maximum(ends[:, 1], ends[:, 3])
         near = (ends[:, None, 2] >= ends[None, :, 0] - 1) & (ends[None, :, 2] >= ends[:, None, 0] - 1) & (top[:, None] >= low[None] - 1) & (top[None] >= low[:, None] - 1)
@@ -62,13 +63,15 @@ def cut(ends: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         part = np.divide(d1, d1.astype(float) - d2, out=np.zeros(len(d1)), where=cross)
         half_up = lambda v: np.floor(v + 0.5).astype(np.int64)
         x, y = half_up(p[:, 0] + (p[:, 2] - p[:, 0]) * part), half_up(p[:, 1] + (p[:, 3] - p[:, 1]) * part)
-        found = [(i, x, y, cross), (j, x, y, cross)]
+        found = []
         for d, own, e, f, a in ((d3, i, p, q, 0), (d4, i, p, q, 2), (d1, j, q, p, 0), (d2, j, q, p, 2)):
             px, py = f[:, a], f[:, a + 1]
             dx, dy = e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]
             boxed = (px >= e[:, 0]) & (px <= e[:, 2]) & (py >= np.minimum(e[:, 1], e[:, 3])) & (py <= np.maximum(e[:, 1], e[:, 3]))
             corner = (np.sign(dx) * np.sign(dy) < 0) & (2 * d == dx - dy)
             found.append((own, px, py, boxed & ((np.abs(2 * d) < np.abs(dx) + np.abs(dy)) | corner)))
+        cross &= ~np.logical_or.reduce([f[3] for f in found])
+        found += [(i, x, y, cross), (j, x, y, cross)]
         of, x, y = (np.concatenate([f[k][f[3]] for f in found]) for k in range(3))
         inner = ((x != ends[of, 0]) | (y != ends[of, 1])) & ((x != ends[of, 2]) | (y != ends[of, 3]))
         if not inner.any():

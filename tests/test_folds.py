@@ -128,6 +128,21 @@ def test_cutting_ends_on_crowded_points():
         signal.alarm(0)
 
 
+#: Edges that leave two points a step apart, side by side: cut where they cross, they would cross again a step further on.
+SLIDING = [[1174330, 1808419, 1179648, 1824372], [1179648, 1824372, 1179648, 1835008], [1179648, 1835008, 1174330, 1808419], [1114112, 1507328, 1179648, 1835008], [1179648, 1835008, 983040, 1572864], [983040, 1572864, 1114112, 1507328]]
+
+
+def test_cutting_ends_on_edges_that_slide_along_each_other(spark):
+    signal.alarm(60)  # it would take thousands of rounds
+    try:
+        ends, _ = folds.cut(*folds.merged(np.array(SLIDING), np.ones((6, 2), np.int64)))
+    finally:
+        signal.alarm(0)
+    given = spark.createDataFrame([(0, 0, *e) for e in SLIDING], "k int, side int, ax long, ay long, bx long, by_ long")
+    large = overlay.arranged(given, ["k"], 16 * S).select(*overlay.ENDS).collect()
+    assert len(ends) < 20 and sorted(map(tuple, ends.tolist())) == sorted(map(tuple, large))
+
+
 @pytest.mark.parametrize("extract", [True, False])
 def test_groups_in_one_task_equal_rounds(spark, extract):
     maps = {m: squares(70 + m, 7) for m in range(2)}
