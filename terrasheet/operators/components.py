@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import connected, least_reachable, settled
+from .graph import connected, groups_of, in_groups, least_reachable, settled
 
 #: Side of a tile in pixels: a task's group holds at most TILE * TILE of them.
 TILE = 256
@@ -50,14 +50,16 @@ def components(df: DataFrame, diagonal: bool = False, tile: int = TILE) -> DataF
     """(map_id, y, x, label) of the pixels in df, which are those that have the flag. diagonal: corners connect as well."""
     kind = df.schema["map_id"].dataType.simpleString()
 
-    def one(pixels: pd.DataFrame) -> pd.DataFrame:
-        pixels = pixels.sort_values(["y", "x"], ignore_index=True)
-        first = label_tile(pixels.y.to_numpy(), pixels.x.to_numpy(), diagonal)
+    def labels(pixels: pd.DataFrame) -> pd.DataFrame:
+        pixels = pixels.sort_values(["map_id", "ty", "tx", "y", "x"], ignore_index=True)
+        code, _ = groups_of(pixels, ["map_id", "ty", "tx"])
+        # one below the other, the tiles don't touch
+        first = label_tile(code * (tile + 2) + pixels.y.to_numpy() % tile, pixels.x.to_numpy() % tile, diagonal)
         return pixels.assign(own=pixels.y.to_numpy()[first].astype(np.int64) * WIDTH + pixels.x.to_numpy()[first])[["map_id", "y", "x", "own"]]
 
     cells = df.select("map_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
     tiled = cells.withColumn("ty", F.floor(F.col("y") / tile)).withColumn("tx", F.floor(F.col("x") / tile))
-    labelled = tiled.groupBy("map_id", "ty", "tx").applyInPandas(one, f"map_id {kind}, y int, x int, own long")
+    labelled = in_groups(tiled, ["map_id", "ty", "tx"], labels, f"map_id {kind}, y int, x int, own long")
     labelled = settled(labelled)  # read three times below
 
     low, high = lambda c: F.col(c) % tile == 0, lambda c: F.col(c) % tile == tile - 1

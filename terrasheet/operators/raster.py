@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .geometry import evenly
+
 KEYS = ("map_id", "y", "x")
 
 
@@ -101,7 +103,7 @@ def by_line(df: DataFrame, axis: str, value: Column, function: Callable[[np.ndar
         return pa.ListArray.from_arrays(positions.offsets, pa.array(whole, from_pandas=True))
 
     fields = [F.col(axis), *[F.col(c) for c in rest], value.cast("double").alias("_v")]
-    held = df.groupBy("map_id", other).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_line"))
+    held = evenly(df, "map_id", other).groupBy("map_id", other).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_line"))
     done = held.withColumn("_out", run(F.transform("_line", lambda e: e[axis].cast("long")), F.transform("_line", lambda e: e["_v"])))
     rows = done.select("map_id", other, F.explode(F.arrays_zip("_line", "_out")).alias("_p"))
     return rows.select("map_id", "y" if other == "y" else "_p._line.y", "x" if other == "x" else "_p._line.x", *[F.col(f"_p._line.{c}").alias(c) for c in rest if c != out], F.col("_p._out").alias(out))

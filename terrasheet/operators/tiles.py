@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import settled
+from .graph import groups_of, in_groups, settled
 
 #: Side of a tile in pixels.
 TILE = 256
@@ -186,50 +186,49 @@ def watershed(df: DataFrame, height: str, marker: str, mask: str, tile: int = TI
     rim_columns = ["map_id", "ty", "tx", "from_y", "from_x", "y", "x", "level", "steps", "label"]
     rim_schema = f"map_id {kind}, ty int, tx int, from_y int, from_x int, y int, x int, level double, steps long, label long"
 
-    def pack(pixels: pd.DataFrame) -> pd.DataFrame:
-        row = pixels.iloc[0]
-        shape = (int(pixels.y.max()) - int(pixels.y.min()) + 1, int(pixels.x.max()) - int(pixels.x.min()) + 1)
-        arrays = [canvas(pixels, pixels[c].to_numpy(), 0, k)[0] for c, k in ((height, float), (marker, np.int64), (mask, bool))]
-        return pd.DataFrame([{"map_id": row.map_id, "ty": row.ty, "tx": row.tx, "y0": pixels.y.min(), "x0": pixels.x.min(), "h": shape[0], "w": shape[1], "heights": arrays[0].tobytes(), "markers": arrays[1].tobytes(), "inside": arrays[2].tobytes()}])
-
-    def flooded(tiles: pd.DataFrame, rims: pd.DataFrame):
-        row = tiles.iloc[0]
-        shape = (row.h, row.w)
-        arrays = [np.frombuffer(row[c], k).reshape(shape) for c, k in (("heights", float), ("markers", np.int64), ("inside", bool))]
-        beside = (rims.y >= row.y0 - 1) & (rims.y <= row.y0 + row.h) & (rims.x >= row.x0 - 1) & (rims.x <= row.x0 + row.w)
-        near = rims[beside]
-        around = list(zip((near.y - row.y0).tolist(), (near.x - row.x0).tolist(), near.level.tolist(), near.steps.tolist(), near.label.tolist(), strict=True))
-        return row, flood(*arrays, around)
-
-    def rim_of(tiles: pd.DataFrame, rims: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(tiles):
-            row, (level, steps, label) = flooded(tiles, rims)
-            ys, xs = np.nonzero(label)
-            at_y, at_x = ys + row.y0, xs + row.x0
-            for dy, dx in AROUND[::2]:
-                out = ((at_y + dy) // tile != row.ty) | ((at_x + dx) // tile != row.tx)
-                y, x = ys[out], xs[out]
-                parts.append(pd.DataFrame({"map_id": row.map_id, "ty": row.ty + dy, "tx": row.tx + dx, "from_y": row.ty, "from_x": row.tx, "y": at_y[out], "x": at_x[out], "level": level[y, x], "steps": steps[y, x], "label": label[y, x]}))
-        return pd.concat(parts) if parts else pd.DataFrame(columns=rim_columns)
-
-    def pixels_of(tiles: pd.DataFrame, rims: pd.DataFrame) -> pd.DataFrame:
-        if not len(tiles):
-            return pd.DataFrame(columns=["map_id", "y", "x", "label"])
-        row, (_, _, label) = flooded(tiles, rims)
-        y, x = np.nonzero(label)
-        return pd.DataFrame({"map_id": row.map_id, "y": y + row.y0, "x": x + row.x0, "label": label[y, x]})
-
-    cells = df.select("map_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(height).cast("double").alias(height), F.col(marker).cast("long").alias(marker), F.col(mask).cast("boolean").alias(mask))
-    tiles = settled(dealt(cells, tile, 0).groupBy(*keys).applyInPandas(pack, f"map_id {kind}, ty int, tx int, y0 int, x0 int, h int, w int, heights binary, markers binary, inside binary"))
-    rims = tiles.sparkSession.createDataFrame([], rim_schema)
-    active = tiles
+    def flooded(rows: pd.DataFrame) -> pd.DataFrame:
+        """The pixels of tiles that something reaches, with level, steps and label. rows: tiles' pixels and what lies around them."""
+        first = np.sort(groups_of(rows, keys)[1])
+        y, x, level, steps, label, inside, rim = (rows[c].to_numpy() for c in ("y", "x", "level", "steps", "label", "inside", "rim"))
+        found = []
+        for a, b in zip(first, np.append(first[1:], len(rows)), strict=True):
+            own, near = a + np.flatnonzero(~rim[a:b]), a + np.flatnonzero(rim[a:b])
+            if not len(own):
+                continue
+            y0, x0 = y[own].min(), x[own].min()
+            down, across = y[own] - y0, x[own] - x0
+            shape = (down.max() + 1, across.max() + 1)
+            canvases = [np.zeros(shape, k) for k in (float, np.int64, bool)]
+            for out, values in zip(canvases, (level, label, inside), strict=True):
+                out[down, across] = values[own]
+            near = near[(y[near] >= y0 - 1) & (y[near] <= y0 + shape[0]) & (x[near] >= x0 - 1) & (x[near] <= x0 + shape[1])]
+            got = flood(*canvases, list(zip((y[near] - y0).tolist(), (x[near] - x0).tolist(), level[near].tolist(), steps[near].tolist(), label[near].tolist(), strict=True)))
+            at_y, at_x = np.nonzero(got[2])
+            found.append((np.full(len(at_y), a), at_y + y0, at_x + x0, *(g[at_y, at_x] for g in got)))
+        of, *values = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 6
+        return rows.iloc[of][keys].reset_index(drop=True).assign(**dict(zip(("y", "x", "level", "steps", "label"), values, strict=True)))
+
+    def rims_of(rows: pd.DataFrame) -> pd.DataFrame:
+        own, parts = flooded(rows), []
+        for dy, dx in AROUND[::2]:
+            out = own[((own.y + dy) // tile != own.ty) | ((own.x + dx) // tile != own.tx)]
+            parts.append(out.assign(from_y=out.ty, from_x=out.tx, ty=out.ty + dy, tx=out.tx + dx))
+        return pd.concat(parts)[rim_columns]
+
+    def with_rims(cells: DataFrame, rims: DataFrame) -> DataFrame:
+        return cells.unionByName(rims.select(*keys, "y", "x", "level", "steps", "label", F.lit(True).alias("inside"), F.lit(True).alias("rim")))
+
+    cells = df.select("map_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(height).cast("double").alias("level"), F.lit(0).cast("long").alias("steps"), F.coalesce(F.col(marker).cast("long"), F.lit(0)).alias("label"), F.coalesce(F.col(mask).cast("boolean"), F.lit(False)).alias("inside"), F.lit(False).alias("rim"))
+    cells = settled(dealt(cells, tile, 0))
+    all_tiles = settled(cells.select(*keys).distinct())
+    rims = cells.sparkSession.createDataFrame([], rim_schema)
+    active = all_tiles
     for _ in range(PASSES):
-        own = settled(active.groupBy(*keys).cogroup(rims.groupBy(*keys)).applyInPandas(rim_of, rim_schema).join(tiles.select(*keys), keys, "left_semi"))
-        changed = own.join(rims, rim_columns, "left_anti").select(*keys).distinct()
+        now = with_rims(cells.join(active, keys, "left_semi"), rims.join(active, keys, "left_semi"))
+        own = settled(in_groups(now, keys, rims_of, rim_schema).join(all_tiles, keys, "left_semi"))
         kept = rims.join(active.select("map_id", F.col("ty").alias("from_y"), F.col("tx").alias("from_x")), ["map_id", "from_y", "from_x"], "left_anti").select(*rim_columns)
-        active = settled(tiles.join(changed, keys, "left_semi"))
+        active = settled(own.join(rims, rim_columns, "left_anti").select(*keys).distinct())
         rims = settled(kept.unionByName(own))
         if active.isEmpty():
-            return tiles.groupBy(*keys).cogroup(rims.groupBy(*keys)).applyInPandas(pixels_of, f"map_id {kind}, y int, x int, label long")
+            return in_groups(with_rims(cells, rims), keys, lambda rows: flooded(rows)[["map_id", "y", "x", "label"]], f"map_id {kind}, y int, x int, label long")
     raise RuntimeError(f"labels still change after {PASSES} passes")

@@ -126,6 +126,7 @@ def vectorise(pixels: DataFrame, settings: Settings = Settings(), classify: Call
     points only, so that the two features differ. With method 1 a map also has a contours feature, of label -1, without a
     simple one: its outline, or with extract_contour what the polygons leave of it.
     """
+    pixels = settled(pixels)  # read by each of the steps below
     labelled = segments(pixels, distance, settings)
     keys = ["map_id", "label"]
 

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from terrasheet.operators import tiles
+from terrasheet.operators import graph, tiles
 
 from .test_operators import mask, pixels
 
@@ -83,3 +84,24 @@ def test_water_on_flat_ground_meets_half_way(spark):
 def test_nothing_to_flood(spark):
     df = spark.createDataFrame([], "map_id int, y int, x int, h double, k int, m boolean")
     assert tiles.watershed(df, "h", "k", "m").count() == 0 and tiles.skeleton(df).count() == 0 and tiles.canny(df, "h").count() == 0
+
+
+def test_groups_are_whole_in_any_batches(spark):
+    rows = [(None if k == 5 else k, i % 3, i) for k in range(12) for i in range((k * 7) % 23)]
+    df = spark.createDataFrame(rows, "a int, b int, v int").repartition(3)
+    calls = spark.sparkContext.accumulator(0)
+
+    def sums(own):
+        calls.add(1)
+        return own.groupby(["a", "b"], dropna=False, as_index=False).agg(n=("v", "size"), total=("v", "sum"))
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most in ("2", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            calls.value = 0
+            got = graph.in_groups(df, ["a", "b"], sums, "a int, b int, n long, total long").collect()
+            assert sorted(map(repr, got)) == sorted(map(repr, df.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("v").alias("total")).collect()))
+        assert calls.value <= 8  # twice in each of four tasks, not once for each of 33 groups
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
