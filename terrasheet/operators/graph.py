@@ -19,6 +19,9 @@ ROUNDS = 60
 GROUP_LINKS = 2_000_000
 
 
+#: Bytes in a join's memory for one of a file, at most or so: whole numbers of pixels and labels are packed tightly.
+PACKED = 100
+
 _folders: dict[tuple[str, str | None], str] = {}
 
 
@@ -42,10 +45,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, lost executors don't matter."""
-    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    """df written to the shared folder and read again: its lineage ends there, lost executors don't matter.
+
+    The planner takes the files' size for that of the rows, which are up to PACKED times larger; so tables whose rows may pass
+    its limit aren't broadcast, which would collect them in the driver.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    own = spark.read.schema(df.schema).parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return own.hint("merge") if size * PACKED > spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() else own
 
 
 def in_groups(df: DataFrame, by: list[str], function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, parts: int | None = None) -> DataFrame:

@@ -531,3 +531,13 @@ def test_keypoints_have_directions():
     assert registration.directions(image, np.array([[30, 30]]))[0] == pytest.approx(math.pi / 2, abs=0.05)
     assert registration.directions(image.T, np.array([[30, 30]]))[0] == pytest.approx(0, abs=0.05)
     assert len(registration.corners(np.full((40, 40), 7.0), 9)) == 0 and len(registration.described(np.zeros((9, 9)), 9)[0]) == 0
+
+
+def test_tightly_packed_tables_are_not_broadcast(spark):
+    """Half a million pixels are a file of a few hundred kilobytes, but far more in a join's memory."""
+    from terrasheet.operators.graph import settled
+
+    pixels = settled(spark.range(500_000).selectExpr("int(id div 1024) as map_id", "int(id div 32 % 32) as y", "int(id % 32) as x", "id div 4 as label"))
+    other = spark.range(100_000_000).selectExpr("int(id % 5000) as map_id")
+    plan = lambda df: other.join(df, "map_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(pixels) and "Broadcast" in plan(settled(pixels.limit(10)))
